@@ -15,8 +15,9 @@ blocks, each pair of blocks in one task) and are joined exactly: a set's overlap
 lists of its shingles, or, where it is highly similar to the set before it, from that set's overlaps, changed only by
 the lists of the shingles in which the two differ. Links make the components; every document counts its links.
 
-Frequencies only set the order, they don't decide links: shingles that many documents of one chunk share are counted
-over all documents and the `ORDERED` most frequent are sent to all tasks (one MB); the others keep the order of hashes.
+Frequencies only set the order, they don't decide links. Over all documents, two counts are made by the leading 32 bits
+of a hash: of shingles that repeat within a chunk, and of each set's first shingles in the order of hashes. The
+`ORDERED` most frequent go to all tasks (three MB at most) and come last; the others keep the order of hashes.
 
 Defined results: rows of one id are one node of the links; null, empty and blank texts have an empty set, no links and themselves as component; texts of fewer
 than k words are one shingle; repeated rows are copies of each other; an empty table gives no rows.
@@ -36,9 +37,11 @@ from geoweft.llm._common import blob_partitions, cut, id_and_bytes
 from geoweft.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
-ORDERED = 1 << 16
+ORDERED = 1 << 18
 CHUNK_SHINGLES = 1 << 21
-CHUNK_REPEATS = 8
+CHUNK_REPEATS = 4
+COUNTED_PERCENT = 30
+COUNTS_PER_PARTITION = 1 << 22
 LONG_LIST = 64
 POSTINGS_PER_PARTITION = 1 << 20
 CELL_SHINGLES = 1 << 21
@@ -98,22 +101,30 @@ def _least_overlap(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
-def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (doc_id, n, key, node) and rows of shingles (shingle, times) that repeat within a chunk."""
+_SUMMARY = "doc_id long, n long, key binary, node long, cell long, times long, part int, cells binary"
+
+
+def _summaries(docs: DataFrame, partitions: int, k: int) -> DataFrame:
+    """Three kinds of rows: documents (doc_id, n, key, node), shingles' cells that repeat within a chunk (cell, times),
+    and the cells of each set's first shingles, dealt by cell (part, cells)."""
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "cell": pa.int64(), "times": pa.int64(), "part": pa.int32(), "cells": pa.binary()}
+
+    def batch_of(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, size = [], 0
 
-        def repeats() -> pa.RecordBatch:
+        def counts() -> Iterator[pa.RecordBatch]:
             nonlocal gathered, size
-            value, times = np.unique(np.concatenate(gathered), return_counts=True) if gathered else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            value, times = np.unique(np.concatenate([_cells(x) for x in gathered]), return_counts=True)
             kept = times >= CHUNK_REPEATS
+            yield batch_of(int(kept.sum()), cell=value[kept].astype(np.int64), times=times[kept].astype(np.int64))
+            first = np.sort(np.concatenate([_cells(x[: -(-len(x) * COUNTED_PERCENT // 100)]) for x in gathered]))
+            at = np.searchsorted(first, np.arange(1, partitions, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(partitions))
+            parts = np.split(first, at)
+            yield batch_of(partitions, part=list(range(partitions)), cells=[p.tobytes() for p in parts])
             gathered, size = [], 0
-            m = int(kept.sum())
-            return batch_of([None] * m, [None] * m, [None] * m, [None] * m, value[kept].view(np.int64), times[kept].astype(np.int64))
-
-        def batch_of(ids, ns, keys, nodes, shingles, times) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(shingles, pa.int64()), pa.array(times, pa.int64())], names=["doc_id", "n", "key", "node", "shingle", "times"])
 
         for batch in batches:
             ns, keys = [], []
@@ -124,20 +135,47 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
                 gathered.append(found)
                 size += len(found)
                 if size >= CHUNK_SHINGLES:
-                    yield repeats()
-            m = len(ns)
-            yield batch_of(batch.column(0).to_pylist(), ns, keys, [_set_id(x) for x in keys], [None] * m, [None] * m)
-        yield repeats()
+                    yield from counts()
+            yield batch_of(len(ns), doc_id=batch.column(0).to_pylist(), n=ns, key=keys, node=[_set_id(x) for x in keys])
+        if gathered:
+            yield from counts()
+
+    return docs.mapInArrow(run, _SUMMARY)
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, node long, shingle long, times long")
+
+def _cells(found: np.ndarray) -> np.ndarray:
+    """What frequencies are counted by: the leading 32 bits of a shingle's hash."""
+    return (found >> np.uint64(32)).astype(np.uint32)
+
+
+def _frequent(summary: DataFrame, partitions: int, long_list: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, times), ascending cells: the ORDERED cells that most sets share, as far as they make long lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts.setdefault(part, []).append(cells)
+        for part in list(parts):
+            value, times = np.unique(np.frombuffer(b"".join(parts.pop(part)), np.uint32), return_counts=True)
+            kept = times > long_list // 2
+            yield pa.RecordBatch.from_arrays([pa.array(value[kept].astype(np.int64)), pa.array(times[kept].astype(np.int64))], names=["cell", "times"])
+
+    first = summary.filter("part IS NOT NULL").select("part", "cells").repartition(partitions, "part").mapInArrow(run, "cell long, times long")
+    both = summary.filter("times IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).unionByName(first)
+    most = both.groupBy("cell").agg(F.max("times").alias("times")).orderBy(F.desc("times"), "cell").limit(ORDERED).toArrow()
+    cells, times = most.column("cell").to_numpy().astype(np.uint32), most.column("times").to_numpy()
+    order = np.argsort(cells)
+    return cells[order], times[order]
 
 
 def _ordered(found: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
     """found in the global order: shingles not known as frequent by hash, then the frequent ones, the rarest first."""
     if not len(frequent):
         return found
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    hot = frequent[at] == found
+    cells = _cells(found)
+    at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
+    hot = frequent[at] == cells
     if not hot.any():
         return found
     late = found[hot]
@@ -344,8 +382,11 @@ def cell_links(ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, sets: li
     return root[label], links
 
 
-def _joined(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, root, links) per set and unit; members: id, cell, copies, blocks; texts: doc_id, text."""
+def join_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, root, links) per set and unit: the exact join within cells. rows: id, cell, copies, blocks, hashes.
+
+    A cell of several blocks is dealt as one unit per pair of blocks, each set going to the units of its block.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
@@ -373,17 +414,21 @@ def _joined(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         finish()
         yield out()
 
-    small = members.count() <= BROADCAST_ROWS
-    wanted = texts.join(F.broadcast(members) if small else members, texts.doc_id == members.id)
-    # a document id with several texts: the set's own text is told by its key
-    found = wanted.select("id", "cell", "copies", "blocks", "key", "text").mapInArrow(lambda b: _own(b, k), "id long, cell long, copies long, blocks int, hashes binary")
-    found = found.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    found = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     units = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     units = units.select("id", "cell", "copies", "one", "two", "block", "hashes")
     dealt = units.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", F.substring("hashes", 1, 8), F.length("hashes"), "id", "hashes")
     return dealt.mapInArrow(join, "id long, root long, links long")
 
 
+def _sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The sets of members (id, cell, copies, blocks, key), made again from their texts (doc_id, text)."""
+    small = members.count() <= BROADCAST_ROWS
+    wanted = texts.join(F.broadcast(members) if small else members, texts.doc_id == members.id)
+    # a document id with several texts: the set's own text is told by its key
+    return wanted.select("id", "cell", "copies", "blocks", "key", "text").mapInArrow(lambda b: _own(b, k), "id long, cell long, copies long, blocks int, hashes binary")
+
+
 def _own(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The sets of rows whose text has the key looked for."""
     for batch in batches:
@@ -397,13 +442,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links."""
     texts = id_and_bytes(docs, id_col, text_col)
     spark = docs.sparkSession
-    summary = cut(_summaries(texts, words))
+    total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
+    counters = blob_partitions(total // 20, COUNTS_PER_PARTITION)  # three tenths of a shingle for each six letters
+    summary = cut(_summaries(texts, counters, words))
     rows = summary.filter("key IS NOT NULL").select("doc_id", "n", "key", "node")
     groups = cut(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("node").alias("node"), F.count(F.lit(1)).alias("copies")))
-    common = summary.filter("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(ORDERED).collect()
-    values = np.array([r.shingle for r in common], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    frequent = spark.sparkContext.broadcast((values[order], np.array([r.times for r in common], np.int64)[order]))
+    frequent = spark.sparkContext.broadcast(_frequent(summary, counters, long_list))
     indexed = groups.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     partitions = blob_partitions(indexed, POSTINGS_PER_PARTITION)
     edges = _pairs(_postings(texts, partitions, frequent, words, percent, long_list), partitions, percent, long_list)
@@ -411,7 +455,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = groups.join(cells, "node")
     weights = cells_weights(members, cell_shingles)
     members = cut(members.join(weights, "component").select("id", F.col("component").alias("cell"), "copies", "blocks", "key"))
-    links = cut(_joined(members, texts, words, percent))
+    links = cut(join_cells(_sets(members, texts, words), percent))
     roots = links.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     if members.filter("blocks > 1").isEmpty():
         found = roots.select(F.col("a").alias("id"), F.col("b").alias("component"))
