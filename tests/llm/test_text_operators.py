@@ -1,0 +1,348 @@
+"""The training-data operators against brute force, with nulls, empty and long texts, repeats, empty and wide tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+
+from geoweft.llm import chat, decontaminate, exact_dedup, language_id, packing, paragraphs, queries, secrets, set_join, sharding, url_filter
+from geoweft.llm.components import connected_components
+
+#: Extra columns whose names operators use themselves.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id long, node long, copies string, shard int, sequence_id string, spans int"
+
+
+def docs_of(spark, texts, start=0):
+    rows = [(i + start, t, "en" if i % 2 else "fr", "s", len(t or ""), "x", 1, 2, "y", 3, "z", 4) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+EDGE = [None, "", " ", " \t\n", "a", "A b", "a  b", "a b", "é ß", "x" * 5000, "word " * 4000, "\x00\x01", "日本語 テキスト", "a\u00a0b", "1234 !!"]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [words(rng, rng.randrange(1, 120)) for _ in range(40)]
+    near = []
+    for t in base[:15]:
+        w = t.split()
+        for _ in range(3):
+            v = list(w)
+            for _ in range(max(1, len(v) // 60)):
+                v[rng.randrange(len(v))] = "edit"
+            near.append(" ".join(v))
+    return EDGE + base + near + base[:5] + base[:5]
+
+
+def test_packing(spark, texts):
+    path = queries.tokenizer_path()
+    _, exact = packing.encoders(path)
+    rows = packing.pack(docs_of(spark, texts).repartition(3), path).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for i, t in enumerate(texts):
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 0]
+        got, at = b"", 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and len(r.ids) == 4 * r.length
+            got, at = got + bytes(r.ids), at + r.length
+        assert got == b"".join(x.to_bytes(4, "little") for x in ids)
+    open_ones = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024 and at <= pieces[0].tier
+        open_ones += at & (at - 1) != 0
+    assert open_ones <= 3  # one for each task
+    steps = Counter()
+    for s, pieces in by_sequence.items():
+        steps[(pieces[0].step_group, pieces[0].tier)] += 1
+    assert all(n * tier <= packing.STEP_TOKENS for (_, tier), n in steps.items())
+
+
+def test_fast_encoder_is_exact():
+    path = queries.tokenizer_path()
+    _, exact = packing.encoders(path)
+    plain = [chr(c) for c in [*range(0x180), *range(0x2010, 0x2028), 0x20AC]]
+    rng = random.Random(1)
+    samples = [f"a{c}b {c}{c} 1{c}2\n{c} x" for c in plain] + ["".join(rng.choices(plain, k=60)) for _ in range(3000)]
+    for s in samples:
+        assert packing.encode(s, path).tolist() == exact.encode(s, add_special_tokens=False).ids, repr(s)
+
+
+def test_packing_empty(spark):
+    assert packing.pack(docs_of(spark, []), queries.tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_exact_dedup(spark, texts, digest_bytes):
+    """With digests of one byte nearly all hits are collisions, and bytes decide."""
+    rows = exact_dedup.exact_dedup(docs_of(spark, texts).repartition(4), memtable_rows=7, bucket_rows=20, digest_bytes=digest_bytes).collect()
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[re.sub("[\x20\x09-\x0d]+", " ", t or "")].append(i)
+    want = {i: (ids[0], len(ids), i == ids[0], hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == want
+
+
+def test_exact_dedup_repeated_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (3, None), (3, None)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and sum(r.kept for r in got) == 2
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 3), (2, 1, 3), (3, 3, 2)}
+    assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        k = min(5, len(w))
+        out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    return out
+
+
+def brute_components(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("long_list,cell_shingles", [(64, 1 << 21), (3, 100)])
+def test_jaccard_join(spark, texts, long_list, cell_shingles):
+    sets = brute_sets(texts)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    component = brute_components(len(sets), links)
+    number = Counter(x for link in links for x in link)
+    rows = set_join.jaccard_components(docs_of(spark, texts).repartition(3), long_list=long_list, cell_shingles=cell_shingles).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == {i: (len(s), component[i], number[i]) for i, s in enumerate(sets)}
+    assert set_join.jaccard_components(docs_of(spark, [])).count() == 0
+
+
+def test_incremental_answers_read_less():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64))
+    sets = [np.unique(np.r_[base[: 300 - k % 5], rng.integers(0, 1 << 60, 3).astype(np.uint64)]) for k in range(40)]
+    cell = set_join.Answers(sets)
+    for x, got in enumerate(cell.overlaps()):
+        assert got.tolist() == [len(np.intersect1d(sets[x], s)) for s in sets]
+    assert cell.read < sum(len(s) for s in sets) * len(sets) / 5
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)]
+    want = brute_components(2100, edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 3), (4, None)], "a long, b long")).collect()}
+    assert got == {x: want[x] for e in edges if e[0] != e[1] for x in e}
+
+
+def test_decontamination(spark):
+    rng = random.Random(4)
+    items = {f"i{k}": words(rng, n, 60) for k, n in enumerate([30, 14, 13, 5, 1])} | {"none": "!!", "null": None}
+    texts = [words(rng, 80, 60) for _ in range(20)]
+    texts += [f"{words(rng, 20, 60)} {items['i0'].upper()} {words(rng, 9, 60)}", items["i1"], items["i3"] + ", and!", None, "", "-", "x " * 20000 + items["i2"]]
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    split = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    want = {}
+    for d, t in enumerate(texts):
+        w, hit, found = split(t), set(), set()
+        for item, text in items.items():
+            b = split(text)
+            k = min(13, len(b))
+            for i in range(len(b) - k + 1 if b else 0):
+                for at in range(len(w) - k + 1):
+                    if w[at : at + k] == b[i : i + k]:
+                        hit |= set(range(at, at + k))
+                        found.add(item)
+        want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    for block in (1 << 20, 60):  # one block of items, and several
+        rows = decontaminate.item_digests(decontaminate.decontaminate(docs, bench, block_bytes=block, shard_words=300)).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == want
+    empty = decontaminate.item_digests(decontaminate.decontaminate(docs, bench.limit(0))).collect()
+    assert len(empty) == len(texts) and not any(r.contaminated for r in empty)
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_proximity(spark):
+    docs = docs_of(spark, ["a x b y c", "c b a", "a q q q q b c", "a b"])
+    bench = spark.createDataFrame([("t", "a b c")], "item_id string, text string")
+    rows = decontaminate.decontaminate(docs, bench, slop=2).collect()
+    near = {r.doc_id for r in rows if any(s.kind == "proximity" for s in r.spans)}
+    assert near == {0}  # stretches of five words; the second document is shorter than one
+    assert all(r.n_hit == 0 for r in rows)
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    speak = {"en": "the of and to in that with this from not".split(), "fr": "les des une dans pour que qui sur avec pas".split(), "de": "der die und nicht mit ein auch sich auf dem".split()}
+    rows = []
+    for i in range(300):
+        lang = ("en", "fr", "de")[i % 3]
+        rows.append((i, " ".join(rng.choices(speak[lang], k=30)), lang if i % 7 else None))
+    mixed = " ".join(rng.choices(speak["en"], k=60) + rng.choices(speak["de"], k=40))
+    rows += [(1000, None, "en"), (1001, "", "en"), (1002, "123 !?", "fr"), (1003, mixed, None), (1004, "the " * 30000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1))
+    got = {r.doc_id: r for r in language_id.train_and_identify(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert all(got[i].lang_pred == ("en", "fr", "de")[i % 3] for i in range(300))
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3
+    assert got[1003].languages == ["en", "de"] and 0.45 < got[1003].score < 0.75 and got[1004].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    unlabelled = language_id.train_and_identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in unlabelled} == {"und"}
+    assert language_id.train_and_identify(docs.limit(0)).count() == 0
+
+
+def test_language_id_held_out(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_secret_scan(spark):
+    rng = random.Random(8)
+    hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    key = lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    texts = [f'é says password="{hexed(18)}" then {key()} and {hexed(40)}' for _ in range(60)]
+    texts += [None, "", "Token: short", "API_KEY = 'abcdefgh1'", "ſecret=abcdefgh12", "AKIA123", "a" * 31, "a" * 32, "password=passwd=12345678", f"bare {key()[4:]}{hexed(3)}", "see chapter-2 of IMG_20240101_120000", "x" * 100000 + hexed(32)]
+    got = {r.doc_id: r for r in secrets.digests(secrets.scan(docs_of(spark, texts))).collect()}
+    assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8 and m[0].isascii()]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        said = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base)]
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3)), t[:80]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r.spans.split(","))or not said
+    assert "format" not in got[70].spans
+    assert secrets.digests(secrets.scan(docs_of(spark, []))).count() == 0
+
+
+def test_automaton_learns_a_format():
+    tree = secrets.Automaton()
+    rng = random.Random(1)
+    for _ in range(600):
+        tree.add(b"U" * 4 + bytes(rng.choices(b"dU", k=8)))
+    learnt = tree.generalise()
+    assert len(learnt.move) < 200
+    assert learnt.score(b"UUUUdUdUdUdU") > learnt.score(b"U" * 5) and learnt.score(b"UUUUlldd") == float("-inf")
+    for s in range(len(learnt.move)):
+        assert learnt.passed[s] == learnt.ends[s] + sum(learnt.through[s].values())
+
+
+def test_substring_dedup(spark):
+    rng = random.Random(6)
+    passage = words(rng, 60, 10_000)
+    edited = passage.split()
+    edited[30] = "other"
+    texts = [words(rng, 200, 10_000) for _ in range(6)]
+    texts += [f"{words(rng, 20, 10_000)}\n{passage}\n{words(rng, 20, 10_000)}", f"{words(rng, 50, 10_000)} {passage} {words(rng, 70, 10_000)}", f"x\n{' '.join(edited)}\ny"]
+    texts += [None, "", "short line", "short line", "\n\n\n", "w " * 3000]
+    rows = paragraphs.repeated_passages(docs_of(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == {6, 7, 8}
+    assert {(r.doc_id, r.start_word, r.end_word, r.removed) for r in rows if r.kind == "paragraph"} == {(6, 20, 80, False), (8, 1, 61, True)}
+    inside = [r for r in rows if r.kind == "passage" and r.doc_id == 7]
+    assert inside and all(50 <= r.start_word and r.end_word <= 110 for r in inside)
+    assert paragraphs.repeated_passages(docs_of(spark, [])).count() == 0
+
+
+def test_bands_are_tuned():
+    bands, rows = paragraphs.tuned_bands(80)
+    assert (1 - 0.8**rows) ** bands < paragraphs.MISS and bands * rows <= 64
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?q#f", "http://example.com/en", "http://example.com/en/", "http://a.b.example.com/en/1", "ftp://x.net/es/", "x://x.net/fr?a", "http://com/", "http://xcom/", "http://example.org/bad/", "https://m.example.org/bad#top", "http://a://b/c"]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, key string")
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("example.org/bad",), (None,)], "key string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, listed).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, "allow") and got[3] == ("", "", None, "allow")
+    assert got[4] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
+    assert got[5] == ("example.com", "/en", "com/", "allow") and got[6][2:] == got[7][2:] == ("example.com/en/", "block")
+    assert got[8][2:] == ("net/es/", "block") and got[9][2:] == (None, "allow")
+    assert got[10][2:] == ("com/", "allow") and got[11][2:] == (None, "allow")
+    assert got[12][3] == got[13][3] == "block" and got[14][:2] == ("a:", "//b/c")
+    assert url_filter.filter_urls(pages.limit(0), rules, listed).count() == 0
+    assert url_filter.filter_urls(pages, rules.limit(0), listed.limit(0)).filter("verdict = 'block'").count() == 0
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    blocks = url_filter._blocks(5000)
+    table = url_filter.bloom_filter(keys, blocks)
+    assert url_filter.possible(keys, table, blocks).count() == 5000
+    others = spark.range(20000).select(F.concat(F.lit("z"), "id").alias("key"))
+    assert url_filter.possible(others, table, blocks).count() < 600
+
+
+def test_sharding(spark, texts):
+    rows = sharding.shard_by_bytes(docs_of(spark, texts).repartition(5)).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(24))
+    ordered = sorted(rows, key=lambda r: r.doc_id)
+    assert [r.shard for r in ordered] == sorted(r.shard for r in rows)
+    total = sum(r.size for r in rows)
+    ends = [sum(r.size for r in rows if r.shard <= s) for s in range(24)]
+    assert all(abs(e - total * (s + 1) / 24) <= max(r.size for r in rows) / 2 + 1 for s, e in enumerate(ends))
+    assert sharding.shard_by_bytes(docs_of(spark, [])).count() == 0
+
+
+def test_chat(spark):
+    said = "</s>[INST] ok [/INST]"
+    odd = ["\\", "<s>", "<\\s>", "<<s>s>", "a\\\\b\n", "", None, said, "[/INST][INST]\\", "é😀"]
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said)] + [(1, i, ("user", "assistant", None, "<s>[/INST] \n")[i % 4], t) for i, t in enumerate(odd * 3)]
+    rows += [(2, 0, "user", "only"), (3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (None, 1, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).withColumn("position", F.lit(2))
+    turns = chat.format_turns(table)
+    by = defaultdict(list)
+    for c, n, r, t in rows:
+        by[c].append((n, r or "", t or ""))
+    back = {r.conv_id: r for r in chat.read_back(turns).collect()}
+    digests = {r.conv_id: r for r in chat.digests(turns).collect()}
+    for c, own in by.items():
+        own.sort()
+        assert [(t.role, t.text) for t in back[c].turns] == [(r, t) for _, r, t in own]
+        loss = "".join(t for _, r, t in own if r == "assistant")
+        assert back[c].loss == loss and digests[c].loss_chars == len(loss) and digests[c].n_turns == len(own)
+        assert digests[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+        assert digests[c].formatted_chars == len(back[c].stream)
+    made = chat.materialise(turns).filter("conv_id = 1").orderBy("example").collect()
+    assert len(made) == sum(r == "assistant" for _, r, _ in by[1])
+    for m in made:
+        assert m.text == back[1].stream[: len(m.text)] and m.text.endswith("</s>") and m.loss_end == len(m.text) - 4
+    assert chat.digests(chat.format_turns(table.limit(0))).count() == 0
