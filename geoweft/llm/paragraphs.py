@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs by MinHash banding, and exact passages that keep to no paragraph.
 
-Paragraphs are lines of `PARAGRAPH_WORDS` words or more. Paragraphs with the same set of word shingles are one node. A
+Paragraphs are lines of `PARAGRAPH_WORDS` words or more. Paragraphs of the same words are one node. A
 node's MinHash signature is cut into bands, tuned so that a pair at the threshold is missed with a probability below
 `MISS`. Nodes that share a band are tied to the smallest of them (one edge per node and band, however many share it);
 the components of these ties are cells, within which exact Jaccard similarity is verified and links make clusters.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ MISS = 0.002
 WINDOWS_PER_PARTITION = 1 << 20
 _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PARAGRAPH = "doc_id long, ordinal int, start_word int, end_word int, node long, hashes binary, bands array<long>, part int, windows binary"
+_PARAGRAPH = "doc_id long, start_word int, end_word int, node long, bands array<long>, part int, windows binary"
 
 
 def tuned_bands(percent: int, most: int = 64) -> tuple[int, int]:
@@ -53,32 +54,67 @@ def _rolling(own: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def signature_bands(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band of the MinHash signature of a set of hashes."""
+def signature_bands(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each stretch of shingles, one 64-bit key per band of its MinHash signature."""
     odd = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-    mixed = found[None, :] * odd[:, None]
-    mixed ^= mixed >> np.uint64(31)
-    least = (mixed * odd[:, None]).min(1).reshape(bands, rows)
-    out = np.arange(bands, dtype=np.uint64)
-    for column in least.T:
-        out = (out ^ column) * _MIX
+    at = np.stack([starts, ends], 1).ravel()
+    room = np.append(shingles, np.uint64(0))  # so that the last end is a place too
+    least = np.empty((len(odd), len(starts)), np.uint64)
+    step = max(1, (1 << 20) // len(room))
+    for k in range(0, len(odd), step):
+        some = odd[k : k + step, None]
+        mixed = room[None, :] * some
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= some
+        least[k : k + step] = np.minimum.reduceat(mixed, at, axis=1)[:, ::2]
+    out = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(starts), 1)
+    for j in range(rows):
+        out = (out ^ least[j::rows]) * _MIX
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return out.T.view(np.int64)
+
+
+def _sliding(a: np.ndarray, width: int, choose) -> np.ndarray:
+    """choose (minimum or maximum) over each stretch of `width` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        a = choose(a[:-done], a[done:])
+        done *= 2
+    return choose(a[: len(a) - (width - done)], a[width - done :]) if done < width else a
 
 
 def anchors(own: np.ndarray) -> np.ndarray:
-    """Positions of words that are the first smallest hash among some ANCHOR neighbours, with a whole window behind."""
+    """Positions with the smallest hash among some ANCHOR neighbours, with a whole window behind each."""
     n = len(own) - WINDOW_WORDS + 1
     if n < ANCHOR:
         return np.zeros(0, np.int64)
-    mixed = _rolling(own[: n + 3], 4)[:n] if len(own) >= n + 3 else own[:n]
-    neighbours = np.lib.stride_tricks.sliding_window_view(mixed, ANCHOR)
-    return np.unique(neighbours.argmin(1) + np.arange(len(neighbours)))
+    mixed = _rolling(own[: n + 3], 4)
+    least = _sliding(mixed, ANCHOR, np.minimum)
+    edge = np.zeros(ANCHOR - 1, np.uint64)
+    return np.flatnonzero(mixed == _sliding(np.r_[edge, least, edge], ANCHOR, np.maximum))
+
+
+def _windows(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at starts."""
+    out = np.full(len(starts), WINDOW_WORDS, np.uint64)
+    for j in range(WINDOW_WORDS):
+        out = (out ^ own[starts + j]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _lines(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and (start, end) of the lines that are paragraphs, in words."""
+    lines = [line.split() for line in (text or b"").lower().split(b"\n")]
+    own = set_join._word_hashes([w for line in lines for w in line])
+    ends = np.cumsum([len(line) for line in lines])
+    places = np.stack([np.r_[0, ends[:-1]], ends], 1)
+    return own, places[places[:, 1] - places[:, 0] >= PARAGRAPH_WORDS]
 
 
 def _scan(docs: DataFrame, partitions: int, k: int, bands: int, rows: int) -> DataFrame:
     """Rows of paragraphs, and rows (part, windows) of passage windows dealt by their hash."""
-    kinds = {"doc_id": pa.int64(), "ordinal": pa.int32(), "start_word": pa.int32(), "end_word": pa.int32(), "node": pa.int64(), "hashes": pa.binary(), "bands": pa.list_(pa.int64()), "part": pa.int32(), "windows": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "node": pa.int64(), "bands": pa.list_(pa.int64()), "part": pa.int32(), "windows": pa.binary()}
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
@@ -87,24 +123,21 @@ def _scan(docs: DataFrame, partitions: int, k: int, bands: int, rows: int) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found: dict[str, list] = {c: [] for c in list(kinds)[:7]}
+                found: dict[str, list] = {c: [] for c in list(kinds)[:5]}
                 windows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    lines = [line.split() for line in (text or b"").lower().split(b"\n")]
-                    own = set_join._word_hashes([w for line in lines for w in line])
-                    shingles = _rolling(own, k)
-                    start = 0
-                    for ordinal, line in enumerate(lines):
-                        end = start + len(line)
-                        if len(line) >= PARAGRAPH_WORDS:
-                            members = np.unique(shingles[start : end - k + 1])
-                            for c, v in zip(found, (doc, ordinal, start, end, set_join._set_id(set_join.set_key(members)), members.tobytes(), signature_bands(members, bands, rows)), strict=True):
-                                found[c].append(v)
-                        start = end
+                    own, places = _lines(text)
+                    if len(places):
+                        starts, ends = places.T
+                        found["doc_id"] += [doc] * len(places)
+                        found["start_word"] += starts.tolist()
+                        found["end_word"] += ends.tolist()
+                        found["node"] += [xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63) for a, b in places.tolist()]
+                        found["bands"] += list(signature_bands(_rolling(own, k), starts, ends - k + 1, bands, rows))
                     starts = anchors(own)
                     if len(starts):
                         some = np.empty(len(starts), _WINDOW)
-                        some["hash"], some["doc"], some["start"] = _rolling(own, WINDOW_WORDS)[starts], doc, starts
+                        some["hash"], some["doc"], some["start"] = _windows(own, starts), doc, starts
                         windows.append(some)
                 if found["doc_id"]:
                     yield batch_of(len(found["doc_id"]), **found)
@@ -148,17 +181,41 @@ def _passages(windows: DataFrame) -> DataFrame:
     return islands.groupBy("doc_id", "island").agg(F.min("start_word").alias("start_word"), (F.max("start_word") + WINDOW_WORDS).alias("end_word"), F.min("first_doc_id").alias("first_doc_id")).drop("island")
 
 
-def paragraph_clusters(found: DataFrame, *, percent: int, cell_shingles: int = set_join.CELL_SHINGLES) -> DataFrame:
+def _paragraph_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(id, cell, copies, blocks, hashes) of members (doc_id, start_word, end_word, id, cell, blocks), from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, places = _lines(text)
+                held = set(map(tuple, places.tolist()))
+                shingles = _rolling(own, k)
+                for w in wanted:
+                    place = (w["start_word"], w["end_word"])
+                    if place in held:  # a document id may have several texts
+                        out.append((w["id"], w["cell"], 1, w["blocks"], np.unique(shingles[place[0] : place[1] - k + 1]).tobytes()))
+            columns = zip(*out, strict=True) if out else [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["id", "cell", "copies", "blocks", "hashes"])
+
+    by_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word", "id", "cell", "blocks")).alias("wanted")).withColumnRenamed("doc_id", "of")
+    small = members.count() <= set_join.BROADCAST_ROWS
+    found = texts.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("of")).select("text", "wanted")
+    return found.mapInArrow(run, "id long, cell long, copies long, blocks int, hashes binary")
+
+
+def paragraph_clusters(found: DataFrame, texts: DataFrame, *, words: int, percent: int, cell_shingles: int = set_join.CELL_SHINGLES) -> DataFrame:
     """(node, cluster) of paragraph nodes with links; found: paragraph rows of _scan()."""
-    nodes = cut(found.groupBy("node").agg(F.any_value("hashes").alias("hashes"), F.any_value("bands").alias("bands")))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    least = banded.groupBy("band", "value").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = banded.join(least, ["band", "value"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "start_word", "end_word")).alias("first"), F.any_value("bands").alias("bands"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "least")
+    ties = banded.join(least, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     cells = cut(connected_components(ties))
-    members = nodes.select("node", "hashes").join(cells, "node")
-    weights = set_join.cells_weights(members.select("component", (F.length("hashes") / 8).alias("n")), cell_shingles)
-    rows = members.join(weights, "component").select(F.col("node").alias("id"), F.col("component").alias("cell"), F.lit(1).cast("long").alias("copies"), "blocks", "hashes")
-    links = cut(set_join.join_cells(rows, percent)).filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    members = nodes.select("node", "first.*").join(cells, "node")
+    weights = set_join.cells_weights(members.select("component", (F.col("end_word") - F.col("start_word")).alias("n")), cell_shingles)
+    members = cut(members.join(weights, "component").select("doc_id", "start_word", "end_word", F.col("node").alias("id"), F.col("component").alias("cell"), "blocks"))
+    links = cut(set_join.join_cells(_paragraph_sets(members, texts, words), percent)).filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     return connected_components(links).select("node", F.col("component").alias("cluster"))
 
 
@@ -168,9 +225,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bands, rows = tuned_bands(percent)
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     partitions = blob_partitions(total // 60, WINDOWS_PER_PARTITION)  # a window for each ten words
-    scanned = cut(_scan(id_and_bytes(docs, id_col, text_col), partitions, words, bands, rows))
+    texts = id_and_bytes(docs, id_col, text_col)
+    scanned = cut(_scan(texts, partitions, words, bands, rows))
     found = scanned.filter("node IS NOT NULL").drop("part", "windows")
-    clusters = paragraph_clusters(found, percent=percent)
+    clusters = paragraph_clusters(found, texts, words=words, percent=percent)
     placed = found.select("doc_id", "start_word", "end_word", "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     shared = placed.groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("first_doc_id < last_doc_id")
     whole = placed.join(shared, "cluster").select("doc_id", F.lit("paragraph").alias("kind"), "start_word", "end_word", "first_doc_id")

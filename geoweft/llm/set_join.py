@@ -17,7 +17,8 @@ the lists of the shingles in which the two differ. Links make the components; ev
 
 Frequencies only set the order, they don't decide links. Over all documents, two counts are made by the leading 32 bits
 of a hash: of shingles that repeat within a chunk, and of each set's first shingles in the order of hashes. The
-`ORDERED` most frequent go to all tasks (three MB at most) and come last; the others keep the order of hashes.
+`ORDERED` most frequent go to all tasks (three MB at most) and come last, the rarest first; before them come those whose
+bit is set in a map of all that can make long lists (16 MB at most); the others come first. Within, hashes give the order.
 
 Defined results: rows of one id are one node of the links; null, empty and blank texts have an empty set, no links and themselves as component; texts of fewer
 than k words are one shingle; repeated rows are copies of each other; an empty table gives no rows.
@@ -42,7 +43,8 @@ CHUNK_SHINGLES = 1 << 21
 CHUNK_REPEATS = 4
 COUNTED_PERCENT = 30
 COUNTS_PER_PARTITION = 1 << 22
-LONG_LIST = 64
+MOST_BITS = 1 << 27
+LONG_LIST = 16
 POSTINGS_PER_PARTITION = 1 << 20
 CELL_SHINGLES = 1 << 21
 BROADCAST_ROWS = 1 << 19
@@ -148,8 +150,10 @@ def _cells(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(32)).astype(np.uint32)
 
 
-def _frequent(summary: DataFrame, partitions: int, long_list: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, times), ascending cells: the ORDERED cells that most sets share, as far as they make long lists."""
+def _frequent(summary: DataFrame, partitions: int, bits: int, long_list: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, times, map): the ORDERED cells that most sets share, ascending, and a bitmap of all cells that can make a
+    long list, by the leading bits of the cell."""
+    shift = 33 - bits.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -159,27 +163,38 @@ def _frequent(summary: DataFrame, partitions: int, long_list: int) -> tuple[np.n
         for part in list(parts):
             value, times = np.unique(np.frombuffer(b"".join(parts.pop(part)), np.uint32), return_counts=True)
             kept = times > long_list // 2
-            yield pa.RecordBatch.from_arrays([pa.array(value[kept].astype(np.int64)), pa.array(times[kept].astype(np.int64))], names=["cell", "times"])
-
-    first = summary.filter("part IS NOT NULL").select("part", "cells").repartition(partitions, "part").mapInArrow(run, "cell long, times long")
-    both = summary.filter("times IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).unionByName(first)
+            value, times = value[kept].astype(np.int64), times[kept].astype(np.int64)
+            at = value >> shift
+            first, last = (int(at[0]) // 8, int(at[-1]) // 8) if len(at) else (0, 0)
+            flags = np.zeros(8 * (last - first + 1), np.bool_)
+            flags[at - 8 * first] = True
+            top = np.sort(np.argsort(-times, kind="stable")[:ORDERED])
+            cells = [*value[top].tolist(), None]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([*times[top].tolist(), None], pa.int64()), pa.array([None] * len(top) + [first], pa.int64()), pa.array([None] * len(top) + [np.packbits(flags).tobytes()], pa.binary())], names=["cell", "times", "first", "flags"])
+
+    first = cut(summary.filter("part IS NOT NULL").select("part", "cells").repartition(partitions, "part").mapInArrow(run, "cell long, times long, first long, flags binary"))
+    both = summary.filter("times IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).unionByName(first.filter("cell IS NOT NULL").select("cell", "times"))
     most = both.groupBy("cell").agg(F.max("times").alias("times")).orderBy(F.desc("times"), "cell").limit(ORDERED).toArrow()
     cells, times = most.column("cell").to_numpy().astype(np.uint32), most.column("times").to_numpy()
     order = np.argsort(cells)
-    return cells[order], times[order]
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in first.filter("flags IS NOT NULL").select("first", "flags").toLocalIterator():
+        own = np.frombuffer(bytes(r.flags), np.uint8)
+        bitmap[r.first : r.first + len(own)] |= own
+    return cells[order], times[order], bitmap
 
 
-def _ordered(found: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """found in the global order: shingles not known as frequent by hash, then the frequent ones, the rarest first."""
-    if not len(frequent):
-        return found
-    cells = _cells(found)
-    at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
-    hot = frequent[at] == cells
-    if not hot.any():
+def _ordered(found: np.ndarray, cells: np.ndarray, times: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """found in the global order: by hash, then what the bitmap holds by hash, then known cells, the rarest first."""
+    if not len(cells):
         return found
-    late = found[hot]
-    return np.r_[found[~hot], late[np.lexsort((late, times[at[hot]]))]]
+    own = _cells(found)
+    place = own >> np.uint32(33 - (8 * len(bitmap)).bit_length())
+    rank = ((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(np.int64)
+    at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+    hot = cells[at] == own
+    rank[hot] = 1 + times[at[hot]]
+    return found[np.argsort(rank, kind="stable")] if rank.any() else found
 
 
 def _tied(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +212,7 @@ def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int,
     """(part, kind, blob): kind 0 holds postings of one part; kind 1 holds ties made of a chunk's long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, times = frequent.value
+        order = frequent.value
         gathered, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
@@ -233,7 +248,7 @@ def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int,
                     continue
                 seen.add(key)
                 n = len(found)
-                first = _ordered(found, values, times)[: prefix_length(n, percent)]
+                first = _ordered(found, *order)[: prefix_length(n, percent)]
                 rows = np.empty(len(first), POSTING)
                 rows["shingle"], rows["set"], rows["size"], rows["position"] = first, key, n, np.arange(len(first))
                 gathered.append(rows)
@@ -447,7 +462,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     summary = cut(_summaries(texts, counters, words))
     rows = summary.filter("key IS NOT NULL").select("doc_id", "n", "key", "node")
     groups = cut(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("node").alias("node"), F.count(F.lit(1)).alias("copies")))
-    frequent = spark.sparkContext.broadcast(_frequent(summary, counters, long_list))
+    bits = min(MOST_BITS, max(1 << 16, 1 << (total // 5).bit_length()))
+    frequent = spark.sparkContext.broadcast(_frequent(summary, counters, bits, long_list))
     indexed = groups.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     partitions = blob_partitions(indexed, POSTINGS_PER_PARTITION)
     edges = _pairs(_postings(texts, partitions, frequent, words, percent, long_list), partitions, percent, long_list)
