@@ -105,9 +105,8 @@ def _windows(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _lines(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and (start, end) of the lines that are paragraphs, in words."""
-    lines = [line.split() for line in (text or b"").lower().split(b"\n")]
-    own = set_join._word_hashes([w for line in lines for w in line])
-    ends = np.cumsum([len(line) for line in lines])
+    own, starts, raw = set_join.word_hashes(text)
+    ends = np.append(np.searchsorted(starts, np.flatnonzero(raw == 10)), len(own))
     places = np.stack([np.r_[0, ends[:-1]], ends], 1)
     return own, places[places[:, 1] - places[:, 0] >= PARAGRAPH_WORDS]
 

@@ -52,27 +52,43 @@ POSTING = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("size", "<u4"), ("posit
 #: The position of a posting that stands for a whole chunk's list.
 _ANY = (1 << 32) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_cache: dict[bytes, int] = {}
+_SPACE = np.zeros(256, np.bool_)
+_SPACE[[*b" \t\n\v\f\r"]] = True
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_cache) > 500_000:
-        _cache.clear()
-    get, out = _cache.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+def _scrambled(a: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of each number."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        a = (a ^ (a >> np.uint64(shift))) * np.uint64(factor)
+    return a ^ (a >> np.uint64(31))
+
+
+#: Tabulation hashing: a number for each byte at each of 64 places in a word.
+_TABLE = _scrambled(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte, the text's bytes), A-Z in lower case, words between ASCII white space."""
+    raw = np.frombuffer((text or b"").lower(), np.uint8)
+    inside = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, raw
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    value = _TABLE[((place & 63) << 8) | raw[inside]]
+    if lengths.max() > 64:
+        value = value * (2 * (place >> 6) + 1).astype(np.uint64)
+    return _scrambled(np.add.reduceat(value, first)), starts, raw
 
 
 def shingle_set(text: bytes | None, k: int = WORDS) -> np.ndarray:
     """Ascending hashes of the distinct shingles of k words; of all words if there are fewer."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    own, k = _word_hashes(words), min(k, len(words))
+    own = word_hashes(text)[0]
+    if not len(own):
+        return own
+    k = min(k, len(own))
     n = len(own) - k + 1
     out = np.full(n, k, np.uint64)
     for j in range(k):
