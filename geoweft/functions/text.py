@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How letters outside ASCII are spelt out.
@@ -104,9 +104,9 @@ def locality(tag) -> Column:
     return trim(F.concat_ws(" ", trim(tag("addr:postcode")), first_non_empty(tag("addr:city"), tag("addr:place"))))
 
 
-def address_label(tag) -> Column:
-    line, place, name = address_line(tag), locality(tag), first_non_empty(tag("name"), tag("brand"), tag("operator"))
-    where = F.concat_ws(", ", *[F.nullif(x, F.lit("")) for x in (line, place)])
+def label_of(line: Column, place: Column, name: Column) -> Column:
+    """The label of an address from its line, locality and name (empty where missing)."""
+    where = F.concat_ws(", ", F.nullif(line, F.lit("")), F.nullif(place, F.lit("")))
     return (
         F.when((name != "") & (line != ""), F.concat(name, F.lit(" — "), where))
         .when((name != "") & (place != ""), F.concat(name, F.lit(", "), place))
@@ -116,36 +116,30 @@ def address_label(tag) -> Column:
     )
 
 
-def category(tag) -> Column:
-    return first_non_empty(*[tag(k) for k in CATEGORY_KEYS])
-
-
-def result_label(kind: Column, tag) -> Column:
-    street, label = trim(tag("street")), address_label(tag)
-    return (
-        F.when((kind == "street") & (street != ""), street)
-        .when(label != "Adresse", label)
-        .when(category(tag) != "", humanize(category(tag)))
-        .when(kind == "street", "Straße")
-        .when(kind == "poi", "Ort")
-        .otherwise("Adresse")
-    )
+def address_label(tag) -> Column:
+    return label_of(address_line(tag), locality(tag), first_non_empty(tag("name"), tag("brand"), tag("operator")))
 
 
-def _has(text: Column, part: Column) -> Column:
-    return F.contains(normalize_compare(text), normalize_compare(part))
+def category(tag) -> Column:
+    return first_non_empty(*[tag(k) for k in CATEGORY_KEYS])
 
 
-def result_subtitle(kind: Column, tag, label: Column) -> Column:
-    """Up to four parts that the label doesn't say already, each once."""
-    head = F.when(kind == "street", "Straße").when(category(tag) != "", humanize(category(tag))).when(kind == "address", "Adresse").otherwise("")
-    by, line, place = first_non_empty(tag("operator"), tag("brand")), address_line(tag), locality(tag)
-    second = F.when((by != "") & ~_has(label, by), by).otherwise("")
-    third = F.when((line != "") & ~_has(label, line), line).otherwise("")
-    so_far = F.concat_ws(" ", F.nullif(head, F.lit("")), F.nullif(second, F.lit("")), F.nullif(third, F.lit("")))
-    fourth = F.when((place != "") & ~_has(so_far, place) & ~_has(label, place), place).otherwise("")
-    parts = F.filter(F.array(head, second, third, fourth), lambda p: p != "")
-    return F.array_join(unique_parts(parts), " • ")
+def labelled(df: DataFrame, kind: str, tag) -> DataFrame:
+    """df with label and subtitle of search results of a kind. Parts are columns of their own on the way, so that
+    none is computed twice."""
+    parts = {"_line": address_line(tag), "_place": locality(tag), "_name": first_non_empty(tag("name"), tag("brand"), tag("operator")), "_kind": humanize(category(tag)), "_by": first_non_empty(tag("operator"), tag("brand")), "_street": trim(tag("street")) if kind == "street" else F.lit("")}
+    out = df.select("*", *[c.alias(n) for n, c in parts.items()]).withColumn("_address", label_of(F.col("_line"), F.col("_place"), F.col("_name")))
+    other = {"street": "Straße", "poi": "Ort"}.get(kind, "Adresse")
+    label = F.when(F.col("_street") != "", F.col("_street")).when(F.col("_address") != "Adresse", F.col("_address")).when(F.col("_kind") != "", F.col("_kind")).otherwise(other)
+    out = out.withColumn("label", label)
+    out = out.select("*", normalize_compare(F.col("label")).alias("_label"), *[normalize_compare(F.col(c)).alias(f"{c}_n") for c in ("_line", "_place", "_by")])
+    head = F.lit("Straße") if kind == "street" else F.when(F.col("_kind") != "", F.col("_kind")).otherwise("Adresse" if kind == "address" else "")
+    said = lambda c: F.when((F.col(c) != "") & ~F.contains("_label", F.col(f"{c}_n")), F.col(c)).otherwise("")
+    out = out.withColumn("_head", head).withColumn("_second", said("_by")).withColumn("_third", said("_line"))
+    so_far = normalize_compare(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("_head", "_second", "_third")]))
+    out = out.withColumn("_fourth", F.when((F.col("_place") != "") & ~F.contains(so_far, F.col("_place_n")) & ~F.contains("_label", F.col("_place_n")), F.col("_place")).otherwise(""))
+    out = out.withColumn("_parts", F.filter(F.array("_head", "_second", "_third", "_fourth"), lambda p: p != ""))
+    return out.withColumn("subtitle", F.array_join(unique_parts(F.col("_parts")), " • ")).select(*df.columns, "label", "subtitle")
 
 
 def unique_parts(parts: Column) -> Column:
@@ -155,24 +149,29 @@ def unique_parts(parts: Column) -> Column:
 
 
 def fields_contain(query: Column, *values: Column) -> Column:
-    """Whether some value holds the query, lies in it, or holds one of its words."""
+    """Whether some value holds the query, lies in it, or holds one of its words. query: normalised for comparison."""
     tokens = F.filter(F.split(query, " +"), lambda t: t != "")
     hit = lambda v: (v != "") & (F.contains(v, query) | F.contains(query, v) | F.exists(tokens, lambda t: F.contains(v, t)))
-    return reduce(lambda a, b: a | b, [hit(normalize_compare(v)) for v in values])
+    return F.exists(F.transform(F.array(*values), normalize_compare), hit)
 
 
-def match_reason(kind: Column, tag, raw: Column) -> Column:
-    q = normalize_compare(raw)
-    names = lambda *keys: fields_contain(q, *[tag(k) for k in keys])
-    return (
-        F.when(q == "", "")
-        .when((kind == "street") | names("street"), "Treffer über Straße")
-        .when(names("name", "brand", "operator"), "Treffer über Name/Marke")
-        .when(names("shop", "amenity", "office", "tourism", "leisure"), "Treffer über Kategorie")
-        .when(names("addr:city", "addr:place"), "Treffer über Ort")
-        .when(fields_contain(q, tag("addr:street"), tag("addr:housenumber"), tag("addr:postcode"), address_label(tag)), "Treffer über Adresse")
-        .otherwise("")
-    )
+# What a result was found by, in order.
+REASONS = (
+    ("Treffer über Straße", ("street",)),
+    ("Treffer über Name/Marke", ("name", "brand", "operator")),
+    ("Treffer über Kategorie", ("shop", "amenity", "office", "tourism", "leisure")),
+    ("Treffer über Ort", ("addr:city", "addr:place")),
+)
+
+
+def match_reason(kind: str, tag, label: Column, query: Column) -> Column:
+    """query: normalised for comparison; label: the address label."""
+    out = F.when(query == "", "")
+    for said, keys in REASONS:
+        found = fields_contain(query, *[tag(k) for k in keys])
+        out = out.when(F.lit(True) if kind == "street" else found, said)
+    address = fields_contain(query, tag("addr:street"), tag("addr:housenumber"), tag("addr:postcode"), label)
+    return out.when(address, "Treffer über Adresse").otherwise("")
 
 
 # --- scores ---
@@ -194,26 +193,28 @@ POI_FIELDS = {
 LABEL_FIELD = (75, 60, 45, 6)
 
 
-def field_score(value: Column, query: Column, tokens: Column, scores: tuple[int, int, int, int]) -> Column:
-    v = normalize_compare(value)
-    found = F.size(F.filter(tokens, lambda t: F.contains(v, t)))
-    return (
-        F.when((v == "") | (query == ""), 0)
-        .when(v == query, scores[0])
-        .when(F.startswith(v, query), scores[1])
-        .when(F.contains(v, query), scores[2])
-        .when((found > 0) & (found == F.size(tokens)), found * scores[3])
-        .when(found > 0, scores[3])
-        .otherwise(0)
-    )
+def poi_fields(tag) -> Column:
+    """All fields that count, as an array: value (normalised for comparison), exact, prefix, holds, word."""
+    scored = [(tag(k), w) for k, w in POI_FIELDS.items()] + [(address_label(tag), LABEL_FIELD)]
+    names = ("exact", "prefix", "holds", "word")
+    raw = F.array(*[F.struct(v.alias("v"), *[F.lit(x).alias(n) for n, x in zip(names, w, strict=True)]) for v, w in scored])
+    return F.transform(raw, lambda f: F.struct(normalize_compare(f["v"]).alias("v"), *[f[n].alias(n) for n in names]))
+
+
+def poi_score(fields: Column, query: Column, tokens: Column) -> Column:
+    """fields: of poi_fields(); query: normalised; tokens: its words."""
+
+    def of(f: Column) -> Column:
+        found = F.size(F.filter(tokens, lambda t: F.contains(f["v"], t)))
+        words = F.when(found == F.size(tokens), found * f["word"]).otherwise(f["word"])
+        return F.when((f["v"] == "") | (query == ""), 0).when(f["v"] == query, f["exact"]).when(F.startswith(f["v"], query), f["prefix"]).when(F.contains(f["v"], query), f["holds"]).when(found > 0, words).otherwise(0)
+
+    return F.aggregate(fields, F.lit(0), lambda total, f: total + of(f))
 
 
-def poi_score(tag, query: Column, tokens: Column) -> Column:
-    """query: normalised for comparison; tokens: its words."""
-    parts = [field_score(tag(k), query, tokens, s) for k, s in POI_FIELDS.items()] + [field_score(address_label(tag), query, tokens, LABEL_FIELD)]
-    total = reduce(lambda a, b: a + b, parts)
-    complete = ((tag("name") != "") | (tag("brand") != "")) & ((tag("addr:street") != "") | (tag("addr:city") != "") | (tag("addr:place") != ""))
-    return F.when((total > 0) & complete, total + 3).otherwise(total)
+def is_complete(tag) -> Column:
+    """Whether a place has a name and an address, which adds 3 to its score."""
+    return ((tag("name") != "") | (tag("brand") != "")) & ((tag("addr:street") != "") | (tag("addr:city") != "") | (tag("addr:place") != ""))
 
 
 def address_score(field, q: dict[str, Column]) -> Column:

@@ -109,7 +109,7 @@ def match_roster(roster: DataFrame, stations: DataFrame, hints: DataFrame, radiu
         return pd.DataFrame(out, columns=["name", "first_row", "match", "id"])
 
     # one import's unmatched names near unnamed stations: the roster of a region
-    guessed = near.groupBy(F.lit(1)).applyInPandas(take, "name string, first_row long, match string, id string")
+    guessed = near.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(take, "name string, first_row long, match string, id string")
     found = exact.unionByName(substring).unionByName(guessed)
     missed = keyed.join(found.select("name"), "name", "left_anti").select("name", "first_row", F.lit("unmatched").alias("match"), F.lit(None).cast("string").alias("id"))
     return found.unionByName(missed)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions import osm, text
+from geoweft.functions.lineage import cut
 
 ADDRESS_KEYS = ("addr:street", "addr:housenumber", "addr:postcode", "addr:city", "addr:place", "name", "brand", "operator", "shop", "office", "amenity", "tourism", "leisure")
 BROADCAST_QUERIES = 100_000
@@ -57,8 +58,11 @@ def search_pois(points: DataFrame, queries: DataFrame, limit: int | None) -> Dat
     """The best POIs (kind, id, lat, lon, tags) per query: the highest score, then label, kind and id."""
     q = queries.select("qid", text.normalize_compare(text.trim(F.col("raw"))).alias("q")).withColumn("tokens", F.filter(F.split("q", " +"), lambda t: t != ""))
     tag = osm.tags_of("tags")
-    scored = _pair(points.withColumn("label", text.result_label(F.lit("poi"), tag)), q).withColumn("score", text.poi_score(tag, F.col("q"), F.col("tokens"))).filter("score > 0")
-    return _ranked(scored.drop("q", "tokens"), [F.desc("score"), F.col("label"), F.col("kind"), F.col("id")], limit)
+    fields = text.labelled(points, "poi", tag).drop("subtitle")
+    fields = fields.select("*", text.poi_fields(tag).alias("fields"), text.is_complete(tag).alias("complete"))
+    pairs = _pair(fields, q).withColumn("score", text.poi_score(F.col("fields"), F.col("q"), F.col("tokens"))).filter("score > 0")
+    scored = pairs.withColumn("score", F.when(F.col("complete"), F.col("score") + 3).otherwise(F.col("score")))
+    return _ranked(scored.select("qid", *points.columns, "label", "score"), [F.desc("score"), F.col("label"), F.col("kind"), F.col("id")], limit)
 
 
 def search_streets(streets: DataFrame, vertices: DataFrame, queries: DataFrame, limit: int | None) -> DataFrame:
@@ -75,27 +79,30 @@ def street_node(streets: DataFrame, vertices: DataFrame, queries: DataFrame) ->
     return search_streets(streets, vertices, queries, 1).select("qid", "node", "name")
 
 
-def _result(kind: str, raw: Column, tags: Column, node_id: Column) -> list[Column]:
-    tag = lambda k: F.coalesce(tags[k], F.lit(""))
-    label = text.result_label(F.lit(kind), tag)
-    return [F.col("qid"), F.lit(kind).alias("kind"), F.lit(STAGES[kind]).alias("stage"), F.col("rank"), node_id.alias("id"), "lat", "lon", label.alias("label"), text.result_subtitle(F.lit(kind), tag, label).alias("subtitle"), text.match_reason(F.lit(kind), tag, raw).alias("match")]
+def _results(found: DataFrame, kind: str, tags: Column, node_id: str) -> DataFrame:
+    """found (qid, rank, raw_q, ...) as search results."""
+    own = found.select("qid", "rank", "raw_q", F.col(node_id).alias("id"), "lat", "lon", tags.alias("tags"))
+    tag = osm.tags_of("tags")
+    rows = text.labelled(own, kind, tag).select("*", text.normalize_compare(F.col("raw_q")).alias("nq"), text.address_label(tag).alias("own_label"))
+    rows = rows.withColumn("match", text.match_reason(kind, tag, F.col("own_label"), F.col("nq")))
+    return rows.select("qid", F.lit(kind).alias("kind"), F.lit(STAGES[kind]).alias("stage"), "rank", "id", "lat", "lon", "label", "subtitle", "match")
 
 
 def search(addresses: DataFrame, points: DataFrame, streets: DataFrame, vertices: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Addresses, then POIs, then streets, each label and place once, `limit` per query: qid, nth, kind, id, ...
 
-    A later stage only fills what earlier ones leave open; it brings min(2 * open, 20) rows.
+    A later stage only fills what earlier ones leave open; it brings min(2 * open, 20) rows. Stages are written once.
     """
     q = queries.select("qid", text.trim(F.col("raw")).alias("raw")).filter("raw <> ''")
     raws = q.withColumnRenamed("raw", "raw_q")
-    found = search_addresses(addresses, q, min(2 * limit, 50)).join(F.broadcast(raws), "qid").select(*_result("address", F.col("raw_q"), F.col("tags"), F.col("id")))
-    out = _unique(found, limit)
+    found = search_addresses(addresses, q, min(2 * limit, 50)).join(raws, "qid")
+    out = cut(_unique(_results(found, "address", F.col("tags"), "id"), limit))
     open_slots = lambda done: raws.join(done.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").select("qid", "raw_q", (F.lit(limit) - F.coalesce("n", F.lit(0))).alias("open"))
     more = search_pois(points, q, 20).join(open_slots(out), "qid").filter(F.col("rank") <= F.least(2 * F.col("open"), F.lit(20)))
-    out = _unique(out.unionByName(more.select(*_result("poi", F.col("raw_q"), F.col("tags"), F.col("id")))), limit)
+    out = cut(_unique(out.unionByName(_results(more, "poi", F.col("tags"), "id")), limit))
     by_street = parsed(q).select("qid", F.when(F.col("q.street") != "", F.col("q.street")).otherwise(F.col("raw")).alias("raw"))
     roads = search_streets(streets, vertices, by_street, 20).join(open_slots(out), "qid").filter(F.col("rank") <= F.least(2 * F.col("open"), F.lit(20)))
-    out = _unique(out.unionByName(roads.select(*_result("street", F.col("raw_q"), F.create_map(F.lit("street"), F.col("name")), F.col("node")))), limit)
+    out = cut(_unique(out.unionByName(_results(roads, "street", F.create_map(F.lit("street"), F.col("name")), "node")), limit))
     nth = F.row_number().over(Window.partitionBy("qid").orderBy("stage", "rank"))
     return out.withColumn("nth", nth).drop("stage", "rank")
 
@@ -123,7 +130,7 @@ def resolve(addresses: DataFrame, points: DataFrame, streets: DataFrame, vertice
     q = queries.select("qid", text.trim(F.col("raw")).alias("raw"))
     spot = q.withColumn("at", parse_lat_lon(F.col("raw")))
     by_coords = spot.filter("at IS NOT NULL").select("qid", F.lit("coordinates").alias("resolution"), "at.lat", "at.lon", F.format_string("%.6f, %.6f", "at.lat", "at.lon").alias("label"))
-    rest = spot.filter("at IS NULL AND raw <> ''").select("qid", "raw")
+    rest = cut(spot.filter("at IS NULL AND raw <> ''").select("qid", "raw"))
 
     low = F.lower("raw")
     airport = (low.contains("flughafen") | low.contains("airport")) & (low.contains("münchen") | low.contains("muenchen") | low.contains("munich"))
@@ -135,12 +142,12 @@ def resolve(addresses: DataFrame, points: DataFrame, streets: DataFrame, vertice
     by_airport = hinted.select("qid", F.when(one, "airport").when(F.col("n") > 1, "ambiguous").otherwise("not found").alias("resolution"), F.when(one, F.col("b.lat")).alias("lat"), F.when(one, F.col("b.lon")).alias("lon"), F.when(one, F.col("b.label")).alias("label"))
 
     rest = rest.filter(~airport)
-    by_address = best_address(addresses, rest).join(addresses.select("id", "lat", "lon", text.address_label(osm.tags_of("tags")).alias("label")), "id").select("qid", F.lit("address").alias("resolution"), "lat", "lon", "label")
-    rest = rest.join(by_address.select("qid"), "qid", "left_anti")
+    by_address = cut(best_address(addresses, rest).join(addresses.select("id", "lat", "lon", text.address_label(osm.tags_of("tags")).alias("label")), "id").select("qid", F.lit("address").alias("resolution"), "lat", "lon", "label"))
+    rest = cut(rest.join(by_address.select("qid"), "qid", "left_anti"))
     names = parsed(rest).select("qid", F.col("q.street").alias("raw")).filter("raw <> ''")
-    by_street = street_node(streets, vertices, names).join(names, "qid").join(vertices.withColumnRenamed("id", "node"), "node").select("qid", F.lit("street").alias("resolution"), "lat", "lon", F.col("raw").alias("label"))
-    rest = rest.join(by_street.select("qid"), "qid", "left_anti")
+    by_street = cut(street_node(streets, vertices, names).join(names, "qid").join(vertices.withColumnRenamed("id", "node"), "node").select("qid", F.lit("street").alias("resolution"), "lat", "lon", F.col("raw").alias("label")))
+    rest = cut(rest.join(by_street.select("qid"), "qid", "left_anti"))
     by_search = search(addresses, points, streets, vertices, rest, 6).filter("nth = 1").select("qid", F.lit("search").alias("resolution"), "lat", "lon", "label")
-    out = by_coords.unionByName(by_airport).unionByName(by_address).unionByName(by_street).unionByName(by_search)
+    out = cut(by_coords.unionByName(by_airport).unionByName(by_address).unionByName(by_street).unionByName(by_search))
     missed = q.join(out.select("qid"), "qid", "left_anti").select("qid", F.lit("not found").alias("resolution"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("string").alias("label"))
     return out.unionByName(missed)

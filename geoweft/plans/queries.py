@@ -110,10 +110,10 @@ def road_ways(spark, sf):
     return r.select("id", "name", "hwy_type", F.round("speed_kph", 6).alias("speed_kph"), "max_height_m", "max_weight_t", "oneway")
 
 
-@query(f"{ctes('ways')} SELECT id, {FLOAT('maxspeed')} AS number, round({SPEED}, 6) AS kph, {ONEWAY} AS direction FROM ways")
+@query(f"{ctes('ways')} SELECT id, coalesce({FLOAT('maxspeed')}, -1) AS number, round({SPEED}, 6) AS kph, {ONEWAY} AS direction FROM ways")
 def parse_tags(spark, sf):
     t = osm.tags_of("tags")
-    return view(spark, sf, "ways").select("id", text.first_float(t("maxspeed")).alias("number"), F.round(text.parse_maxspeed_kph(t("maxspeed")), 6).alias("kph"), text.parse_oneway(t("oneway"), t("junction")).alias("direction"))
+    return view(spark, sf, "ways").select("id", F.coalesce(text.first_float(t("maxspeed")), F.lit(-1.0)).alias("number"), F.round(text.parse_maxspeed_kph(t("maxspeed")), 6).alias("kph"), text.parse_oneway(t("oneway"), t("junction")).alias("direction"))
 
 
 @query("SELECT page_id, CASE WHEN trim(coalesce(url, '')) = '' THEN 'UNASSIGNED' ELSE regexp_replace(trim(url), '[/\\\\:*?\"<>|]', '_', 'g') END AS file_name FROM pages")
@@ -334,10 +334,11 @@ def nearest_node(spark, sf):
     return nearest.nearest(q, view(spark, sf, "vertices").select("id", "lat", "lon")).select("qid", "id", F.round("dist_m", 5).alias("dist_m"))
 
 
-@query(f"{ctes('points', 'pois')}, d AS (SELECT p.id AS qid, kind, o.id, name AS label, {hav('p.lat', 'p.lon', 'o.lat', 'o.lon')} AS m, CASE kind WHEN 'node' THEN 0 ELSE 1 END AS k FROM points p JOIN pois o ON abs(p.lat - o.lat) < 0.01 AND abs(p.lon - o.lon) < 0.01) SELECT qid, kind, id, label, round(m, 5) AS dist_m FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m, k, id) AS r FROM d WHERE m <= 500) WHERE r = 1")
+@query(f"{ctes('addresses', 'pois')}, p AS (SELECT id, lat + 0.0004e0 AS lat, lon + 0.0003e0 AS lon FROM addresses), d AS (SELECT p.id AS qid, kind, o.id, name AS label, {hav('p.lat', 'p.lon', 'o.lat', 'o.lon')} AS m, CASE kind WHEN 'node' THEN 0 ELSE 1 END AS k FROM p JOIN pois o ON abs(p.lat - o.lat) < 0.01 AND abs(p.lon - o.lon) < 0.01) SELECT qid, kind, id, label, round(m, 5) AS dist_m FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY m, k, id) AS r FROM d WHERE m <= 500) WHERE r = 1")
 def nearest_label(spark, sf):
     p = view(spark, sf, "pois").select(F.when(F.col("kind") == "node", 0).otherwise(1).alias("kind_rank"), "kind", "id", "lat", "lon", F.col("name").alias("label"))
-    return nearest.nearest_label(view(spark, sf, "points").withColumnRenamed("id", "qid"), p).select("qid", "kind", "id", "label", F.round("dist_m", 5).alias("dist_m"))
+    q = view(spark, sf, "addresses").select(F.col("id").alias("qid"), (F.col("lat") + 0.0004).alias("lat"), (F.col("lon") + 0.0003).alias("lon"))
+    return nearest.nearest_label(q, p).select("qid", "kind", "id", "label", F.round("dist_m", 5).alias("dist_m"))
 
 
 @query(f"{ctes('pois')} SELECT kind, id, name AS label, round({hav('48.01e0', '12.02e0', 'lat', 'lon')}, 5) AS dist_m FROM pois WHERE shop = 'promo' ORDER BY {hav('48.01e0', '12.02e0', 'lat', 'lon')}, kind, id LIMIT 8")
@@ -382,7 +383,7 @@ def address_search(spark, sf):
     return search.search_addresses(view(spark, sf, "addresses"), view(spark, sf, "queries"), 10).select("qid", "rank", "id", "score")
 
 
-@query(f"{ADDRESS} SELECT qid, arg_max(id, score * 1000000000 - seq) AS id, max(score) AS score FROM sd WHERE score > 0 GROUP BY qid")
+@query(f"{ADDRESS} SELECT qid, arg_max(id, score * CAST(1000000000 AS BIGINT) - seq) AS id, max(score) AS score FROM sd WHERE score > 0 GROUP BY qid")
 def best_address(spark, sf):
     return search.best_address(view(spark, sf, "addresses"), view(spark, sf, "queries"))
 
@@ -471,7 +472,7 @@ def trip_orders(spark, sf):
     return trips.solve(t, stops, needs, trips.cost_matrix(points, e, v, cost.RouteOptions(objective="duration")))
 
 
-@query(f"{ctes('positions')}, p AS (SELECT qid, pos, printf('%.6f,%.6f', lat, lon) AS at FROM positions WHERE pos < 3) SELECT qid, 'https://www.google.com/maps/dir/?api=1&destination=' || replace(arg_max(at, pos), ',', '%2C') || '&origin=' || replace(arg_min(at, pos), ',', '%2C') || '&travelmode=driving' || CASE WHEN count(*) > 2 THEN '&waypoints=' || replace(max(at) FILTER (WHERE pos = 1), ',', '%2C') ELSE '' END AS google FROM p GROUP BY qid HAVING count(*) >= 2")
+@query(f"{ctes('positions')}, p AS (SELECT qid, pos, printf('%.6f,%.6f', lat, lon) AS pt FROM positions WHERE pos < 3) SELECT qid, 'https://www.google.com/maps/dir/?api=1&destination=' || replace(arg_max(pt, pos), ',', '%2C') || '&origin=' || replace(arg_min(pt, pos), ',', '%2C') || '&travelmode=driving' || CASE WHEN count(*) > 2 THEN '&waypoints=' || replace(max(pt) FILTER (WHERE pos = 1), ',', '%2C') ELSE '' END AS google FROM p GROUP BY qid HAVING count(*) >= 2")
 def map_links(spark, sf):
     return routing.map_links(view(spark, sf, "positions").filter("pos < 3")).select("qid", "google")
 
