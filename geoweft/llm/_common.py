@@ -34,3 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
 def blob_partitions(rows: int, per_partition: int) -> int:
     """How many partitions hold `rows` rows at about `per_partition` each."""
     return max(1, -(-int(rows) // per_partition))
+
+
+#: So many ids (eight bytes each) may be broadcast.
+BROADCAST_IDS = 1 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the ids of gone (one column id_col). Few ids, counted first, go to the rows; many meet them by shuffle."""
+    gone = cut(gone.distinct())
+    n = gone.count()
+    if not n:
+        return docs
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, id_col, "left_anti")

@@ -32,6 +32,8 @@ RUNS = "bucket long, rows long, digests binary, ids binary, sizes binary, filter
 FILTER_HASHES = 4
 FILTER_BITS_PER_ROW = 10
 SALT_ROWS = 256
+#: So many hits (about a hundred bytes each) may be broadcast to the texts.
+BROADCAST_HITS = 1 << 17
 
 
 def normalised(text: bytes) -> bytes:
@@ -159,7 +161,8 @@ def _verified(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> D
         keepers.select(F.col("keep_id").alias("doc_id"), "digest", F.lit(None).cast("binary").alias("sha"), "salt", F.lit(True).alias("stays"))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").alias("norm"))
-    found = wanted.join(texts, "doc_id").withColumn("got", F.unhex(F.sha2("norm", 256)))
+    few = hits.count() <= BROADCAST_HITS  # kept rows are fewer
+    found = (F.broadcast(wanted) if few else wanted).join(texts, "doc_id").withColumn("got", F.unhex(F.sha2("norm", 256)))
     found = found.filter(F.expr("substring(got, 1, length(digest)) = digest AND (sha IS NULL OR got = sha)"))
     rows = found.filter(~F.col("stays")).select("doc_id", "digest", "sha", "salt", "norm")
     kept = found.filter("stays").select("digest", "salt", F.col("norm").alias("kept_norm"))
