@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.llm import decontaminate, exact_dedup, language_id, packing, set_join
-from geoweft.llm._common import ensure_checkpoint_dir
+from geoweft.llm._common import cut, ensure_checkpoint_dir, without
 from geoweft.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,34 +28,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a language; the others stay as they are."""
     docs = _documents(docs)
     found = language_id.train_and_identify(docs)
-    rejected = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    rejected = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select("doc_id")
+    return without(docs, rejected).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     docs = _documents(docs)
-    dropped = exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select("doc_id", "keep_id").distinct()
-    # a dropped row has another row's id as keep_id; repeated rows of one id are made one below
-    gone = dropped.filter("doc_id <> keep_id").select("doc_id")
+    dropped = cut(exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select("doc_id", "keep_id").distinct())
+    rest = without(docs, dropped.filter("doc_id <> keep_id").select("doc_id"))
+    # repeated rows of one id, of which none has another row to stay for it
     again = dropped.filter("doc_id = keep_id").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return rest.select(*COLUMNS)
     repeated = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(repeated).select(*COLUMNS)
+    return without(rest, again).unionByName(repeated).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
     docs = _documents(docs)
-    dropped = set_join.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    dropped = set_join.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
+    return without(docs, dropped).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more are benchmark windows."""
     docs = _documents(docs)
-    dropped = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    dropped = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
+    return without(docs, dropped).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
