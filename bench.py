@@ -22,14 +22,14 @@ from geoweft.plans import queries as plans  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-EDGE_COLUMNS = [F.lit(50.0).alias("speed_kph"), F.lit(0.0).alias("max_height_m"), F.lit(0.0).alias("max_weight_t"), F.lit("residential").alias("hwy_type")]
+EDGE_DEFAULTS = {"speed_kph": 50.0, "max_height_m": 0.0, "max_weight_t": 0.0, "hwy_type": "residential"}
 
 
 def lattice(spark: SparkSession, side: int) -> tuple[DataFrame, DataFrame]:
     """(edges, vertices) of a side x side grid, both ways, 50 km/h."""
     v = spark.range(1, side * side + 1).select("id", (48 + 0.001 * F.floor((F.col("id") - 1) / side)).alias("lat"), (12 + 0.001 * ((F.col("id") - 1) % side)).alias("lon"))
     steps = v.select(F.col("id").alias("src"), F.explode(F.array(*[F.struct(ok.alias("ok"), (F.col("id") + by).alias("dst"), F.lit(m).alias("dist_m")) for ok, by, m in ((F.col("id") % side != 0, 1, 74.4), (F.col("id") % side != 1, -1, 74.4), (F.col("id") <= side * (side - 1), side, 111.2), (F.col("id") > side, -side, 111.2))])).alias("e")).filter("e.ok")
-    return steps.select("src", "e.dst", "e.dist_m", *EDGE_COLUMNS), v
+    return steps.select("src", "e.dst", "e.dist_m", *[F.lit(x).alias(c) for c, x in EDGE_DEFAULTS.items()]), v
 
 
 def routes(spark: SparkSession, engine: str, side: int, n: int) -> DataFrame:
