@@ -7,6 +7,8 @@ before anything is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,25 +35,46 @@ def parsed(queries: DataFrame) -> DataFrame:
     return queries.select("qid", "raw", text.parse_address(F.col("raw")).alias("q"))
 
 
-def score_addresses(addresses: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id, score of each address (id, lat, lon, tags) with a score above 0."""
-    fields = addresses.select("*", *[text.normalize(osm.tag("tags", k)).alias(f"n_{i}") for i, k in enumerate(ADDRESS_KEYS)])
-    wanted = parsed(queries).select("qid", *[text.normalize(F.col(f"q.{k}")).alias(f"q_{k}") for k in ("street", "housenumber", "postcode", "city", "raw")])
-    pairs = _pair(fields, wanted)
-    score = text.address_score(lambda k: F.col(f"n_{ADDRESS_KEYS.index(k)}"), {k: F.col(f"q_{k}") for k in ("street", "housenumber", "postcode", "city", "raw")})
-    return pairs.withColumn("score", score).filter("score > 0").select("qid", *addresses.columns, "score")
+QUERY_PARTS = ("street", "housenumber", "postcode", "city", "raw")
+
+
+def _distinct(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, by): normalised queries, each once under its least qid `k`, and the k of every qid."""
+    parts = parsed(queries).select("qid", *[text.normalize(F.col(f"q.{p}")).alias(f"q_{p}") for p in QUERY_PARTS])
+    names = [f"q_{p}" for p in QUERY_PARTS]
+    asked = cut(parts.groupBy(*names).agg(F.min("qid").alias("k")))
+    return asked, parts.join(F.broadcast(asked) if asked.count() <= BROADCAST_QUERIES else asked, names).select("qid", "k")
+
+
+def score_addresses(addresses: DataFrame, asked: DataFrame) -> DataFrame:
+    """k, id, seq (if addresses have it), score of each address (id, lat, lon, tags) that scores above 0; asked: of
+    _distinct(). Narrow rows: what ranks them doesn't carry tags."""
+    order = ["id", "seq"] if "seq" in addresses.columns else ["id"]
+    field = lambda key: F.col(f"n_{ADDRESS_KEYS.index(key)}")
+    fields = addresses.select(*order, *[text.normalize(osm.tag("tags", key)).alias(f"n_{i}") for i, key in enumerate(ADDRESS_KEYS)])
+    fields = fields.withColumn("hay", F.concat_ws("\n", *[field(k) for k in ADDRESS_KEYS]))
+    # a cheap test in the join: every score has a field that holds or equals a part of the query
+    asks = lambda part, *keys: (F.col(f"q_{part}") != "") & reduce(lambda a, b: a | b, [field(k) == F.col(f"q_{part}") for k in keys])
+    within = lambda part: (F.col(f"q_{part}") != "") & F.contains("hay", F.col(f"q_{part}"))
+    maybe = within("raw") | within("street") | asks("housenumber", "addr:housenumber") | asks("postcode", "addr:postcode") | asks("city", "addr:city", "addr:place")
+    score = text.address_score(field, {p: F.col(f"q_{p}") for p in QUERY_PARTS})
+    # exploded, so that the score is worked out once and behind the join
+    return _pair(fields, asked).filter(maybe).select("k", *order, F.explode(F.array(score)).alias("score")).filter("score > 0")
 
 
 def search_addresses(addresses: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """The best addresses per query: the highest score, then the least id; limit None or below 1: all."""
-    return _ranked(score_addresses(addresses, queries), [F.desc("score"), F.col("id")], limit if limit and limit > 0 else None)
+    asked, by = _distinct(queries)
+    scored = score_addresses(addresses, asked).select(F.col("k").alias("qid"), "id", "score")
+    top = _ranked(scored, [F.desc("score"), F.col("id")], limit if limit and limit > 0 else None).withColumnRenamed("qid", "k")
+    return by.join(top, "k").join(addresses, "id").select("qid", *addresses.columns, "score", "rank")
 
 
 def best_address(addresses: DataFrame, queries: DataFrame) -> DataFrame:
     """One address per query: the highest score, of equals the first in input order (column seq)."""
-    scored = score_addresses(addresses, queries)
-    best = scored.groupBy("qid").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("seq"))).alias("b"))
-    return best.select("qid", "b.id", "b.score")
+    asked, by = _distinct(queries)
+    best = score_addresses(addresses, asked).groupBy("k").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("seq"))).alias("b"))
+    return by.join(best, "k").select("qid", "b.id", "b.score")
 
 
 def search_pois(points: DataFrame, queries: DataFrame, limit: int | None) -> DataFrame:
@@ -60,7 +83,7 @@ def search_pois(points: DataFrame, queries: DataFrame, limit: int | None) -> Dat
     tag = osm.tags_of("tags")
     fields = text.labelled(points, "poi", tag).drop("subtitle")
     fields = fields.select("*", text.poi_fields(tag).alias("fields"), text.is_complete(tag).alias("complete"))
-    pairs = _pair(fields, q).withColumn("score", text.poi_score(F.col("fields"), F.col("q"), F.col("tokens"))).filter("score > 0")
+    pairs = _pair(fields, q).withColumn("score", F.explode(F.array(text.poi_score(F.col("fields"), F.col("q"), F.col("tokens"))))).filter("score > 0")
     scored = pairs.withColumn("score", F.when(F.col("complete"), F.col("score") + 3).otherwise(F.col("score")))
     return _ranked(scored.select("qid", *points.columns, "label", "score"), [F.desc("score"), F.col("label"), F.col("kind"), F.col("id")], limit)
 
