@@ -42,11 +42,11 @@ ORDERED = 1 << 18
 CHUNK_SHINGLES = 1 << 21
 CHUNK_REPEATS = 4
 COUNTED_PERCENT = 30
-COUNTS_PER_PARTITION = 1 << 22
+COUNTS_PER_PARTITION = 1 << 21
 MOST_BITS = 1 << 27
 LONG_LIST = 16
-POSTINGS_PER_PARTITION = 1 << 20
-CELL_SHINGLES = 1 << 21
+POSTINGS_PER_PARTITION = 1 << 19
+CELL_SHINGLES = 1 << 20
 BROADCAST_ROWS = 1 << 19
 POSTING = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("size", "<u4"), ("position", "<u4")])
 #: The position of a posting that stands for a whole chunk's list.
