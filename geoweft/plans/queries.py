@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.functions import cost, geo, osm, text
-from geoweft.operators import dispatch, graph, intent, nearest, poi, routing, search, territory, trips
+from geoweft.functions.lineage import cut
+from geoweft.operators import compose, dispatch, graph, intent, nearest, poi, routing, search, territory, trips
 from geoweft.plans.views import ZONES, ctes, table, view, zone_edges_sql, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +159,12 @@ def built(spark, sf) -> graph.Graph:
     return graph.build_graph(view(spark, sf, "vertices").select("id", "lat", "lon"), view(spark, sf, "ways"))
 
 
+def kept(spark, sf) -> graph.Graph:
+    """built(), written once, for queries of many steps."""
+    g = built(spark, sf)
+    return graph.Graph(cut(g.edges), cut(g.vertices), cut(g.streets))
+
+
 STEPS = f"st AS (SELECT id AS way, hwy_type, speed_kph, max_height_m, max_weight_t, oneway, i - 1 AS pos, node_ids[i] AS a, node_ids[i + 1] AS b FROM (SELECT *, unnest(range(1, len(node_ids))) AS i FROM roads)), pl AS (SELECT st.*, {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} AS dist_m FROM st JOIN vertices p ON p.id = a JOIN vertices q ON q.id = b), ed AS (SELECT way, pos, a AS src, b AS dst, dist_m, speed_kph, max_height_m, max_weight_t, hwy_type FROM pl WHERE dist_m > 0 AND oneway >= 0 UNION ALL SELECT way, pos, b, a, dist_m, speed_kph, max_height_m, max_weight_t, hwy_type FROM pl WHERE dist_m > 0 AND oneway <= 0), vx AS (SELECT id, lat, lon FROM vertices WHERE id IN (SELECT src FROM ed))"
 BUILT = f"{ctes('ways', 'vertices')}, {ROADS}, {STEPS}"
 
@@ -409,13 +416,13 @@ def poi_search(spark, sf):
 
 @query()
 def unified_search(spark, sf):
-    g = built(spark, sf)
+    g = kept(spark, sf)
     return search.search(view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.vertices, view(spark, sf, "queries"), 10)
 
 
 @query()
 def resolve_locations(spark, sf):
-    g = built(spark, sf)
+    g = kept(spark, sf)
     more = spark.sql("SELECT qid, raw FROM VALUES (20, '48.1, 11.5'), (21, 'Flughafen München'), (22, 'Straße 2'), (23, '?')  AS q(qid, raw)")
     return search.resolve(view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.vertices, view(spark, sf, "queries").unionByName(more))
 
@@ -444,7 +451,7 @@ def route_turn_aware(spark, sf):
 
 @query()
 def route_instructions(spark, sf):
-    g = built(spark, sf)
+    g = kept(spark, sf)
     q = g.vertices.agg(F.min("id").alias("a"), F.max("id").alias("b"))
     wanted = g.vertices.crossJoin(F.broadcast(q)).select(F.col("id").alias("qid"), F.col("a").alias("from_id"), F.col("id").alias("to_id"))
     r = routing.route(wanted, g.edges, g.vertices, cost.RouteOptions(objective="duration"))
@@ -517,6 +524,27 @@ def keyword_tags(spark, sf):
     return intent.keyword_tags(spark)
 
 
+# --- compositions ---
+
+@query()
+def text_routes(spark, sf):
+    g = kept(spark, sf)
+    r = spark.sql("SELECT * FROM VALUES (1, 'Straße 1', 'Straße 2'), (2, '48.001, 12.001', 'small ring'), (3, '?', 'Straße 2'), (4, 'Straße 2', 'Flughafen München') AS q(qid, from_raw, to_raw)")
+    return compose.text_routes(r, view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.edges, g.vertices, cost.RouteOptions(objective="duration"))
+
+
+@query(f"{ctes('pois')}, d AS (SELECT 1 AS qid, 'poi_near' AS intent, kind, id, name AS label, {hav('48.01e0', '12.01e0', 'lat', 'lon')} AS m FROM pois WHERE amenity = 'cafe' UNION ALL SELECT 2, 'leisure', kind, id, name, {hav('48.02e0', '12.02e0', 'lat', 'lon')} FROM pois WHERE natural_kind = 'water'), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY m, kind, id) AS INT) AS rank FROM d) SELECT qid, intent, rank, kind, id, label, round(m, 5) AS dist_m FROM r WHERE rank <= CASE qid WHEN 1 THEN 8 ELSE 5 END")
+def intent_places(spark, sf):
+    q = spark.sql("SELECT * FROM VALUES (1, 'Nächstes Café', 48.01D, 12.01D), (2, 'Wo kann ich am See spazieren?', 48.02D, 12.02D), (3, 'Route nach Ulm', 48.0D, 12.0D) AS q(qid, prompt, lat, lon)")
+    return compose.intent_places(q, view(spark, sf, "pois")).select("qid", "intent", "rank", "kind", "id", "label", F.round("dist_m", 5).alias("dist_m"))
+
+
+@query(f"{BUILT} SELECT (SELECT count(*) FROM vx) AS vertices, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM customer) AS addresses, (SELECT count(*) FROM part) AS pois, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, min(lat) < max(lat) AND min(lon) < max(lon) AS valid FROM vx")
+def engine_status(spark, sf):
+    g = built(spark, sf)
+    return compose.status(g.edges, g.vertices, table(spark, sf, "customer"), view(spark, sf, "pois"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels of each manifest: assignment to the delivery zones, grouped by vehicle."""
     assigned = territory.assign(view(spark, sf_dir, "points"), zone_edges(spark)).select("id", "territory_id")
