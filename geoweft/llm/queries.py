@@ -92,6 +92,15 @@ SQL: dict[str, str] = {
               WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
         SELECT c.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.key IS NOT NULL AS listed
         FROM c LEFT JOIN m ON m.page_id = c.page_id LEFT JOIN l ON l.key = c.key""",
+    "op5_sharding": r"""
+        WITH RECURSIVE bits(n, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        t AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+        h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, list_transform(range(0, strlen(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b, strlen(h) // 2 AS n FROM h),
+        z AS (SELECT doc_id, n + 8 AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size) AS upto, sum(size) OVER () AS total FROM z),
+        s AS (SELECT doc_id, size, text_crc32, CAST(least(23, ((2 * (upto - size) + size) * 24) // (2 * total)) AS INT) AS shard FROM p)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s""",
     "op8_chat_format": r"""
         WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
