@@ -47,6 +47,7 @@ MOST_BITS = 1 << 27
 LONG_LIST = 16
 POSTINGS_PER_PARTITION = 1 << 19
 CELL_SHINGLES = 1 << 20
+SPREAD, SPREAD_SHINGLES = 8, 1 << 15
 BROADCAST_ROWS = 1 << 19
 POSTING = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("size", "<u4"), ("position", "<u4")])
 #: The position of a posting that stands for a whole chunk's list.
@@ -501,5 +502,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def cells_weights(members: DataFrame, cell_shingles: int) -> DataFrame:
-    """(component, blocks): into how many blocks of about cell_shingles shingles each cell is dealt."""
-    return members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(cell_shingles)).cast("int").alias("blocks"))
+    """(component, blocks): into how many blocks each cell is dealt. Up to SPREAD blocks of about SPREAD_SHINGLES, so that
+    a hot group's pairs of blocks keep many tasks busy; beyond that as many as blocks of cell_shingles need."""
+    total = F.sum("n")
+    spread = F.least(F.lit(SPREAD), F.ceil(total / F.lit(min(SPREAD_SHINGLES, cell_shingles))))
+    return members.groupBy("component").agg(F.greatest(spread, F.ceil(total / F.lit(cell_shingles))).cast("int").alias("blocks"))
