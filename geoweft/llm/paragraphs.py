@@ -1,20 +1,23 @@
 """Substring dedup: paragraphs by MinHash banding, and exact passages that keep to no paragraph.
 
-Paragraphs are lines of `PARAGRAPH_WORDS` words or more. Paragraphs of the same words are one node. A
-node's MinHash signature is cut into bands, tuned so that a pair at the threshold is missed with a probability below
+Paragraphs are all lines of at least one shingle of words. Where lines are wrapped, the whole block between blank lines
+is a paragraph too. A block is wrapped if each of its lines has fewer than `WRAP_WORDS` words, or if no line but the last
+has room for the next one's first word. Paragraphs of the same words are one node. A node's MinHash signature is cut into bands, tuned so that a pair at the threshold is missed with a probability below
 `MISS`. Nodes that share a band are tied to the smallest of them (one edge per node and band, however many share it);
-the components of these ties are cells, within which exact Jaccard similarity is verified and links make clusters.
+the components of these ties are cells, within which exact Jaccard similarity is verified and links make clusters. A set
+of few shingles, which at the threshold has equal ones only, needs one band.
 
 Passages inside or across paragraphs: of each `ANCHOR` neighbouring words the one with the smallest hash starts a window
 of `WINDOW_WORDS` words. Texts that share ANCHOR + WINDOW_WORDS - 1 = 51 words share such a window. Windows meet by their
 hash, those of several documents stay, and windows of one document that overlap are one passage.
 
-Defined results: null and empty texts have no paragraphs; a passage repeated within one document alone isn't reported;
+Defined results: null and empty texts and lines shorter than a shingle have no paragraphs; a passage repeated within one document alone isn't reported;
 rows with the same id are one document; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,13 @@ from geoweft.llm import set_join
 from geoweft.llm._common import blob_partitions, cut, id_and_bytes
 from geoweft.llm.components import connected_components
 
-PARAGRAPH_WORDS = 30
+WRAP_WORDS = 30
 ANCHOR, WINDOW_WORDS = 20, 32
 MISS = 0.002
 WINDOWS_PER_PARTITION = 1 << 20
 _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^ \t-\r]+")
 _PARAGRAPH = "doc_id long, start_word int, end_word int, node long, bands array<long>, part int, windows binary"
 
 
@@ -103,16 +107,40 @@ def _windows(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lines(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and (start, end) of the lines that are paragraphs, in words."""
+def _wrapped(lines: list[str]) -> bool:
+    """Whether no line but the last has room for the first word of the next."""
+    width = max(len(x.rstrip()) for x in lines)
+    return all(len(x.rstrip()) + 1 + len(_WORD.search(y)[0]) > width for x, y in zip(lines, lines[1:], strict=False))
+
+
+def _paragraphs(text: bytes | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and (start, end) of the lines and wrapped blocks that are paragraphs, in words."""
     own, starts, raw = set_join.word_hashes(text)
     ends = np.append(np.searchsorted(starts, np.flatnonzero(raw == 10)), len(own))
     places = np.stack([np.r_[0, ends[:-1]], ends], 1)
-    return own, places[places[:, 1] - places[:, 0] >= PARAGRAPH_WORDS]
+    counts = places[:, 1] - places[:, 0]
+    edges = np.flatnonzero(np.diff((counts > 0).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    blocks, lines = [], None
+    for a, b in edges.reshape(-1, 2).tolist():
+        if b - a < 2:
+            continue
+        if counts[a:b].max() >= WRAP_WORDS:
+            lines = lines or text.decode("utf-8", "replace").split("\n")
+            if not _wrapped(lines[a:b]):
+                continue
+        blocks.append((places[a, 0], places[b - 1, 1]))
+    places = np.concatenate([places, np.array(blocks, places.dtype).reshape(-1, 2)])
+    return own, places[places[:, 1] - places[:, 0] >= k]
+
 
+def alone(percent: int) -> int:
+    """Sets of so many elements at most reach the threshold with equal sets only."""
+    return -(-percent // (100 - percent)) - 1 if percent < 100 else 1 << 31
 
-def _scan(docs: DataFrame, partitions: int, k: int, bands: int, rows: int) -> DataFrame:
+
+def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
     """Rows of paragraphs, and rows (part, windows) of passage windows dealt by their hash."""
+    bands, rows = tuned_bands(percent)
     kinds = {"doc_id": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "node": pa.int64(), "bands": pa.list_(pa.int64()), "part": pa.int32(), "windows": pa.binary()}
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
@@ -125,14 +153,15 @@ def _scan(docs: DataFrame, partitions: int, k: int, bands: int, rows: int) -> Da
                 found: dict[str, list] = {c: [] for c in list(kinds)[:5]}
                 windows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own, places = _lines(text)
+                    own, places = _paragraphs(text, k)
                     if len(places):
                         starts, ends = places.T
                         found["doc_id"] += [doc] * len(places)
                         found["start_word"] += starts.tolist()
                         found["end_word"] += ends.tolist()
                         found["node"] += [xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63) for a, b in places.tolist()]
-                        found["bands"] += list(signature_bands(_rolling(own, k), starts, ends - k + 1, bands, rows))
+                        keys = signature_bands(_rolling(own, k), starts, ends - k + 1, bands, rows)
+                        found["bands"] += [x[:1] if few else x for x, few in zip(keys, (ends - starts - k + 1 <= alone(percent)).tolist(), strict=True)]
                     starts = anchors(own)
                     if len(starts):
                         some = np.empty(len(starts), _WINDOW)
@@ -187,7 +216,7 @@ def _paragraph_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, places = _lines(text)
+                own, places = _paragraphs(text, k)
                 held = set(map(tuple, places.tolist()))
                 shingles = _rolling(own, k)
                 for w in wanted:
@@ -221,11 +250,10 @@ def paragraph_clusters(found: DataFrame, texts: DataFrame, *, words: int, percen
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = set_join.WORDS, percent: int = set_join.PERCENT) -> DataFrame:
     """Passages that several documents hold: doc_id, kind (paragraph or passage), start_word, end_word (exclusive, of the
     words between ASCII white space), first_doc_id (smallest document of the cluster), removed (not in that document)."""
-    bands, rows = tuned_bands(percent)
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     partitions = blob_partitions(total // 60, WINDOWS_PER_PARTITION)  # a window for each ten words
     texts = id_and_bytes(docs, id_col, text_col)
-    scanned = cut(_scan(texts, partitions, words, bands, rows))
+    scanned = cut(_scan(texts, partitions, words, percent))
     found = scanned.filter("node IS NOT NULL").drop("part", "windows")
     clusters = paragraph_clusters(found, texts, words=words, percent=percent)
     placed = found.select("doc_id", "start_word", "end_word", "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))

@@ -277,6 +277,19 @@ def test_substring_dedup(spark):
     assert paragraphs.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_substring_dedup_finds_short_and_wrapped_paragraphs(spark):
+    rng = random.Random(16)
+    short, least, wrapped = words(rng, 20, 10_000), words(rng, 5, 10_000), words(rng, 45, 10_000).split()
+    edited = short.split()
+    edited[-1] = "other"
+    fold = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = [f"{short}\n\n{least}", f"a\n\n{' '.join(edited)}\n\nb", f"c c\n\n{least}", f"d\n\n{fold(wrapped, 7)}\n\nd", fold(wrapped[:-1] + ["other"], 9), words(rng, 12, 10_000)]
+    rows = paragraphs.repeated_passages(docs_of(spark, texts)).collect()
+    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in rows if r.kind == "paragraph"}
+    assert got == {(0, 0, 20, 0), (1, 1, 21, 0), (0, 20, 25, 0), (2, 2, 7, 0), (3, 1, 46, 3), (4, 0, 45, 3)}
+    assert paragraphs.alone(80) == 3
+
+
 def test_bands_are_tuned():
     bands, rows = paragraphs.tuned_bands(80)
     assert (1 - 0.8**rows) ** bands < paragraphs.MISS and bands * rows <= 64
