@@ -9,7 +9,10 @@ of few shingles, which at the threshold has equal ones only, needs one band.
 
 Passages inside or across paragraphs: of each `ANCHOR` neighbouring words the one with the smallest hash starts a window
 of `WINDOW_WORDS` words. Texts that share ANCHOR + WINDOW_WORDS - 1 = 51 words share such a window. Windows meet by their
-hash, those of several documents stay, and windows of one document that overlap are one passage.
+hash, and those of several documents stay. A shared run of 51 words reaches at most ANCHOR - 1 words beyond its anchors'
+windows, so the ANCHOR - 1 words before and behind each window are compared too, step by step, among the documents that
+agree so far. Each word of a document belongs to the smallest document it is found to share it with (itself included);
+neighbouring words of one such document are a passage, so that every word removed stays in a smaller document.
 
 Defined results: null and empty texts and lines shorter than a shingle have no paragraphs; a passage repeated within one document alone isn't reported;
 rows with the same id are one document; empty tables give no rows.
@@ -34,7 +37,9 @@ WRAP_WORDS = 30
 ANCHOR, WINDOW_WORDS = 20, 32
 MISS = 0.002
 WINDOWS_PER_PARTITION = 1 << 20
+CONTEXTS_PER_PARTITION = 1 << 15
 _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
+_CONTEXT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1", 2), ("near", "<u4", (2, ANCHOR - 1))])  # 32 bits of the words beside a window
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^ \t-\r]+")
 _PARAGRAPH = "doc_id long, start_word int, end_word int, node long, bands array<long>, part int, windows binary"
@@ -178,35 +183,165 @@ def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, _PARAGRAPH)
 
 
+def _blobs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """Rows of each part, by hash, from batches of (part, blob)."""
+    parts: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts.setdefault(part, []).append(blob)
+    for part in list(parts):
+        rows = np.frombuffer(b"".join(parts.pop(part)), kind)
+        if len(rows):
+            yield rows[np.argsort(rows["hash"], kind="stable")]
+
+
 def _shared_windows(scanned: DataFrame, partitions: int) -> DataFrame:
-    """(doc_id, start_word, first_doc_id) of windows that several documents hold."""
+    """(doc_id, start_word, hash) of windows that several documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(part, []).append(blob)
-        for part in list(parts):
-            rows = np.frombuffer(b"".join(parts.pop(part)), _WINDOW)
-            rows = rows[np.argsort(rows["hash"], kind="stable")]
-            if not len(rows):
-                continue
+        for rows in _blobs(batches, _WINDOW):
             starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]])
             sizes = np.diff(np.r_[starts, len(rows)])
-            first = np.minimum.reduceat(rows["doc"], starts)
-            shared = np.repeat(first != np.maximum.reduceat(rows["doc"], starts), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][shared]), pa.array(rows["start"][shared].astype(np.int32)), pa.array(np.repeat(first, sizes)[shared])], names=["doc_id", "start_word", "first_doc_id"])
+            shared = rows[np.repeat(np.minimum.reduceat(rows["doc"], starts) != np.maximum.reduceat(rows["doc"], starts), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(shared["doc"]), pa.array(shared["start"].astype(np.int32)), pa.array(np.ascontiguousarray(shared["hash"]).view(np.int64))], names=["doc_id", "start_word", "hash"])
 
     blobs = scanned.filter("part IS NOT NULL").select("part", "windows").repartition(partitions, "part")
-    return blobs.mapInArrow(run, "doc_id long, start_word int, first_doc_id long")
+    return blobs.mapInArrow(run, "doc_id long, start_word int, hash long")
 
 
-def _passages(windows: DataFrame) -> DataFrame:
-    """Overlapping windows of a document as one passage: doc_id, start_word, end_word, first_doc_id."""
-    by = Window.partitionBy("doc_id").orderBy("start_word")
-    far = F.col("start_word") > F.lag("start_word").over(by) + WINDOW_WORDS
-    islands = windows.withColumn("fresh", F.coalesce(far, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return islands.groupBy("doc_id", "island").agg(F.min("start_word").alias("start_word"), (F.max("start_word") + WINDOW_WORDS).alias("end_word"), F.min("first_doc_id").alias("first_doc_id")).drop("island")
+def _contexts(windows: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
+    """(part, blob): shared windows with the words beside them, from their texts, dealt by the windows' hash."""
+    by_doc = windows.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("hash").alias("hashes")).withColumnRenamed("doc_id", "of")
+    small = windows.count() <= set_join.BROADCAST_ROWS
+    found = texts.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("of")).select("doc_id", "text", "starts", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                out = []
+                for doc, text, starts, hashes in zip(*(c.to_pylist() for c in batch.slice(at, 2000).columns), strict=True):
+                    own = set_join.word_hashes(text)[0]
+                    starts, hashes = np.array(starts, np.int64), np.array(hashes, np.int64).view(np.uint64)
+                    inside = starts + WINDOW_WORDS <= len(own)  # a document id may have several texts
+                    starts, hashes = starts[inside], hashes[inside]
+                    inside = _windows(own, starts) == hashes
+                    starts, hashes = starts[inside], hashes[inside]
+                    some = np.zeros(len(starts), _CONTEXT)
+                    some["hash"], some["doc"], some["start"] = hashes, doc, starts
+                    some["n"] = np.minimum(np.stack([starts, len(own) - WINDOW_WORDS - starts], 1), ANCHOR - 1)
+                    room = np.r_[np.zeros(ANCHOR - 1, np.uint32), (own >> np.uint64(32)).astype(np.uint32), np.zeros(ANCHOR - 1, np.uint32)]
+                    steps = np.arange(ANCHOR - 1)
+                    some["near"][:, 0] = room[starts[:, None] + (ANCHOR - 2 - steps)]
+                    some["near"][:, 1] = room[starts[:, None] + (ANCHOR - 1 + WINDOW_WORDS + steps)]
+                    out.append(some)
+                all_of = np.concatenate(out)
+                part = ((all_of["hash"] >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                held, first = np.unique(part[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([x.tobytes() for x in np.split(all_of[order], first[1:])], pa.binary())], names=["part", "blob"])
+
+    return found.mapInArrow(run, "part int, blob binary")
+
+
+def shared_stretches(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, start, end, first) of windows and of the words beside them that several documents share; rows: _CONTEXT."""
+
+    def firsts(label: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether rows of a label have several documents, and the least of them; labels ascend."""
+        starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        sizes = np.diff(np.r_[starts, len(label)])
+        least = np.minimum.reduceat(docs, starts)
+        return np.repeat(least != np.maximum.reduceat(docs, starts), sizes), np.repeat(least, sizes)
+
+    rows = rows[np.argsort(rows["hash"], kind="stable")]
+    label = np.cumsum(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]])
+    shared, first = firsts(label, rows["doc"])
+    rows, label, first = rows[shared], label[shared], first[shared]
+    start = rows["start"].astype(np.int64)
+    whole, out = [start, start + WINDOW_WORDS], []
+    for side in (0, 1):
+        at, own = np.arange(len(rows)), label
+        least, since, upto = first.copy(), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        changed = np.zeros(len(rows), np.bool_)  # whether the words have left the window's own first document
+
+        def leave(some: np.ndarray) -> None:
+            """The words since the last change are a stretch; those of the window's first document lengthen the window."""
+            own_first = some[~changed[some]]
+            whole[side][own_first] += upto[own_first] if side else -upto[own_first]
+            some = some[changed[some]]
+            a, b = (start[some] + WINDOW_WORDS + since[some], start[some] + WINDOW_WORDS + upto[some]) if side else (start[some] - upto[some], start[some] - since[some])
+            out.append((rows["doc"][some], a, b, least[some]))
+
+        whole[side] = whole[side].copy()
+        for j in range(ANCHOR - 1):
+            long = rows["n"][at, side] > j
+            at, own = at[long], own[long]
+            if not len(at):
+                break
+            word = rows["near"][at, side, j]
+            order = np.lexsort((word, own))
+            at, own, word = at[order], own[order], word[order]
+            own = np.cumsum(np.r_[True, (own[1:] != own[:-1]) | (word[1:] != word[:-1])])
+            many, now = firsts(own, rows["doc"][at])
+            at, own, now = at[many], own[many], now[many]
+            other = now != least[at]
+            leave(at[other])
+            changed[at[other]] = True
+            least[at[other]], since[at[other]] = now[other], j
+            upto[at] = j + 1
+        leave(np.arange(len(rows)))
+    return [(rows["doc"], *whole, first), *out]
+
+
+def _stretches(contexts: DataFrame, partitions: int) -> DataFrame:
+    """(doc_id, blob) of stretches (start, end, first) that a document shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blobs(batches, _CONTEXT):
+            doc, *found = (np.concatenate(c) for c in zip(*shared_stretches(rows), strict=True))
+            if not len(doc):
+                continue
+            found = np.stack(found, 1)
+            order = np.lexsort((found[:, 0], found[:, 2], doc))
+            doc, found = doc[order], found[order]
+            # words in a row of one first document are one stretch
+            group = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (found[1:, 2] != found[:-1, 2])]) << 32
+            fresh = np.r_[True, (group + found[:, 0])[1:] > np.maximum.accumulate(group + found[:, 1])[:-1]]
+            starts = np.flatnonzero(fresh)
+            doc, found = doc[starts], np.stack([found[starts, 0], np.maximum.reduceat(found[:, 1], starts), found[starts, 2]], 1)
+            held, first = np.unique(doc, return_index=True)
+            for k in range(0, len(held), 10_000):
+                some = [x.tobytes() for x in np.split(found, first[1:])[k : k + 10_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(held[k : k + 10_000]), pa.array(some, pa.binary())], names=["doc_id", "blob"])
+
+    return contexts.repartition(partitions, "part").mapInArrow(run, "doc_id long, blob binary")
+
+
+def split_spans(found: np.ndarray) -> np.ndarray:
+    """Rows (start, end, first) without overlap, by start: each word with the least first of the rows that hold it."""
+    low = int(found[:, 0].min())
+    least = np.full(int(found[:, 1].max()) - low + 1, np.iinfo(np.int64).max)
+    for a, b, first in found.tolist():
+        np.minimum(least[a - low : b - low], first, out=least[a - low : b - low])
+    edges = np.flatnonzero(np.diff(least)) + 1
+    spans = np.stack([np.r_[0, edges[:-1]], edges], 1)
+    kept = least[spans[:, 0]] != np.iinfo(np.int64).max
+    return np.column_stack([spans + low, least[spans[:, 0]]])[kept]
+
+
+def _passages(stretches: DataFrame) -> DataFrame:
+    """Passages of each document: doc_id, start_word, end_word, first_doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_pylist()
+            spans = [split_spans(np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3)) for blobs in batch.column(1).to_pylist()]
+            doc = np.repeat(np.array(docs, np.int64), [len(x) for x in spans])
+            a, b, first = np.concatenate([*spans, np.zeros((0, 3), np.int64)]).T
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.ascontiguousarray(first))], names=["doc_id", "start_word", "end_word", "first_doc_id"])
+
+    by_doc = stretches.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
+    return by_doc.mapInArrow(run, "doc_id long, start_word int, end_word int, first_doc_id long")
 
 
 def _paragraph_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -259,5 +394,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = found.select("doc_id", "start_word", "end_word", "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     shared = placed.groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("first_doc_id < last_doc_id")
     whole = placed.join(shared, "cluster").select("doc_id", F.lit("paragraph").alias("kind"), "start_word", "end_word", "first_doc_id")
-    parts = _passages(_shared_windows(scanned, partitions)).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
+    windows = cut(_shared_windows(scanned, partitions))
+    near = blob_partitions(windows.count(), CONTEXTS_PER_PARTITION)
+    parts = _passages(_stretches(_contexts(windows, texts, near), near)).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
     return whole.unionByName(parts).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))

@@ -290,6 +290,17 @@ def test_substring_dedup_finds_short_and_wrapped_paragraphs(spark):
     assert paragraphs.alone(80) == 3
 
 
+def test_passages_are_exact_and_stay_in_their_first_document(spark):
+    rng = random.Random(26)
+    at = lambda n: words(rng, n, 10**9)
+    for _ in range(3):
+        run, long = at(51), at(120).split()
+        texts = [f"{at(40)} {run} {at(33)}", f"{at(7)} {run}", at(90), f"{at(11)} {' '.join(long[:60])} {at(9)}", run, f"{at(20)} {' '.join(long)} {at(20)}", at(80), f"{at(5)} {' '.join(long[30:])}", f"{run} {at(30)} {run}"]
+        rows = paragraphs.repeated_passages(docs_of(spark, texts)).collect()
+        got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.removed) for r in rows if r.kind == "passage"}
+        assert got == {(0, 40, 91, 0, False), (1, 7, 58, 0, True), (4, 0, 51, 0, True), (3, 11, 71, 3, False), (5, 20, 80, 3, True), (5, 80, 140, 5, False), (7, 5, 95, 5, True), (8, 0, 51, 0, True), (8, 81, 132, 0, True)}
+
+
 def test_bands_are_tuned():
     bands, rows = paragraphs.tuned_bands(80)
     assert (1 - 0.8**rows) ** bands < paragraphs.MISS and bands * rows <= 64
