@@ -47,12 +47,11 @@ def _byte_symbols() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoders(tokenizer_json: str):
-    """(fast, exact): two encoders of one byte-level vocabulary file; special strings in a text are ordinary text."""
+    """(fast, exact): two encoders of one byte-level vocabulary file; the fast one knows no added tokens."""
     import tiktoken
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer_json)
-    exact.encode_special_tokens = True
     with open(tokenizer_json, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     symbols = _byte_symbols()
@@ -61,10 +60,17 @@ def encoders(tokenizer_json: str):
     return fast, exact
 
 
+@lru_cache(maxsize=2)
+def _added(tokenizer_json: str) -> tuple[str, ...]:
+    """Strings of the added tokens, which the tokenizer finds in texts."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens") or [])
+
+
 def encode(text: str, tokenizer_json: str) -> np.ndarray:
-    """The ids that the tokenizers library gives for the whole text, without special ids."""
+    """The ids that the tokenizers library gives for the whole text with add_special_tokens=False."""
     fast, exact = encoders(tokenizer_json)
-    if _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
+    if _PLAIN.fullmatch(text) and not _LONG_RUN.search(text) and not any(t in text for t in _added(tokenizer_json)):
         return np.array(fast.encode_ordinary(text), dtype="<u4")
     return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -84,6 +84,16 @@ def test_fast_encoder_is_exact():
         assert packing.encode(s, path).tolist() == exact.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_added_tokens_are_as_in_the_unmodified_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    exact = Tokenizer.from_file(path)
+    assert 50256 in packing.encode("a <|endoftext|> b", path).tolist()
+    for s in ["a <|endoftext|> b", "<|endoftext|>", "日<|endoftext|><|endoftext|>本", "<|endoftext|", "a  b"]:
+        assert packing.encode(s, path).tolist() == exact.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_packing_empty(spark):
     assert packing.pack(docs_of(spark, []), queries.tokenizer_path()).count() == 0
 
