@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and formats inferred as probabilistic automata.
 
 One pass over the texts finds the base spans (assignments, access keys, hexadecimal runs), their credentials, and all
-candidates: runs of token characters with a digit, outside base spans. The credentials are labelled examples. For each
+candidates: runs of LEAST_LENGTH or more token characters (those of assignments) with a digit, outside base spans, less
+the full stops at their ends. Where a run holds a base span, its parts between full stops are candidates instead. The credentials are labelled examples. For each
 kind, a bounded sample of distinct ones (`SAMPLE`, the smallest hashes) becomes a prefix tree of character classes whose
 states are merged where their futures are statistically compatible (Hoeffding bounds on endings and next symbols, in
 breadth-first order, merging deterministically). Every candidate of every text is then scored by its log-likelihood
 under each automaton against a background model of how candidates look in general, per character; what an automaton
-explains better by `MARGIN` and as likely as its own examples is a span of kind `format`.
+explains better by `MARGIN` and as likely as its own examples is a span of kind `format`; of a candidate that isn't, the
+parts between full stops are scored.
 
 Defined results: null and empty texts have no spans; with no credentials no format is inferred and base spans stand
 alone; repeated rows are scanned once each; an empty table gives no rows.
@@ -36,12 +38,12 @@ KINDS = ("assign", "access", "hex", "format")
 SAMPLE = 2000
 ALPHA = 0.4
 MARGIN = 0.15
-LEAST_LENGTH = 12
-LONGEST = 512
+LEAST_LENGTH = 8
 _HINTS = (b"pass", b"secret", b"token", b"api")
 _TOKEN = np.zeros(256, np.bool_)
-_TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
+_TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 _DIGIT = re.compile(rb"[0-9]")
+_PART = re.compile(rb"[^.]{%d,}" % LEAST_LENGTH)
 #: Character classes: digits, a-f, g-z, A-Z; any other character is itself.
 _CLASS = bytes(ord("d") if 48 <= b < 58 else ord("h") if 97 <= b < 103 else ord("l") if 103 <= b < 123 else ord("U") if 65 <= b < 91 else b for b in range(256))
 
@@ -70,14 +72,27 @@ def token_runs(text: bytes) -> list[tuple[int, int]]:
 
 
 def candidates(text: bytes, stretches: list[tuple[int, int]], taken: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Token runs with a digit that overlap no base span."""
+    """Token runs with a digit that overlap no base span, and the parts of those that do."""
     out = []
     for s, e in stretches:
-        if _DIGIT.search(text, s, e) and not any(s < b and a < e for a, b, *_ in taken):
-            out.append((s, e, text[s:e]))
+        if not _DIGIT.search(text, s, e):
+            continue
+        token = text[s:e].rstrip(b".")
+        e = s + len(token)
+        token = token.lstrip(b".")
+        s = e - len(token)
+        near = [(a, b) for a, b, *_ in taken if s < b and a < e]
+        for i, j in [(s, e)] if not near else [(s + i, s + j) for i, j in parts(token)]:
+            if j - i >= LEAST_LENGTH and not any(i < b and a < j for a, b in near):
+                out.append((i, j, text[i:j]))
     return out
 
 
+def parts(token: bytes) -> list[tuple[int, int]]:
+    """Parts of a token between full stops that are long enough and have a digit."""
+    return [m.span() for m in _PART.finditer(token) if _DIGIT.search(token, *m.span())] if b"." in token else []
+
+
 @dataclass
 class Automaton:
     """States with transitions per symbol; counts of passages, of endings, and of each transition."""
@@ -181,8 +196,6 @@ class Formats:
 
     def accepts(self, token: bytes) -> float | None:
         """How much better than the background the best format explains the token; None if none does."""
-        if len(token) > LONGEST:
-            return None
         symbols = token.translate(_CLASS)
         own, best = self.background_score(symbols), None
         for a in self.automata.values():
@@ -201,7 +214,7 @@ def infer(examples: dict[int, list[bytes]], background: Counter) -> Formats:
     automata = {}
     for kind, tokens in examples.items():
         tree = Automaton()
-        symbols = [t[:LONGEST].translate(_CLASS) for t in tokens]
+        symbols = [t.translate(_CLASS) for t in tokens]
         for s in symbols:
             tree.add(s)
         learnt = tree.generalise()
@@ -239,7 +252,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sam
         for batch in batches:
             out = []
             for base, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                more = [{"start": r["start"], "end": r["end"], "kind": 3} for r in runs if r["kind"] == 3 and formats.value.accepts(r["token"]) is not None]
+                more = []
+                for r in runs:
+                    if r["kind"] != 3:
+                        continue
+                    if formats.value.accepts(r["token"]) is not None:
+                        more.append({"start": r["start"], "end": r["end"], "kind": 3})
+                    else:
+                        more += [{"start": r["start"] + i, "end": r["start"] + j, "kind": 3} for i, j in parts(r["token"]) if formats.value.accepts(r["token"][i:j]) is not None]
                 out.append(sorted(base + more, key=lambda s: (s["start"], s["kind"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, struct)], names=["doc_id", "spans"])
 
