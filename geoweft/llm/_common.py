@@ -1,9 +1,12 @@
-"""What several training-data operators need: input shaping and lineage cuts."""
+"""What several training-data operators need: input shaping, lineage cuts, and exchanges of packed rows."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,14 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str | Colum
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which a cluster shares; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which a cluster shares. Where it is unset, a folder of our own in local mode, an
+    error on a cluster, whose machines couldn't see such a folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoweft-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="geoweft-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -47,3 +54,41 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     if not n:
         return docs
     return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, id_col, "left_anti")
+
+
+#: One exchange deals packed rows to so many parts at most; more parts take a second step.
+FAN = 1024
+
+
+def packed_parts(rows: np.ndarray, hashes: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """rows cut into `parts` equal ranges of their 64-bit hashes: (part, bytes), without the empty ones."""
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    held, first = np.unique(part[order], return_index=True)
+    return held.tolist(), [x.tobytes() for x in np.split(rows[order], first[1:])] if len(held) else []
+
+
+def dealt(blobs: DataFrame, partitions: int, kind: np.dtype, hash_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(part, whole, blob) with each part's rows in one of `partitions` partitions.
+
+    blobs: (part, salt, whole, blob) as packed_parts(rows, hashes, min(FAN, partitions)) cuts them; salt tells a task's
+    chunks apart; what is `whole` holds something else and may go to any task. Up to FAN partitions one exchange does.
+    Beyond, the rows of a coarse part first meet in as many tasks as it has fine ones, which cut them anew, so that a
+    chunk never makes a row for each of very many partitions.
+    """
+    if partitions <= FAN:
+        return blobs.select("part", "whole", "blob").repartition(partitions, "part")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            passed = batch.filter(batch.column("whole"))
+            if passed.num_rows:
+                yield passed
+            held += [x for x, whole in zip(batch.column("blob").to_pylist(), batch.column("whole").to_pylist(), strict=True) if not whole]
+        rows = np.frombuffer(b"".join(held), kind)
+        parts, cut_rows = packed_parts(rows, hash_of(rows), partitions)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([False] * len(parts), pa.bool_()), pa.array(cut_rows, pa.binary())], names=["part", "whole", "blob"])
+
+    fine = F.pmod(F.xxhash64("salt"), F.lit(-(-partitions // FAN)))
+    return blobs.repartition(partitions, "part", fine).select("part", "whole", "blob").mapInArrow(again, "part int, whole boolean, blob binary").repartition(partitions, "part")

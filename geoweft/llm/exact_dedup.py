@@ -1,14 +1,17 @@
 """Exact dedup by a log-structured merge index of digests.
 
 1. Each document is normalised (every run of ASCII white space becomes one space) and digested where it lies.
-2. Memtables gather digest -> (smallest id, rows) and flush as sorted runs, cut into digest ranges (buckets), each with
-   a Bloom filter of its digests. A hot text is one entry of each memtable, however many rows hold it.
-3. Compaction merges the runs of a bucket, the two smallest first; a filter tells which digests of one run can be in
+2. Memtables gather digest -> (smallest id, rows) and flush as sorted runs, each cut into at most FANOUT digest ranges,
+   with a Bloom filter of its digests sized by the run. A hot text is one entry of each memtable, however many rows hold it.
+3. Compaction goes by levels. On each, runs of a range meet in groups of about `bucket_rows` entries, are merged, the two
+   smallest first, and cut into FANOUT ranges again, down to the buckets. A filter tells which digests of one run can be in
    the other, only those are searched, and of equal digests the smallest id stays.
 4. Hits (rows that are to go) are compared byte by byte with the row that stays. A hot group is dealt over salts, each
    with its own copy of the kept text. Rows whose bytes differ, a digest collision, are grouped by their bytes.
 
-Bounded memory: a memtable has `memtable_rows` entries, a bucket about `bucket_rows`. No digest reaches the driver.
+Bounded memory: a memtable has `memtable_rows` entries, a bucket about `bucket_rows`. The index's bytes are in proportion
+to its digests, whatever the number of memtables and buckets. No digest reaches the driver. Groups of more than
+1/HOT_PARTS of all rows, fewer than HOT_PARTS by that, are broadcast to the rows; the others meet them by shuffle.
 
 Defined results: null counts as empty; white space alone is one space, not empty; of repeated rows (same id, same
 text) the first stays and each has its row in the result; an empty table gives no rows.
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 from geoweft.llm._common import blob_partitions, cut, id_and_bytes
 
 SPACE = frozenset(b" \t\n\v\f\r")
-RUNS = "bucket long, rows long, digests binary, ids binary, sizes binary, filter binary"
+RUNS = "bucket long, run long, rows long, digests binary, ids binary, sizes binary, filter binary"
 FILTER_HASHES = 4
 FILTER_BITS_PER_ROW = 10
-SALT_ROWS = 256
+FANOUT = 64
+SALT_ROWS, SALT_PARTS = 256, 4096
+HOT_ROWS, HOT_PARTS = 1000, 1 << 16
 #: So many hits (about a hundred bytes each) may be broadcast to the texts.
 BROADCAST_HITS = 1 << 17
 
@@ -55,9 +60,10 @@ def _slots(digests: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(base + np.uint64(i) * step) >> np.uint64(7) for i in range(FILTER_HASHES)], 1) % np.uint64(bits)
 
 
-def make_filter(digests: np.ndarray, bits: int) -> np.ndarray:
-    table = np.zeros(bits, np.bool_)
-    table[_slots(digests, bits).ravel().astype(np.int64)] = True
+def make_filter(digests: np.ndarray, bits: int = 0) -> np.ndarray:
+    """A filter of `bits` bits; by default a power of two, at least FILTER_BITS_PER_ROW for each digest."""
+    table = np.zeros(bits or max(64, 1 << (len(digests) * FILTER_BITS_PER_ROW - 1).bit_length()), np.bool_)
+    table[_slots(digests, len(table)).ravel().astype(np.int64)] = True
     return np.packbits(table)
 
 
@@ -79,8 +85,25 @@ def merge(one: tuple, two: tuple) -> tuple:
     fresh = np.ones(len(small[0]), np.bool_)
     fresh[hit] = False
     where = np.searchsorted(digests, small[0][fresh])
-    out = tuple(np.insert(a, where, b[fresh]) for a, b in ((digests, small[0]), (ids, small[1]), (sizes, small[2])))
-    return (*out, bits | small[3])
+    digests, ids, sizes = (np.insert(a, where, b[fresh]) for a, b in ((digests, small[0]), (ids, small[1]), (sizes, small[2])))
+    if 8 * len(bits) < FILTER_BITS_PER_ROW * len(digests):
+        return digests, ids, sizes, make_filter(digests)
+    return digests, ids, sizes, bits | make_filter(small[0], 8 * len(bits))
+
+
+def cut_run(digests: np.ndarray, ids: np.ndarray, sizes: np.ndarray, width: int, run: int) -> pa.Table:
+    """A sorted run in parts, one for each of `width` equal ranges of digests that it has any of: rows as in RUNS."""
+    size = digests.dtype.itemsize
+    lead = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), size)[:, : min(4, size)]
+    number = np.zeros(len(digests), np.int64)
+    for column in lead.T:
+        number = number * 256 + column
+    bucket = number * width >> (8 * lead.shape[1])
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(digests) else np.zeros(0, np.int64)
+    parts = [slice(a, b) for a, b in zip(at, [*at[1:], len(digests)], strict=True)] if len(at) else []
+    columns = [bucket[at], [run] * len(parts), [p.stop - p.start for p in parts], *([a[p].tobytes() for p in parts] for a in (digests, ids, sizes)), [make_filter(digests[p]).tobytes() for p in parts]]
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RUNS.split(", ")])
 
 
 def digest_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
@@ -95,67 +118,75 @@ def digest_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("doc_id", F.substring("sha", 1, digest_bytes).alias("digest"), "sha")
 
 
-def build_runs(digests: DataFrame, buckets: int, *, bucket_rows: int, memtable_rows: int, digest_bytes: int) -> DataFrame:
-    """Sorted runs of (digest, smallest id, rows), one row per memtable and bucket, each with its filter."""
-    bits = max(64, bucket_rows * FILTER_BITS_PER_ROW // 8 * 8)
-    kind = f"S{digest_bytes}"
+def build_runs(digests: DataFrame, width: int, *, memtable_rows: int, digest_bytes: int) -> DataFrame:
+    """Sorted runs of (digest, smallest id, rows), cut into `width` ranges, each part with its filter."""
 
-    def flush(table: dict[bytes, list[int]]) -> pa.RecordBatch:
-        keys = np.array(sorted(table), kind)
+    def flush(table: dict[bytes, list[int]], run: int) -> list[pa.RecordBatch]:
+        keys = np.array(sorted(table), f"S{digest_bytes}")
         values = np.array([table[k.ljust(digest_bytes, b"\0")] for k in keys.tolist()], np.int64).reshape(-1, 2)
-        lead = np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), digest_bytes)[:, : min(4, digest_bytes)]
-        number = np.zeros(len(keys), np.int64)
-        for column in lead.T:
-            number = number * 256 + column
-        bucket = number * buckets >> (8 * lead.shape[1])
-        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        parts = [(int(bucket[a]), keys[a:b], values[a:b]) for a, b in zip(at, [*at[1:], len(keys)], strict=True)]
-        columns = [[b for b, _, _ in parts], [len(k) for _, k, _ in parts], [k.tobytes() for _, k, _ in parts], [v[:, 0].tobytes() for *_, v in parts], [v[:, 1].tobytes() for *_, v in parts], [make_filter(k, bits).tobytes() for _, k, _ in parts]]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RUNS.split(", ")])
+        return cut_run(keys, values[:, 0], values[:, 1], width, run).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         table: dict[bytes, list[int]] = {}
         for batch in batches:
             for i, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 entry = table.get(key)
                 if entry is None:
                     if len(table) >= memtable_rows:
-                        yield flush(table)
-                        table = {}
+                        yield from flush(table, number)
+                        table, number = {}, number + 1
                     table[key] = [i, 1]
                 else:
                     entry[0] = min(entry[0], i)
                     entry[1] += 1
         if table:
-            yield flush(table)
+            yield from flush(table, number)
 
     return digests.select("doc_id", "digest").mapInArrow(run, RUNS)
 
 
-def compact(runs: DataFrame, *, digest_bytes: int) -> DataFrame:
-    """digest, keep_id, group_size: the runs of each bucket merged into one, the smallest runs first."""
-    kind = f"S{digest_bytes}"
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        level = [(r["rows"], k, (np.frombuffer(r["digests"], kind), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["filter"], np.uint8))) for k, r in enumerate(rows)]
-        heapq.heapify(level)
-        fresh = len(level)
-        while len(level) > 1:
-            merged = merge(heapq.heappop(level)[2], heapq.heappop(level)[2])
-            heapq.heappush(level, (len(merged[0]), fresh, merged))
-            fresh += 1
-        digests, ids, sizes, _ = level[0][2]
+def merged(table: pa.Table, digest_bytes: int) -> tuple:
+    """The runs of a table as one, the smallest merged first."""
+    kinds = {"digests": f"S{digest_bytes}", "ids": np.int64, "sizes": np.int64, "filter": np.uint8}
+    level = [(r["rows"], k, tuple(np.frombuffer(r[c], t) for c, t in kinds.items())) for k, r in enumerate(table.to_pylist())]
+    heapq.heapify(level)
+    fresh = len(level)
+    while len(level) > 1:
+        both = merge(heapq.heappop(level)[2], heapq.heappop(level)[2])
+        heapq.heappush(level, (len(both[0]), fresh, both))
+        fresh += 1
+    return level[0][2]
+
+
+def compact(runs: DataFrame, buckets: int, *, digest_bytes: int) -> DataFrame:
+    """digest, keep_id, group_size: runs cut into min(buckets, FANOUT) ranges, merged level by level down to the buckets."""
+    def level(wider: int):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            digests, ids, sizes, _ = merged(table, digest_bytes)
+            return cut_run(digests, ids, sizes, wider, key[1].as_py())  # a range's groups are the next level's runs
+
+        return run
+
+    width = min(buckets, FANOUT)
+    while width < buckets:
+        group = F.pmod(F.xxhash64("run"), F.lit(-(-buckets // width))).alias("group")
+        width = min(buckets, width * FANOUT)
+        runs = runs.groupBy("bucket", group).applyInArrow(level(width), RUNS)
+
+    def last(table: pa.Table) -> pa.Table:
+        digests, ids, sizes, _ = merged(table, digest_bytes)
         raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(digest_bytes), len(digests), [None, pa.py_buffer(digests.tobytes())])
         return pa.table({"digest": raw.cast(pa.binary()), "keep_id": ids, "group_size": sizes})
 
-    return runs.groupBy("bucket").applyInArrow(run, "digest binary, keep_id long, group_size long")
+    return runs.groupBy("bucket").applyInArrow(last, "digest binary, keep_id long, group_size long")
 
 
 def _verified(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of hits (doc_id, digest, sha, keep_id, salts): those whose bytes differ from the kept row's, with their text's
-    SHA-256. A kept text is copied once for each SALT_ROWS rows of its group."""
+    SHA-256. A kept text is copied once for each salt, SALT_ROWS rows of its group or the SALT_PARTS-th part of all rows."""
     keepers = hits.select("digest", "keep_id", "salts").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     wanted = hits.select("doc_id", "digest", "sha", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.lit(False).alias("stays")).unionByName(
         keepers.select(F.col("keep_id").alias("doc_id"), "digest", F.lit(None).cast("binary").alias("sha"), "salt", F.lit(True).alias("stays"))
@@ -169,17 +200,27 @@ def _verified(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> D
     return rows.join(kept, ["digest", "salt"]).groupBy("doc_id", "digest", "sha").agg(F.max(F.col("norm") == F.col("kept_norm")).alias("same")).filter(~F.col("same"))
 
 
+def _placed(ones: DataFrame, shared: DataFrame, rows: int) -> DataFrame:
+    """ones (doc_id, digest, sha, copy) with the keep_id and group_size of their digest in shared, or their own."""
+    hot = shared.filter(F.col("group_size") > max(HOT_ROWS, rows // HOT_PARTS)).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    rest = shared.filter(F.col("group_size") <= max(HOT_ROWS, rows // HOT_PARTS)).withColumnRenamed("digest", "key")
+    found = ones.join(F.broadcast(hot), "digest", "left")
+    # rows of hot groups are placed; a key that no digest equals spreads them over the shuffle
+    found = found.withColumn("key", F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.concat("digest", F.encode(F.col("doc_id").cast("string"), "UTF-8"))))
+    return found.join(rest, "key", "left").select("doc_id", "digest", "sha", "copy", F.coalesce("hot_id", "keep_id", "doc_id").alias("keep_id"), F.coalesce("hot_size", "group_size", F.lit(1)).alias("group_size"))
+
+
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 100_000, bucket_rows: int = 200_000, digest_bytes: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 of the normalised text. See the module's text."""
     digests = cut(digest_rows(docs, id_col=id_col, text_col=text_col, digest_bytes=digest_bytes).groupBy("doc_id", "digest", "sha").agg(F.count(F.lit(1)).alias("copies")))
-    buckets = min(blob_partitions(digests.count(), bucket_rows), 256 ** min(4, digest_bytes))
+    entries, rows = digests.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    buckets = min(blob_partitions(entries, bucket_rows), 256 ** min(4, digest_bytes))
     ones = digests.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    runs = build_runs(ones, buckets, bucket_rows=bucket_rows, memtable_rows=memtable_rows, digest_bytes=digest_bytes)
-    index = cut(compact(runs, digest_bytes=digest_bytes))
-    shared = index.filter("group_size > 1")
-    placed = ones.join(shared, "digest", "left").select("doc_id", "digest", "sha", "copy", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    runs = build_runs(ones, min(buckets, FANOUT), memtable_rows=memtable_rows, digest_bytes=digest_bytes)
+    index = cut(compact(runs, buckets, digest_bytes=digest_bytes))
+    placed = _placed(ones, index.filter("group_size > 1"), rows or 0)
     placed = cut(placed)
-    hits = placed.filter("group_size > 1 AND doc_id <> keep_id AND copy = 1").withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
+    hits = placed.filter("group_size > 1 AND doc_id <> keep_id AND copy = 1").withColumn("salts", F.ceil(F.col("group_size") / max(SALT_ROWS, (rows or 0) // SALT_PARTS)).cast("int"))
     other = cut(_verified(docs, hits, id_col, text_col)).select("doc_id", "digest", "sha", F.lit(True).alias("differs"))
     if not other.isEmpty():
         placed = _regrouped(placed, digests, other)

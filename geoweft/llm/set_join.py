@@ -5,15 +5,16 @@ digest of it) are one from then on; hash collisions are the only inexactness (ab
 
 Candidates. Shingles have one global order, the frequent ones last. Two sets that reach the threshold share a shingle
 among the first n - ceil(t * n) + 1 of each, so only these are indexed, with set size and position, in lists dealt by
-shingle. Lists are sorted by size, and blocks of a list whose size or position rules a link out are skipped. Pairs of
-short lists are counted; a pair whose count of shared prefix shingles can't reach the threshold is dropped. In a list
+shingle. Lists are sorted by size, and a list is read from a set on up to the first size that rules a link out. Pairs of
+short lists are counted; a pair whose positions or count of shared prefix shingles rule a link out is dropped. In a list
 longer than `long_list` (already in a task's own part of it, before the shuffle) each set is tied to its neighbour
 instead, so that no list makes more rows than it has members or a fixed number of pairs.
 
 Answers. Candidate components are the cells within which all links lie. A cell's sets meet in one task (a large cell in
-blocks, each pair of blocks in one task) and are joined exactly: a set's overlaps with all others come from the index
-lists of its shingles, or, where it is highly similar to the set before it, from that set's overlaps, changed only by
-the lists of the shingles in which the two differ. Links make the components; every document counts its links.
+blocks, each pair of blocks in one task) and are joined exactly: a set's candidates come from the index lists of its
+first shingles, of which blocks are skipped whose size or position rules a link out; where it is highly similar to a set
+just answered, its overlaps are that set's, changed only by the lists of the shingles in which the two differ (`Answers`).
+Links make the components; every document counts its links.
 
 Frequencies only set the order, they don't decide links. Over all documents, two counts are made by the leading 32 bits
 of a hash: of shingles that repeat within a chunk, and of each set's first shingles in the order of hashes. The
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import blob_partitions, cut, id_and_bytes
+from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, packed_parts
 from geoweft.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -48,6 +49,8 @@ LONG_LIST = 16
 POSTINGS_PER_PARTITION = 1 << 19
 CELL_SHINGLES = 1 << 20
 SPREAD, SPREAD_SHINGLES = 8, 1 << 15
+#: Entries of a block of an index list; by how many percent less a leader's answers reach, for those derived from them.
+BLOCK, LOOSER = 16, 10
 BROADCAST_ROWS = 1 << 19
 POSTING = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("size", "<u4"), ("position", "<u4")])
 #: The position of a posting that stands for a whole chunk's list.
@@ -120,29 +123,31 @@ def _least_overlap(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
-_SUMMARY = "doc_id long, n long, key binary, node long, cell long, times long, part int, cells binary"
+_SUMMARY = "doc_id long, n long, key binary, node long, cell long, times long, part int, salt long, blob binary"
 
 
 def _summaries(docs: DataFrame, partitions: int, k: int) -> DataFrame:
     """Three kinds of rows: documents (doc_id, n, key, node), shingles' cells that repeat within a chunk (cell, times),
-    and the cells of each set's first shingles, dealt by cell (part, cells)."""
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "cell": pa.int64(), "times": pa.int64(), "part": pa.int32(), "cells": pa.binary()}
+    and the cells of each set's first shingles, dealt by cell (part, salt, blob)."""
+    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "node": pa.int64(), "cell": pa.int64(), "times": pa.int64(), "part": pa.int32(), "salt": pa.int64(), "blob": pa.binary()}
 
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, size = [], 0
+        from pyspark import TaskContext
+
+        gathered, size, salt = [], 0, TaskContext.get().partitionId() << 32
 
         def counts() -> Iterator[pa.RecordBatch]:
-            nonlocal gathered, size
+            nonlocal gathered, size, salt
             value, times = np.unique(np.concatenate([_cells(x) for x in gathered]), return_counts=True)
             kept = times >= CHUNK_REPEATS
             yield batch_of(int(kept.sum()), cell=value[kept].astype(np.int64), times=times[kept].astype(np.int64))
-            first = np.sort(np.concatenate([_cells(x[: -(-len(x) * COUNTED_PERCENT // 100)]) for x in gathered]))
-            at = np.searchsorted(first, np.arange(1, partitions, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(partitions))
-            parts = np.split(first, at)
-            yield batch_of(partitions, part=list(range(partitions)), cells=[p.tobytes() for p in parts])
+            first = np.concatenate([_cells(x[: -(-len(x) * COUNTED_PERCENT // 100)]) for x in gathered])
+            parts, blobs = packed_parts(first, _by_cell(first), min(FAN, partitions))
+            yield batch_of(len(parts), part=parts, salt=[salt] * len(parts), blob=blobs)
+            salt += 1
             gathered, size = [], 0
 
         for batch in batches:
@@ -167,6 +172,11 @@ def _cells(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(32)).astype(np.uint32)
 
 
+def _by_cell(cells: np.ndarray) -> np.ndarray:
+    """What cells are dealt by."""
+    return cells.astype(np.uint64) << np.uint64(32)
+
+
 def _frequent(summary: DataFrame, partitions: int, bits: int, long_list: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells, times, map): the ORDERED cells that most sets share, ascending, and a bitmap of all cells that can make a
     long list, by the leading bits of the cell."""
@@ -189,7 +199,8 @@ def _frequent(summary: DataFrame, partitions: int, bits: int, long_list: int) ->
             cells = [*value[top].tolist(), None]
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([*times[top].tolist(), None], pa.int64()), pa.array([None] * len(top) + [first], pa.int64()), pa.array([None] * len(top) + [np.packbits(flags).tobytes()], pa.binary())], names=["cell", "times", "first", "flags"])
 
-    first = cut(summary.filter("part IS NOT NULL").select("part", "cells").repartition(partitions, "part").mapInArrow(run, "cell long, times long, first long, flags binary"))
+    dealt_cells = dealt(summary.filter("part IS NOT NULL").select("part", "salt", F.lit(False).alias("whole"), "blob"), partitions, np.dtype("<u4"), _by_cell)
+    first = cut(dealt_cells.select("part", "blob").mapInArrow(run, "cell long, times long, first long, flags binary"))
     both = summary.filter("times IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).unionByName(first.filter("cell IS NOT NULL").select("cell", "times"))
     most = both.groupBy("cell").agg(F.max("times").alias("times")).orderBy(F.desc("times"), "cell").limit(ORDERED).toArrow()
     cells, times = most.column("cell").to_numpy().astype(np.uint32), most.column("times").to_numpy()
@@ -226,14 +237,16 @@ _SURE = 1 << 24
 
 
 def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int, long_list: int) -> DataFrame:
-    """(part, kind, blob): kind 0 holds postings of one part; kind 1 holds ties made of a chunk's long lists."""
+    """(part, salt, whole, blob): postings of one part, and (whole) ties made of a chunk's long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         order = frequent.value
-        gathered, size, seen = [], 0, set()
+        gathered, size, seen, salt = [], 0, set(), TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            nonlocal gathered, size, seen
+            nonlocal gathered, size, seen, salt
             rows = np.concatenate(gathered) if gathered else np.zeros(0, POSTING)
             gathered, size, seen = [], 0, set()
             rows = rows[np.lexsort((rows["set"], rows["size"], rows["shingle"]))]
@@ -246,17 +259,14 @@ def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int,
                 keep[s + 1 : e] = False
                 rows["position"][s] = _ANY
             rows = rows[keep]
-            part = (rows["shingle"] >> np.uint64(40)).astype(np.int64) % partitions
-            order = np.argsort(part, kind="stable")
-            rows, part = rows[order], part[order]
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(rows) else []
-            blobs = [rows[a:b].tobytes() for a, b in zip(at, [*at[1:], len(rows)], strict=True)]
-            kinds, parts = [0] * len(blobs), [int(part[a]) for a in at]
+            parts, blobs = packed_parts(rows, _dealt_by(rows), min(FAN, partitions))
+            whole = [False] * len(parts)
             if ties:
                 blobs.append(np.unique(np.concatenate(ties), axis=0).tobytes())
-                kinds.append(1)
-                parts.append(len(blobs) % partitions)
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
+                parts.append(salt % min(FAN, partitions))
+                whole.append(True)
+            salt += 1
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array(whole, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "salt", "whole", "blob"])
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
@@ -275,7 +285,12 @@ def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int,
         if gathered:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, kind int, blob binary")
+    return docs.mapInArrow(run, "part int, salt long, whole boolean, blob binary")
+
+
+def _dealt_by(rows: np.ndarray) -> np.ndarray:
+    """What postings are dealt by: their shingle, mixed anew, as the smallest shingles are indexed most."""
+    return rows["shingle"] * _MIX
 
 
 def list_pairs(rows: np.ndarray, percent: int, long_list: int) -> np.ndarray:
@@ -326,8 +341,8 @@ def _pairs(postings: DataFrame, partitions: int, percent: int, long_list: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for part, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if kind:
+            for part, whole, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if whole:
                     ties = np.frombuffer(blob, np.int64).reshape(-1, 2)
                     flat = np.zeros(len(ties), np.int64)
                     yield rows_of(np.stack([ties.max(1), ties.min(1), flat, flat, flat + _SURE, flat + 1], 1))
@@ -342,7 +357,7 @@ def _pairs(postings: DataFrame, partitions: int, percent: int, long_list: int) -
         kinds = [pa.int64()] * 2 + [pa.int32()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(found.T, kinds, strict=True)], names=_PAIR_NAMES)
 
-    found = postings.repartition(partitions, "part").mapInArrow(run, PAIRS)
+    found = dealt(postings, partitions, POSTING, _dealt_by).mapInArrow(run, PAIRS)
     summed = found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("placed").alias("placed"))
     # in the prefix that ends first, all shingles but the shared ones are missing from the other set
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
@@ -350,43 +365,125 @@ def _pairs(postings: DataFrame, partitions: int, percent: int, long_list: int) -
     return summed.filter((F.col("placed") == 1) & ((F.col("shared") >= _SURE) | short("na") | short("nb"))).select("a", "b")
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for `lengths[0]` places, then on with starts[1]."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(int(lengths.sum()))
+
+
 class Answers:
-    """The exact join of the sets of one cell: overlaps with all sets, for one set after the other."""
+    """The exact join of the sets of one cell, one set after the other: its overlaps with all sets that it may link with.
 
-    def __init__(self, sets: list[np.ndarray]):
+    Shingles are numbered from the cell's rarest on. The index holds each set's prefix at `loose` percent: lists of
+    (set, size, rest: its shingles from this one on), by size and rest, in blocks of BLOCK entries. A pair's first shared
+    shingle leaves at least the overlap they need in both, so a block whose sizes or largest rest rule that out is
+    skipped. Candidates are verified by counting all their shingles.
+
+    A set that differs from the last one answered by little (`_near`) has no link outside that one's candidates at
+    `loose` percent, and its overlaps are that one's, changed by the lists of the shingles in which the two differ.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.loose = percent, max(1, percent - LOOSER)
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
-        self.codes = np.split(code, np.cumsum(self.sizes)[:-1])
-        self.lists = owner[np.argsort(code, kind="stable")]
-        counts = np.bincount(code)
-        self.ends = np.cumsum(counts)
-        self.starts = self.ends - counts
-        self.read = 0
-
-    def _gather(self, codes: np.ndarray) -> np.ndarray:
-        """How often each set stands in the lists of these shingles."""
-        lengths = self.ends[codes] - self.starts[codes]
-        total = int(lengths.sum())
-        self.read += total
-        at = np.repeat(self.starts[codes] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(total)
-        return np.bincount(self.lists[at], minlength=len(self.sizes))
-
-    def overlaps(self) -> Iterator[np.ndarray]:
-        """The overlaps of set 0, 1, ... with all sets; of a set like the one before it, by the difference alone."""
-        last, answer = None, None
-        for codes in self.codes:
-            if last is not None:
-                fresh = np.setdiff1d(codes, last, assume_unique=True)
-                gone = np.setdiff1d(last, codes, assume_unique=True) if 2 * len(fresh) < len(codes) else None
-                if gone is not None and 2 * (len(fresh) + len(gone)) < len(codes):
-                    answer = answer + self._gather(fresh) - self._gather(gone)
-                else:
-                    answer = self._gather(codes)
+        self.read = self.skipped = self.derived = 0
+        m = len(sets)
+        _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.empty(len(counts), np.int64)
+        number[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        code = number[code]
+        owner = np.repeat(np.arange(m), self.sizes)
+        self.owners = owner[np.argsort(code, kind="stable")]
+        self.list_ends = np.cumsum(np.bincount(code, minlength=len(counts)))
+        self.list_starts = np.r_[0, self.list_ends[:-1]]
+        order = np.lexsort((code, owner))
+        self.flat = code[order]
+        self.set_ends = np.cumsum(self.sizes)
+        self.set_starts = self.set_ends - self.sizes
+        rest = np.repeat(self.set_ends, self.sizes) - np.arange(len(code))
+        first = np.repeat(self.sizes, self.sizes) - rest < np.repeat(prefix_length(self.sizes, self.loose), self.sizes)
+        shingle, self.entry_set, self.entry_rest = self.flat[first], owner[first], rest[first]
+        order = np.lexsort((self.entry_rest, self.sizes[self.entry_set], shingle))
+        shingle, self.entry_set, self.entry_rest = shingle[order], self.entry_set[order], self.entry_rest[order]
+        sizes = np.bincount(shingle, minlength=len(counts))
+        blocks = -(-sizes // BLOCK)
+        self.block_ends = np.cumsum(blocks)
+        self.block_starts = self.block_ends - blocks
+        ends = np.cumsum(sizes)
+        self.starts = np.repeat(ends - sizes, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(self.block_starts, blocks))
+        self.lengths = np.minimum(np.repeat(ends, blocks) - self.starts, BLOCK)
+        self.most_rest = np.maximum.reduceat(self.entry_rest, self.starts)
+        self.least_size = self.sizes[self.entry_set[self.starts]]
+        self.most_size = self.sizes[self.entry_set[self.starts + self.lengths - 1]]
+        self.mark = np.zeros(len(counts), np.bool_)
+        self.where = np.full(m, -1)
+
+    def codes(self, x: int) -> np.ndarray:
+        return self.flat[self.set_starts[x] : self.set_ends[x]]
+
+    def _found(self, x: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, overlaps): all that reach `percent` with set x are among them."""
+        n, own = int(self.sizes[x]), self.codes(x)
+        first = own[: prefix_length(n, percent)]
+        blocks = self.block_ends[first] - self.block_starts[first]
+        at, rest = _ranges(self.block_starts[first], blocks), np.repeat(n - np.arange(len(first)), blocks)
+        need = _least_overlap(n, self.least_size[at], percent)
+        kept = (100 * self.most_size[at] >= percent * n) & (percent * self.least_size[at] <= 100 * n) & (np.minimum(rest, self.most_rest[at]) >= need)
+        self.skipped += len(at) - int(kept.sum())
+        at, rest = at[kept], rest[kept]
+        entries, rest = _ranges(self.starts[at], self.lengths[at]), np.repeat(rest, self.lengths[at])
+        self.read += len(entries)
+        others = self.entry_set[entries]
+        kept = np.minimum(rest, self.entry_rest[entries]) >= _least_overlap(n, self.sizes[others], percent)
+        found = np.unique(others[kept])
+        self.mark[own] = True
+        lengths = self.sizes[found]
+        shared = np.add.reduceat(self.mark[self.flat[_ranges(self.set_starts[found], lengths)]].astype(np.int64), np.cumsum(lengths) - lengths)
+        self.read += int(lengths.sum())
+        self.mark[own] = False
+        return found, shared
+
+    def _differing(self, x: int, leader: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of x that the leader lacks, and of the leader that x lacks."""
+        own, led = self.codes(x), self.codes(leader)
+        self.mark[led] = True
+        fresh = own[~self.mark[own]]
+        self.mark[led] = False
+        self.mark[own] = True
+        gone = led[~self.mark[led]]
+        self.mark[own] = False
+        return fresh, gone
+
+    def _near(self, x: int, fresh: np.ndarray, gone: np.ndarray) -> bool:
+        """Whether all that link with x reach `loose` percent with the leader: against it the shared shingles shrink by
+        the fresh ones at most, all shingles grow by those gone at most."""
+        return 100 * len(fresh) + self.loose * len(gone) <= (self.percent - self.loose) * self.sizes[x]
+
+    def _counted(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """How often each candidate of the leader stands in the lists of these shingles."""
+        at = self.where[self.owners[_ranges(self.list_starts[codes], self.list_ends[codes] - self.list_starts[codes])]]
+        self.read += len(at)
+        return np.bincount(at[at >= 0], minlength=n)
+
+    def overlaps(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(sets, overlaps) of set 0, 1, ..."""
+        leader, found, shared = None, None, None
+        last = len(self.sizes) - 1
+        for x in range(last + 1):
+            if leader is not None:
+                fresh, gone = self._differing(x, leader)
+                if self._near(x, fresh, gone):
+                    self.derived += 1
+                    yield found, shared + self._counted(fresh, len(found)) - self._counted(gone, len(found))
+                    continue
+                self.where[found] = -1
+                leader = None
+            if x < last and self._near(x + 1, *self._differing(x + 1, x)):
+                leader = x
+                found, shared = self._found(x, self.loose)
+                self.where[found] = np.arange(len(found))
+                yield found, shared
             else:
-                answer = self._gather(codes)
-            last = codes
-            yield answer
+                yield self._found(x, self.percent)
 
 
 def cell_links(ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -395,23 +492,31 @@ def cell_links(ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, sets: li
     across: only links between different blocks count.
     """
     m = len(sets)
-    label = np.arange(m)
+    parent = np.arange(m)
     links = np.zeros(m, np.int64)
-    cell = Answers(sets)
-    for x, shared in enumerate(cell.overlaps()):
-        union = cell.sizes + cell.sizes[x] - shared
-        linked = 100 * shared >= percent * union
-        linked[x] = False
+
+    def roots(of: np.ndarray) -> np.ndarray:
+        above = parent[of]
+        while (parent[above] != above).any():
+            above = parent[above]
+        return above
+
+    cell = Answers(sets, percent)
+    for x, (found, shared) in enumerate(cell.overlaps()):
+        linked = (100 * shared >= percent * (cell.sizes[found] + cell.sizes[x] - shared)) & (found != x)
         if across:
-            linked &= blocks != blocks[x]
-        links[x] = copies[linked].sum()
-        for other in np.unique(label[linked]):
-            if other != label[x]:
-                low, high = min(other, label[x]), max(other, label[x])
-                label[label == high] = low
+            linked &= blocks[found] != blocks[x]
+        some = found[linked]
+        if len(some):
+            links[x] = copies[some].sum()
+            some = np.append(some, x)
+            own = roots(some)
+            least = own.min()
+            parent[own] = parent[some] = least
+    own = roots(np.arange(m))
     root = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(root, label, ids)
-    return root[label], links
+    np.minimum.at(root, own, ids)
+    return root[own], links
 
 
 def join_cells(rows: DataFrame, percent: int) -> DataFrame:

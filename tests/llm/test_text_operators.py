@@ -117,6 +117,37 @@ def test_exact_dedup_repeated_rows(spark):
     assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_index_bytes_are_in_proportion(spark, monkeypatch):
+    """However many memtables and buckets there are, the index has about as many bytes a digest; levels lose nothing."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", 4)
+    each = []
+    for n in (10_000, 100_000):
+        rows = spark.range(0, n, 1, 16).select(F.col("id").alias("doc_id"), F.unhex(F.sha2(F.concat(F.lit("t"), (F.col("id") % (n // 2)).cast("string")).cast("binary"), 256)).alias("digest"))
+        buckets = n // 1000
+        runs = exact_dedup.build_runs(rows, 4, memtable_rows=500, digest_bytes=32)
+        size = runs.select(F.sum(sum(F.octet_length(c) for c in ("digests", "ids", "sizes", "filter")))).first()[0]
+        each.append(size / n)
+        index = exact_dedup.compact(runs, buckets, digest_bytes=32).agg(F.count("*"), F.count_distinct("digest"), F.sum("keep_id"), F.min("group_size"), F.max("group_size")).first()
+        assert tuple(index) == (n // 2, n // 2, (n // 2) * (n // 2 - 1) // 2, 2, 2)
+    assert max(each) < 60 and each[1] < 1.05 * each[0]
+
+
+def test_filters_have_no_false_negatives():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    runs = []
+    for n in (3, 700, 50, 2000, 2000, 1):
+        d = np.unique(rng.integers(0, 1 << 60, (n, 4)).view("S32").ravel())
+        runs.append((d, np.arange(len(d)), np.ones(len(d), np.int64), exact_dedup.make_filter(d)))
+    out = runs[0]
+    for r in runs[1:]:
+        out = exact_dedup.merge(out, r)
+        assert exact_dedup.may_hold(out[3], out[0]).all() and (np.sort(out[0]) == out[0]).all()
+    assert len(out[0]) == sum(len(r[0]) for r in runs)
+    assert exact_dedup.may_hold(out[3], np.unique(rng.integers(0, 1 << 60, (5000, 4)).view("S32").ravel())).mean() < 0.2
+
+
 def brute_sets(texts):
     out = []
     for t in texts:
@@ -151,16 +182,54 @@ def test_jaccard_join(spark, texts, long_list, cell_shingles):
     assert set_join.jaccard_components(docs_of(spark, [])).count() == 0
 
 
-def test_incremental_answers_read_less():
+def test_answers_skip_blocks_and_derive():
+    """Every set that reaches the threshold is found with its exact overlap; lists are skipped, answers derived."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    base = np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64))
-    sets = [np.unique(np.r_[base[: 300 - k % 5], rng.integers(0, 1 << 60, 3).astype(np.uint64)]) for k in range(40)]
-    cell = set_join.Answers(sets)
-    for x, got in enumerate(cell.overlaps()):
-        assert got.tolist() == [len(np.intersect1d(sets[x], s)) for s in sets]
-    assert cell.read < sum(len(s) for s in sets) * len(sets) / 5
+    fresh = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    base = np.unique(fresh(300))
+    alike = [np.unique(np.r_[base[: 300 - k % 5], fresh(3)]) for k in range(40)]
+    some = fresh(400)
+    mixed = [np.unique(rng.choice(some, rng.integers(1, 350), replace=False)) for _ in range(60)]
+    mixed += [np.unique(np.r_[m[: len(m) * 9 // 10], fresh(len(m) // 12)]) for m in mixed]
+    mixed += [np.unique(np.r_[some[:200], fresh(200 + k)]) for k in range(40)]
+    for sets, percent in ((alike, 80), (mixed, 80), (mixed, 95), (mixed, 30), (mixed, 100)):
+        cell = set_join.Answers(sets, percent)
+        for x, (found, shared) in enumerate(cell.overlaps()):
+            want = [len(np.intersect1d(sets[x], s)) for s in sets]
+            assert shared.tolist() == [want[i] for i in found]
+            assert set(found.tolist()) >= {i for i, n in enumerate(want) if 100 * n >= percent * (len(sets[x]) + len(sets[i]) - n)}
+        if sets is alike:
+            assert cell.derived > 30 and cell.read < sum(len(s) for s in sets) * len(sets) / 5
+        elif percent == 95:
+            assert cell.skipped
+
+
+def test_exchanges_deal_rows_of_a_part_together(spark, monkeypatch):
+    """More partitions than one step deals: every row arrives, those of a part in one place, empty parts nowhere."""
+    import numpy as np
+    import pyarrow as pa
+
+    from geoweft.llm import _common
+
+    monkeypatch.setattr(_common, "FAN", 4)
+    hashes = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def cut(batches):
+        for k, batch in enumerate(batches):
+            rows = hashes[np.array(batch.column(0).to_pylist(), np.int64)]
+            parts, blobs = _common.packed_parts(rows, rows, 4)
+            assert len(parts) <= 4 and all(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array([*parts, 0], pa.int32()), pa.array([k] * (len(parts) + 1), pa.int64()), pa.array([False] * len(parts) + [True]), pa.array([*blobs, b"other"], pa.binary())], names=["part", "salt", "whole", "blob"])
+
+    blobs = spark.range(0, 3000, 1, 6).mapInArrow(cut, "part int, salt long, whole boolean, blob binary")
+    got = _common.dealt(blobs, 11, np.dtype("<u8"), lambda rows: rows).withColumn("at", F.spark_partition_id()).collect()
+    assert sum(r.whole for r in got) == 6
+    rows = [r for r in got if not r.whole]
+    assert sorted(x for r in rows for x in np.frombuffer(bytes(r.blob), "<u8").tolist()) == sorted(hashes.tolist())
+    assert {r.part for r in rows} == set(range(11)) and all(len({r.at for r in rows if r.part == p}) == 1 for p in range(11))
+    assert all((int(x) >> 32) * 11 >> 32 == r.part for r in rows for x in np.frombuffer(bytes(r.blob), "<u8"))
 
 
 def test_components(spark):
