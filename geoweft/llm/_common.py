@@ -92,3 +92,22 @@ def dealt(blobs: DataFrame, partitions: int, kind: np.dtype, hash_of: Callable[[
 
     fine = F.pmod(F.xxhash64("salt"), F.lit(-(-partitions // FAN)))
     return blobs.repartition(partitions, "part", fine).select("part", "whole", "blob").mapInArrow(again, "part int, whole boolean, blob binary").repartition(partitions, "part")
+
+
+#: Keys of more than HOT_ROWS rows and more than 1/HOT_PARTS of all are fewer than HOT_PARTS, and are broadcast.
+HOT_ROWS, HOT_PARTS = 1000, 1 << 16
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str, times: str, total: int, spread: str) -> DataFrame:
+    """rows left-joined with table (unique in key, other columns than rows), whatever number of rows a key has.
+
+    times: the column of table that counts its key's rows, total: all rows. Hot keys are broadcast, behind the bound that
+    follows from total; their rows are spread over the shuffle by the column `spread`, the others meet table by key.
+    """
+    most = max(HOT_ROWS, total // HOT_PARTS)
+    values = [c for c in table.columns if c != key]
+    hot = table.filter(F.col(times) > most).select(F.col(key), F.struct(*values).alias("_hot"))
+    rest = table.filter(F.col(times) <= most).select(F.col(key), F.struct(*values).alias("_rest"), F.lit(0).cast("long").alias("_spread"))
+    found = rows.join(F.broadcast(hot), key, "left")
+    found = found.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 40))))
+    return found.join(rest, [key, "_spread"], "left").withColumn("_hot", F.coalesce("_hot", "_rest")).select(*rows.columns, "_hot.*")

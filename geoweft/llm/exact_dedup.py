@@ -10,8 +10,8 @@
    with its own copy of the kept text. Rows whose bytes differ, a digest collision, are grouped by their bytes.
 
 Bounded memory: a memtable has `memtable_rows` entries, a bucket about `bucket_rows`. The index's bytes are in proportion
-to its digests, whatever the number of memtables and buckets. No digest reaches the driver. Groups of more than
-1/HOT_PARTS of all rows, fewer than HOT_PARTS by that, are broadcast to the rows; the others meet them by shuffle.
+to its digests, whatever the number of memtables and buckets. Hot groups, few by a bound that follows from the number of
+rows, are broadcast to the rows; all others meet them by shuffle.
 
 Defined results: null counts as empty; white space alone is one space, not empty; of repeated rows (same id, same
 text) the first stays and each has its row in the result; an empty table gives no rows.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import blob_partitions, cut, id_and_bytes
+from geoweft.llm._common import blob_partitions, cut, id_and_bytes, matched
 
 SPACE = frozenset(b" \t\n\v\f\r")
 RUNS = "bucket long, run long, rows long, digests binary, ids binary, sizes binary, filter binary"
@@ -36,7 +36,6 @@ FILTER_HASHES = 4
 FILTER_BITS_PER_ROW = 10
 FANOUT = 64
 SALT_ROWS, SALT_PARTS = 256, 4096
-HOT_ROWS, HOT_PARTS = 1000, 1 << 16
 #: So many hits (about a hundred bytes each) may be broadcast to the texts.
 BROADCAST_HITS = 1 << 17
 
@@ -200,16 +199,6 @@ def _verified(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> D
     return rows.join(kept, ["digest", "salt"]).groupBy("doc_id", "digest", "sha").agg(F.max(F.col("norm") == F.col("kept_norm")).alias("same")).filter(~F.col("same"))
 
 
-def _placed(ones: DataFrame, shared: DataFrame, rows: int) -> DataFrame:
-    """ones (doc_id, digest, sha, copy) with the keep_id and group_size of their digest in shared, or their own."""
-    hot = shared.filter(F.col("group_size") > max(HOT_ROWS, rows // HOT_PARTS)).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
-    rest = shared.filter(F.col("group_size") <= max(HOT_ROWS, rows // HOT_PARTS)).withColumnRenamed("digest", "key")
-    found = ones.join(F.broadcast(hot), "digest", "left")
-    # rows of hot groups are placed; a key that no digest equals spreads them over the shuffle
-    found = found.withColumn("key", F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.concat("digest", F.encode(F.col("doc_id").cast("string"), "UTF-8"))))
-    return found.join(rest, "key", "left").select("doc_id", "digest", "sha", "copy", F.coalesce("hot_id", "keep_id", "doc_id").alias("keep_id"), F.coalesce("hot_size", "group_size", F.lit(1)).alias("group_size"))
-
-
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 100_000, bucket_rows: int = 200_000, digest_bytes: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 of the normalised text. See the module's text."""
     digests = cut(digest_rows(docs, id_col=id_col, text_col=text_col, digest_bytes=digest_bytes).groupBy("doc_id", "digest", "sha").agg(F.count(F.lit(1)).alias("copies")))
@@ -218,7 +207,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ones = digests.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     runs = build_runs(ones, min(buckets, FANOUT), memtable_rows=memtable_rows, digest_bytes=digest_bytes)
     index = cut(compact(runs, buckets, digest_bytes=digest_bytes))
-    placed = _placed(ones, index.filter("group_size > 1"), rows or 0)
+    placed = matched(ones, index.filter("group_size > 1"), "digest", "group_size", rows or 0, "doc_id")
+    placed = placed.select("doc_id", "digest", "sha", "copy", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     placed = cut(placed)
     hits = placed.filter("group_size > 1 AND doc_id <> keep_id AND copy = 1").withColumn("salts", F.ceil(F.col("group_size") / max(SALT_ROWS, (rows or 0) // SALT_PARTS)).cast("int"))
     other = cut(_verified(docs, hits, id_col, text_col)).select("doc_id", "digest", "sha", F.lit(True).alias("differs"))

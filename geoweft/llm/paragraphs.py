@@ -3,8 +3,8 @@
 Paragraphs are all lines of at least one shingle of words. Where lines are wrapped, the whole block between blank lines
 is a paragraph too. A block is wrapped if each of its lines has fewer than `WRAP_WORDS` words, or if no line but the last
 has room for the next one's first word. Paragraphs of the same words are one node. A node's MinHash signature is cut into bands, tuned so that a pair at the threshold is missed with a probability below
-`MISS`. Nodes that share a band are tied to the smallest of them (one edge per node and band, however many share it);
-the components of these ties are cells, within which exact Jaccard similarity is verified and links make clusters. A set
+`MISS`. Nodes that share a band are tied to the smallest of them (one edge per node and band, however many share it),
+first within a chunk of documents, of which one node goes on, so that a hot band has one row per chunk; the components of these ties are cells, within which exact Jaccard similarity is verified and links make clusters. A set
 of few shingles, which at the threshold has equal ones only, needs one band.
 
 Passages inside or across paragraphs: of each `ANCHOR` neighbouring words the one with the smallest hash starts a window
@@ -26,23 +26,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm import set_join
-from geoweft.llm._common import blob_partitions, cut, id_and_bytes
+from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, matched, packed_parts
 from geoweft.llm.components import connected_components
 
 WRAP_WORDS = 30
 ANCHOR, WINDOW_WORDS = 20, 32
 MISS = 0.002
 WINDOWS_PER_PARTITION = 1 << 20
+BANDS_PER_PARTITION = 1 << 20
 CONTEXTS_PER_PARTITION = 1 << 15
+_BAND = np.dtype([("band", "<u8"), ("node", "<i8")])
 _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _CONTEXT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1", 2), ("near", "<u4", (2, ANCHOR - 1))])  # 32 bits of the words beside a window
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^ \t-\r]+")
-_PARAGRAPH = "doc_id long, start_word int, end_word int, node long, bands array<long>, part int, windows binary"
+_PARAGRAPH = "doc_id long, start_word int, end_word int, node long, windows boolean, part int, salt long, whole boolean, blob binary"
 
 
 def tuned_bands(percent: int, most: int = 64) -> tuple[int, int]:
@@ -143,46 +145,101 @@ def alone(percent: int) -> int:
     return -(-percent // (100 - percent)) - 1 if percent < 100 else 1 << 31
 
 
-def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
-    """Rows of paragraphs, and rows (part, windows) of passage windows dealt by their hash."""
+def banded(nodes: np.ndarray, keys: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, ties) of a chunk: for each band the least of its nodes, and pairs that tie the others to it.
+
+    nodes: of each paragraph; keys: its band keys, of which a paragraph of few shingles needs the first alone.
+    """
+    _, first = np.unique(nodes, return_index=True)
+    nodes, keys, few = nodes[first], keys[first], few[first]
+    rows = np.empty(keys.size, _BAND)
+    rows["band"], rows["node"] = keys.view(np.uint64).ravel(), np.repeat(nodes, keys.shape[1])
+    rows = rows[~(np.repeat(few, keys.shape[1]) & (np.arange(keys.size) % keys.shape[1] > 0))]
+    return tied_bands(rows)
+
+
+def tied_bands(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (band, node): one row per band, of its least node, and (node, least) of the other nodes."""
+    rows = np.sort(rows, order=("band", "node"))
+    fresh = np.r_[True, rows["band"][1:] != rows["band"][:-1]] if len(rows) else np.zeros(0, np.bool_)
+    least = rows["node"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    other = rows["node"] != least
+    return rows[fresh], np.unique(np.stack([rows["node"][other], least[other]], 1), axis=0)
+
+
+def _scan(docs: DataFrame, partitions: int, band_partitions: int, k: int, percent: int) -> DataFrame:
+    """Rows of paragraphs; rows (windows, part, salt, whole, blob) of passage windows, and of bands and (whole) their ties,
+    dealt by their hash."""
     bands, rows = tuned_bands(percent)
-    kinds = {"doc_id": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "node": pa.int64(), "bands": pa.list_(pa.int64()), "part": pa.int32(), "windows": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "node": pa.int64(), "windows": pa.bool_(), "part": pa.int32(), "salt": pa.int64(), "whole": pa.bool_(), "blob": pa.binary()}
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = _first_salt()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found: dict[str, list] = {c: [] for c in list(kinds)[:5]}
-                windows = []
+                ids, places, nodes, keys, windows = [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own, places = _paragraphs(text, k)
-                    if len(places):
-                        starts, ends = places.T
-                        found["doc_id"] += [doc] * len(places)
-                        found["start_word"] += starts.tolist()
-                        found["end_word"] += ends.tolist()
-                        found["node"] += [xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63) for a, b in places.tolist()]
-                        keys = signature_bands(_rolling(own, k), starts, ends - k + 1, bands, rows)
-                        found["bands"] += [x[:1] if few else x for x, few in zip(keys, (ends - starts - k + 1 <= alone(percent)).tolist(), strict=True)]
+                    own, found = _paragraphs(text, k)
+                    if len(found):
+                        starts, ends = found.T
+                        ids += [doc] * len(found)
+                        places.append(found)
+                        nodes += [xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63) for a, b in found.tolist()]
+                        keys.append(signature_bands(_rolling(own, k), starts, ends - k + 1, bands, rows))
                     starts = anchors(own)
                     if len(starts):
                         some = np.empty(len(starts), _WINDOW)
                         some["hash"], some["doc"], some["start"] = _windows(own, starts), doc, starts
                         windows.append(some)
-                if found["doc_id"]:
-                    yield batch_of(len(found["doc_id"]), **found)
+                if ids:
+                    starts, ends = np.concatenate(places).T
+                    yield batch_of(len(ids), doc_id=ids, start_word=starts, end_word=ends, node=nodes)
+                    least, ties = banded(np.array(nodes), np.concatenate(keys), ends - starts - k + 1 <= alone(percent))
+                    parts, blobs = packed_parts(least, least["band"], min(FAN, band_partitions))
+                    whole = [False] * len(parts) + [True]
+                    parts.append(salt % min(FAN, band_partitions))
+                    yield batch_of(len(parts), windows=[False] * len(parts), part=parts, salt=[salt] * len(parts), whole=whole, blob=[*blobs, ties.tobytes()])
                 if windows:
                     all_of = np.concatenate(windows)
-                    all_of = all_of[np.argsort(all_of["hash"], kind="stable")]
-                    cuts = np.searchsorted(all_of["hash"], np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64))
-                    yield batch_of(partitions, part=list(range(partitions)), windows=[x.tobytes() for x in np.split(all_of, cuts)])
+                    parts, blobs = packed_parts(all_of, all_of["hash"], min(FAN, partitions))
+                    yield batch_of(len(parts), windows=[True] * len(parts), part=parts, salt=[salt] * len(parts), whole=[False] * len(parts), blob=blobs)
+                salt += 1
 
     return docs.mapInArrow(run, _PARAGRAPH)
 
 
+def _ties(scanned: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): nodes that share a band, tied to the least of the band's nodes."""
+
+    def rows_of(ties: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in ties.T], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, whole, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if whole:
+                    yield rows_of(np.frombuffer(blob, np.int64).reshape(-1, 2))
+                else:
+                    parts.setdefault(part, []).append(blob)
+        for part in list(parts):
+            yield rows_of(tied_bands(np.frombuffer(b"".join(parts.pop(part)), _BAND))[1])
+
+    blobs = scanned.filter("NOT windows").select("part", "salt", "whole", "blob")
+    return dealt(blobs, partitions, _BAND, lambda rows: rows["band"]).mapInArrow(run, "a long, b long")
+
+
+def _first_salt() -> int:
+    """Of the numbers that a task may give to its chunks, the first."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 32
+
+
 def _blobs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
     """Rows of each part, by hash, from batches of (part, blob)."""
     parts: dict[int, list[bytes]] = {}
@@ -205,17 +262,18 @@ def _shared_windows(scanned: DataFrame, partitions: int) -> DataFrame:
             shared = rows[np.repeat(np.minimum.reduceat(rows["doc"], starts) != np.maximum.reduceat(rows["doc"], starts), sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(shared["doc"]), pa.array(shared["start"].astype(np.int32)), pa.array(np.ascontiguousarray(shared["hash"]).view(np.int64))], names=["doc_id", "start_word", "hash"])
 
-    blobs = scanned.filter("part IS NOT NULL").select("part", "windows").repartition(partitions, "part")
-    return blobs.mapInArrow(run, "doc_id long, start_word int, hash long")
+    blobs = scanned.filter("windows").select("part", "salt", "whole", "blob")
+    return dealt(blobs, partitions, _WINDOW, lambda rows: rows["hash"]).select("part", "blob").mapInArrow(run, "doc_id long, start_word int, hash long")
 
 
 def _contexts(windows: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
-    """(part, blob): shared windows with the words beside them, from their texts, dealt by the windows' hash."""
+    """(part, salt, whole, blob): shared windows with the words beside them, from their texts, dealt by the windows' hash."""
     by_doc = windows.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("hash").alias("hashes")).withColumnRenamed("doc_id", "of")
     small = windows.count() <= set_join.BROADCAST_ROWS
     found = texts.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("of")).select("doc_id", "text", "starts", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = _first_salt()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 out = []
@@ -235,12 +293,11 @@ def _contexts(windows: DataFrame, texts: DataFrame, partitions: int) -> DataFram
                     some["near"][:, 1] = room[starts[:, None] + (ANCHOR - 1 + WINDOW_WORDS + steps)]
                     out.append(some)
                 all_of = np.concatenate(out)
-                part = ((all_of["hash"] >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                held, first = np.unique(part[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([x.tobytes() for x in np.split(all_of[order], first[1:])], pa.binary())], names=["part", "blob"])
+                parts, blobs = packed_parts(all_of, all_of["hash"], min(FAN, partitions))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array([False] * len(parts), pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "salt", "whole", "blob"])
+                salt += 1
 
-    return found.mapInArrow(run, "part int, blob binary")
+    return found.mapInArrow(run, "part int, salt long, whole boolean, blob binary")
 
 
 def shared_stretches(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -314,7 +371,7 @@ def _stretches(contexts: DataFrame, partitions: int) -> DataFrame:
                 some = [x.tobytes() for x in np.split(found, first[1:])[k : k + 10_000]]
                 yield pa.RecordBatch.from_arrays([pa.array(held[k : k + 10_000]), pa.array(some, pa.binary())], names=["doc_id", "blob"])
 
-    return contexts.repartition(partitions, "part").mapInArrow(run, "doc_id long, blob binary")
+    return dealt(contexts, partitions, _CONTEXT, lambda rows: rows["hash"]).select("part", "blob").mapInArrow(run, "doc_id long, blob binary")
 
 
 def split_spans(found: np.ndarray) -> np.ndarray:
@@ -368,12 +425,8 @@ def _paragraph_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(run, "id long, cell long, copies long, blocks int, hashes binary")
 
 
-def paragraph_clusters(found: DataFrame, texts: DataFrame, *, words: int, percent: int, cell_shingles: int = set_join.CELL_SHINGLES) -> DataFrame:
-    """(node, cluster) of paragraph nodes with links; found: paragraph rows of _scan()."""
-    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "start_word", "end_word")).alias("first"), F.any_value("bands").alias("bands"))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "least")
-    ties = banded.join(least, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+def paragraph_clusters(nodes: DataFrame, ties: DataFrame, texts: DataFrame, *, words: int, percent: int, cell_shingles: int = set_join.CELL_SHINGLES) -> DataFrame:
+    """(node, cluster) of paragraph nodes with links; nodes: node, first (doc_id, start_word, end_word); ties: a, b."""
     cells = cut(connected_components(ties))
     members = nodes.select("node", "first.*").join(cells, "node")
     weights = set_join.cells_weights(members.select("component", (F.col("end_word") - F.col("start_word")).alias("n")), cell_shingles)
@@ -387,13 +440,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     words between ASCII white space), first_doc_id (smallest document of the cluster), removed (not in that document)."""
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     partitions = blob_partitions(total // 60, WINDOWS_PER_PARTITION)  # a window for each ten words
+    band_partitions = blob_partitions(total // 10, BANDS_PER_PARTITION)
     texts = id_and_bytes(docs, id_col, text_col)
-    scanned = cut(_scan(texts, partitions, words, percent))
-    found = scanned.filter("node IS NOT NULL").drop("part", "windows")
-    clusters = paragraph_clusters(found, texts, words=words, percent=percent)
-    placed = found.select("doc_id", "start_word", "end_word", "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    shared = placed.groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("first_doc_id < last_doc_id")
-    whole = placed.join(shared, "cluster").select("doc_id", F.lit("paragraph").alias("kind"), "start_word", "end_word", "first_doc_id")
+    scanned = cut(_scan(texts, partitions, band_partitions, words, percent))
+    found = scanned.filter("node IS NOT NULL").select("doc_id", "start_word", "end_word", "node")
+    nodes = cut(found.groupBy("node").agg(F.min(F.struct("doc_id", "start_word", "end_word")).alias("first"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("times")))
+    clusters = cut(paragraph_clusters(nodes, _ties(scanned, band_partitions), texts, words=words, percent=percent))
+    placed = nodes.join(clusters, "node", "left").select("node", "times", F.col("first.doc_id").alias("first_doc_id"), "last_doc_id", "cluster", F.col("cluster").isNotNull().alias("linked"))
+    linked = placed.filter("linked")  # connected_components() has a row for each node of a cluster
+    ends = linked.groupBy("cluster").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id"))
+    linked = linked.select("node", "times", "cluster").join(ends, "cluster").select("node", "times", "first_doc_id", "last_doc_id")
+    shared = linked.unionByName(placed.filter("NOT linked").select("node", "times", "first_doc_id", "last_doc_id")).filter("first_doc_id < last_doc_id")
+    shared = cut(shared.select("node", "times", "first_doc_id"))
+    rows = nodes.agg(F.sum("times")).first()[0] or 0
+    whole = matched(found, shared, "node", "times", rows, "doc_id").filter("first_doc_id IS NOT NULL").select("doc_id", F.lit("paragraph").alias("kind"), "start_word", "end_word", "first_doc_id")
     windows = cut(_shared_windows(scanned, partitions))
     near = blob_partitions(windows.count(), CONTEXTS_PER_PARTITION)
     parts = _passages(_stretches(_contexts(windows, texts, near), near)).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
