@@ -37,7 +37,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.item_digests(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.item_digests(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,10 +119,17 @@ SQL: dict[str, str] = {
                FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
         hit AS (SELECT doc_id, item, k, i FROM dw JOIN bw USING (k, g)),
         pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
-        its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+        its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id),
+        dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d),
+        freq AS (SELECT t, count(*) AS n FROM dp GROUP BY t),
+        ws AS (SELECT item, k, string_split(g, ' ') AS g FROM bw),
+        wt AS (SELECT item, k, g, arg_min(t, coalesce(n, 0)) AS t FROM (SELECT *, unnest(g) AS t FROM ws) LEFT JOIN freq USING (t) GROUP BY item, k, g),
+        near AS (SELECT doc_id, item, k + 3 AS r, g, w, p FROM dp JOIN wt USING (t) WHERE list_has_all(w[greatest(1, p - k - 2) : p + k + 2], g)),
+        st AS (SELECT *, unnest(range(greatest(1, p - r + 1), greatest(1, least(p, len(w) - r + 1)) + 1)) AS i FROM near),
+        prox AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM st WHERE list_has_all(w[i : i + r - 1], g) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN prox USING (doc_id)""",
     "op9_jaccard_join": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),

@@ -270,12 +270,27 @@ def test_decontamination(spark):
 
 
 def test_proximity(spark):
-    docs = docs_of(spark, ["a x b y c", "c b a", "a q q q q b c", "a b"])
-    bench = spark.createDataFrame([("t", "a b c")], "item_id string, text string")
-    rows = decontaminate.decontaminate(docs, bench, slop=2).collect()
-    near = {r.doc_id for r in rows if any(s.kind == "proximity" for s in r.spans)}
-    assert near == {0}  # stretches of five words; the second document is shorter than one
-    assert all(r.n_hit == 0 for r in rows)
+    """Any order, within some more words; the whole document where it is shorter. Against brute force."""
+    rng = random.Random(14)
+    texts = ["a x b y c", "c b a", "a q q q q b c", "a b", "", None] + [words(rng, rng.randrange(1, 40), 8) for _ in range(60)]
+    items = {"t": "a b c", "u": "w1 w2 w1 w3", "v": "w4"}
+    rows = decontaminate.decontaminate(docs_of(spark, texts), spark.createDataFrame(list(items.items()), "item_id string, text string"), slop=2, shard_words=50).collect()
+    for r in rows:
+        w = (texts[r.doc_id] or "").split()
+        want = set()
+        for item, text in items.items():
+            need, reach = set(text.split()), len(text.split()) + 2
+            for i in range(max(1, len(w) - reach + 1)):
+                if need <= set(w[i : i + reach]):
+                    want.add((item, i, min(len(w), i + reach)))
+        assert {(s.item, s.start, s.end) for s in r.spans if s.kind == "proximity"} == want, texts[r.doc_id]
+    assert next(r for r in rows if r.doc_id == 0).n_hit == 0
+
+
+def test_items_without_an_id_are_hit(spark):
+    bench = spark.createDataFrame([(None, "x y z"), ("i", "y z")], "item_id string, text string")
+    got = decontaminate.item_digests(decontaminate.decontaminate(docs_of(spark, ["a x y z b", "a y z", "q"]), bench, block_bytes=3)).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got} == {(0, 3, 1), (1, 2, 1), (2, 0, 0)}
 
 
 def test_language_id(spark):
