@@ -68,30 +68,33 @@ def packed_parts(rows: np.ndarray, hashes: np.ndarray, parts: int) -> tuple[list
     return held.tolist(), [x.tobytes() for x in np.split(rows[order], first[1:])] if len(held) else []
 
 
-def dealt(blobs: DataFrame, partitions: int, kind: np.dtype, hash_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(part, whole, blob) with each part's rows in one of `partitions` partitions.
+def dealt(blobs: DataFrame, partitions: int, kinds: dict[int, tuple[np.dtype, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
+    """(part, kind, blob) with each part's rows in one of `partitions` partitions.
 
-    blobs: (part, salt, whole, blob) as packed_parts(rows, hashes, min(FAN, partitions)) cuts them; salt tells a task's
-    chunks apart; what is `whole` holds something else and may go to any task. Up to FAN partitions one exchange does.
-    Beyond, the rows of a coarse part first meet in as many tasks as it has fine ones, which cut them anew, so that a
-    chunk never makes a row for each of very many partitions.
+    blobs: (part, salt, kind, blob) as packed_parts(rows, hashes, min(FAN, partitions)) cuts them; salt tells a task's
+    chunks apart; kinds gives the type and hashes of rows by kind, other kinds hold something else and may go to any task.
+    Up to FAN partitions one exchange does. Beyond, the rows of a coarse part first meet in as many tasks as it has fine
+    ones, which cut them anew, so that a chunk never makes a row for each of very many partitions.
     """
     if partitions <= FAN:
-        return blobs.select("part", "whole", "blob").repartition(partitions, "part")
+        return blobs.select("part", "kind", "blob").repartition(partitions, "part")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list[bytes]] = {k: [] for k in kinds}
         for batch in batches:
-            passed = batch.filter(batch.column("whole"))
+            passed = batch.filter(pa.array([k not in kinds for k in batch.column("kind").to_pylist()], pa.bool_()))
             if passed.num_rows:
                 yield passed
-            held += [x for x, whole in zip(batch.column("blob").to_pylist(), batch.column("whole").to_pylist(), strict=True) if not whole]
-        rows = np.frombuffer(b"".join(held), kind)
-        parts, cut_rows = packed_parts(rows, hash_of(rows), partitions)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([False] * len(parts), pa.bool_()), pa.array(cut_rows, pa.binary())], names=["part", "whole", "blob"])
+            for k, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if k in kinds:
+                    held[k].append(blob)
+        for k, (kind, hash_of) in kinds.items():
+            rows = np.frombuffer(b"".join(held.pop(k)), kind)
+            parts, cut_rows = packed_parts(rows, hash_of(rows), partitions)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([k] * len(parts), pa.int32()), pa.array(cut_rows, pa.binary())], names=["part", "kind", "blob"])
 
     fine = F.pmod(F.xxhash64("salt"), F.lit(-(-partitions // FAN)))
-    return blobs.repartition(partitions, "part", fine).select("part", "whole", "blob").mapInArrow(again, "part int, whole boolean, blob binary").repartition(partitions, "part")
+    return blobs.repartition(partitions, "part", fine).select("part", "kind", "blob").mapInArrow(again, "part int, kind int, blob binary").repartition(partitions, "part")
 
 
 #: Keys of more than HOT_ROWS rows and more than 1/HOT_PARTS of all are fewer than HOT_PARTS, and are broadcast.

@@ -9,7 +9,8 @@ turn, its loss mask the reply alone (with the end mark outside). Examples refer
 stream by offsets, so that a long conversation isn't stored once per reply; materialise() writes the texts out.
 
 Turns are rows throughout: offsets come from a running sum within the conversation, which spills; nothing gathers a
-conversation but digests and materialise(), whose results are one value for it. DataFrame functions only.
+conversation but digests() and materialise(), whose results are one value for it. digests() reads the trained text
+through the exploded examples. DataFrame functions only.
 
 Defined results: null roles and texts are empty; rows of equal turn number are ordered by role, then text; repeated
 rows are turns of their own; a null conversation id is one conversation; empty tables give no rows.
@@ -74,19 +75,23 @@ def materialise(turns: DataFrame) -> DataFrame:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """From the formatted streams and the examples' masks alone: conv_id, stream, turns (array of role, text), loss
-    (unescaped text under all masks, in order)."""
-    masks = F.array_sort(F.collect_list(F.when(F.col("loss_start").isNotNull(), F.struct("loss_start", "loss_end"))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda t: t["piece"]), "")
-    whole = turns.groupBy("conv_id").agg(joined.alias("stream"), masks.alias("masks"))
+    """From the formatted streams and the expanded examples alone: conv_id, stream, turns (array of role, text), examples
+    (array of loss_start, loss_end, context_end), loss (unescaped text under all examples' masks, in order)."""
+    piece = F.struct("position", "piece")
+    rows = turns.select("conv_id", piece.alias("piece"), F.lit(None).cast("struct<loss_start:long,loss_end:long,context_end:long>").alias("example"))
+    rows = rows.unionByName(examples(turns).select("conv_id", F.lit(None).cast("struct<position:int,piece:string>").alias("piece"), F.struct("loss_start", "loss_end", "context_end").alias("example")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda t: t["piece"]), "")
+    whole = rows.groupBy("conv_id").agg(joined.alias("stream"), F.array_sort(F.collect_list("example")).alias("examples"))
     parts = F.slice(F.split("stream", CLOSE), 1, F.size(F.split("stream", CLOSE)) - 1)
     one = lambda p: F.struct(unescape(F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), BODY, 1)).alias("role"), unescape(F.substr(p, F.instr(p, BODY) + len(BODY))).alias("text"))
-    loss = F.array_join(F.transform("masks", lambda m: unescape(F.substr(F.col("stream"), (m["loss_start"] + 1).cast("int"), (m["loss_end"] - m["loss_start"]).cast("int")))), "")
-    return whole.select("conv_id", "stream", F.transform(parts, one).alias("turns"), loss.alias("loss"))
+    loss = F.array_join(F.transform("examples", lambda m: unescape(F.substr(F.col("stream"), (m["loss_start"] + 1).cast("int"), (m["loss_end"] - m["loss_start"]).cast("int")))), "")
+    return whole.select("conv_id", "stream", F.transform(parts, one).alias("turns"), "examples", loss.alias("loss"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what read_back() gives."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what read_back() gives; n_examples and
+    context_chars, the code points of all examples' contexts together."""
     back = read_back(turns)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("stream").cast("long").alias("formatted_chars"))
+    contexts = F.aggregate("examples", F.lit(0).cast("long"), lambda a, m: a + m["context_end"])
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("stream").cast("long").alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"), contexts.alias("context_chars"))

@@ -5,21 +5,23 @@ training rows. A document is a mixture: expectation-maximisation estimates the l
 n-grams most likely. The language set starts with the best single language; the language with the steepest gain joins
 as long as the likelihood rises by more than a penalty per language, a share of log(n) for overlapping n-grams.
 
-Training passes one table of counts per task and language, in blocks, summed by block: the model's size depends on the
-number of languages alone. Prediction needs no shuffle.
+Training passes tables of counts per task and language, in blocks, summed by block in two steps (FAN_IN tasks first), so
+that no task gathers a table of every other one. The model's size depends on the number of languages alone: half a MB
+for each on the driver and in every executor. More than MOST_LANGUAGES labels are an error.
 
-Defined results: null text, or text without a letter, is `und` with score 0; with no labelled row every text is `und`;
-repeated rows are predicted alike.
+Defined results: null text, or text without a letter (Unicode category L: numerals like those of clocks or fractions are
+none), is `und` with score 0; with no labelled row every text is `und`; repeated rows are predicted alike; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ BLOCK = 1 << 12
 #: A language must raise the log-likelihood by this much times log(n-grams) to join the set.
 PENALTY = 6.0
 ROUNDS = 12
-_LETTER = re.compile(r"[^\W\d_]")
-_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+#: Tables of counts that a task holds before it passes them on; tasks whose tables are summed in the first step.
+HELD, FAN_IN = 64, 512
+MOST_LANGUAGES = 1024
+_LETTER = regex.compile(r"\p{L}")
+_ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 #: Bytes as they count: letters folded to lower case, bytes of other scripts kept, all else a gap.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -64,12 +69,28 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs if where is None else docs.filter(where)
     rows = id_and_bytes(rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
 
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} holds more than {MOST_LANGUAGES} languages")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId() // FAN_IN
         tables: dict[str, np.ndarray] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, table in tables.items():
+                blocks = table.reshape(-1, BLOCK)
+                used = np.flatnonzero(blocks.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array([group] * len(used), pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], names=["lang", "block", "step", "counts"])
+            tables.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 table = tables.get(lang)
                 if table is None:
+                    if len(tables) >= HELD:
+                        yield from passed_on()
                     table = tables[lang] = np.zeros(BUCKETS, np.int64)
                 found = grams(text)
                 if len(found) > 20_000:
@@ -77,17 +98,17 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 else:
                     keys, n = np.unique(found, return_counts=True)
                     table[keys] += n
-        for lang, table in tables.items():
-            blocks = table.reshape(-1, BLOCK)
-            used = np.flatnonzero(blocks.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array([blocks[b].tobytes() for b in used], pa.binary())], names=["lang", "block", "counts"])
+        yield from passed_on()
 
     def total(table: pa.Table) -> pa.Table:
-        counts = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
-        return pa.table({"lang": table.column("lang")[:1], "block": table.column("block")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    kind = "lang string, block int, counts binary"
-    summed = rows.select("doc_id", "text", "lang").mapInArrow(count, kind).groupBy("lang", "block").applyInArrow(total, kind).collect()
+        counts = np.zeros(BLOCK, np.int64)
+        for x in table.column("counts"):
+            counts += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"lang": table.column("lang")[:1], "block": table.column("block")[:1], "step": table.column("step")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    kind = "lang string, block int, step int, counts binary"
+    summed = rows.select("doc_id", "text", "lang").mapInArrow(count, kind).groupBy("lang", "block", "step").applyInArrow(total, kind)
+    summed = summed.groupBy("lang", "block").applyInArrow(total, kind).collect()
     languages = tuple(sorted({r.lang for r in summed}))
     counts = np.zeros((BUCKETS, len(languages)))
     for r in summed:

@@ -36,15 +36,17 @@ from geoweft.llm.components import connected_components
 WRAP_WORDS = 30
 ANCHOR, WINDOW_WORDS = 20, 32
 MISS = 0.002
-WINDOWS_PER_PARTITION = 1 << 20
-BANDS_PER_PARTITION = 1 << 20
+LETTERS_PER_PARTITION = 1 << 23
 CONTEXTS_PER_PARTITION = 1 << 15
 _BAND = np.dtype([("band", "<u8"), ("node", "<i8")])
 _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _CONTEXT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1", 2), ("near", "<u4", (2, ANCHOR - 1))])  # 32 bits of the words beside a window
+_PLACE = np.dtype([("doc", "<i8"), ("node", "<i8"), ("start", "<u4"), ("end", "<u4")])
+BANDS, WINDOWS, PLACES, TIES = range(4)
+_DEALT = {BANDS: (_BAND, lambda rows: rows["band"]), WINDOWS: (_WINDOW, lambda rows: rows["hash"])}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^ \t-\r]+")
-_PARAGRAPH = "doc_id long, start_word int, end_word int, node long, windows boolean, part int, salt long, whole boolean, blob binary"
+_FOUND = "kind int, doc_id long, start_word int, end_word int, a long, b long"
 
 
 def tuned_bands(percent: int, most: int = 64) -> tuple[int, int]:
@@ -167,70 +169,85 @@ def tied_bands(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[fresh], np.unique(np.stack([rows["node"][other], least[other]], 1), axis=0)
 
 
-def _scan(docs: DataFrame, partitions: int, band_partitions: int, k: int, percent: int) -> DataFrame:
-    """Rows of paragraphs; rows (windows, part, salt, whole, blob) of passage windows, and of bands and (whole) their ties,
-    dealt by their hash."""
+def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
+    """(part, salt, kind, blob): places of paragraphs, ties of their nodes within a chunk, bands and passage windows."""
     bands, rows = tuned_bands(percent)
-    kinds = {"doc_id": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "node": pa.int64(), "windows": pa.bool_(), "part": pa.int32(), "salt": pa.int64(), "whole": pa.bool_(), "blob": pa.binary()}
-
-    def batch_of(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = _first_salt()
+        salt, coarse = _first_salt(), min(FAN, partitions)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids, places, nodes, keys, windows = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                chunk = batch.slice(at, 2000)
+                places, keys, windows = [], [], []
+                for doc, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
                     own, found = _paragraphs(text, k)
                     if len(found):
-                        starts, ends = found.T
-                        ids += [doc] * len(found)
-                        places.append(found)
-                        nodes += [xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63) for a, b in found.tolist()]
-                        keys.append(signature_bands(_rolling(own, k), starts, ends - k + 1, bands, rows))
+                        some = np.empty(len(found), _PLACE)
+                        some["doc"], (some["start"], some["end"]) = doc, found.T
+                        some["node"] = [xxhash.xxh3_64_intdigest(own[a:b].tobytes()) - (1 << 63) for a, b in found.tolist()]
+                        places.append(some)
+                        keys.append(signature_bands(_rolling(own, k), found[:, 0], found[:, 1] - k + 1, bands, rows))
                     starts = anchors(own)
                     if len(starts):
                         some = np.empty(len(starts), _WINDOW)
                         some["hash"], some["doc"], some["start"] = _windows(own, starts), doc, starts
                         windows.append(some)
-                if ids:
-                    starts, ends = np.concatenate(places).T
-                    yield batch_of(len(ids), doc_id=ids, start_word=starts, end_word=ends, node=nodes)
-                    least, ties = banded(np.array(nodes), np.concatenate(keys), ends - starts - k + 1 <= alone(percent))
-                    parts, blobs = packed_parts(least, least["band"], min(FAN, band_partitions))
-                    whole = [False] * len(parts) + [True]
-                    parts.append(salt % min(FAN, band_partitions))
-                    yield batch_of(len(parts), windows=[False] * len(parts), part=parts, salt=[salt] * len(parts), whole=whole, blob=[*blobs, ties.tobytes()])
+                blobs: list[tuple[int, int, bytes]] = []
+                if places:
+                    all_of = np.concatenate(places)
+                    least, ties = banded(all_of["node"], np.concatenate(keys), all_of["end"] - all_of["start"] - k + 1 <= alone(percent))
+                    blobs += [(salt % coarse, PLACES, all_of.tobytes()), (salt % coarse, TIES, ties.tobytes())]
+                    blobs += [(p, BANDS, x) for p, x in zip(*packed_parts(least, least["band"], coarse), strict=True)]
                 if windows:
                     all_of = np.concatenate(windows)
-                    parts, blobs = packed_parts(all_of, all_of["hash"], min(FAN, partitions))
-                    yield batch_of(len(parts), windows=[True] * len(parts), part=parts, salt=[salt] * len(parts), whole=[False] * len(parts), blob=blobs)
+                    blobs += [(p, WINDOWS, x) for p, x in zip(*packed_parts(all_of, all_of["hash"], coarse), strict=True)]
+                parts, kinds, packed = zip(*blobs, strict=True) if blobs else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array(kinds, pa.int32()), pa.array(packed, pa.binary())], names=["part", "salt", "kind", "blob"])
                 salt += 1
 
-    return docs.mapInArrow(run, _PARAGRAPH)
+    return docs.mapInArrow(run, "part int, salt long, kind int, blob binary")
+
 
+def _reduced(scanned: DataFrame, partitions: int) -> DataFrame:
+    """What one exchange of _scan()'s rows leaves, by kind: places (doc_id, start_word, end_word, a: node), ties (a, b:
+    nodes), and windows (doc_id, start_word, a: hash) that several documents hold."""
 
-def _ties(scanned: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): nodes that share a band, tied to the least of the band's nodes."""
+    def rows_of(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        types = {"doc_id": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "a": pa.int64(), "b": pa.int64()}
+        values = [pa.array(np.ascontiguousarray(columns[c])).cast(t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *values], names=["kind", *types])
 
-    def rows_of(ties: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in ties.T], names=["a", "b"])
+    def tied(ties: np.ndarray) -> pa.RecordBatch:
+        return rows_of(TIES, len(ties), a=ties[:, 0], b=ties[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
+        parts: dict[tuple[int, int], list[bytes]] = {}
         for batch in batches:
-            for part, whole, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if whole:
-                    yield rows_of(np.frombuffer(blob, np.int64).reshape(-1, 2))
+            for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == TIES:
+                    yield tied(np.frombuffer(blob, np.int64).reshape(-1, 2))
+                elif kind == PLACES:
+                    rows = np.frombuffer(blob, _PLACE)
+                    yield rows_of(PLACES, len(rows), doc_id=rows["doc"], start_word=rows["start"].astype(np.int32), end_word=rows["end"].astype(np.int32), a=rows["node"])
                 else:
-                    parts.setdefault(part, []).append(blob)
-        for part in list(parts):
-            yield rows_of(tied_bands(np.frombuffer(b"".join(parts.pop(part)), _BAND))[1])
+                    parts.setdefault((part, kind), []).append(blob)
+        for part, kind in list(parts):
+            blob = b"".join(parts.pop((part, kind)))
+            if kind == BANDS:
+                yield tied(tied_bands(np.frombuffer(blob, _BAND))[1])
+            else:
+                rows = _shared_windows(np.frombuffer(blob, _WINDOW))
+                yield rows_of(WINDOWS, len(rows), doc_id=rows["doc"], start_word=rows["start"].astype(np.int32), a=np.ascontiguousarray(rows["hash"]).view(np.int64))
 
-    blobs = scanned.filter("NOT windows").select("part", "salt", "whole", "blob")
-    return dealt(blobs, partitions, _BAND, lambda rows: rows["band"]).mapInArrow(run, "a long, b long")
+    return dealt(scanned, partitions, _DEALT).mapInArrow(run, _FOUND)
+
+
+def _shared_windows(rows: np.ndarray) -> np.ndarray:
+    """Those rows whose hash several documents have."""
+    rows = rows[np.argsort(rows["hash"], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    return rows[np.repeat(np.minimum.reduceat(rows["doc"], starts) != np.maximum.reduceat(rows["doc"], starts), sizes)]
 
 
 def _first_salt() -> int:
@@ -252,22 +269,8 @@ def _blobs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.nda
             yield rows[np.argsort(rows["hash"], kind="stable")]
 
 
-def _shared_windows(scanned: DataFrame, partitions: int) -> DataFrame:
-    """(doc_id, start_word, hash) of windows that several documents hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blobs(batches, _WINDOW):
-            starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]])
-            sizes = np.diff(np.r_[starts, len(rows)])
-            shared = rows[np.repeat(np.minimum.reduceat(rows["doc"], starts) != np.maximum.reduceat(rows["doc"], starts), sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(shared["doc"]), pa.array(shared["start"].astype(np.int32)), pa.array(np.ascontiguousarray(shared["hash"]).view(np.int64))], names=["doc_id", "start_word", "hash"])
-
-    blobs = scanned.filter("windows").select("part", "salt", "whole", "blob")
-    return dealt(blobs, partitions, _WINDOW, lambda rows: rows["hash"]).select("part", "blob").mapInArrow(run, "doc_id long, start_word int, hash long")
-
-
 def _contexts(windows: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
-    """(part, salt, whole, blob): shared windows with the words beside them, from their texts, dealt by the windows' hash."""
+    """(part, salt, kind, blob): shared windows with the words beside them, from their texts, dealt by the windows' hash."""
     by_doc = windows.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("hash").alias("hashes")).withColumnRenamed("doc_id", "of")
     small = windows.count() <= set_join.BROADCAST_ROWS
     found = texts.join(F.broadcast(by_doc) if small else by_doc, F.col("doc_id") == F.col("of")).select("doc_id", "text", "starts", "hashes")
@@ -294,10 +297,10 @@ def _contexts(windows: DataFrame, texts: DataFrame, partitions: int) -> DataFram
                     out.append(some)
                 all_of = np.concatenate(out)
                 parts, blobs = packed_parts(all_of, all_of["hash"], min(FAN, partitions))
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array([False] * len(parts), pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "salt", "whole", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array([0] * len(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "salt", "kind", "blob"])
                 salt += 1
 
-    return found.mapInArrow(run, "part int, salt long, whole boolean, blob binary")
+    return found.mapInArrow(run, "part int, salt long, kind int, blob binary")
 
 
 def shared_stretches(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -371,7 +374,7 @@ def _stretches(contexts: DataFrame, partitions: int) -> DataFrame:
                 some = [x.tobytes() for x in np.split(found, first[1:])[k : k + 10_000]]
                 yield pa.RecordBatch.from_arrays([pa.array(held[k : k + 10_000]), pa.array(some, pa.binary())], names=["doc_id", "blob"])
 
-    return dealt(contexts, partitions, _CONTEXT, lambda rows: rows["hash"]).select("part", "blob").mapInArrow(run, "doc_id long, blob binary")
+    return dealt(contexts, partitions, {0: (_CONTEXT, lambda rows: rows["hash"])}).select("part", "blob").mapInArrow(run, "doc_id long, blob binary")
 
 
 def split_spans(found: np.ndarray) -> np.ndarray:
@@ -439,13 +442,13 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Passages that several documents hold: doc_id, kind (paragraph or passage), start_word, end_word (exclusive, of the
     words between ASCII white space), first_doc_id (smallest document of the cluster), removed (not in that document)."""
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
-    partitions = blob_partitions(total // 60, WINDOWS_PER_PARTITION)  # a window for each ten words
-    band_partitions = blob_partitions(total // 10, BANDS_PER_PARTITION)
+    partitions = blob_partitions(total, LETTERS_PER_PARTITION)
     texts = id_and_bytes(docs, id_col, text_col)
-    scanned = cut(_scan(texts, partitions, band_partitions, words, percent))
-    found = scanned.filter("node IS NOT NULL").select("doc_id", "start_word", "end_word", "node")
+    reduced = cut(_reduced(_scan(texts, partitions, words, percent), partitions))
+    found = reduced.filter(F.col("kind") == PLACES).select("doc_id", "start_word", "end_word", F.col("a").alias("node"))
+    ties = reduced.filter(F.col("kind") == TIES).select("a", "b")
     nodes = cut(found.groupBy("node").agg(F.min(F.struct("doc_id", "start_word", "end_word")).alias("first"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("times")))
-    clusters = cut(paragraph_clusters(nodes, _ties(scanned, band_partitions), texts, words=words, percent=percent))
+    clusters = cut(paragraph_clusters(nodes, ties, texts, words=words, percent=percent))
     placed = nodes.join(clusters, "node", "left").select("node", "times", F.col("first.doc_id").alias("first_doc_id"), "last_doc_id", "cluster", F.col("cluster").isNotNull().alias("linked"))
     linked = placed.filter("linked")  # connected_components() has a row for each node of a cluster
     ends = linked.groupBy("cluster").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id"))
@@ -454,7 +457,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared = cut(shared.select("node", "times", "first_doc_id"))
     rows = nodes.agg(F.sum("times")).first()[0] or 0
     whole = matched(found, shared, "node", "times", rows, "doc_id").filter("first_doc_id IS NOT NULL").select("doc_id", F.lit("paragraph").alias("kind"), "start_word", "end_word", "first_doc_id")
-    windows = cut(_shared_windows(scanned, partitions))
+    windows = reduced.filter(F.col("kind") == WINDOWS).select("doc_id", "start_word", F.col("a").alias("hash"))
     near = blob_partitions(windows.count(), CONTEXTS_PER_PARTITION)
     parts = _passages(_stretches(_contexts(windows, texts, near), near)).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
     return whole.unionByName(parts).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))

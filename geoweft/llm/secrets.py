@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -73,6 +74,13 @@ def token_runs(text: bytes) -> list[tuple[int, int]]:
 
 def candidates(text: bytes, stretches: list[tuple[int, int]], taken: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
     """Token runs with a digit that overlap no base span, and the parts of those that do."""
+    starts, ends = _merged([(a, b) for a, b, *_ in taken])
+
+    def free(a: int, b: int) -> bool:
+        """Whether no base span overlaps [a, b): the last one that starts before b ends by a."""
+        k = bisect_left(starts, b)
+        return not k or ends[k - 1] <= a
+
     out = []
     for s, e in stretches:
         if not _DIGIT.search(text, s, e):
@@ -81,13 +89,30 @@ def candidates(text: bytes, stretches: list[tuple[int, int]], taken: list[tuple[
         e = s + len(token)
         token = token.lstrip(b".")
         s = e - len(token)
-        near = [(a, b) for a, b, *_ in taken if s < b and a < e]
-        for i, j in [(s, e)] if not near else [(s + i, s + j) for i, j in parts(token)]:
-            if j - i >= LEAST_LENGTH and not any(i < b and a < j for a, b in near):
+        for i, j in [(s, e)] if free(s, e) else [(s + i, s + j) for i, j in parts(token)]:
+            if j - i >= LEAST_LENGTH and free(i, j):
                 out.append((i, j, text[i:j]))
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans that are sorted by start."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def code_points(text: bytes) -> np.ndarray | None:
+    """How many code points lie before each byte; None where each byte is one."""
+    return None if text.isascii() else np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]
+
+
 def parts(token: bytes) -> list[tuple[int, int]]:
     """Parts of a token between full stops that are long enough and have a digit."""
     return [m.span() for m in _PART.finditer(token) if _DIGIT.search(token, *m.span())] if b"." in token else []
@@ -239,8 +264,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sam
                 runs_of = token_runs(text)
                 base = base_spans(text, runs_of)
                 free = candidates(text, runs_of, base)
-                plain = text.isascii()
-                at = (lambda i: i) if plain else (lambda i, t=text: len(t[:i].decode("utf-8", "replace")))
+                before = code_points(text)
+                at = (lambda i: i) if before is None else (lambda i, n=before: int(n[i]))
                 found.append([{"start": at(s), "end": at(e), "kind": k} for s, e, k, _ in base])
                 runs.append([{"start": 0, "end": 0, "kind": k, "token": c} for *_, k, c in base] + [{"start": at(s), "end": at(e), "kind": 3, "token": t} for s, e, t in free])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct), pa.array(runs, tokens)], names=["doc_id", "base", "tokens"])

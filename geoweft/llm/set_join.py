@@ -199,7 +199,7 @@ def _frequent(summary: DataFrame, partitions: int, bits: int, long_list: int) ->
             cells = [*value[top].tolist(), None]
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([*times[top].tolist(), None], pa.int64()), pa.array([None] * len(top) + [first], pa.int64()), pa.array([None] * len(top) + [np.packbits(flags).tobytes()], pa.binary())], names=["cell", "times", "first", "flags"])
 
-    dealt_cells = dealt(summary.filter("part IS NOT NULL").select("part", "salt", F.lit(False).alias("whole"), "blob"), partitions, np.dtype("<u4"), _by_cell)
+    dealt_cells = dealt(summary.filter("part IS NOT NULL").select("part", "salt", F.lit(0).alias("kind"), "blob"), partitions, {0: (np.dtype("<u4"), _by_cell)})
     first = cut(dealt_cells.select("part", "blob").mapInArrow(run, "cell long, times long, first long, flags binary"))
     both = summary.filter("times IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).unionByName(first.filter("cell IS NOT NULL").select("cell", "times"))
     most = both.groupBy("cell").agg(F.max("times").alias("times")).orderBy(F.desc("times"), "cell").limit(ORDERED).toArrow()
@@ -237,7 +237,7 @@ _SURE = 1 << 24
 
 
 def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int, long_list: int) -> DataFrame:
-    """(part, salt, whole, blob): postings of one part, and (whole) ties made of a chunk's long lists."""
+    """(part, salt, kind, blob): postings of one part, or (kind 1) ties made of a chunk's long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -260,13 +260,13 @@ def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int,
                 rows["position"][s] = _ANY
             rows = rows[keep]
             parts, blobs = packed_parts(rows, _dealt_by(rows), min(FAN, partitions))
-            whole = [False] * len(parts)
+            kinds = [0] * len(parts)
             if ties:
                 blobs.append(np.unique(np.concatenate(ties), axis=0).tobytes())
                 parts.append(salt % min(FAN, partitions))
-                whole.append(True)
+                kinds.append(1)
             salt += 1
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array(whole, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "salt", "whole", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "salt", "kind", "blob"])
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
@@ -285,7 +285,7 @@ def _postings(docs: DataFrame, partitions: int, frequent, k: int, percent: int,
         if gathered:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, salt long, whole boolean, blob binary")
+    return docs.mapInArrow(run, "part int, salt long, kind int, blob binary")
 
 
 def _dealt_by(rows: np.ndarray) -> np.ndarray:
@@ -341,8 +341,8 @@ def _pairs(postings: DataFrame, partitions: int, percent: int, long_list: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for part, whole, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if whole:
+            for part, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind:
                     ties = np.frombuffer(blob, np.int64).reshape(-1, 2)
                     flat = np.zeros(len(ties), np.int64)
                     yield rows_of(np.stack([ties.max(1), ties.min(1), flat, flat, flat + _SURE, flat + 1], 1))
@@ -357,7 +357,7 @@ def _pairs(postings: DataFrame, partitions: int, percent: int, long_list: int) -
         kinds = [pa.int64()] * 2 + [pa.int32()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(found.T, kinds, strict=True)], names=_PAIR_NAMES)
 
-    found = dealt(postings, partitions, POSTING, _dealt_by).mapInArrow(run, PAIRS)
+    found = dealt(postings, partitions, {0: (POSTING, _dealt_by)}).mapInArrow(run, PAIRS)
     summed = found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"), F.max("placed").alias("placed"))
     # in the prefix that ends first, all shingles but the shared ones are missing from the other set
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))

@@ -26,6 +26,7 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = SHARDS, overhead: int = OVE
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     order = ["doc_id", "text_crc32", "size"]
+    rows = cut(rows)  # texts are read once; ranges are sampled from three numbers a row
     rows = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -85,9 +85,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, *, id_col
 
     urls = pages.select(F.col(url_col).cast("string").alias("url")).distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keys = [F.struct(F.lit(False).alias("whole"), F.concat(F.substring_index("host", ".", -m), F.substring("path", 1, k)).alias("key")) for m, k in shapes]
-    keys.append(F.struct(F.lit(True).alias("whole"), canonical(F.col("host"), F.col("path")).alias("key")))
-    probes = urls.filter("host <> ''").select("url", F.explode(F.array_distinct(F.array(*keys))).alias("k")).select("url", "k.whole", "k.key").filter("key IS NOT NULL")
+    # of the rules' shapes, those that the url has room for: at most its labels times its path's length
+    shape = F.array(*[F.struct(F.lit(m).alias("labels"), F.lit(k).alias("reach")) for m, k in shapes]) if shapes else F.array().cast("array<struct<labels:int,reach:int>>")
+    labels, reach = F.size(F.split("host", "\\.")), F.length("path")
+    fits = F.filter(shape, lambda s: (s["labels"] <= labels) & (s["reach"] <= reach))
+    keys = F.transform(fits, lambda s: F.struct(F.lit(False).alias("whole"), F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substr(F.col("path"), F.lit(1), s["reach"])).alias("key")))
+    keys = F.concat(keys, F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("host"), F.col("path")).alias("key"))))
+    probes = urls.filter("host <> ''").select("url", F.explode(F.array_distinct(keys)).alias("k")).select("url", "k.whole", "k.key").filter("key IS NOT NULL")
     hits = possible(probes, table, blocks)
 
     exact = rules.select("key", F.struct(F.length("key").alias("size"), "key", "verdict").alias("rule"))

@@ -221,12 +221,12 @@ def test_exchanges_deal_rows_of_a_part_together(spark, monkeypatch):
             rows = hashes[np.array(batch.column(0).to_pylist(), np.int64)]
             parts, blobs = _common.packed_parts(rows, rows, 4)
             assert len(parts) <= 4 and all(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array([*parts, 0], pa.int32()), pa.array([k] * (len(parts) + 1), pa.int64()), pa.array([False] * len(parts) + [True]), pa.array([*blobs, b"other"], pa.binary())], names=["part", "salt", "whole", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([*parts, 0], pa.int32()), pa.array([k] * (len(parts) + 1), pa.int64()), pa.array([0] * len(parts) + [1], pa.int32()), pa.array([*blobs, b"other"], pa.binary())], names=["part", "salt", "kind", "blob"])
 
-    blobs = spark.range(0, 3000, 1, 6).mapInArrow(cut, "part int, salt long, whole boolean, blob binary")
-    got = _common.dealt(blobs, 11, np.dtype("<u8"), lambda rows: rows).withColumn("at", F.spark_partition_id()).collect()
-    assert sum(r.whole for r in got) == 6
-    rows = [r for r in got if not r.whole]
+    blobs = spark.range(0, 3000, 1, 6).mapInArrow(cut, "part int, salt long, kind int, blob binary")
+    got = _common.dealt(blobs, 11, {0: (np.dtype("<u8"), lambda rows: rows)}).withColumn("at", F.spark_partition_id()).collect()
+    assert sum(r.kind for r in got) == 6
+    rows = [r for r in got if not r.kind]
     assert sorted(x for r in rows for x in np.frombuffer(bytes(r.blob), "<u8").tolist()) == sorted(hashes.tolist())
     assert {r.part for r in rows} == set(range(11)) and all(len({r.at for r in rows if r.part == p}) == 1 for p in range(11))
     assert all((int(x) >> 32) * 11 >> 32 == r.part for r in rows for x in np.frombuffer(bytes(r.blob), "<u8"))
@@ -315,6 +315,50 @@ def test_language_id(spark):
     assert language_id.train_and_identify(docs.limit(0)).count() == 0
 
 
+def test_letters_are_those_of_unicode(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["the of and to", "½ ²", "① Ⅷ 12", "_", "é", "日", "ª", "\u0301 5"])] * 5
+    docs = spark.createDataFrame([(5 * i, t, lang) for i, t, lang in rows] + [(1, "the of and", "en"), (2, "les des une", "fr")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify(docs, model).collect()} == {0: False, 5: True, 10: True, 15: True, 20: False, 25: False, 30: False, 35: True, 1: False, 2: False}
+
+
+def test_training_counts_are_sums_over_all_tasks(spark, monkeypatch):
+    """Tables are summed in steps and passed on early; the model is that of plain counts."""
+    import numpy as np
+
+    monkeypatch.setattr(language_id, "HELD", 1)
+    monkeypatch.setattr(language_id, "FAN_IN", 2)
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30), f"l{i % 5}") for i in range(100)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7))
+    counts = np.zeros((language_id.BUCKETS, 5))
+    for i, t, _ in rows:
+        np.add.at(counts[:, i % 5], language_id.grams(t.encode()), 1)
+    shared = counts.sum(1, keepdims=True) + 0.5
+    assert model.languages == ("l0", "l1", "l2", "l3", "l4")
+    assert np.allclose(model.probability, (counts + 200 * shared / shared.sum()) / (counts.sum(0) + 200))
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 4)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_mixture_against_a_grid():
+    """The proportions are those of the highest likelihood, found by trying all of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        p = rng.dirichlet(np.full(200, 0.2), 2).T + 1e-6
+        p /= p.sum(0)
+        share = rng.uniform(0.25, 0.75)
+        found = rng.choice(200, 3000, p=p @ [share, 1 - share]).astype(np.uint16)
+        keys, n = np.unique(found, return_counts=True)
+        grid = np.linspace(0, 1, 1001)
+        best = grid[np.argmax([n @ np.log(p[keys] @ [g, 1 - g]) for g in grid])]
+        chosen, proportions = language_id.mixture(found, p)
+        assert set(chosen) == {0, 1} and abs(dict(zip(chosen, proportions, strict=True))[0] - best) < 0.02
+
+
 def test_language_id_held_out(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     rows = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -358,6 +402,47 @@ def test_secret_formats_of_any_length_and_with_dots():
     assert [t for *_, t in secrets.candidates(text, runs, secrets.base_spans(text, runs))] == [b"a1.b2.c3d4", b"abcdefg8"]
 
 
+def test_format_spans_against_plain_rules(spark):
+    """All candidates of all texts by plain regular expressions; which are spans is what the formats accept."""
+    rng = random.Random(28)
+    mixed = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    texts = [f"{'é' * (i % 3)}set token={mixed(24)} or {mixed(24)} in chapter-{i}. See v1.2.{i}.{mixed(24)}... and {mixed(7)}{i}" for i in range(150)]
+    texts += [None, "", ". .", "." * 40, "12345678", "a1" * 400, f"x{mixed(24)}.secret=abcdefgh1.{mixed(24)}"]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secrets.scan(docs).collect()}
+    base = [re.compile(p, re.A) for p in (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})", r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}")]
+    found, labelled = {}, {0: set(), 1: set(), 2: set()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        taken = set()
+        for k, p in enumerate(base):
+            for m in p.finditer(t):
+                taken |= set(range(*m.span()))
+                labelled[k].add((m[1] if k == 0 else m[0]).encode())
+        found[i] = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", t):
+            whole = re.match(r"\.*(.*?)\.*$", m[0])
+            spans = [(m.start() + whole.start(1), m.start() + whole.end(1))]
+            if taken & set(range(*spans[0])):
+                spans = [(spans[0][0] + p.start(), spans[0][0] + p.end()) for p in re.finditer(r"[^.]{8,}", whole[1])]
+            found[i] += [(a, b, t[a:b].encode()) for a, b in spans if b - a >= 8 and re.search("[0-9]", t[a:b]) and not taken & set(range(a, b))]
+    background = Counter()
+    for spans in found.values():
+        for *_, token in spans:
+            symbols = b"\0" + token.translate(secrets._CLASS) + b"\0"
+            background.update(zip(symbols, symbols[1:], strict=False))
+    formats = secrets.infer({k: sorted(v) for k, v in labelled.items() if v}, background)
+    for i, spans in found.items():
+        want = []
+        for a, b, token in spans:
+            if formats.accepts(token) is not None:
+                want.append((a, b))
+            elif b"." in token:
+                want += [(a + p.start(), a + p.end()) for p in re.finditer(rb"[^.]{8,}", token) if re.search(rb"[0-9]", p[0]) and formats.accepts(p[0]) is not None]
+        assert got[i] == sorted(want), texts[i]
+    assert sum(map(len, got.values())) > 60
+
+
 def test_automaton_learns_a_format():
     tree = secrets.Automaton()
     rng = random.Random(1)
@@ -410,6 +495,66 @@ def test_passages_are_exact_and_stay_in_their_first_document(spark):
         assert got == {(0, 40, 91, 0, False), (1, 7, 58, 0, True), (4, 0, 51, 0, True), (3, 11, 71, 3, False), (5, 20, 80, 3, True), (5, 80, 140, 5, False), (7, 5, 95, 5, True), (8, 0, 51, 0, True), (8, 81, 132, 0, True)}
 
 
+def test_paragraphs_against_all_pairs(spark):
+    """Recall of the tuned bands against exact Jaccard of all pairs of paragraphs; nothing below the threshold is linked."""
+    rng = random.Random(36)
+    base = [words(rng, rng.randrange(5, 90), 10_000).split() for _ in range(60)]
+    lines = [list(b) for b in base]
+    for b in base:
+        for _ in range(4):
+            v = list(b)
+            for _ in range(rng.randrange(1, 2 + len(v) // 25)):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(9)}"
+            lines.append(v)
+    rng.shuffle(lines)
+    texts = [f"{' '.join(a)}\n\n{' '.join(b)}" for a, b in zip(lines[::2], lines[1::2], strict=True)]
+    rows = [r for r in paragraphs.repeated_passages(docs_of(spark, texts)).collect() if r.kind == "paragraph"]
+    sets = brute_sets([" ".join(x) for x in lines])
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    component = brute_components(len(sets), links)
+    want = {}
+    for i, c in enumerate(component):
+        want.setdefault(c, []).append(i)
+    shared = {i: min(x // 2 for x in group) for group in want.values() for i in group if len({x // 2 for x in group}) > 1}
+    got = {2 * r.doc_id + (r.start_word > 0): r.first_doc_id for r in rows}
+    assert set(got) <= set(shared)
+    recall = sum(got.get(i) == first for i, first in shared.items()) / len(shared)
+    print(f"recall of paragraphs against all pairs: {recall:.4f} of {len(shared)}")
+    assert recall >= 0.99
+
+
+def test_passages_against_all_runs(spark):
+    """Every word in a run of 51 words or more that a smaller document holds is removed, and no word that none holds."""
+    rng = random.Random(46)
+    pieces = [[f"p{k}_{i}" for i in range(rng.randrange(30, 140))] for k in range(12)]
+    texts = []
+    for d in range(50):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(pieces)
+            a = rng.randrange(max(1, len(p) - 20))
+            out += [f"d{d}_{rng.random()}" for _ in range(rng.randrange(0, 12))] + p[a : rng.randrange(a, len(p)) + 1]
+        texts.append(out)
+    rows = [r for r in paragraphs.repeated_passages(docs_of(spark, [" ".join(t) for t in texts])).collect() if r.kind == "passage"]
+    removed = {(r.doc_id, i) for r in rows if r.removed for i in range(r.start_word, r.end_word)}
+    seen: dict[tuple, int] = {}
+    must, may = set(), set()
+    first_of: dict[str, int] = {}
+    for d, t in enumerate(texts):
+        runs = [tuple(t[i : i + 51]) for i in range(len(t) - 50)]
+        must |= {(d, i + j) for i, run in enumerate(runs) if seen.get(run, d) < d for j in range(51)}
+        may |= {(d, i) for i, w in enumerate(t) if first_of.get(w, d) < d}
+        for run in runs:
+            seen.setdefault(run, d)
+        for w in t:
+            first_of.setdefault(w, d)
+    assert must <= removed <= may
+    for r in rows:  # what is removed stays, word for word, in the document named
+        if r.removed:
+            said, held = texts[r.doc_id][r.start_word : r.end_word], texts[r.first_doc_id]
+            assert any(held[i : i + len(said)] == said for i in range(len(held)))
+
+
 def test_bands_are_tuned():
     bands, rows = paragraphs.tuned_bands(80)
     assert (1 - 0.8**rows) ** bands < paragraphs.MISS and bands * rows <= 64
@@ -473,9 +618,9 @@ def test_chat(spark):
         loss = "".join(t for _, r, t in own if r == "assistant")
         assert back[c].loss == loss and digests[c].loss_chars == len(loss) and digests[c].n_turns == len(own)
         assert digests[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
-        assert digests[c].formatted_chars == len(back[c].stream)
+        assert digests[c].formatted_chars == len(back[c].stream) and digests[c].n_examples == sum(r == "assistant" for _, r, _ in own)
     made = chat.materialise(turns).filter("conv_id = 1").orderBy("example").collect()
-    assert len(made) == sum(r == "assistant" for _, r, _ in by[1])
+    assert len(made) == sum(r == "assistant" for _, r, _ in by[1]) and digests[1].context_chars == sum(m.context_end for m in made)
     for m in made:
         assert m.text == back[1].stream[: len(m.text)] and m.text.endswith("</s>") and m.loss_end == len(m.text) - 4
     assert chat.digests(chat.format_turns(table.limit(0))).count() == 0
