@@ -32,6 +32,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Stands for a null id where ids are packed as numbers: behind all others.
+NO_ID = (1 << 63) - 1
+
+
+def packed_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def unpacked_id(name: str) -> Column:
+    """The id behind packed_id(), under the same name."""
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder: what follows survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

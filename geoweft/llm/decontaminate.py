@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import cut, id_and_bytes
+from geoweft.llm._common import cut, id_and_bytes, packed_id, unpacked_id
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if ids:
             yield shard(number, ids, lengths, vocabulary, codes)
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, INDEX)
+    return id_and_bytes(docs, id_col, text_col).withColumn("doc_id", packed_id("doc_id")).mapInArrow(run, INDEX)
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     rows = indexed_documents(index).join(found, ["shard", "row"], "left")
     rows = rows.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     hit = rows.withColumn("n_hit", _covered(F.col("spans")))
-    return hit.select("doc_id", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+    return hit.select(unpacked_id("doc_id"), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 
 
 def item_digests(found: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ to its digests, whatever the number of memtables and buckets. Hot groups, few by
 rows, are broadcast to the rows; all others meet them by shuffle.
 
 Defined results: null counts as empty; white space alone is one space, not empty; of repeated rows (same id, same
-text) the first stays and each has its row in the result; an empty table gives no rows.
+text) the first stays and each has its row in the result; null ids are equal, and behind all others; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import blob_partitions, cut, id_and_bytes, matched
+from geoweft.llm._common import blob_partitions, cut, id_and_bytes, matched, packed_id, unpacked_id
 
 SPACE = frozenset(b" \t\n\v\f\r")
 RUNS = "bucket long, run long, rows long, digests binary, ids binary, sizes binary, filter binary"
@@ -113,7 +114,7 @@ def digest_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             found = [hashlib.sha256(normalised(t or b"")).digest() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sha"])
 
-    rows = id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, sha binary")
+    rows = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", packed_id("doc_id")).mapInArrow(run, "doc_id long, sha binary")
     return rows.select("doc_id", F.substring("sha", 1, digest_bytes).alias("digest"), "sha")
 
 
@@ -190,7 +191,7 @@ def _verified(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> D
     wanted = hits.select("doc_id", "digest", "sha", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.lit(False).alias("stays")).unionByName(
         keepers.select(F.col("keep_id").alias("doc_id"), "digest", F.lit(None).cast("binary").alias("sha"), "salt", F.lit(True).alias("stays"))
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").alias("norm"))
+    texts = docs.select(packed_id(id_col).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ").alias("norm"))
     few = hits.count() <= BROADCAST_HITS  # kept rows are fewer
     found = (F.broadcast(wanted) if few else wanted).join(texts, "doc_id").withColumn("got", F.unhex(F.sha2("norm", 256)))
     found = found.filter(F.expr("substring(got, 1, length(digest)) = digest AND (sha IS NULL OR got = sha)"))
@@ -214,7 +215,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     other = cut(_verified(docs, hits, id_col, text_col)).select("doc_id", "digest", "sha", F.lit(True).alias("differs"))
     if not other.isEmpty():
         placed = _regrouped(placed, digests, other)
-    return placed.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return placed.select(unpacked_id("doc_id"), unpacked_id("keep_id"), "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _regrouped(placed: DataFrame, digests: DataFrame, other: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ agree so far. Each word of a document belongs to the smallest document it is fou
 neighbouring words of one such document are a passage, so that every word removed stays in a smaller document.
 
 Defined results: null and empty texts and lines shorter than a shingle have no paragraphs; a passage repeated within one document alone isn't reported;
-rows with the same id are one document; empty tables give no rows.
+rows with the same id are one document, and null ids are one id, behind all others; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm import set_join
-from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, matched, packed_parts
+from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, matched, packed_id, packed_parts, unpacked_id
 from geoweft.llm.components import connected_components
 
 WRAP_WORDS = 30
@@ -443,7 +443,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     words between ASCII white space), first_doc_id (smallest document of the cluster), removed (not in that document)."""
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     partitions = blob_partitions(total, LETTERS_PER_PARTITION)
-    texts = id_and_bytes(docs, id_col, text_col)
+    texts = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", packed_id("doc_id"))
     reduced = cut(_reduced(_scan(texts, partitions, words, percent), partitions))
     found = reduced.filter(F.col("kind") == PLACES).select("doc_id", "start_word", "end_word", F.col("a").alias("node"))
     ties = reduced.filter(F.col("kind") == TIES).select("a", "b")
@@ -460,4 +460,5 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     windows = reduced.filter(F.col("kind") == WINDOWS).select("doc_id", "start_word", F.col("a").alias("hash"))
     near = blob_partitions(windows.count(), CONTEXTS_PER_PARTITION)
     parts = _passages(_stretches(_contexts(windows, texts, near), near)).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
-    return whole.unionByName(parts).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    rows = whole.unionByName(parts).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
+    return rows.select(unpacked_id("doc_id"), "kind", "start_word", "end_word", unpacked_id("first_doc_id"), "removed")

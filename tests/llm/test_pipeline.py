@@ -65,6 +65,31 @@ def test_repeated_rows(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_exact_copies(spark, docs, "").collect()) == [1, 3]
 
 
+def test_rows_of_one_id_with_unlike_texts(spark, tmp_path):
+    """Each row is judged for itself."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    a, b, c, passage = say(60), say(60), say(60), say(30)
+    near = a.split()
+    near[-1] = "edit"
+    texts = [(1, a), (2, a), (2, b), (0, " ".join(near)), (3, passage), (3, c), (3, c), (4, None), (4, "12"), (None, say(50)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = list(texts[:-1])
+    for (name, stage), gone in zip(corpus_pipeline.STAGES, [[(4, None), (4, "12")], [(2, a), (3, c)], [(1, a)], [(3, passage)]], strict=False):
+        docs = stage(spark, docs, str(tmp_path))
+        for row in gone:
+            left.remove(row)
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(repr, left)), name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+
+
+def test_rows_without_labels_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12", None, "s", 1), (3, None, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

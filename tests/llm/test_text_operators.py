@@ -624,3 +624,34 @@ def test_chat(spark):
     for m in made:
         assert m.text == back[1].stream[: len(m.text)] and m.text.endswith("</s>") and m.loss_end == len(m.text) - 4
     assert chat.digests(chat.format_turns(table.limit(0))).count() == 0
+
+
+def test_null_ids(spark):
+    """Every operator has a row for rows without an id; where ids are compared, they come last."""
+    rng = random.Random(50)
+    long = words(rng, 80, 10_000)
+    docs = spark.createDataFrame([(None, long, None), (7, long, "en"), (None, None, None), (None, f"{long} more", "en"), (7, "other text", None)], "doc_id long, text string, lang string")
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((repr(r.doc_id), repr(r.keep_id), r.kept) for r in rows) == sorted([("None", "7", False), ("7", "7", True), ("None", "None", True), ("None", "None", True), ("7", "7", True)])
+    rows = set_join.jaccard_components(docs).collect()
+    assert sorted((repr(r.doc_id), repr(r.component_id)) for r in rows) == sorted([("None", "7"), ("7", "7"), ("None", "None"), ("None", "7"), ("7", "7")])
+    assert {(r.doc_id, r.first_doc_id, r.removed) for r in paragraphs.repeated_passages(docs).collect()} == {(7, 7, False), (None, 7, True)}
+    bench = spark.createDataFrame([("i", long)], "item_id string, text string")
+    assert sorted((repr(r.doc_id), r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect()) == sorted([("None", True), ("7", True), ("None", False), ("None", True), ("7", False)])
+    for rows in (packing.pack(docs, queries.tokenizer_path()), language_id.train_and_identify(docs), secrets.scan(docs), sharding.shard_by_bytes(docs)):
+        assert Counter(r.doc_id for r in rows.collect()).keys() == {None, 7}
+    pages = spark.createDataFrame([(None, "http://a.b/c"), (None, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("b", "/", "block")], "host string, path string, verdict string")
+    assert sorted(r.verdict for r in url_filter.filter_urls(pages, rules, spark.createDataFrame([], "key string")).collect()) == ["allow", "block"]
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (3, "other words of the same id here"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    rows = paragraphs.repeated_passages(docs).collect()
+    assert Counter((r.doc_id, r.first_doc_id, r.removed) for r in rows) == {(2, 2, False): 2, (3, 2, True): 2}
+    assert len(sharding.shard_by_bytes(docs).collect()) == 5
+    pieces = packing.pack(docs, queries.tokenizer_path()).collect()
+    assert sum(r.length for r in pieces) == sum(len(packing.encode(t, queries.tokenizer_path())) + 1 for _, t in docs.collect())
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x.net/es/").alias("url"))
+    rules = spark.createDataFrame([("net", "/es/", "block"), ("net", "/es/", "allow")], "host string, path string, verdict string")
+    assert Counter((r.page_id, r.verdict) for r in url_filter.filter_urls(pages, rules, spark.createDataFrame([], "key string")).collect()) == {(3, "allow"): 3, (2, "allow"): 2}
