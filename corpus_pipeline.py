@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next stage's
 docs. All but the last return the columns of documents. Rows that a stage drops are gone for all later ones.
+
+Defined results: a stage judges rows, not ids. Where no id is repeated, rows are told apart by their id; where one is,
+by a 64-bit hash of id and text, so that rows of one id with unlike texts are kept or dropped each for itself, and rows
+of one id and text alike (the second stage leaves one of them). Null and empty texts have no language and go in the first
+stage; where no row has a label, rows with a letter stay. Empty tables give no rows; further columns are left out.
 """
 
 from __future__ import annotations
@@ -12,56 +17,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.llm import decontaminate, exact_dedup, language_id, packing, set_join
-from geoweft.llm._common import cut, ensure_checkpoint_dir, without
+from geoweft.llm._common import cut, ensure_checkpoint_dir, remove, without
 from geoweft.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if its language can't be told: no letters, or no language has this much of it.
-LEAST_SHARE = 0.34
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The columns of documents and `row`, which tells rows apart; whether it is the id."""
+    docs = docs.select(*COLUMNS)
+    by_id = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+    return docs.withColumn("row", F.col("doc_id").cast("long") if by_id else F.xxhash64("doc_id", "text")), by_id
+
+
+def _less(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows less those whose `row` is the doc_id of one in gone."""
+    return without(rows, gone.select(F.col("doc_id").alias("row")), "row").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language; the others stay as they are."""
-    docs = _documents(docs)
-    found = language_id.train_and_identify(docs)
-    rejected = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select("doc_id")
-    return without(docs, rejected).select(*COLUMNS)
+    rows, _ = _rows(docs)
+    model = language_id.train(rows, where=~language_id.held_out())
+    rejected = language_id.identify(rows, model, id_col="row").filter("lang_pred = 'und'").select("doc_id")
+    if not model.languages:
+        rejected = rejected.join(rows.filter(F.col("text").rlike("\\p{L}")).select(F.col("row").alias("doc_id")), "doc_id", "left_anti")
+    return _less(rows, rejected)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    docs = _documents(docs)
-    dropped = cut(exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select("doc_id", "keep_id").distinct())
-    rest = without(docs, dropped.filter("doc_id <> keep_id").select("doc_id"))
-    # repeated rows of one id, of which none has another row to stay for it
-    again = dropped.filter("doc_id = keep_id").select("doc_id")
-    if again.isEmpty():
-        return rest.select(*COLUMNS)
-    repeated = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(rest, again).unionByName(repeated).select(*COLUMNS)
+    rows, by_id = _rows(docs)
+    found = exact_dedup.exact_dedup(rows)
+    if by_id:
+        return _less(rows, found.filter(~F.col("kept")))
+    kept = cut(found.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")))
+    norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+    rows = rows.withColumn("own_sha", F.sha2(norm, 256))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi").dropDuplicates(["doc_id", "own_sha"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    docs = _documents(docs)
-    dropped = set_join.jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
-    return without(docs, dropped).select(*COLUMNS)
+    rows, by_id = _rows(docs)
+    found = set_join.jaccard_components(rows, id_col="row").select("doc_id", "component_id")
+    if not by_id:  # the smallest row isn't that of the smallest doc_id
+        found = cut(found)
+        ids = rows.select(F.col("row"), F.col("doc_id").alias("id"))
+        first = found.join(ids, F.col("doc_id") == F.col("row")).groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("first"))
+        found = found.join(first, "component_id").select("doc_id", F.col("first.doc_id").alias("component_id"))
+    return _less(rows, found.filter("component_id <> doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more are benchmark windows."""
-    docs = _documents(docs)
-    dropped = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return without(docs, dropped).select(*COLUMNS)
+    rows, _ = _rows(docs)
+    return _less(rows, decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="row").filter("contaminated"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences over all that is left."""
-    return packing.piece_digests(packing.pack(_documents(docs), tokenizer_path()))
+    return packing.piece_digests(packing.pack(docs.select(*COLUMNS), tokenizer_path()))
 
 
 STAGES = [
@@ -74,12 +90,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again."""
+    """All stages over documents; what a stage returns is written to the shared checkpoint folder and read again. Only the
+    rows that the last stage reads stay there, for as long as its result may be computed."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
