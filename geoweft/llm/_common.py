@@ -82,9 +82,11 @@ FAN = 1024
 def packed_parts(rows: np.ndarray, hashes: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
     """rows cut into `parts` equal ranges of their 64-bit hashes: (part, bytes), without the empty ones."""
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    held, first = np.unique(part[order], return_index=True)
-    return held.tolist(), [x.tobytes() for x in np.split(rows[order], first[1:])] if len(held) else []
+    if len(part) and (part[1:] < part[:-1]).any():
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+    held, first = np.unique(part, return_index=True)
+    return held.tolist(), [x.tobytes() for x in np.split(rows, first[1:])] if len(held) else []
 
 
 def dealt(blobs: DataFrame, partitions: int, kinds: dict[int, tuple[np.dtype, Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:

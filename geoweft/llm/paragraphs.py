@@ -162,11 +162,17 @@ def banded(nodes: np.ndarray, keys: np.ndarray, few: np.ndarray) -> tuple[np.nda
 
 def tied_bands(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows (band, node): one row per band, of its least node, and (node, least) of the other nodes."""
-    rows = np.sort(rows, order=("band", "node"))
-    fresh = np.r_[True, rows["band"][1:] != rows["band"][:-1]] if len(rows) else np.zeros(0, np.bool_)
-    least = rows["node"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    other = rows["node"] != least
-    return rows[fresh], np.unique(np.stack([rows["node"][other], least[other]], 1), axis=0)
+    if not len(rows):
+        return rows, np.zeros((0, 2), np.int64)
+    rows = rows[np.argsort(rows["band"], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, rows["band"][1:] != rows["band"][:-1]])
+    least = np.minimum.reduceat(rows["node"], starts)
+    sizes = np.diff(np.r_[starts, len(rows)])
+    several = np.repeat(sizes > 1, sizes)
+    ties = np.stack([rows["node"][several], np.repeat(least, sizes)[several]], 1)
+    first = rows[starts]
+    first["node"] = least
+    return first, np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0)
 
 
 def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
