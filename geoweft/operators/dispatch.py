@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions import geo, text
+from geoweft.functions.lineage import cut
 
 
 def property_column(props: Column, key: str, kind: str) -> Column:
@@ -78,38 +80,73 @@ def upsert_stations(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select("id", text.first_non_empty(F.col("name"), F.col("old_name")).alias("name"), place("lat").alias("lat"), place("lon").alias("lon"))
 
 
+#: Names beyond this many are matched by shared pieces of their keys; up to it, each meets all of them.
+FEW_NAMES, PIECE = 256, 3
+
+
+def _holding(rest: DataFrame, named: DataFrame) -> DataFrame:
+    """rest (…, key) with those of named (k, id) of which one key holds the other.
+
+    A key that holds another holds its first piece too: keys meet by equal pieces, then are compared.
+    """
+    holds = F.contains("key", F.col("k")) | F.contains("k", F.col("key"))
+    named = cut(named)
+    if named.count() <= FEW_NAMES:
+        return rest.join(F.broadcast(named), holds)
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n)))))
+    first = lambda c: F.substr(F.col(c), F.lit(1), F.lit(PIECE))
+    outer = rest.withColumn("piece", F.explode(pieces(F.col("key")))).join(named.withColumn("piece", first("k")), "piece")
+    inner = rest.filter("key <> ''").withColumn("piece", first("key")).join(named.withColumn("piece", F.explode(pieces(F.col("k")))), "piece")
+    every = rest.filter("key = ''").join(named, holds)  # an empty key is held by all
+    met = outer.filter(F.contains("key", F.col("k"))).unionByName(inner.filter(F.contains("k", F.col("key")) & (F.col("k") != F.col("key"))))
+    return met.drop("piece").unionByName(every)
+
+
 def match_roster(roster: DataFrame, stations: DataFrame, hints: DataFrame, radius_m: float = 1500.0) -> DataFrame:
-    """Roster names (name, first_row) matched to stations: name, match (exact, substring, guessed, unmatched), id.
+    """Roster names (name, first_row, and import where several are matched at once) matched to stations: name, match
+    (exact, substring, guessed, unmatched), id, and import if there is one.
 
     1. equal keys; 2. a station's key within the name's or the reverse (of several the longest, then the least);
-    3. hints (name, lat, lon): the nearest unnamed station within radius_m, each taken once, in the order of rows.
+    3. hints (name, lat, lon): the nearest unnamed station within radius_m, each taken once by an import, in the order of
+    rows. An import is one roster; its unmatched names near unnamed stations meet in one task.
     """
-    keyed = roster.select("name", "first_row", text.station_key(F.col("name")).alias("key"))
+    if "import" in roster.columns:
+        return _matched(roster, stations, hints, radius_m)
+    return _matched(roster.withColumn("import", F.lit("")), stations, hints, radius_m).drop("import")
+
+
+def _matched(roster: DataFrame, stations: DataFrame, hints: DataFrame, radius_m: float) -> DataFrame:
+    own = ["import", "name"]
+    keyed = roster.select("import", "name", "first_row", text.station_key(F.col("name")).alias("key"))
     named = stations.filter("name <> ''").select("id", text.station_key(F.col("name")).alias("key")).groupBy("key").agg(F.max("id").alias("id"))
-    exact = keyed.join(named, "key").select("name", "first_row", F.lit("exact").alias("match"), "id")
-    rest = keyed.join(exact.select("name"), "name", "left_anti")
-    part = rest.join(named.filter("key <> ''").select(F.col("key").alias("k"), "id"), F.contains("key", F.col("k")) | F.contains("k", F.col("key")))
-    best = part.groupBy("name", "first_row").agg(F.min_by("id", F.struct(-F.length("k"), "k")).alias("id"))
-    substring = best.select("name", "first_row", F.lit("substring").alias("match"), "id")
-    rest = rest.join(substring.select("name"), "name", "left_anti")
+    exact = keyed.join(named, "key").select(*own, "first_row", F.lit("exact").alias("match"), "id")
+    rest = cut(keyed.join(exact.select(*own), own, "left_anti"))
+    part = _holding(rest, named.filter("key <> ''").select(F.col("key").alias("k"), "id"))
+    best = part.groupBy(*own, "first_row").agg(F.min_by("id", F.struct(-F.length("k"), "k")).alias("id"))
+    substring = best.select(*own, "first_row", F.lit("substring").alias("match"), "id")
+    rest = rest.join(substring.select(*own), own, "left_anti")
+    # cells as high as the radius, and as wide at the query's latitude
+    size = radius_m / 111000.0
+    across = F.ceil(1 / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + size)))).cast("int")
+    cell = lambda lat, lon: (geo.cell(F.col(lon), -180.0, size), geo.cell(F.col(lat), -90.0, size))
     unnamed = stations.filter("name = ''").select(F.col("id").alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    unnamed = unnamed.select("*", *[c.alias(n) for c, n in zip(cell("slat", "slon"), ("cx", "cy"), strict=True)])
+    cx, cy = cell("lat", "lon")
+    around = rest.join(hints, "name").withColumn("cx", F.explode(F.sequence(cx - across, cx + across))).withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1)))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    near = rest.join(hints, "name").crossJoin(unnamed).withColumn("d", d).filter(F.col("d") <= radius_m).select("name", "first_row", "sid", "d")
+    near = around.join(unnamed, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius_m).select(*own, "first_row", "sid", "d")
 
-    def take(pdf):
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
         """Candidates of one import: names in row order, each takes the nearest station still free."""
         free, out = set(pdf.sid), []
-        for (_, name), own in pdf.sort_values(["first_row", "d", "sid"]).groupby(["first_row", "name"], sort=True):
-            left = own[own.sid.isin(free)]
+        for (_, name), mine in pdf.sort_values(["first_row", "d", "sid"]).groupby(["first_row", "name"], sort=True):
+            left = mine[mine.sid.isin(free)]
             if len(left):
                 free.discard(left.sid.iloc[0])
-                out.append((name, int(own.first_row.iloc[0]), "guessed", left.sid.iloc[0]))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["name", "first_row", "match", "id"])
+                out.append((pdf["import"].iloc[0], name, int(mine.first_row.iloc[0]), "guessed", left.sid.iloc[0]))
+        return pd.DataFrame(out, columns=["import", "name", "first_row", "match", "id"])
 
-    # one import's unmatched names near unnamed stations: the roster of a region
-    guessed = near.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(take, "name string, first_row long, match string, id string")
+    guessed = near.groupBy("import").applyInPandas(take, f"import {dict(keyed.dtypes)['import']}, name string, first_row long, match string, id string")
     found = exact.unionByName(substring).unionByName(guessed)
-    missed = keyed.join(found.select("name"), "name", "left_anti").select("name", "first_row", F.lit("unmatched").alias("match"), F.lit(None).cast("string").alias("id"))
-    return found.unionByName(missed)
+    missed = keyed.join(found.select(*own), own, "left_anti").select(*own, "first_row", F.lit("unmatched").alias("match"), F.lit(None).cast("string").alias("id"))
+    return found.unionByName(missed).select("import", "name", "first_row", "match", "id")

@@ -2,7 +2,8 @@
 
 territories: layer, territory_id, name, props (VARIANT or string), geometry (array of polygons: outer, holes, each ring
 an array of (lat, lon)). Joins go by grid cells of about a 32nd of each layer's span, an equi-join that Spark can
-broadcast or shuffle; exact tests follow on the polygon's edges as rows.
+broadcast or shuffle. A cell that no edge of a polygon touches lies inside or outside as a whole; only points in cells
+that edges touch meet edges, and of these only those in their own band of latitude, which hold all that a ray crosses.
 """
 
 from __future__ import annotations
@@ -11,8 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions import geo
+from geoweft.functions.lineage import cut
+from geoweft.operators import pyramid
 
 ADJACENT_M = 50.0
+#: So many edges at most are compared whole with a point; more are sought by a pyramid of cells of this size in degrees.
+FEW_EDGES, EDGE_CELL = 256, 0.01
+#: A band of latitude should hold about so many edges of a polygon.
+BAND_EDGES, MOST_BANDS = 16, 1 << 12
 GEOMETRY = "array<struct<outer:array<struct<lat:double,lon:double>>,holes:array<array<struct<lat:double,lon:double>>>>>"
 #: Edge tables are broadcast up to this many rows; beyond it they are joined by shuffle.
 BROADCAST_EDGES = 200_000
@@ -52,21 +59,57 @@ def polygon_cells(edges: DataFrame, grids: DataFrame) -> DataFrame:
     return box.withColumn("cx", across("min_lon", "max_lon", "lon0")).withColumn("cy", across("min_lat", "max_lat", "lat0")).select("layer", "territory_id", "poly", "cx", "cy")
 
 
+def _bands(edges: DataFrame, grids: DataFrame, per_cell: float) -> DataFrame:
+    """Edges in every band of latitude that they touch, so many to a cell: layer, territory_id, poly, band, lat1, ..."""
+    band = lambda lat: geo.cell(lat, F.col("lat0"), F.col("size") / per_cell)
+    low, high = F.least("lat1", "lat2") - 1e-8, F.greatest("lat1", "lat2") + 1e-8  # the tolerance of on_segment is less
+    banded = edges.join(F.broadcast(grids), "layer").withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    return banded.select("layer", "territory_id", "poly", "band", "lat1", "lon1", "lat2", "lon2")
+
+
+def _held(near: DataFrame, banded: DataFrame, per_cell: float) -> DataFrame:
+    """Rows of near (key, layer, territory_id, poly, whole, lat, lon, lat0, size) that are whole inside, or whose point is
+    in the polygon or on an edge."""
+    e = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
+    placed = near.withColumn("band", F.when(~F.col("whole"), geo.cell(F.col("lat"), F.col("lat0"), F.col("size") / per_cell)))
+    met = placed.join(banded, ["layer", "territory_id", "poly", "band"], "left")
+    tested = met.groupBy("key", "layer", "territory_id", "poly").agg(F.bool_or("whole").alias("whole"), F.bool_or(geo.on_segment(*e)).alias("on_edge"), F.count_if(geo.crosses(*e)).alias("crossed"))
+    return tested.filter("whole OR on_edge OR crossed % 2 = 1").select("key", "layer", "territory_id", "poly")
+
+
+def classified_cells(edges: DataFrame, grids: DataFrame, banded: DataFrame, per_cell: float) -> DataFrame:
+    """layer, territory_id, poly, cx, cy, whole: cells of each polygon's bounds that lie inside (whole) or are touched by
+    its edges' bounds; those outside are left out."""
+    span = lambda a, b, origin: F.explode(F.sequence(geo.cell(F.least(a, b) - 1e-8, F.col(origin), F.col("size")), geo.cell(F.greatest(a, b) + 1e-8, F.col(origin), F.col("size"))))
+    touched = edges.join(F.broadcast(grids), "layer").withColumn("cx", span("lon1", "lon2", "lon0")).withColumn("cy", span("lat1", "lat2", "lat0"))
+    touched = touched.select("layer", "territory_id", "poly", "cx", "cy").distinct().withColumn("whole", F.lit(False))
+    own = ["layer", "territory_id", "poly", "cx", "cy"]
+    free = polygon_cells(edges, grids).join(touched.select(*own), own, "left_anti").join(F.broadcast(grids), "layer")
+    middle = lambda origin, c: F.col(origin) + (F.col(c) + 0.5) * F.col("size")
+    free = free.select(F.struct("cx", "cy").alias("key"), "layer", "territory_id", "poly", F.lit(False).alias("whole"), middle("lat0", "cy").alias("lat"), middle("lon0", "cx").alias("lon"), "lat0", "size")
+    inside = _held(free, banded, per_cell).select("layer", "territory_id", "poly", "key.cx", "key.cy", F.lit(True).alias("whole"))
+    return touched.unionByName(inside)
+
+
 def find_territories(points: DataFrame, edges: DataFrame) -> DataFrame:
     """id, territory_id of each territory that holds a point (id, lat, lon); edges: of one layer.
 
     Points on a ring's edge, a hole's too, are inside.
     """
     grids = layer_grids(edges)
-    cells = polygon_cells(edges, grids)
     # one row per layer
     gridded = points.select("id", "lat", "lon").crossJoin(F.broadcast(grids)) if _one(grids) else points.limit(0).select("id", "lat", "lon").crossJoin(grids)
     gridded = gridded.withColumn("cx", geo.cell(F.col("lon"), F.col("lon0"), F.col("size"))).withColumn("cy", geo.cell(F.col("lat"), F.col("lat0"), F.col("size")))
-    near = gridded.join(cells, ["layer", "cx", "cy"]).select("id", "lat", "lon", "layer", "territory_id", "poly")
-    e = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
-    small = edges.count() <= BROADCAST_EDGES
-    tested = near.join(F.broadcast(edges) if small else edges, ["layer", "territory_id", "poly"]).groupBy("id", "lat", "lon", "territory_id", "poly").agg(F.bool_or(geo.on_segment(*e)).alias("on_edge"), F.count_if(geo.crosses(*e)).alias("crossed"))
-    return tested.filter("on_edge OR crossed % 2 = 1").select("id", "territory_id").distinct()
+    n = edges.count()
+    # few edges: every point in a polygon's bounds meets them all
+    most = 0 if n <= FEW_EDGES else edges.groupBy("layer", "territory_id", "poly").count().agg(F.max("count")).first()[0]
+    per_cell = float(max(1, min(MOST_BANDS, most // BAND_EDGES) // 32))
+    banded = _bands(edges, grids, per_cell)
+    cells = polygon_cells(edges, grids).withColumn("whole", F.lit(False)) if n <= FEW_EDGES else cut(classified_cells(edges, grids, banded, per_cell))
+    small = n <= BROADCAST_EDGES
+    met = gridded.join(F.broadcast(cells) if small else cells, ["layer", "cx", "cy"]).withColumnRenamed("id", "key")
+    held = _held(met, F.broadcast(banded) if small else banded, per_cell)
+    return held.select(F.col("key").alias("id"), "territory_id").distinct()
 
 
 def _one(grids: DataFrame) -> bool:
@@ -84,7 +127,7 @@ def find_territory(points: DataFrame, edges: DataFrame) -> DataFrame:
 def boundary_distances(points: DataFrame, edges: DataFrame) -> DataFrame:
     """id, territory_id, dist_m: from each point to each territory's nearest ring edge.
 
-    Every point meets every edge; meant for points that lie in no territory.
+    The answer is one row for each point and territory; what is nearest alone is found by nearest_territory().
     """
     e = edges.select("territory_id", "lat1", "lon1", "lat2", "lon2")
     pairs = points.select("id", "lat", "lon").crossJoin(F.broadcast(e) if e.count() <= BROADCAST_EDGES else e)
@@ -93,9 +136,22 @@ def boundary_distances(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def nearest_territory(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, territory_id of the territory whose boundary is nearest; the least id of equals."""
-    best = boundary_distances(points, edges).groupBy("id").agg(F.min(F.struct("dist_m", "territory_id")).alias("best"))
-    return best.select("id", "best.territory_id", "best.dist_m")
+    """id, territory_id, dist_m of the territory whose boundary is nearest; the least id of equals.
+
+    A layer of FEW_EDGES at most is compared whole; of others, each point meets the edges of the few cells that may hold
+    the nearest one.
+    """
+    e = edges.select("territory_id", "lat1", "lon1", "lat2", "lon2")
+    asked = points.select(F.col("id").alias("qid"), "lat", "lon")
+    if e.count() <= FEW_EDGES:
+        met = asked.crossJoin(F.broadcast(e))
+    else:
+        ends = [F.least("lat1", "lat2").alias("min_lat"), F.greatest("lat1", "lat2").alias("max_lat"), F.least("lon1", "lon2").alias("min_lon"), F.greatest("lon1", "lon2").alias("max_lon")]
+        celled = pyramid.in_cells(e.select("*", *ends), EDGE_CELL)
+        met = pyramid.near_cells(asked, celled, EDGE_CELL, pyramid.plane_reach).join(celled.select(*e.columns, "cx", "cy"), ["cx", "cy"])
+    d = geo.segment_distance_m(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])
+    best = met.groupBy("qid").agg(F.min(F.struct(d.alias("dist_m"), "territory_id")).alias("best"))
+    return best.select(F.col("qid").alias("id"), "best.territory_id", "best.dist_m")
 
 
 def assign(points: DataFrame, edges: DataFrame, policy: str = "unassigned") -> DataFrame:
