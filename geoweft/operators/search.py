@@ -1,8 +1,10 @@
 """Scored search over addresses, points of interest and streets, for one query or for a table of queries.
 
-Queries are a table (qid, raw); it is the small side and is broadcast up to BROADCAST_QUERIES rows. Every row of a
-corpus is scored against every query, as fuzzy containment has no key to join on; top-k per query keeps k rows per task
-before anything is shuffled.
+Queries are a table (qid, raw), normalised and asked once each. Up to FEW_QUERIES are tested on every row of a corpus.
+More of them meet the corpus by an equi-join: a row that holds a text holds every piece of it, so a query is listed under
+its piece of PIECE letters (all of a shorter text) that fewest rows have, and under what must be equal; rows meet the
+queries listed under their own pieces and values, and are then tested. Scores are those of the test on every row. Top-k
+per query keeps k rows per task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -17,11 +19,34 @@ from geoweft.functions.lineage import cut
 
 ADDRESS_KEYS = ("addr:street", "addr:housenumber", "addr:postcode", "addr:city", "addr:place", "name", "brand", "operator", "shop", "office", "amenity", "tourism", "leisure")
 BROADCAST_QUERIES = 100_000
+FEW_QUERIES, PIECE = 32, 3
 STAGES = {"address": 0, "poi": 1, "street": 2}
 
 
-def _pair(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    return corpus.crossJoin(F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries)
+def _pieces(value: Column, sizes: list[int]) -> Column:
+    """Array of the distinct pieces of `sizes` letters that a text holds."""
+    of = lambda n: F.when(F.char_length(value) >= n, F.transform(F.sequence(F.lit(1), F.char_length(value) - n + 1), lambda i: F.substr(value, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+
+
+def _met(corpus: DataFrame, hay: str, values: Column | None, asked: DataFrame, texts: Column, equals: Column | None) -> DataFrame:
+    """corpus rows with the rows of asked that may fit them: those of which a text lies in `hay`, or an equal is among
+    `values`. texts: array of texts of asked, equals and values: arrays of marked strings. A pair may come several times."""
+    none = F.array().cast("array<string>")
+    held = F.filter(texts, lambda t: t != "")
+    sizes = [r[0] for r in asked.select(F.explode(held).alias("t")).select(F.least(F.char_length("t"), F.lit(PIECE))).distinct().collect()]
+    sought = asked.select("*", F.explode(held).alias("_t")).withColumn("_key", F.explode(_pieces(F.col("_t"), [PIECE])))
+    sought = sought.unionByName(asked.select("*", F.explode(held).alias("_t")).filter(F.char_length("_t") < PIECE).withColumn("_key", F.col("_t")))
+    rows = corpus.withColumn("_key", F.explode(_pieces(F.col(hay), sorted(sizes))))
+    wanted = cut(sought.select("_key").distinct())
+    few = wanted.count() <= BROADCAST_QUERIES
+    counts = rows.select("_key").join(F.broadcast(wanted) if few else wanted, "_key", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = sought.join(counts, "_key", "left").groupBy(*asked.columns, "_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_k"))
+    listed = rarest.select(*asked.columns, F.concat(F.lit("~"), F.col("_k._key")).alias("_key")).unionByName(asked.select("*", F.explode(equals if equals is not None else none).alias("_key")))
+    listed = cut(listed.distinct())
+    keys = F.concat(F.transform(_pieces(F.col(hay), sorted(sizes)), lambda p: F.concat(F.lit("~"), p)), values if values is not None else none)
+    own = corpus.withColumn("_key", F.explode(F.array_distinct(keys)))
+    return own.join(F.broadcast(listed) if listed.count() <= BROADCAST_QUERIES else listed, "_key").drop("_key")
 
 
 def _ranked(scored: DataFrame, order: list[Column], limit: Column | int | None) -> DataFrame:
@@ -58,8 +83,16 @@ def score_addresses(addresses: DataFrame, asked: DataFrame) -> DataFrame:
     within = lambda part: (F.col(f"q_{part}") != "") & F.contains("hay", F.col(f"q_{part}"))
     maybe = within("raw") | within("street") | asks("housenumber", "addr:housenumber") | asks("postcode", "addr:postcode") | asks("city", "addr:city", "addr:place")
     score = text.address_score(field, {p: F.col(f"q_{p}") for p in QUERY_PARTS})
+    if asked.count() <= FEW_QUERIES:
+        met = fields.crossJoin(F.broadcast(asked))
+    else:
+        mark = lambda m, c: F.concat(F.lit(m), c)
+        values = F.array(mark("h", field("addr:housenumber")), mark("p", field("addr:postcode")), mark("c", field("addr:city")), mark("c", field("addr:place")))
+        equals = F.filter(F.array(mark("h", F.col("q_housenumber")), mark("p", F.col("q_postcode")), mark("c", F.col("q_city"))), lambda v: F.char_length(v) > 1)
+        met = _met(fields, "hay", values, asked, F.array("q_raw", "q_street"), equals)
     # exploded, so that the score is worked out once and behind the join
-    return _pair(fields, asked).filter(maybe).select("k", *order, F.explode(F.array(score)).alias("score")).filter("score > 0")
+    found = met.filter(maybe).select("k", *order, F.explode(F.array(score)).alias("score")).filter("score > 0")
+    return found if asked.count() <= FEW_QUERIES else found.dropDuplicates(["k", "id"])
 
 
 def search_addresses(addresses: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -83,7 +116,13 @@ def search_pois(points: DataFrame, queries: DataFrame, limit: int | None) -> Dat
     tag = osm.tags_of("tags")
     fields = text.labelled(points, "poi", tag).drop("subtitle")
     fields = fields.select("*", text.poi_fields(tag).alias("fields"), text.is_complete(tag).alias("complete"))
-    pairs = _pair(fields, q).withColumn("score", F.explode(F.array(text.poi_score(F.col("fields"), F.col("q"), F.col("tokens"))))).filter("score > 0")
+    q = cut(q)
+    if few := q.count() <= FEW_QUERIES:
+        met = fields.crossJoin(F.broadcast(q))
+    else:
+        met = _met(fields.withColumn("hay", F.array_join(F.transform("fields", lambda f: f["v"]), "\n")), "hay", None, q, F.col("tokens"), None).drop("hay")
+    pairs = met.withColumn("score", F.explode(F.array(text.poi_score(F.col("fields"), F.col("q"), F.col("tokens"))))).filter("score > 0")
+    pairs = pairs if few else pairs.dropDuplicates(["qid", "kind", "id"])
     scored = pairs.withColumn("score", F.when(F.col("complete"), F.col("score") + 3).otherwise(F.col("score")))
     return _ranked(scored.select("qid", *points.columns, "label", "score"), [F.desc("score"), F.col("label"), F.col("kind"), F.col("id")], limit)
 
@@ -91,7 +130,9 @@ def search_pois(points: DataFrame, queries: DataFrame, limit: int | None) -> Dat
 def search_streets(streets: DataFrame, vertices: DataFrame, queries: DataFrame, limit: int | None) -> DataFrame:
     """qid, rank, name, key, score, node, lat, lon: equal, then prefix, then containing names, then by display and key."""
     q = queries.select("qid", text.normalize(F.col("raw")).alias("q")).filter("q <> ''")
-    scored = _pair(streets, q).withColumn("score", text.street_score(F.col("key"), F.col("q"))).filter("score > 0")
+    q = cut(q)
+    met = streets.crossJoin(F.broadcast(q)) if q.count() <= FEW_QUERIES else _met(streets, "key", None, q, F.array("q"), None)
+    scored = met.withColumn("score", text.street_score(F.col("key"), F.col("q"))).filter("score > 0")
     top = _ranked(scored, [F.desc("score"), F.col("display"), F.col("key")], limit).withColumn("node", F.get("node_ids", F.lit(0)))
     placed = top.join(vertices.select(F.col("id").alias("node"), "lat", "lon"), "node")
     return placed.select("qid", "rank", F.col("display").alias("name"), "key", "score", "node", "lat", "lon")

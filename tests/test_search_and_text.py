@@ -172,3 +172,32 @@ def test_queries_have_names_and_oracles():
 def test_progress(spark):
     steps = spark.createDataFrame([(1, 0, 10), (2, 5, 10), (3, 4, 10), (4, 20, 10), (5, 0, 0)], "seq int, done long, total long")
     assert [r.percent for r in files.import_progress(steps).orderBy("seq").collect()] == [60, 78, 78, 95, 95]
+
+
+def test_search_by_pieces_is_search_of_every_row(spark, monkeypatch):
+    """Many queries meet the corpora by an index of pieces; results are those of testing every row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choices("abcdäß", k=rng.randrange(1, 6)))
+    tags = [{"addr:street": f"{word()} {word()}", "addr:housenumber": str(rng.randrange(30)), "addr:postcode": f"{rng.randrange(40):05d}", "addr:city": word(), "name": word(), "brand": word(), "shop": word()} for _ in range(200)]
+    tags = [{k: v for k, v in t.items() if rng.random() < 0.8} for t in tags]
+    rows = [("node", i, i, 48.0 + i / 1000, 12.0, t) for i, t in enumerate(tags)]
+    corpus = spark.createDataFrame(rows, "kind string, id long, seq long, lat double, lon double, tags map<string,string>")
+    raws = [rng.choice([word(), f"{word()} {rng.randrange(30)}", f"{word()} {rng.randrange(30)}, {rng.randrange(40):05d} {word()}", f"{word()} {word()}", "", "?", "a"]) for _ in range(60)]
+    queries = spark.createDataFrame(list(enumerate(raws)), "qid long, raw string")
+    streets = corpus.filter("tags['addr:street'] IS NOT NULL").groupBy(search.text.normalize(F.col("tags")["addr:street"]).alias("key")).agg(F.min(F.col("tags")["addr:street"]).alias("display"), F.array(F.min("id")).alias("node_ids"))
+
+    def found():
+        return [
+            sorted((r.qid, r["rank"], r.id, r.score) for r in search.search_addresses(corpus.drop("kind"), queries, 7).collect()),
+            sorted(map(tuple, search.best_address(corpus.drop("kind"), queries).collect())),
+            sorted((r.qid, r["rank"], r.kind, r.id, r.score) for r in search.search_pois(corpus, queries, 7).collect()),
+            sorted((r.qid, r["rank"], r.key, r.score) for r in search.search_streets(streets, corpus, queries, 7).collect()),
+        ]
+
+    by_pieces = found()
+    monkeypatch.setattr(search, "FEW_QUERIES", 1000)
+    assert by_pieces == found() and all(by_pieces)
