@@ -22,6 +22,17 @@ POI_VALUES = {
     "natural": ("water", "wood", "peak", "beach", "cave_entrance", "spring"),
     "landuse": ("forest", "reservoir", "recreation_ground", "village_green"),
 }
+# Of which keys an entity needs one to be read as a place, by kind, and the keys of which its tags are kept.
+GATE_KEYS = {
+    "node": ("amenity", "shop", "tourism", "leisure", "office", "craft", "healthcare", "emergency", "sport", "historic", "place", "aeroway", "public_transport", "railway", "highway", "natural", "landuse", "boundary"),
+    "way": ("amenity", "shop", "tourism", "leisure", "office", "craft", "healthcare", "emergency", "sport", "historic", "place", "aeroway", "public_transport", "railway", "natural", "landuse", "boundary"),
+    "relation": ("amenity", "shop", "tourism", "leisure", "historic", "place", "natural", "landuse", "boundary"),
+}
+KEPT_KEYS = (
+    "name", "alt_name", "amenity", "shop", "brand", "operator", "office", "craft", "natural", "landuse", "leisure", "tourism", "railway", "highway",
+    "public_transport", "aeroway", "man_made", "healthcare", "emergency", "sport", "historic", "place", "boundary", "admin_level", "wikipedia", "website",
+    "opening_hours", "phone",
+)
 PLACE_RANKS = {"city": 100, "town": 80, "village": 60, "suburb": 45, "quarter": 45, "neighbourhood": 45, "hamlet": 30, "locality": 15, "isolated_dwelling": 15}
 
 
@@ -45,6 +56,13 @@ def has_key(tags: Column, keys: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.map_keys(tags), F.array(*[F.lit(k) for k in keys]))
 
 
+def passes_gate(kind: str | Column, tags: Column) -> Column:
+    """Whether an entity of this kind (a name, or a column of names) has a key that makes it worth reading as a place."""
+    if isinstance(kind, str):
+        return has_key(tags, GATE_KEYS[kind])
+    return reduce(lambda a, k: a | ((kind == k) & has_key(tags, GATE_KEYS[k])), GATE_KEYS, F.lit(False))
+
+
 def is_address(tags: Column) -> Column:
     return F.exists(F.map_keys(tags), lambda k: F.startswith(k, F.lit("addr:")))
 

@@ -26,6 +26,20 @@ def include_properties(assigned: DataFrame, territories: DataFrame, include: lis
     return out.select(*assigned.columns, *[F.coalesce(k, F.lit("")).alias(k) for k in keys])
 
 
+def include_keys(territories: DataFrame, layer: str | None = None) -> list[str]:
+    """What include_properties() may be asked for: territory_id, then all property names of the layer or of all."""
+    from geoweft.operators.territory import property_keys
+
+    rows = territories if layer is None else territories.filter(F.col("layer") == layer)
+    return ["territory_id", *[r.key for r in property_keys(rows).select("key").distinct().filter("key <> 'territory_id'").orderBy("key").collect()]]
+
+
+def flatten(territories: DataFrame, keys: list[str]) -> DataFrame:
+    """territory_id, name and each property of keys as a text column of its own."""
+    kind = dict(territories.dtypes)["props"]
+    return territories.select("territory_id", "name", *[property_column(F.col("props"), k, kind).alias(k) for k in dict.fromkeys(keys) if k not in ("territory_id", "name")])
+
+
 def manifest_groups(assigned: DataFrame, territories: DataFrame, group_by: str) -> DataFrame:
     """assigned with `manifest`: the file name of the row's group; rows without territory or property: UNASSIGNED.
 

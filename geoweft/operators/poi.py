@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from geoweft.functions import geo, osm, text
 
 
+def gated(entities: DataFrame, kind: str) -> DataFrame:
+    """Entities of a kind that may be places, with the tags that places keep."""
+    return entities.filter(osm.passes_gate(kind, F.col("tags"))).withColumn("tags", osm.keep_tags(F.col("tags"), osm.KEPT_KEYS))
+
+
 def way_centroids(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, lat, lon, n: the mean of a way's known nodes, a node that comes twice counted twice; none known: no row."""
     steps = ways.select("id", F.explode("node_ids").alias("node"))

@@ -241,6 +241,12 @@ def property_keys(territories: DataFrame) -> DataFrame:
     return spark.sql("SELECT DISTINCT t.layer, v.key FROM {t} t, LATERAL variant_explode(t.props) v", t=territories)
 
 
+def in_layer(territories: DataFrame, layer: str, ids: list[str] | None = None) -> DataFrame:
+    """A layer's territories by id, all or those of ids."""
+    found = territories.filter(F.col("layer") == layer)
+    return (found if ids is None else found.filter(F.col("territory_id").isin(*ids))).orderBy("territory_id")
+
+
 def postal_groups(territories: DataFrame, digits: int) -> DataFrame:
     """Territories of five-digit codes gathered by their first digits: layer plz<digits>, geometry concatenated."""
     if not 1 <= digits <= 5:

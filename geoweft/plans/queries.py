@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions import cost, geo, osm, text
@@ -443,10 +443,25 @@ def route_distances(spark, sf):
 TURNING = dict(objective="duration", crossing=5.0, left_turn=8.0, u_turn=30.0)
 
 
-@query()
+_TURN = f"(({bear('b.lat', 'b.lon', 'c.lat', 'c.lon')} - {bear('a.lat', 'a.lon', 'b.lat', 'b.lon')} + 540) % 360 - 180)"
+
+
+@query(f"{ctes('directed', 'vertices')}, e AS (SELECT src, dst, {hav('lat1', 'lon1', 'lat2', 'lon2')} * 3.6 / least(speed_kph, 130e0) AS s FROM directed), g AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src), t AS (SELECT x.src AS p, x.dst AS h, y.dst AS a, y.s + CASE WHEN g.n > 2 THEN 5 ELSE 0 END + CASE WHEN abs({_TURN}) > 160 THEN 30 WHEN {_TURN} < -30 THEN 8 ELSE 0 END AS s FROM e x JOIN e y ON y.src = x.dst JOIN g ON g.id = x.dst JOIN vertices a ON a.id = x.src JOIN vertices b ON b.id = x.dst JOIN vertices c ON c.id = y.dst), d(p, h, cost) USING KEY (p, h) AS (SELECT src, dst, s FROM e WHERE src = 1 UNION SELECT t.h, t.a, min(d.cost + t.s) FROM d JOIN t ON t.p = d.p AND t.h = d.h LEFT JOIN recurring.d AS k ON k.p = t.h AND k.h = t.a WHERE k.cost IS NULL OR d.cost + t.s < k.cost - 1e-9 GROUP BY t.h, t.a) SELECT v.src AS qid, 'ok' AS status, round(CASE WHEN v.src = 1 THEN 0 ELSE c END, 4) AS cost, true AS fits FROM (SELECT DISTINCT src FROM directed) v LEFT JOIN (SELECT h, min(cost) AS c FROM d GROUP BY h) ON h = v.src")
 def route_turn_aware(spark, sf):
+    """From the first vertex to all, with turns and crossings that cost; whether each path's own cost is the one given."""
     e, v = grid(spark, sf)
-    return routing.route(requests(spark, sf), e, v, cost.RouteOptions(**TURNING))
+    e, v = cut(e), cut(v)
+    opt = cost.RouteOptions(**TURNING).settled()
+    r = cut(routing.route(requests(spark, sf), e, v, opt))
+    by = Window.partitionBy("qid").orderBy("pos")
+    at = graph.path_coords(r, v).withColumn("next", F.lead(F.struct("node", "lat", "lon")).over(by))
+    here = [F.col(c) for c in ("lat", "lon", "next.lat", "next.lon")]
+    turns = at.withColumn("bearing", geo.bearing_deg(*here)).withColumn("turn", geo.turn_kind(geo.angle_diff_deg(F.col("bearing"), F.lag("bearing").over(by))))
+    degree = graph.out_degrees(e).withColumnRenamed("id", "node")
+    own = turns.withColumn("dst", F.col("next.node")).filter("dst IS NOT NULL").join(degree, "node").join(routing.shortest_edges(e).withColumnsRenamed({"src": "node"}), ["node", "dst"])
+    paid = cost.edge_cost(F.col("dist_m"), F.col("speed_kph"), opt) + F.when(F.col("pos") > 0, cost.transition_penalty(F.col("degree"), F.col("turn"), opt)).otherwise(0.0)
+    sums = own.groupBy("qid").agg(F.sum(paid).alias("own"))
+    return r.join(sums, "qid", "left").select("qid", "status", F.round("cost", 4).alias("cost"), (F.abs(F.coalesce("own", F.lit(0.0)) - F.col("cost")) < 1e-6).alias("fits"))
 
 
 @query()
@@ -458,30 +473,59 @@ def route_instructions(spark, sf):
     return routing.maneuvers(graph.path_coords(r, g.vertices), g.edges, graph.node_street_names(g.streets))
 
 
-@query(f"{ctes('directed')}, e AS (SELECT src, dst, {hav('lat1', 'lon1', 'lat2', 'lon2')} AS m, speed_kph FROM directed), p AS (SELECT src, dst, m, speed_kph, row_number() OVER (ORDER BY src) AS k FROM e WHERE dst = src + 1) SELECT src AS qid, round(m, 6) AS distance_m, round(m * 3.6 / speed_kph, 6) AS duration_s FROM p")
+@query(f"{ctes('directed', 'vertices')}, e AS (SELECT src, dst, {hav('lat1', 'lon1', 'lat2', 'lon2')} AS m, speed_kph FROM directed) SELECT y AS qid, round(coalesce(sum(m), 0), 5) AS distance_m, round(coalesce(sum(m * 3.6 / speed_kph), 0), 5) AS duration_s FROM vertices v LEFT JOIN e ON e.src = v.id AND e.dst = v.id + 1 GROUP BY y UNION ALL SELECT 1000000 + x, round(coalesce(sum(m), 0), 5), round(coalesce(sum(m * 3.6 / speed_kph), 0), 5) FROM vertices v LEFT JOIN e ON e.src = v.id AND e.dst = v.id + 40 GROUP BY x")
 def path_metrics(spark, sf):
+    """Paths along all rows and columns of the grid."""
     e, _ = grid(spark, sf)
-    paths = e.filter("dst = src + 1").select(F.col("src").alias("qid"), F.array("src", "dst").alias("path"))
+    v = view(spark, sf, "vertices")
+    line = lambda key, order: v.groupBy(key.alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "id"))), lambda n: n["id"]).alias("path"))
+    paths = line(F.col("y"), "x").unionByName(line(F.col("x") + 1000000, "y"))
     m = routing.path_metrics(paths, e)
-    return m.select("qid", F.round("distance_m", 6).alias("distance_m"), F.round("duration_s", 6).alias("duration_s"))
+    return m.select("qid", F.round("distance_m", 5).alias("distance_m"), F.round("duration_s", 5).alias("duration_s"))
 
 
-@query()
-def trip_orders(spark, sf):
-    """A trip of up to six stops for each nation's suppliers, and one of twenty."""
+def _trip_tables(spark, sf, per_trip: int, least: int) -> tuple[DataFrame, ...]:
+    """(trips, stops, dependencies, edges, vertices): customers as stops all over the grid, `per_trip` to a trip; in a trip
+    the first stop comes before the second."""
     e, v = grid(spark, sf)
-    n = v.count()
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("trip"), F.col("s_suppkey").alias("ord"), F.concat(F.lit("S"), "s_suppkey").alias("stop"), ((F.col("s_suppkey") * 37) % min(n, 200) + 1).alias("node"), (F.col("s_suppkey") % 5).cast("double").alias("demand"))
-    stops = s.join(v.select(F.col("id").alias("node")), "node", "left_semi")
-    t = stops.select("trip").distinct().select("trip", F.lit(1).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(False).alias("loop"), F.lit(True).alias("optimize"), F.lit(6.0).alias("capacity"))
-    needs = stops.groupBy("trip").agg(F.max("stop").alias("before"), F.min("stop").alias("after")).filter("before <> after")
-    points = stops.select("trip", "node").unionByName(t.select("trip", F.col("start").alias("node")))
-    return trips.solve(t, stops, needs, trips.cost_matrix(points, e, v, cost.RouteOptions(objective="duration")))
+    e, v = cut(e), cut(v)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).filter(F.col("k") < 12 * per_trip)
+    s = c.select(F.floor(F.col("k") / per_trip).alias("trip"), F.col("k").alias("ord"), F.concat(F.lit("S"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("stop"), (1 + (F.col("k") * 7919) % v.count()).alias("node"), (F.col("k") % 5).cast("double").alias("demand"))
+    s = cut(s.join(s.groupBy("trip").count().filter(F.col("count") >= least).select("trip"), "trip", "left_semi"))
+    t = s.select("trip").distinct().select("trip", F.lit(1).cast("long").alias("start"), F.when(F.col("trip") % 2 == 1, 2).cast("long").alias("end"), F.lit(False).alias("loop"), (F.col("trip") % 3 < 2).alias("optimize"), F.lit(6.0).alias("capacity"))
+    by = s.groupBy("trip").agg(F.min_by("stop", "ord").alias("before"), F.min("ord").alias("o")).join(s.select("trip", (F.col("ord") - 1).alias("o"), F.col("stop").alias("after")), ["trip", "o"])
+    return t, s, by.select("trip", "before", "after"), e, v
+
+
+def _solved(spark, sf, per_trip: int, least: int) -> DataFrame:
+    t, s, needs, e, v = _trip_tables(spark, sf, per_trip, least)
+    points = s.select("trip", "node").unionByName(t.select("trip", F.col("start").alias("node"))).unionByName(t.filter("end IS NOT NULL").select("trip", F.col("end").alias("node")))
+    return trips.solve(t, s, needs, trips.cost_matrix(points, e, v, cost.RouteOptions(engine="dijkstra-node", objective="duration")))
+
+
+_LEGS = f"e AS (SELECT src, dst, {hav('lat1', 'lon1', 'lat2', 'lon2')} * 3.6 / least(speed_kph, 130e0) AS s FROM directed), n AS (SELECT count(DISTINCT src) AS n FROM directed), st AS (SELECT c_custkey // 6 AS trip, c_custkey % 6 AS i, 1 + (c_custkey * 7919) % n AS node, c_custkey % 5 AS demand FROM customer, n WHERE c_custkey < 72), d(root, node, cost) USING KEY (root, node) AS (SELECT DISTINCT r, r, 0e0 FROM (SELECT node AS r FROM st UNION SELECT 1) UNION SELECT d.root, e.dst, min(d.cost + e.s) FROM d JOIN e ON e.src = d.node LEFT JOIN recurring.d AS k ON k.root = d.root AND k.node = e.dst WHERE k.cost IS NULL OR d.cost + e.s < k.cost - 1e-9 GROUP BY d.root, e.dst)"
+
+
+@query(f"{ctes('directed')}, {_LEGS}, w(trip, seen, last, n, cost) AS (SELECT trip, 1 << i, st.node, 1, d.cost FROM st JOIN d ON d.root = 1 AND d.node = st.node WHERE CASE WHEN trip % 3 < 2 THEN i <> 1 ELSE i = 0 END UNION ALL SELECT w.trip, w.seen | (1 << i), st.node, w.n + 1, w.cost + d.cost FROM w JOIN st ON st.trip = w.trip JOIN d ON d.root = w.last AND d.node = st.node WHERE w.seen & (1 << i) = 0 AND (i <> 1 OR w.seen & 1 = 1) AND (w.trip % 3 < 2 OR i = w.n)), t AS (SELECT trip, count(*) AS n, sum(demand) AS demand FROM st GROUP BY trip HAVING count(*) = 6), f AS (SELECT w.trip, min(w.cost + d.cost) AS cost FROM w JOIN d ON d.root = w.last AND d.node = CASE WHEN w.trip % 2 = 1 THEN 2 ELSE 1 END WHERE w.n = 6 GROUP BY w.trip) SELECT trip, 'ok' AS status, 6 AS stops, round(cost, 4) AS cost, CAST(demand AS DOUBLE) AS demand, demand > 6 AS over_capacity FROM t JOIN f USING (trip)")
+def trip_orders(spark, sf):
+    """Tours of six stops, the first before the second: the cheapest order, or for every third the order given; half of
+    them end elsewhere than they start."""
+    r = _solved(spark, sf, 6, 6)
+    return r.select("trip", "status", F.size("order").alias("stops"), F.round("cost", 4).alias("cost"), "demand", "over_capacity")
+
+
+@query()
+def trip_orders_long(spark, sf):
+    """Tours of twenty stops: nearest feasible stop, then reversals, or the order given."""
+    return _solved(spark, sf, 20, 20)
+
+
+_URL = "replace(replace(replace(replace({}, ',', '%2C'), '|', '%7C'), '+', '%2B'), ':', '%3A')"
 
 
-@query(f"{ctes('positions')}, p AS (SELECT qid, pos, printf('%.6f,%.6f', lat, lon) AS pt FROM positions WHERE pos < 3) SELECT qid, 'https://www.google.com/maps/dir/?api=1&destination=' || replace(arg_max(pt, pos), ',', '%2C') || '&origin=' || replace(arg_min(pt, pos), ',', '%2C') || '&travelmode=driving' || CASE WHEN count(*) > 2 THEN '&waypoints=' || replace(max(pt) FILTER (WHERE pos = 1), ',', '%2C') ELSE '' END AS google FROM p GROUP BY qid HAVING count(*) >= 2")
+@query(f"{ctes('positions')}, p AS (SELECT qid, list(printf('%.6f,%.6f', lat, lon) ORDER BY pos) AS p FROM positions GROUP BY qid HAVING count(*) >= 2) SELECT qid, 'https://www.google.com/maps/dir/?api=1&destination=' || {_URL.format('p[len(p)]')} || '&origin=' || {_URL.format('p[1]')} || '&travelmode=driving' || CASE WHEN len(p) > 2 THEN '&waypoints=' || {_URL.format("array_to_string(p[2:1 + least(len(p) - 2, 9)], '|')")} ELSE '' END AS google, 'https://maps.apple.com/?daddr=' || {_URL.format("array_to_string(p[2:], '+to:')")} || '&dirflg=d&saddr=' || {_URL.format('p[1]')} AS apple FROM p")
 def map_links(spark, sf):
-    return routing.map_links(view(spark, sf, "positions").filter("pos < 3")).select("qid", "google")
+    return routing.map_links(view(spark, sf, "positions"))
 
 
 # --- messages, rosters, intents ---

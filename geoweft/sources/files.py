@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,9 +90,61 @@ def write_assignments(assigned: DataFrame, path: str, include: list[str]) -> Non
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
-    """One folder of CSV per manifest, rows in input order (row_ord)."""
+    """One CSV file per manifest, <manifest>.csv below path, rows in input order (row_ord)."""
     rows = manifests.repartition("manifest").sortWithinPartitions("manifest", "row_ord").drop("row_ord")
-    rows.write.mode("overwrite").partitionBy("manifest").csv(path, header=True)
+    rows.withColumn("_file", F.col("manifest")).drop("manifest").write.mode("overwrite").partitionBy("_file").csv(path, header=True)
+    spark = manifests.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for part in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "_file=*/part-*")):
+        # a manifest is one task's: its folder holds one file
+        name = unquote(part.getPath().getParent().getName().removeprefix("_file="))
+        fs.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}.csv"))
+        fs.delete(part.getPath().getParent(), True)
+
+
+def write_layers(territories: DataFrame, path: str) -> None:
+    """Each layer as GeoJSON below path, and the manifest of layers (layer, path) beside them."""
+    write_geojson(territories, f"{path}/layers")
+    layers = territories.select("layer").distinct()
+    layers.select("layer", F.concat(F.lit("layers/layer="), F.col("layer")).alias("path")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_layers(spark: SparkSession, path: str) -> DataFrame:
+    """The territories of all layers that the manifest names."""
+    rows = spark.read.schema("layer string, path string").json(f"{path}/manifest").collect()
+    out = [read_geojson(spark, f"{path}/{r.path}", r.layer) for r in sorted(rows)]
+    return reduce(lambda a, b: a.unionByName(b), out) if out else spark.createDataFrame([], f"layer string, territory_id string, name string, props variant, geometry {GEOMETRY}")
+
+
+def raw_layers(spark: SparkSession, path: str) -> DataFrame:
+    """layer, value: the GeoJSON files below path as they are."""
+    return spark.read.text(path, wholetext=True).select(F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)).alias("layer"), "value")
+
+
+def bad_layers(spark: SparkSession, path: str) -> DataFrame:
+    """layer, problem: files below path that read_geojson() gives no rows of."""
+    doc = F.from_json("value", "type string, features array<string>, geometry string")
+    problem = F.when(doc["type"].isNull(), "isn't JSON with a type").when((doc["type"] == "FeatureCollection") & doc["features"].isNull(), "has no features").when(~doc["type"].isin("FeatureCollection", "Feature"), "isn't a feature or a collection")
+    return raw_layers(spark, path).select("layer", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def publish_postal(spark: SparkSession, source: str, digits: int, path: str) -> DataFrame:
+    """Groups the postcode areas of a GeoJSON file by their first digits, writes them as layer plz<digits> and reads it."""
+    from geoweft.operators.territory import postal_groups
+
+    grouped = postal_groups(read_geojson(spark, source), digits).withColumn("props", F.create_map(F.lit("name"), F.col("name"), F.lit("codes"), F.col("codes").cast("string")))
+    write_layers(grouped, path)
+    return read_layers(spark, path)
+
+
+def write_stations(stations: DataFrame, path: str) -> None:
+    """Stored stations (id, name, lat, lon) as JSON lines."""
+    stations.select("id", "name", "lat", "lon").write.mode("overwrite").json(path)
+
+
+def read_stations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, name string, lat double, lon double").json(path)
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
@@ -107,20 +161,27 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(cell(name).alias("name"), cell(call).alias("callsign"), cell(kind).alias("type"), meta.alias("meta"), F.monotonically_increasing_id().alias("row")).filter("name <> ''")
 
 
+_NODE = "struct<id:long,lat:double,lon:double>"
+_EDGE = "struct<from:long,to:long,dist_m:double,speed_kph:double,max_height_m:double,max_weight_t:double>"
+
+
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of a graph as JSON: nodes {id, lat, lon}, edges {from, to, dist_m, speed_kph, ...}."""
-    schema = "nodes array<struct<id:long,lat:double,lon:double>>, edges array<struct<from:long,to:long,dist_m:double,speed_kph:double,max_height_m:double,max_weight_t:double>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    v = rows.select(F.explode("nodes").alias("n")).select("n.*")
-    e = rows.select(F.explode("edges").alias("e"))
-    zero = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0.0)).alias(c)
-    return v, e.select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), *[zero(c) for c in ("dist_m", "speed_kph", "max_height_m", "max_weight_t")], F.lit("").alias("hwy_type"))
+    """(vertices, edges) of a graph as JSON: one document of nodes {id, lat, lon} and edges {from, to, dist_m, ...}, or
+    lines {node} and {edge}, as write_graph_json() makes them."""
+    lines = spark.read.schema(f"node {_NODE}, edge {_EDGE}, nodes array<{_NODE}>, edges array<{_EDGE}>")
+    rows = lines.json(path)
+    if rows.filter("node IS NOT NULL OR edge IS NOT NULL OR nodes IS NOT NULL OR edges IS NOT NULL").isEmpty():
+        rows = lines.json(path, multiLine=True)  # a document over several lines
+    of = lambda one, many: rows.select(F.explode(F.coalesce(many, F.array(one))).alias("x")).filter("x IS NOT NULL").select("x.*")
+    e = of("edge", "edges")
+    return of("node", "nodes"), e.select(F.col("from").alias("src"), F.col("to").alias("dst"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dist_m", "speed_kph", "max_height_m", "max_weight_t")], F.lit("").alias("hwy_type"))
 
 
 def write_graph_json(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """Vertices and edges as JSON lines below path."""
-    vertices.write.mode("overwrite").json(f"{path}/nodes")
-    edges.withColumnsRenamed({"src": "from", "dst": "to"}).write.mode("overwrite").json(f"{path}/edges")
+    """Vertices and edges as JSON lines below path: {node} and {edge}, which read_graph_json() reads again."""
+    nodes = vertices.select(F.struct("id", "lat", "lon").alias("node"), F.lit(None).cast(_EDGE).alias("edge"))
+    lines = edges.select(F.lit(None).cast(_NODE).alias("node"), F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "dist_m", "speed_kph", "max_height_m", "max_weight_t").alias("edge"))
+    nodes.unionByName(lines).write.mode("overwrite").json(path)
 
 
 POI_VERSION = 3
@@ -137,6 +198,16 @@ def read_pois(spark: SparkSession, path: str, version: int = POI_VERSION) -> Dat
     return spark.read.parquet(f"{path}/v{version}")
 
 
+# Settings that only the server may know.
+SECRET_SETTINGS = ("openai_api_key",)
+
+
+def public_settings(settings: DataFrame, secrets: tuple[str, ...] = SECRET_SETTINGS) -> DataFrame:
+    """Settings (key, value) with the values of secret keys emptied; a key may be a path, its last part counts."""
+    last = F.lower(F.substring_index("key", ".", -1))
+    return settings.select("key", F.when(last.isin(*secrets), "").otherwise(F.col("value")).alias("value"))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Import settings; speeds override the defaults, an empty list of highways allows the usual ones."""
