@@ -555,11 +555,41 @@ def roster_match(spark, sf):
     return dispatch.match_roster(roster, stations, hints)
 
 
-@query()
+def _said(c: str, phrases) -> str:
+    """Whether a text holds one of the phrases."""
+    return "(" + " OR ".join(f"contains({c}, '{x}')" for x in phrases) + ")"
+
+
+def _after(c: str, phrases, plain: str, tail: str = "{}") -> str:
+    """What follows the first of the phrases that a text begins with."""
+    return "CASE " + " ".join(f"WHEN starts_with({c}, '{x}') THEN " + tail.format(rf"regexp_replace(substr({c}, {len(x) + 1}), '^\\s+|\\s+$', '', 'g')") for x in phrases) + f" ELSE {plain} END"
+
+
+_GROUP = lambda pattern, n: rf"regexp_replace(coalesce(regexp_extract(low, '{pattern}', {n}), ''), '^\\s+|\\s+$', '', 'g')"
+_STOP = r"(?:\s*[?!.]|$)"
+_WORD = r"[^\p{L}\p{N}_]"
+_TO = _GROUP(rf"von\s+(.+?)\s+nach\s+(.+?){_STOP}", 2)
+INTENTS = rf"""
+    WITH p AS (SELECT concat_ws('/', conv_id, turn) AS qid, text AS prompt FROM conversations WHERE role = 'user' UNION ALL VALUES ('a', 'äh, Flughafen München'), ('b', 'Wie lange dauert es von A nach B?'), ('c', 'nächste Tankstelle'), ('d', 'Über Ulm nach Bonn mit Zwischenstopp Tankstelle'), ('e', 'Bitte route nach Ulm Hbf!'), ('f', 'Ich will nach Passau fahren'), ('g', 'Café auf dem Weg'), ('h', 'Wo kann ich am See spazieren?'), ('i', 'was ist das'), ('j', '')),
+    l AS (SELECT qid, lower(regexp_replace(prompt, '^\s+|\s+$', '', 'g')) AS raw FROM p), q AS (SELECT qid, {_after('raw', intent.FILLERS, 'raw')} AS low FROM l),
+    w AS (SELECT *, {_after('low', intent.NAVIGATE, "''", "regexp_replace({}, '[ ?!.]+$', '')")} AS prefix, {_GROUP(r'nach\s+(.+?)\s+(?:navigieren|fahren|route|navigation)', 1)} AS postfix,
+          list_filter(regexp_split_to_array(low, '\s+'), lambda x: x <> '') AS words FROM q),
+    i AS (SELECT *, CASE WHEN {_said('low', intent.DURATION)} THEN 'duration' WHEN {_said('low', intent.STOPOVER)} OR regexp_matches(low, '(^|{_WORD})über{_WORD}([^\n]*{_WORD})?nach({_WORD}|$)') THEN 'multi_stop' WHEN {_said('low', intent.ON_ROUTE)} THEN 'poi_on_route'
+          WHEN prefix <> '' OR postfix <> '' THEN 'navigate' WHEN {_said('low', intent.NEAR)} THEN 'poi_near' WHEN {_said('low', intent.LEISURE)} THEN 'leisure'
+          WHEN len(words) BETWEEN 1 AND 5 AND NOT list_has_any(words, {list(intent.QUESTION_WORDS)!r}) THEN 'navigate' ELSE 'unknown' END AS intent FROM w),
+    k AS (SELECT *, CASE WHEN intent IN ('multi_stop', 'poi_on_route', 'poi_near', 'leisure') THEN coalesce((SELECT arg_min(word, length(word) * -1000 + nth) FROM (SELECT unnest({sorted(intent.KEYWORDS)!r}) AS word, generate_subscripts({sorted(intent.KEYWORDS)!r}, 1) AS nth) WHERE contains(low, word)), '') ELSE '' END AS keyword FROM i)
+    SELECT qid, intent, CASE WHEN intent = 'duration' THEN {_GROUP(rf'von\s+(.+?)\s+nach\s+(.+?){_STOP}', 1)} ELSE '' END AS origin,
+           CASE intent WHEN 'duration' THEN CASE WHEN {_TO} <> '' THEN {_TO} ELSE {_GROUP(rf'nach\s+(.+?){_STOP}', 1)} END WHEN 'multi_stop' THEN {_GROUP(r'nach\s+(.+?)(?:\s+mit|\s+und|\s*[?!.]|$)', 1)}
+             WHEN 'navigate' THEN CASE WHEN prefix <> '' THEN prefix WHEN postfix <> '' THEN postfix ELSE regexp_replace(low, '[ ?!.]+$', '') END ELSE '' END AS destination,
+           k.keyword, coalesce(t.k, '') AS tag_key, coalesce(t.v, '') AS tag_value
+    FROM k LEFT JOIN (VALUES {', '.join(f"('{x}', '{t[0]}', '{t[1]}')" for x, t in intent.KEYWORDS.items())}) AS t(keyword, k, v) ON t.keyword = k.keyword"""
+
+
+@query(INTENTS)
 def intents(spark, sf):
     """All user messages as prompts, with some that have an intent."""
     own = table(spark, sf, "conversations").filter("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("qid"), F.col("text").alias("prompt"))
-    more = spark.sql("SELECT * FROM VALUES ('a', 'äh, Flughafen München'), ('b', 'Wie lange dauert es von A nach B?'), ('c', 'nächste Tankstelle') AS q(qid, prompt)")
+    more = spark.sql("SELECT * FROM VALUES ('a', 'äh, Flughafen München'), ('b', 'Wie lange dauert es von A nach B?'), ('c', 'nächste Tankstelle'), ('d', 'Über Ulm nach Bonn mit Zwischenstopp Tankstelle'), ('e', 'Bitte route nach Ulm Hbf!'), ('f', 'Ich will nach Passau fahren'), ('g', 'Café auf dem Weg'), ('h', 'Wo kann ich am See spazieren?'), ('i', 'was ist das'), ('j', '') AS q(qid, prompt)")
     return intent.classify(own.unionByName(more))
 
 

@@ -421,3 +421,21 @@ def upward_searches(spark, sf):
     q = spark.range(CHAINS).select((1 + (F.col("id") * 37) % n).alias("from_id"), (1 + (F.col("id") * 41 + 3) % n).alias("to_id")).distinct()
     up = graph.upward_edges(e, graph.contraction_ranks(e))
     return routing.upward_costs(q, up, v).select("from_id", "to_id", F.round("cost", 4).alias("cost"))
+
+
+_NAMES = "nn AS (SELECT node, min(display) AS name FROM (SELECT display, unnest(node_ids) AS node FROM streets) GROUP BY node)"
+_STEP = "SELECT qid, pos, 1 + x + 40 * y AS node FROM (SELECT k.x AS qid, CASE WHEN v.y = 0 THEN v.x ELSE k.x + v.y END AS pos, v.x, v.y FROM vertices v JOIN (SELECT DISTINCT x FROM vertices) k ON (v.y = 0 AND v.x <= k.x) OR v.x = k.x)"
+
+
+@query(f"{BUILT}, {STREETS}, {_NAMES}, sh AS (SELECT src, dst, arg_min(speed_kph, dist_m) AS v FROM ed GROUP BY 1, 2), a AS (SELECT qid, pos, s.node, lat, lon, coalesce(name, '') AS name FROM ({_STEP}) s JOIN vx ON vx.id = s.node LEFT JOIN nn ON nn.node = s.node), b AS (SELECT *, lead(node) OVER o AS nxt, lead(lat) OVER o AS nlat, lead(lon) OVER o AS nlon, lead(name) OVER o AS nname, max(pos) OVER (PARTITION BY qid) AS last FROM a WINDOW o AS (PARTITION BY qid ORDER BY pos)), c AS (SELECT b.*, CASE WHEN nxt IS NULL THEN NULL ELSE {bear('lat', 'lon', 'nlat', 'nlon')} END AS br, coalesce({hav('lat', 'lon', 'nlat', 'nlon')}, 0) AS m, coalesce({hav('lat', 'lon', 'nlat', 'nlon')}, 0) * 3.6 / CASE WHEN v > 0 THEN v ELSE 50e0 END AS s FROM b LEFT JOIN sh ON src = node AND dst = nxt), d AS (SELECT *, sum(m) OVER o - m AS mb, sum(s) OVER o - s AS sb, sum(m) OVER w AS ma, sum(s) OVER w AS sa, (br - lag(br) OVER o + 540) % 360 - 180 AS turn FROM c WINDOW o AS (PARTITION BY qid ORDER BY pos), w AS (PARTITION BY qid)), i AS (SELECT *, abs(turn) >= 45 AS sharp FROM d WHERE pos > 0 AND pos < last AND (abs(turn) >= 45 OR (name <> '' AND nname <> '' AND name <> nname))), t AS (SELECT qid, pos, 1 AS part, CASE WHEN sharp AND abs(turn) > 150 THEN 'uturn' WHEN sharp AND turn > 0 THEN 'turn-right' WHEN sharp THEN 'turn-left' ELSE 'turn' END AS type, CASE WHEN sharp AND abs(turn) > 150 THEN 'Wenden' WHEN sharp AND turn > 0 THEN 'Rechts abbiegen' WHEN sharp THEN 'Links abbiegen' ELSE 'Abbiegen' END || CASE WHEN nname <> '' THEN ' auf ' || nname ELSE '' END AS instruction, node, CASE WHEN lead(pos) OVER o IS NULL THEN ma - mb ELSE mb - coalesce(lag(mb) OVER o, 0) END AS x, CASE WHEN lead(pos) OVER o IS NULL THEN sa - sb ELSE sb - coalesce(lag(sb) OVER o, 0) END AS y, mb FROM i WINDOW o AS (PARTITION BY qid ORDER BY pos)), z AS (SELECT qid, pos, part, type, instruction, node, x, y FROM t UNION ALL SELECT d.qid, pos, 0, 'depart', 'Los geht''s', node, coalesce(f, ma), CASE WHEN f IS NULL THEN sa ELSE 0 END FROM d LEFT JOIN (SELECT qid, min(mb) AS f FROM t GROUP BY qid) g ON g.qid = d.qid WHERE pos = 0 AND last > 0 UNION ALL SELECT qid, pos, 2, 'arrive', 'Ziel erreicht', node, 0, 0 FROM d WHERE pos = last) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY part, pos) AS INT) AS nth, type, instruction, node, round(x, 4) AS distance_m, round(y, 4) AS duration_s FROM z")
+def path_instructions(spark, sf):
+    """Instructions along paths that follow the first row of the grid up to each column and then the column."""
+    g = built(spark, sf)
+    g = graph.Graph(cut(g.edges), cut(g.vertices), cut(g.streets))
+    v = view(spark, sf, "vertices")
+    k = v.select(F.col("x").alias("qid")).distinct()
+    row = v.filter("y = 0").join(k, F.col("x") <= F.col("qid")).select("qid", F.col("x").alias("pos"), F.col("id").alias("node"))
+    down = v.filter("y > 0").select(F.col("x").alias("qid"), (F.col("x") + F.col("y")).alias("pos"), F.col("id").alias("node"))
+    paths = row.unionByName(down).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda n: n["node"]).alias("path"))
+    m = routing.maneuvers(graph.path_coords(paths, g.vertices), g.edges, graph.node_street_names(g.streets))
+    return m.select("qid", "nth", "type", "instruction", "node", F.round("distance_m", 4).alias("distance_m"), F.round("duration_s", 4).alias("duration_s"))
