@@ -11,7 +11,9 @@ Passages inside or across paragraphs: of each `ANCHOR` neighbouring words the on
 of `WINDOW_WORDS` words. Texts that share ANCHOR + WINDOW_WORDS - 1 = 51 words share such a window. Windows meet by their
 hash, and those of several documents stay. A shared run of 51 words reaches at most ANCHOR - 1 words beyond its anchors'
 windows, so the ANCHOR - 1 words before and behind each window are compared too, step by step, among the documents that
-agree so far. Each word of a document belongs to the smallest document it is found to share it with (itself included);
+agree so far. Of a window that a chunk of documents holds often, two occurrences meet those of other chunks; windows of more
+than HEAVY occurrences are not gathered either, but compared by sums over the keys of what stands around them (`_by_keys`).
+Each word of a document belongs to the smallest document it is found to share it with (itself included);
 neighbouring words of one such document are a passage, so that every word removed stays in a smaller document.
 
 Defined results: null and empty texts and lines shorter than a shingle have no paragraphs; a passage repeated within one document alone isn't reported;
@@ -38,11 +40,13 @@ ANCHOR, WINDOW_WORDS = 20, 32
 MISS = 0.002
 LETTERS_PER_PARTITION = 1 << 23
 CONTEXTS_PER_PARTITION = 1 << 15
+#: Windows that a chunk of documents has more often are crowded; those with more occurrences in all are heavy.
+CROWD, HEAVY = 16, 1 << 16
 _BAND = np.dtype([("band", "<u8"), ("node", "<i8")])
 _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _CONTEXT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1", 2), ("near", "<u4", (2, ANCHOR - 1))])  # 32 bits of the words beside a window
 _PLACE = np.dtype([("doc", "<i8"), ("node", "<i8"), ("start", "<u4"), ("end", "<u4")])
-BANDS, WINDOWS, PLACES, TIES = range(4)
+BANDS, WINDOWS, PLACES, TIES, CROWDED = range(5)
 _DEALT = {BANDS: (_BAND, lambda rows: rows["band"]), WINDOWS: (_WINDOW, lambda rows: rows["hash"])}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -176,7 +180,8 @@ def tied_bands(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
-    """(part, salt, kind, blob): places of paragraphs, ties of their nodes within a chunk, bands and passage windows."""
+    """(part, salt, kind, blob): places of paragraphs, ties of their nodes within a chunk, bands, passage windows, and of
+    crowded ones those that needn't meet others."""
     bands, rows = tuned_bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +210,10 @@ def _scan(docs: DataFrame, partitions: int, k: int, percent: int) -> DataFrame:
                     blobs += [(salt % coarse, PLACES, all_of.tobytes()), (salt % coarse, TIES, ties.tobytes())]
                     blobs += [(p, BANDS, x) for p, x in zip(*packed_parts(least, least["band"], coarse), strict=True)]
                 if windows:
-                    all_of = np.concatenate(windows)
+                    all_of, crowded = parted(np.concatenate(windows))
                     blobs += [(p, WINDOWS, x) for p, x in zip(*packed_parts(all_of, all_of["hash"], coarse), strict=True)]
+                    if len(crowded):
+                        blobs.append((salt % coarse, CROWDED, crowded.tobytes()))
                 parts, kinds, packed = zip(*blobs, strict=True) if blobs else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([salt] * len(parts), pa.int64()), pa.array(kinds, pa.int32()), pa.array(packed, pa.binary())], names=["part", "salt", "kind", "blob"])
                 salt += 1
@@ -226,12 +233,17 @@ def _reduced(scanned: DataFrame, partitions: int) -> DataFrame:
     def tied(ties: np.ndarray) -> pa.RecordBatch:
         return rows_of(TIES, len(ties), a=ties[:, 0], b=ties[:, 1])
 
+    def windows_of(rows: np.ndarray) -> pa.RecordBatch:
+        return rows_of(WINDOWS, len(rows), doc_id=rows["doc"], start_word=rows["start"].astype(np.int32), a=np.ascontiguousarray(rows["hash"]).view(np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple[int, int], list[bytes]] = {}
         for batch in batches:
             for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == TIES:
                     yield tied(np.frombuffer(blob, np.int64).reshape(-1, 2))
+                elif kind == CROWDED:
+                    yield windows_of(np.frombuffer(blob, _WINDOW))
                 elif kind == PLACES:
                     rows = np.frombuffer(blob, _PLACE)
                     yield rows_of(PLACES, len(rows), doc_id=rows["doc"], start_word=rows["start"].astype(np.int32), end_word=rows["end"].astype(np.int32), a=rows["node"])
@@ -242,8 +254,7 @@ def _reduced(scanned: DataFrame, partitions: int) -> DataFrame:
             if kind == BANDS:
                 yield tied(tied_bands(np.frombuffer(blob, _BAND))[1])
             else:
-                rows = _shared_windows(np.frombuffer(blob, _WINDOW))
-                yield rows_of(WINDOWS, len(rows), doc_id=rows["doc"], start_word=rows["start"].astype(np.int32), a=np.ascontiguousarray(rows["hash"]).view(np.int64))
+                yield windows_of(_shared_windows(np.frombuffer(blob, _WINDOW)))
 
     return dealt(scanned, partitions, _DEALT).mapInArrow(run, _FOUND)
 
@@ -275,6 +286,18 @@ def _blobs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.nda
             yield rows[np.argsort(rows["hash"], kind="stable")]
 
 
+def parted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(meet, stay) of a chunk's windows: of those more often than CROWD and in several documents, one occurrence of the
+    least and one of the greatest document meet other chunks' ones; the others are shared for certain and stay."""
+    rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
+    starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    crowded = (sizes > CROWD) & (rows["doc"][starts] != rows["doc"][starts + sizes - 1])
+    stays = np.repeat(crowded, sizes)
+    stays[starts] = stays[starts + sizes - 1] = False
+    return rows[~stays], rows[stays]
+
+
 def _contexts(windows: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
     """(part, salt, kind, blob): shared windows with the words beside them, from their texts, dealt by the windows' hash."""
     by_doc = windows.groupBy("doc_id").agg(F.collect_list("start_word").alias("starts"), F.collect_list("hash").alias("hashes")).withColumnRenamed("doc_id", "of")
@@ -359,30 +382,99 @@ def shared_stretches(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.
     return [(rows["doc"], *whole, first), *out]
 
 
+def _packed_stretches(doc: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, blob) of stretches (start, end, first), those in a row of one first document as one."""
+    if not len(doc):
+        return
+    order = np.lexsort((found[:, 0], found[:, 2], doc))
+    doc, found = doc[order], found[order]
+    group = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (found[1:, 2] != found[:-1, 2])]) << 32
+    fresh = np.r_[True, (group + found[:, 0])[1:] > np.maximum.accumulate(group + found[:, 1])[:-1]]
+    starts = np.flatnonzero(fresh)
+    doc, found = doc[starts], np.stack([found[starts, 0], np.maximum.reduceat(found[:, 1], starts), found[starts, 2]], 1)
+    held, first = np.unique(doc, return_index=True)
+    for k in range(0, len(held), 10_000):
+        some = [x.tobytes() for x in np.split(found, first[1:])[k : k + 10_000]]
+        yield pa.RecordBatch.from_arrays([pa.array(held[k : k + 10_000]), pa.array(some, pa.binary())], names=["doc_id", "blob"])
+
+
 def _stretches(contexts: DataFrame, partitions: int) -> DataFrame:
     """(doc_id, blob) of stretches (start, end, first) that a document shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blobs(batches, _CONTEXT):
             doc, *found = (np.concatenate(c) for c in zip(*shared_stretches(rows), strict=True))
-            if not len(doc):
-                continue
-            found = np.stack(found, 1)
-            order = np.lexsort((found[:, 0], found[:, 2], doc))
-            doc, found = doc[order], found[order]
-            # words in a row of one first document are one stretch
-            group = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (found[1:, 2] != found[:-1, 2])]) << 32
-            fresh = np.r_[True, (group + found[:, 0])[1:] > np.maximum.accumulate(group + found[:, 1])[:-1]]
-            starts = np.flatnonzero(fresh)
-            doc, found = doc[starts], np.stack([found[starts, 0], np.maximum.reduceat(found[:, 1], starts), found[starts, 2]], 1)
-            held, first = np.unique(doc, return_index=True)
-            for k in range(0, len(held), 10_000):
-                some = [x.tobytes() for x in np.split(found, first[1:])[k : k + 10_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(held[k : k + 10_000]), pa.array(some, pa.binary())], names=["doc_id", "blob"])
+            yield from _packed_stretches(doc, np.stack(found, 1))
 
     return dealt(contexts, partitions, {0: (_CONTEXT, lambda rows: rows["hash"])}).select("part", "blob").mapInArrow(run, "doc_id long, blob binary")
 
 
+def context_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, known) of rows of _CONTEXT: of the window, and with each further word before and behind it; columns in the
+    order of the text, the window's in the middle."""
+    far = ANCHOR - 1
+    keys, known = np.empty((len(rows), 2 * far + 1), np.uint64), np.ones((len(rows), 2 * far + 1), np.bool_)
+    keys[:, far] = rows["hash"]
+    for side, step in ((0, -1), (1, 1)):
+        key = rows["hash"] ^ np.uint64(side + 1)
+        for j in range(far):
+            key = (key ^ rows["near"][:, side, j]) * _MIX
+            key ^= key >> np.uint64(29)
+            keys[:, far + step * (j + 1)], known[:, far + step * (j + 1)] = key, rows["n"][:, side] > j
+    return keys, known
+
+
+def stretches_of_keys(rows: np.ndarray, shared: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, stretches) of rows of _CONTEXT; shared: ascending keys that several documents have, least: of these the least."""
+    keys, known = context_keys(rows)
+    at = np.minimum(np.searchsorted(shared, keys), max(0, len(shared) - 1))
+    held = known & (shared[at] == keys) if len(shared) else np.zeros_like(known)
+    first = np.where(held, least[at] if len(shared) else 0, 0)
+    words = np.r_[np.arange(ANCHOR - 1), np.full(WINDOW_WORDS, ANCHOR - 1), np.arange(ANCHOR, 2 * ANCHOR - 1)]
+    held, first = held[:, words], first[:, words]
+    fresh = np.ones_like(held)
+    fresh[:, 1:] = (held[:, 1:] != held[:, :-1]) | (first[:, 1:] != first[:, :-1])
+    begins = np.flatnonzero(fresh.ravel())
+    ends = np.r_[begins[1:], fresh.size]
+    kept = held.ravel()[begins]
+    begins, ends = begins[kept], ends[kept]
+    row, column = np.divmod(begins, len(words))
+    start = rows["start"][row].astype(np.int64) - (ANCHOR - 1) + column
+    return rows["doc"][row], np.stack([start, start + ends - begins, first.ravel()[begins]], 1)
+
+
+def _by_keys(contexts: DataFrame) -> DataFrame:
+    """What _stretches() gives, with no window's occurrences gathered: chunks sum their keys' least and greatest document,
+    sums over all chunks tell which keys several documents have, and go back to the chunks that asked."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = np.frombuffer(blob, _CONTEXT)
+                keys, known = context_keys(rows)
+                key, doc = keys[known], np.repeat(rows["doc"], known.sum(1))
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[order]
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                columns = [pa.array([chunk] * len(starts), pa.int64()), pa.array(key[starts].view(np.int64)), pa.array(np.minimum.reduceat(doc, starts)), pa.array(np.maximum.reduceat(doc, starts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "key", "least", "most"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, keys, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shared, least = np.array(keys or [], np.int64).view(np.uint64), np.array(least or [], np.int64)
+                order = np.argsort(shared)
+                yield from _packed_stretches(*stretches_of_keys(np.frombuffer(blob, _CONTEXT), shared[order], least[order]))
+
+    chunks = cut(contexts.select(F.xxhash64("part", "salt").alias("chunk"), "blob"))
+    asked = cut(chunks.mapInArrow(sums, "chunk long, key long, least long, most long"))
+    summed = asked.groupBy("key").agg(F.min("least").alias("first"), F.max("most").alias("last"), F.count(F.lit(1)).alias("times"))
+    shared = cut(summed.filter("first < last").select("key", "first", "times"))
+    told = matched(asked.select("chunk", "key"), shared, "key", "times", asked.count(), "chunk").filter("first IS NOT NULL")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("key", "first")).alias("told")).select("chunk", F.col("told.key").alias("keys"), F.col("told.first").alias("least"))
+    return chunks.join(told, "chunk").select("blob", "keys", "least").mapInArrow(run, "doc_id long, blob binary")
+
+
 def split_spans(found: np.ndarray) -> np.ndarray:
     """Rows (start, end, first) without overlap, by start: each word with the least first of the rows that hold it."""
     low = int(found[:, 0].min())
@@ -464,7 +556,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = nodes.agg(F.sum("times")).first()[0] or 0
     whole = matched(found, shared, "node", "times", rows, "doc_id").filter("first_doc_id IS NOT NULL").select("doc_id", F.lit("paragraph").alias("kind"), "start_word", "end_word", "first_doc_id")
     windows = reduced.filter(F.col("kind") == WINDOWS).select("doc_id", "start_word", F.col("a").alias("hash"))
-    near = blob_partitions(windows.count(), CONTEXTS_PER_PARTITION)
-    parts = _passages(_stretches(_contexts(windows, texts, near), near)).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
+    heavy = cut(windows.groupBy("hash").count().filter(F.col("count") > HEAVY).select("hash"))
+    n_heavy = heavy.count()  # one for each HEAVY windows at most
+    rest = windows.join(F.broadcast(heavy) if n_heavy <= set_join.BROADCAST_ROWS else heavy, "hash", "left_anti") if n_heavy else windows
+    near = blob_partitions(rest.count(), CONTEXTS_PER_PARTITION)
+    found = _stretches(_contexts(rest, texts, near), near)
+    if n_heavy:
+        hot = windows.join(F.broadcast(heavy) if n_heavy <= set_join.BROADCAST_ROWS else heavy, "hash", "left_semi")
+        found = found.unionByName(_by_keys(_contexts(hot, texts, 1)))
+    parts = _passages(found).select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "first_doc_id")
     rows = whole.unionByName(parts).withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
     return rows.select(unpacked_id("doc_id"), "kind", "start_word", "end_word", unpacked_id("first_doc_id"), "removed")

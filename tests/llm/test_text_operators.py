@@ -484,7 +484,11 @@ def test_substring_dedup_finds_short_and_wrapped_paragraphs(spark):
     assert paragraphs.alone(80) == 3
 
 
-def test_passages_are_exact_and_stay_in_their_first_document(spark):
+@pytest.mark.parametrize("crowd,heavy", [(16, 1 << 16), (1, 1 << 16), (2, 1)])
+def test_passages_are_exact_and_stay_in_their_first_document(spark, monkeypatch, crowd, heavy):
+    """Also where windows are crowded in a chunk, and where they are heavy and compared by keys."""
+    monkeypatch.setattr(paragraphs, "CROWD", crowd)
+    monkeypatch.setattr(paragraphs, "HEAVY", heavy)
     rng = random.Random(26)
     at = lambda n: words(rng, n, 10**9)
     for _ in range(3):
@@ -523,8 +527,11 @@ def test_paragraphs_against_all_pairs(spark):
     assert recall >= 0.99
 
 
-def test_passages_against_all_runs(spark):
+@pytest.mark.parametrize("crowd,heavy", [(16, 1 << 16), (1, 2)])
+def test_passages_against_all_runs(spark, monkeypatch, crowd, heavy):
     """Every word in a run of 51 words or more that a smaller document holds is removed, and no word that none holds."""
+    monkeypatch.setattr(paragraphs, "CROWD", crowd)
+    monkeypatch.setattr(paragraphs, "HEAVY", heavy)
     rng = random.Random(46)
     pieces = [[f"p{k}_{i}" for i in range(rng.randrange(30, 140))] for k in range(12)]
     texts = []
