@@ -138,7 +138,10 @@ def test_graph_files(spark, tmp_path):
     v, e = files.read_graph_json(spark, str(tmp_path / "g.json"))
     assert v.count() == 2 and tuple(e.first()) == (1, 2, 5.0, 30.0, 0.0, 0.0, "")
     files.write_graph_json(v, e, str(tmp_path / "out"))
-    assert set(spark.read.json(str(tmp_path / "out/edges")).columns) >= {"from", "to", "dist_m"}
+    again = files.read_graph_json(spark, str(tmp_path / "out"))
+    assert again[0].collect() == v.collect() and again[1].collect() == e.collect()
+    (tmp_path / "wide.json").write_text(json.dumps(doc, indent=1))
+    assert files.read_graph_json(spark, str(tmp_path / "wide.json"))[0].count() == 2
     files.write_pois(v, str(tmp_path / "poi"))
     assert files.read_pois(spark, str(tmp_path / "poi")).count() == 2
     with pytest.raises(ValueError, match="version 2"):

@@ -170,7 +170,8 @@ def test_parcel_files(spark, tmp_path):
     assert back.columns == ["parcel_id", "territory_id", "depot"] and back.count() == 3
     manifests = dispatch.manifest_groups(assigned, z, "vehicle")
     files.write_manifests(manifests, str(tmp_path / "m"))
-    assert {p.name for p in (tmp_path / "m").iterdir() if p.is_dir()} == {"manifest=VAN-01", "manifest=VAN-02", "manifest=UNASSIGNED"}
+    assert {p.name for p in (tmp_path / "m").iterdir() if not p.name.startswith((".", "_"))} == {"VAN-01.csv", "VAN-02.csv", "UNASSIGNED.csv"}
+    assert "parcel_id" in (tmp_path / "m" / "VAN-01.csv").read_text().splitlines()[0].split(",")
     (tmp_path / "bad.csv").write_text("parcel_id,lat,lon\nP001,north,12\n")
     with pytest.raises(Exception, match="isn't a number"):
         files.read_parcels(spark, str(tmp_path / "bad.csv")).collect()
