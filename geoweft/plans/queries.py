@@ -414,17 +414,59 @@ def poi_search(spark, sf):
     return search.search_pois(view(spark, sf, "pois"), view(spark, sf, "queries"), 7).select("qid", "rank", "kind", "id", "label", "score")
 
 
-@query()
+def _staged(parsed: str, asked: str, *more: str) -> str:
+    """The staged search in SQL: adr, poi and street hold each stage's ranked rows, u10 (or another limit) what is left."""
+    address = ADDRESS.replace(ctes("addresses"), ctes("addresses", "pois", "queries", "ways", "vertices"), 1).replace(PARSED, parsed, 1)
+    score = " + ".join(_field(c, w) for c, w in (("n", (120, 100, 80, 12)), ("b", (100, 85, 70, 10)), ("s", (70, 55, 45, 7)), ("a", (70, 55, 45, 7)), ("n", (75, 60, 45, 6))))
+    return f"""{address}, {ROADS}, {STEPS}, {STREETS},
+        pq AS (SELECT qid, k, list_filter(string_split(k, ' '), lambda x: x <> '') AS toks FROM (SELECT qid, {norm_compare('raw')} AS k FROM {asked})),
+        pf AS (SELECT *, {norm_compare('name')} AS n, {norm_compare('brand')} AS b, {norm_compare('shop')} AS s, {norm_compare('amenity')} AS a FROM pois),
+        psc AS (SELECT qid, kind, id, lat, lon, name AS label, CAST({score} AS INT) AS score FROM pf, pq),
+        poi AS (SELECT qid, 1 AS stage, rank, 'poi' AS kind, id, lat, lon, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label, kind, id) AS rank FROM psc WHERE score > 0) WHERE rank <= 20),
+        adr AS (SELECT qid, 0 AS stage, rank, 'address' AS kind, r.id, lat, lon, street || ' ' || housenumber || ', ' || postcode || ' ' || city AS label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sd WHERE score > 0) r JOIN addresses a ON a.id = r.id),
+        sq AS (SELECT qid, CASE WHEN street <> '' THEN street ELSE raw END AS k FROM p),
+        street AS (SELECT qid, 2 AS stage, rank, 'street' AS kind, node AS id, lat, lon, display AS label FROM (SELECT qid, display, node_ids[1] AS node, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN key = k THEN 3 WHEN starts_with(key, k) THEN 2 ELSE 1 END DESC, display, key) AS rank FROM streets JOIN sq ON k <> '' AND contains(key, k)) JOIN vx ON vx.id = node WHERE rank <= 20){''.join(more)}"""
+
+
+def _first_of(name: str, rows: str, limit: int) -> str:
+    """A CTE of rows of which each label and place stays once, `limit` to a query."""
+    return f""", {name} AS (SELECT * EXCLUDE (o, nth) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, rank) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY qid, {norm_compare('label')}, CAST(round(lat * 1e6) AS BIGINT), CAST(round(lon * 1e6) AS BIGINT) ORDER BY stage, rank) AS o FROM ({rows})) WHERE o = 1) WHERE nth <= {limit})"""
+
+
+def _search_sql(name: str, limit: int) -> tuple[str, ...]:
+    open_slots = lambda of: f"{limit} - (SELECT count(*) FROM {of} d WHERE d.qid = x.qid)"
+    fill = lambda stage, of: f"SELECT * FROM {of} UNION ALL SELECT * FROM {stage} x WHERE rank <= least(2 * ({open_slots(of)}), 20)"
+    return (
+        _first_of(f"{name}0", f"SELECT * FROM adr WHERE rank <= {min(2 * limit, 50)}", limit),
+        _first_of(f"{name}1", fill("poi", f"{name}0"), limit),
+        _first_of(name, fill("street", f"{name}1"), limit),
+    )
+
+
+@query(_staged(PARSED, "queries", *_search_sql("u", 10)) + " SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY stage, rank) AS INT) AS nth, kind, id, label, round(lat, 9) AS lat, round(lon, 9) AS lon FROM u")
 def unified_search(spark, sf):
     g = kept(spark, sf)
-    return search.search(view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.vertices, view(spark, sf, "queries"), 10)
+    found = search.search(view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.vertices, view(spark, sf, "queries"), 10)
+    return found.select("qid", "nth", "kind", "id", "label", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query()
+_MORE = [(20, "48.1, 11.5"), (21, "Flughafen München"), (22, "Straße 2"), (23, "?"), (24, "asse"), (25, "strasse-2 zzz")]
+_ASKED = "(SELECT qid, raw FROM queries UNION ALL VALUES " + ", ".join(f"({k}, '{v}')" for k, v in _MORE if k > 21) + ")"
+_PARSED_MORE = PARSED[:-1] + ", (22, 'strasse', '2', '', '', 'strasse2'), (23, '?', '', '', '', '?'), (24, 'asse', '', '', '', 'asse'), (25, 'zzz', 'strasse2', '', '', 'strasse2zzz'))"
+
+
+@query(_staged(_PARSED_MORE, _ASKED, *_search_sql("u", 6), """,
+        ba AS (SELECT sd.qid, arg_max(sd.id, score * CAST(1000000000 AS BIGINT) - seq) AS id FROM sd WHERE score > 0 GROUP BY sd.qid),
+        sr AS (SELECT s.qid, lat, lon FROM street s JOIN p ON p.qid = s.qid AND p.street <> '' WHERE rank = 1 AND s.qid NOT IN (SELECT qid FROM ba)),
+        fs AS (SELECT qid, arg_min(lat, stage * 1000 + rank) AS lat, arg_min(lon, stage * 1000 + rank) AS lon, arg_min(label, stage * 1000 + rank) AS label FROM u WHERE qid NOT IN (SELECT qid FROM ba) AND qid NOT IN (SELECT qid FROM sr) GROUP BY qid),
+        done AS (SELECT 20 AS qid, 'coordinates' AS resolution, 48.1e0 AS lat, 11.5e0 AS lon, '48.100000, 11.500000' AS label UNION ALL SELECT ba.qid, 'address', lat, lon, street || ' ' || housenumber || ', ' || postcode || ' ' || city FROM ba JOIN addresses a ON a.id = ba.id
+                 UNION ALL SELECT qid, 'street', lat, lon, 'asse' FROM sr UNION ALL SELECT qid, 'search', lat, lon, label FROM fs)""")
+       + f" SELECT q.qid, coalesce(resolution, 'not found') AS resolution, round(lat, 9) AS lat, round(lon, 9) AS lon, label FROM (SELECT qid FROM {_ASKED} UNION ALL VALUES (20), (21)) q LEFT JOIN done ON done.qid = q.qid")
 def resolve_locations(spark, sf):
     g = kept(spark, sf)
-    more = spark.sql("SELECT qid, raw FROM VALUES (20, '48.1, 11.5'), (21, 'Flughafen München'), (22, 'Straße 2'), (23, '?')  AS q(qid, raw)")
-    return search.resolve(view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.vertices, view(spark, sf, "queries").unionByName(more))
+    more = spark.createDataFrame(_MORE, "qid int, raw string")
+    found = search.resolve(view(spark, sf, "addresses"), view(spark, sf, "pois"), g.streets, g.vertices, view(spark, sf, "queries").unionByName(more))
+    return found.select("qid", "resolution", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "label")
 
 
 # --- routing ---

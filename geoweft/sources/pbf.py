@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -117,9 +118,28 @@ class Frame:
     length: int
 
 
+def opened(path: str):
+    """A file to read from any place: a path, or a URI of a store that all executors reach (file, hdfs, s3, gs)."""
+    if "://" not in path:
+        return open(path, "rb")
+    store, name = pa_fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def size_and_time(path: str) -> tuple[int, int]:
+    """Size, and modification time in ns."""
+    if "://" not in path:
+        s = os.stat(path)
+        return s.st_size, s.st_mtime_ns
+    store, name = pa_fs.FileSystem.from_uri(path)
+    info = store.get_file_info(name)
+    return info.size, info.mtime_ns
+
+
 def frames(path: str) -> Iterator[Frame]:
     """Every frame of a file: kind, and offset and length of its blob. The end is only clean between frames."""
-    with open(path, "rb") as f:
+    end = size_and_time(path)[0]
+    with opened(path) as f:
         while head := f.read(4):
             if len(head) < 4:
                 raise FormatError("truncated frame length")
@@ -128,8 +148,8 @@ def frames(path: str) -> Iterator[Frame]:
                 raise FormatError(f"frame header of {size} bytes")
             kind, length = blob_header(f.read(size), size)
             at = f.tell()
-            f.seek(length, os.SEEK_CUR)
-            if f.tell() > os.fstat(f.fileno()).st_size:
+            f.seek(min(at + length, end))
+            if at + length > end:
                 raise FormatError("truncated blob")
             yield Frame(kind, at, length)
 
@@ -335,7 +355,7 @@ class PbfReader(DataSourceReader):
         return [Run(self.path, found[k : k + self.per_run]) for k in range(0, len(found), self.per_run)] or [Run(self.path, [])]
 
     def read(self, partition: Run) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             for offset, length in partition.frames:
                 f.seek(offset)
                 yield from rows_of(f.read(length), self.entity, self.gate, offset << 20, self.window)
@@ -394,7 +414,7 @@ def block_index(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             out = []
-            with open(path, "rb") as f:
+            with opened(path) as f:
                 for offset, length in zip(batch.offset, batch.length, strict=True):
                     f.seek(offset)
                     nodes = [(n[1], n[2]) for n in Block(unpack_blob(f.read(length))).nodes(Gate())]
@@ -409,11 +429,10 @@ def block_index(spark: SparkSession, path: str) -> DataFrame:
 def fingerprint(path: str) -> tuple[int, int, str]:
     """(size, modification time in ns, SHA-256) of a file."""
     digest = hashlib.sha256()
-    with open(path, "rb") as f:
+    with opened(path) as f:
         while part := f.read(1 << 20):
             digest.update(part)
-    s = os.stat(path)
-    return s.st_size, s.st_mtime_ns, digest.hexdigest()
+    return *size_and_time(path), digest.hexdigest()
 
 
 def write_index(spark: SparkSession, path: str) -> str:
@@ -425,8 +444,8 @@ def write_index(spark: SparkSession, path: str) -> str:
 
 def is_fresh(index: DataFrame, path: str) -> bool:
     """Whether a zone map still belongs to the file as it is."""
-    s, row = os.stat(path), index.select("source_size", "source_mtime_ns").first()
-    return row is not None and (row.source_size, row.source_mtime_ns) == (s.st_size, s.st_mtime_ns)
+    row = index.select("source_size", "source_mtime_ns").first()
+    return row is not None and (row.source_size, row.source_mtime_ns) == size_and_time(path)
 
 
 def blocks_for(index: DataFrame, window: tuple[float, float, float, float]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Compositions on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from geoweft.operators import compose
 
@@ -45,3 +46,33 @@ def test_stations(spark):
     names = spark.createDataFrame([("2.1.3 FF Adldorf",), ("FF Wallersdorf",), ("FF Nirgends",), ("FF",)], "name string")
     got = {r.name: r.lat for r in compose.station_hints(names, none, points, streets, v).collect()}
     assert got == {"2.1.3 FF Adldorf": 48.0, "FF Wallersdorf": 48.5}
+
+
+def test_intents_carried_out(spark):
+    """Ways to a place, over the nearest place of a kind, and between two places named."""
+    side = 4
+    at = lambda i: (48 + (i - 1) // side / 1000, 12 + (i - 1) % side / 1000)
+    ids = range(1, side * side + 1)
+    vertices = spark.createDataFrame([(i, *at(i)) for i in ids], "id long, lat double, lon double")
+    steps = [(a, b, 100.0) for a in ids for b in (a + 1, a - 1, a + side, a - side) if b in ids and (abs(a - b) == side or (a - 1) // side == (b - 1) // side)]
+    edges = spark.createDataFrame(steps, "src long, dst long, dist_m double").select("*", F.lit(50.0).alias("speed_kph"), F.lit(0.0).alias("max_height_m"), F.lit(0.0).alias("max_weight_t"), F.lit("").alias("hwy_type"))
+    place = lambda i, **tags: (i, i, *at(i), tags)
+    addresses = spark.createDataFrame([place(16, **{"addr:street": "Zielweg", "addr:housenumber": "1"}), place(4, **{"addr:street": "Startgasse", "addr:housenumber": "7"})], "id long, seq long, lat double, lon double, tags map<string,string>")
+    points = spark.createDataFrame([("node", 13, *at(13), {"amenity": "fuel", "name": "Tank"}), ("node", 9, *at(3), {"amenity": "cafe"})], "kind string, id long, lat double, lon double, tags map<string,string>")
+    streets = spark.createDataFrame([("zielweg", "Zielweg", [16])], "key string, display string, node_ids array<long>")
+    prompts = [(1, "Navigiere nach Zielweg 1", *at(1)), (2, "nach Zielweg 1 mit Zwischenstopp Tankstelle", *at(1)), (3, "Wie lange dauert es von Startgasse 7 nach Zielweg 1?", *at(1)), (4, "nach Zielweg 1 mit Zwischenstopp Apotheke", *at(1)), (5, "Navigiere nach Nirgendwo", *at(1)), (6, "was ist das", *at(1))]
+    rows = compose.run_intents(spark.createDataFrame(prompts, "qid long, prompt string, lat double, lon double"), addresses, points, streets, edges, vertices).collect()
+    got = {r.qid: r for r in rows}
+    assert {q: (r.intent, r.status, r.stop_label) for q, r in got.items()} == {1: ("navigate", "ok", None), 2: ("multi_stop", "ok", "Tank"), 3: ("duration", "ok", None), 4: ("multi_stop", "ok", None), 5: ("navigate", "to not found", None)}
+    assert all(got[q].distance_m == 600.0 for q in (1, 2, 4)) and got[3].distance_m == 300.0
+    assert got[2].path[0] == 1 and got[2].path[-1] == 16 and 13 in got[2].path and len(set(got[2].path)) == 7
+
+
+def test_layers_as_they_are_and_bad_ones(spark, tmp_path):
+    from geoweft.sources import files
+
+    (tmp_path / "good.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    (tmp_path / "bad one.geojson").write_text("{nothing")
+    (tmp_path / "other.geojson").write_text('{"type":"Topology"}')
+    assert {(r.layer, r.value[:2]) for r in files.raw_layers(spark, str(tmp_path)).collect()} == {("good", '{"'), ("bad one", "{n"), ("other", '{"')}
+    assert {r.layer for r in files.bad_layers(spark, str(tmp_path)).collect()} == {"bad one", "other"}

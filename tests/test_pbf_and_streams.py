@@ -93,6 +93,7 @@ def test_gates(spark, extract):
     gated = {r.id: r.tags for r in pbf.read(spark, str(extract), keys="amenity", keep="name").collect()}
     assert gated == {101: {}, 202: {}, 204: {"name": "x"}}
     assert {r.id for r in pbf.read(spark, str(extract), prefixes="addr:").collect()} == {101}
+    assert pbf.read(spark, extract.as_uri(), prefixes="addr:").count() == 1 and pbf.size_and_time(extract.as_uri()) == pbf.size_and_time(str(extract))
     assert {r.id for r in pbf.read(spark, str(extract), window="48.0,48.15,11.0,11.2").collect()} == {101, 202}
 
 
