@@ -20,6 +20,7 @@ from geoweft.functions.lineage import cut
 ADDRESS_KEYS = ("addr:street", "addr:housenumber", "addr:postcode", "addr:city", "addr:place", "name", "brand", "operator", "shop", "office", "amenity", "tourism", "leisure")
 BROADCAST_QUERIES = 100_000
 FEW_QUERIES, PIECE = 32, 3
+_EQUAL = 1000  # slots of what must be equal, behind those of texts
 STAGES = {"address": 0, "poi": 1, "street": 2}
 
 
@@ -29,24 +30,36 @@ def _pieces(value: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in sizes])) if sizes else F.array().cast("array<string>")
 
 
-def _met(corpus: DataFrame, hay: str, values: Column | None, asked: DataFrame, texts: Column, equals: Column | None) -> DataFrame:
-    """corpus rows with the rows of asked that may fit them: those of which a text lies in `hay`, or an equal is among
-    `values`. texts: array of texts of asked, equals and values: arrays of marked strings. A pair may come several times."""
-    none = F.array().cast("array<string>")
-    held = F.filter(texts, lambda t: t != "")
-    sizes = [r[0] for r in asked.select(F.explode(held).alias("t")).select(F.least(F.char_length("t"), F.lit(PIECE))).distinct().collect()]
-    sought = asked.select("*", F.explode(held).alias("_t")).withColumn("_key", F.explode(_pieces(F.col("_t"), [PIECE])))
-    sought = sought.unionByName(asked.select("*", F.explode(held).alias("_t")).filter(F.char_length("_t") < PIECE).withColumn("_key", F.col("_t")))
-    rows = corpus.withColumn("_key", F.explode(_pieces(F.col(hay), sorted(sizes))))
+def _met(corpus: DataFrame, hay: str, asked: DataFrame, texts: Column, values: Column | None = None, equals: list[tuple[Column, Column]] | None = None) -> DataFrame:
+    """corpus rows with the rows of asked of which a text lies in `hay`, or an equal is among `values`, each pair once.
+
+    texts: array of texts of asked; values: array of marked strings of corpus; equals: marked strings of asked (null for
+    none), each with the test of a pair that it stands for. A pair that meets by several of these stays with the first.
+    """
+    none, equals = F.array().cast("array<string>"), equals or []
+    each = asked.select("*", F.posexplode(texts).alias("_slot", "_t")).filter("_t <> ''")
+    sizes = sorted(r[0] for r in each.select(F.least(F.char_length("_t"), F.lit(PIECE))).distinct().collect())
+    sought = each.filter(F.char_length("_t") >= PIECE).withColumn("_key", F.explode(_pieces(F.col("_t"), [PIECE])))
+    sought = sought.unionByName(each.filter(F.char_length("_t") < PIECE).withColumn("_key", F.col("_t")))
+    rows = corpus.select(F.explode(_pieces(F.col(hay), sizes)).alias("_key"))
     wanted = cut(sought.select("_key").distinct())
     few = wanted.count() <= BROADCAST_QUERIES
-    counts = rows.select("_key").join(F.broadcast(wanted) if few else wanted, "_key", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = sought.join(counts, "_key", "left").groupBy(*asked.columns, "_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_k"))
-    listed = rarest.select(*asked.columns, F.concat(F.lit("~"), F.col("_k._key")).alias("_key")).unionByName(asked.select("*", F.explode(equals if equals is not None else none).alias("_key")))
-    listed = cut(listed.distinct())
-    keys = F.concat(F.transform(_pieces(F.col(hay), sorted(sizes)), lambda p: F.concat(F.lit("~"), p)), values if values is not None else none)
+    counts = rows.join(F.broadcast(wanted) if few else wanted, "_key", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = sought.join(counts, "_key", "left").groupBy(*asked.columns, "_slot").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_k"))
+    listed = rarest.select(*asked.columns, "_slot", F.concat(F.lit("~"), F.col("_k._key")).alias("_key"))
+    for i, (marked, _) in enumerate(equals):
+        listed = listed.unionByName(asked.select("*", F.lit(_EQUAL + i).alias("_slot"), marked.alias("_key")).filter("_key IS NOT NULL"))
+    listed = cut(listed)
+    keys = F.concat(F.transform(_pieces(F.col(hay), sizes), lambda p: F.concat(F.lit("~"), p)), values if values is not None else none)
     own = corpus.withColumn("_key", F.explode(F.array_distinct(keys)))
-    return own.join(F.broadcast(listed) if listed.count() <= BROADCAST_QUERIES else listed, "_key").drop("_key")
+    met = own.join(F.broadcast(listed) if listed.count() <= BROADCAST_QUERIES else listed, "_key")
+    holds = lambda t: (t != "") & F.contains(F.col(hay), t)
+    slot = F.col("_slot")
+    fits, before = holds(F.get(texts, slot)), F.exists(F.slice(texts, F.lit(1), F.least(slot, F.size(texts))), holds)
+    for i, (_, test) in enumerate(equals):
+        fits = F.when(slot == _EQUAL + i, test).otherwise(fits)
+        before = before | ((slot > _EQUAL + i) & test)
+    return met.filter(fits & ~before).drop("_key", "_slot")
 
 
 def _ranked(scored: DataFrame, order: list[Column], limit: Column | int | None) -> DataFrame:
@@ -84,15 +97,15 @@ def score_addresses(addresses: DataFrame, asked: DataFrame) -> DataFrame:
     maybe = within("raw") | within("street") | asks("housenumber", "addr:housenumber") | asks("postcode", "addr:postcode") | asks("city", "addr:city", "addr:place")
     score = text.address_score(field, {p: F.col(f"q_{p}") for p in QUERY_PARTS})
     if asked.count() <= FEW_QUERIES:
-        met = fields.crossJoin(F.broadcast(asked))
+        met = fields.crossJoin(F.broadcast(asked)).filter(maybe)
     else:
         mark = lambda m, c: F.concat(F.lit(m), c)
         values = F.array(mark("h", field("addr:housenumber")), mark("p", field("addr:postcode")), mark("c", field("addr:city")), mark("c", field("addr:place")))
-        equals = F.filter(F.array(mark("h", F.col("q_housenumber")), mark("p", F.col("q_postcode")), mark("c", F.col("q_city"))), lambda v: F.char_length(v) > 1)
-        met = _met(fields, "hay", values, asked, F.array("q_raw", "q_street"), equals)
+        tests = {"h": asks("housenumber", "addr:housenumber"), "p": asks("postcode", "addr:postcode"), "c": asks("city", "addr:city", "addr:place")}
+        equals = [(F.when(F.col(f"q_{part}") != "", mark(m, F.col(f"q_{part}"))), tests[m]) for m, part in (("h", "housenumber"), ("p", "postcode"), ("c", "city"))]
+        met = _met(fields, "hay", asked, F.array("q_raw", "q_street"), values, equals)
     # exploded, so that the score is worked out once and behind the join
-    found = met.filter(maybe).select("k", *order, F.explode(F.array(score)).alias("score")).filter("score > 0")
-    return found if asked.count() <= FEW_QUERIES else found.dropDuplicates(["k", "id"])
+    return met.select("k", *order, F.explode(F.array(score)).alias("score")).filter("score > 0")
 
 
 def search_addresses(addresses: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -117,12 +130,11 @@ def search_pois(points: DataFrame, queries: DataFrame, limit: int | None) -> Dat
     fields = text.labelled(points, "poi", tag).drop("subtitle")
     fields = fields.select("*", text.poi_fields(tag).alias("fields"), text.is_complete(tag).alias("complete"))
     q = cut(q)
-    if few := q.count() <= FEW_QUERIES:
+    if q.count() <= FEW_QUERIES:
         met = fields.crossJoin(F.broadcast(q))
     else:
-        met = _met(fields.withColumn("hay", F.array_join(F.transform("fields", lambda f: f["v"]), "\n")), "hay", None, q, F.col("tokens"), None).drop("hay")
+        met = _met(fields.withColumn("hay", F.array_join(F.transform("fields", lambda f: f["v"]), "\n")), "hay", q, F.col("tokens")).drop("hay")
     pairs = met.withColumn("score", F.explode(F.array(text.poi_score(F.col("fields"), F.col("q"), F.col("tokens"))))).filter("score > 0")
-    pairs = pairs if few else pairs.dropDuplicates(["qid", "kind", "id"])
     scored = pairs.withColumn("score", F.when(F.col("complete"), F.col("score") + 3).otherwise(F.col("score")))
     return _ranked(scored.select("qid", *points.columns, "label", "score"), [F.desc("score"), F.col("label"), F.col("kind"), F.col("id")], limit)
 
@@ -131,7 +143,7 @@ def search_streets(streets: DataFrame, vertices: DataFrame, queries: DataFrame,
     """qid, rank, name, key, score, node, lat, lon: equal, then prefix, then containing names, then by display and key."""
     q = queries.select("qid", text.normalize(F.col("raw")).alias("q")).filter("q <> ''")
     q = cut(q)
-    met = streets.crossJoin(F.broadcast(q)) if q.count() <= FEW_QUERIES else _met(streets, "key", None, q, F.array("q"), None)
+    met = streets.crossJoin(F.broadcast(q)) if q.count() <= FEW_QUERIES else _met(streets, "key", q, F.array("q"))
     scored = met.withColumn("score", text.street_score(F.col("key"), F.col("q"))).filter("score > 0")
     top = _ranked(scored, [F.desc("score"), F.col("display"), F.col("key")], limit).withColumn("node", F.get("node_ids", F.lit(0)))
     placed = top.join(vertices.select(F.col("id").alias("node"), "lat", "lon"), "node")
