@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import chat, decontaminate, exact_dedup, language_id, packing, paragraphs, secrets, set_join, sharding, url_filter
+from geoweft.llm import chat, decontaminate, exact_dedup, language_id, lexical, lines, merkle, packing, paragraphs, secrets, set_join, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_common_lines(table(spark, sf_dir, "documents"), texts=False).drop("text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verifies, where 2 divides the id's checksum, a text without its line ends."""
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.col("text").contains("\n")
+    fields = {f: F.col(f) for f in merkle.FIELDS}
+    altered = merkle.leaf_digest((fields | {"text": F.replace("text", F.lit("\n"), F.lit(""))}).values())
+    claimed = F.when(touched, altered).otherwise(merkle.leaf_digest(fields.values()))
+    return merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), claimed=claimed))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -80,7 +97,60 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in SQL.items() if k in queries()}
 
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _merkle_sql() -> str:
+    """The trees, level by level until one node is left; then each row's path up through both, folded on the way."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    others = "string_agg(digest, '' ORDER BY idx)"
+    tree = lambda name, start: f"{name}(grp, lvl, idx, digest) AS ({start} UNION ALL SELECT grp, lvl + 1, idx // 3, sha256({others}) FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}) WHERE n > 1 GROUP BY grp, lvl, idx // 3)"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) if c != "text" else field(text) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    return f"""
+        WITH RECURSIVE bits(n, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        t AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+        b AS (SELECT *, list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)) AS b FROM documents),
+        d AS (SELECT doc_id, coalesce('s' || source, '') AS grp, {leaf("text")} AS leaf,
+                     CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS claimed FROM b, t),
+        l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+        {tree("low", "SELECT grp, 0, idx, leaf FROM l")},
+        sub AS (SELECT grp, arg_max(digest, lvl) AS subroot FROM low GROUP BY grp),
+        ranked AS (SELECT grp, subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx FROM sub),
+        {tree("high", "SELECT 'top', 0, idx, subroot FROM ranked")},
+        root AS (SELECT arg_max(digest, lvl) AS root FROM high),
+        node AS (SELECT 0 AS part, * FROM low UNION ALL SELECT 1, * FROM high),
+        beside AS (SELECT n.part, n.grp, n.lvl, n.idx, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx < n.idx), '') AS before, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx > n.idx), '') AS after
+                   FROM node n JOIN node s ON s.part = n.part AND s.grp = n.grp AND s.lvl = n.lvl AND s.idx // 3 = n.idx // 3 GROUP BY ALL),
+        top AS (SELECT part, grp, max(lvl) AS lvl FROM node GROUP BY part, grp),
+        path(doc_id, own, grp, part, lvl, idx, place, folded, proof) AS (
+            SELECT doc_id, l.idx, l.grp, 0, CAST(0 AS BIGINT), l.idx, ranked.idx, claimed, '' FROM l JOIN ranked USING (grp)
+            UNION ALL
+            SELECT doc_id, own, p.grp, CASE WHEN p.lvl < top.lvl THEN p.part ELSE 1 END, CASE WHEN p.lvl < top.lvl THEN p.lvl + 1 ELSE 0 END, CASE WHEN p.lvl < top.lvl THEN p.idx // 3 ELSE place END, place,
+                   CASE WHEN p.lvl < top.lvl THEN sha256(before || folded || after) ELSE folded END, CASE WHEN p.lvl < top.lvl THEN proof || before || after ELSE proof END
+            FROM path p JOIN top ON top.part = p.part AND top.grp = CASE WHEN p.part = 0 THEN p.grp ELSE 'top' END JOIN beside b ON b.part = p.part AND b.grp = top.grp AND b.lvl = p.lvl AND b.idx = p.idx
+            WHERE p.lvl < top.lvl OR p.part = 0),
+        done AS (SELECT path.* FROM path, (SELECT lvl FROM top WHERE part = 1) z WHERE path.part = 1 AND path.lvl = z.lvl)
+        SELECT l.doc_id, l.leaf, sub.subroot, root.root, sha256(done.proof) AS proof_sha256, done.folded AS folded_root, done.folded = root.root AS verified
+        FROM l JOIN sub USING (grp) JOIN done ON done.grp = l.grp AND done.own = l.idx, root"""
+
+
 SQL: dict[str, str] = {
+    "op11_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
+        k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), {_LOWER}) AS key FROM x),
+        c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN c ON c.key = k.key GROUP BY doc_id""",
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+        s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+        r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""",
     "op2_url_filter": r"""
         WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t FROM pages),
         p AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
