@@ -102,17 +102,3 @@ def test_chains_of_routes(spark):
     stops = [(1, 0, 1), (1, 1, 3), (1, 2, 2), (2, 0, 2), (3, 0, 1), (3, 1, 4), (4, 0, 1), (4, 1, 1), (4, 2, 2)]
     got = {r.qid: (r.status, r.cost, r.path) for r in routing.route_chains(spark.createDataFrame(stops, "qid long, pos int, node long"), e, v).collect()}
     assert got == {1: ("ok", 4.0, [1, 2, 3, 1, 2]), 2: ("ok", 0.0, [2]), 3: ("no path", None, None), 4: ("ok", 1.0, [1, 2])}
-
-
-@pytest.mark.parametrize("opt", [{"engine": "dijkstra-node"}, {"engine": "dijkstra", "left_turn": 40.0, "u_turn": 90.0, "crossing": 15.0}])
-def test_routes_by_joins_are_those_of_the_packed_graph(spark, monkeypatch, opt):
-    rng = random.Random(3)
-    v = [(i, 48 + (i // 5) / 1000, 12 + (i % 5) / 1000) for i in range(25)] + [(40, 48.5, 12.5)]
-    e = [(a, b, rng.uniform(50, 200)) for a in range(25) for b in (a + 1, a - 1, a + 5, a - 5) if 0 <= b < 25 and (abs(a - b) == 5 or a // 5 == b // 5) and rng.random() < 0.8]
-    edges = spark.createDataFrame(e, "src long, dst long, dist_m double").select("*", F.lit(50.0).alias("speed_kph"), F.lit(0.0).alias("max_height_m"), F.lit(0.0).alias("max_weight_t"), F.lit("").alias("hwy_type"))
-    vertices = spark.createDataFrame(v, "id long, lat double, lon double")
-    pairs = spark.createDataFrame([(a, b) for a in (0, 7, 40, 99) for b in (0, 3, 24, 12, 40, 99)], "from_id long, to_id long")
-    read = lambda: sorted((r.from_id, r.to_id, r.status, round(r.cost, 6) if r.cost is not None else None, r.path) for r in routing.route_pairs(pairs, edges, vertices, routing.RouteOptions(**opt)).collect())
-    packed = read()
-    monkeypatch.setattr(routing, "MAX_EDGES", 3)
-    assert read() == packed and sum(r[2] == "ok" for r in packed) > 6
