@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -135,3 +135,33 @@ def matched(rows: DataFrame, table: DataFrame, key: str, times: str, total: int,
     found = rows.join(F.broadcast(hot), key, "left")
     found = found.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 40))))
     return found.join(rest, [key, "_spread"], "left").withColumn("_hot", F.coalesce("_hot", "_rest")).select(*rows.columns, "_hot.*")
+
+
+#: Rows that one task numbers.
+NUMBERED_ROWS = 1 << 16
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(row, id, text) with a number for each row, in the order of the ids, nulls last; None where ids are unique and never
+    null, so that they can serve themselves. Rows of one id, or without one, would else meet each other at every join."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+        return None
+    rows = docs.select(packed_id(id_col).alias("packed"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("nth"))
+    rows = cut(rows)  # `nth` is fixed from here on
+    dealt = rows.repartitionByRange(blob_partitions(rows.count(), NUMBERED_ROWS), "packed", "nth").sortWithinPartitions("packed", "nth")
+    dealt = cut(dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "packed", "text"))
+    totals = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per task
+    starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    placed = dealt.join(F.broadcast(starts), "part")
+    return cut(placed.select((F.col("start") + F.col("at")).alias("row"), unpacked_id("packed").alias("id"), "text"))
+
+
+def named(found: DataFrame, rows: DataFrame, other: str) -> DataFrame:
+    """found, whose doc_id and `other` are numbers of numbered(), with the ids of the rows instead."""
+    names = rows.select("row", "id")
+    found = cut(found)
+    table = found.groupBy(F.col(other).alias("row")).agg(F.count(F.lit(1)).alias("times")).join(names, "row").select(F.col("row").alias(other), F.col("id").alias("other_id"), "times")
+    own = found.join(names.select(F.col("row").alias("doc_id"), F.col("id").alias("own_id")), "doc_id")
+    both = matched(own, table, other, "times", found.count(), "doc_id")
+    return both.select(*[F.col("own_id").alias(c) if c == "doc_id" else F.col("other_id").alias(c) if c == other else F.col(c) for c in found.columns])

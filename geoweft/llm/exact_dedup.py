@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import blob_partitions, cut, id_and_bytes, matched, packed_id, unpacked_id
+from geoweft.llm._common import blob_partitions, cut, id_and_bytes, matched, named, numbered, packed_id, unpacked_id
 
 SPACE = frozenset(b" \t\n\v\f\r")
 RUNS = "bucket long, run long, rows long, digests binary, ids binary, sizes binary, filter binary"
@@ -202,6 +202,8 @@ def _verified(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> D
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 100_000, bucket_rows: int = 200_000, digest_bytes: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 of the normalised text. See the module's text."""
+    if (own := numbered(docs, id_col, text_col)) is not None:
+        return named(exact_dedup(own, id_col="row", memtable_rows=memtable_rows, bucket_rows=bucket_rows, digest_bytes=digest_bytes), own, "keep_id")
     digests = cut(digest_rows(docs, id_col=id_col, text_col=text_col, digest_bytes=digest_bytes).groupBy("doc_id", "digest", "sha").agg(F.count(F.lit(1)).alias("copies")))
     entries, rows = digests.agg(F.count(F.lit(1)), F.sum("copies")).first()
     buckets = min(blob_partitions(entries, bucket_rows), 256 ** min(4, digest_bytes))

@@ -17,7 +17,7 @@ Each word of a document belongs to the smallest document it is found to share it
 neighbouring words of one such document are a passage, so that every word removed stays in a smaller document.
 
 Defined results: null and empty texts and lines shorter than a shingle have no paragraphs; a passage repeated within one document alone isn't reported;
-rows with the same id are one document, and null ids are one id, behind all others; empty tables give no rows.
+each row is a document, also where ids are repeated or null; a null id comes behind all others; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.llm import set_join
-from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, matched, packed_id, packed_parts, unpacked_id
+from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, matched, named, numbered, packed_id, packed_parts, unpacked_id
 from geoweft.llm.components import connected_components
 
 WRAP_WORDS = 30
@@ -539,6 +539,8 @@ def paragraph_clusters(nodes: DataFrame, ties: DataFrame, texts: DataFrame, *, w
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = set_join.WORDS, percent: int = set_join.PERCENT) -> DataFrame:
     """Passages that several documents hold: doc_id, kind (paragraph or passage), start_word, end_word (exclusive, of the
     words between ASCII white space), first_doc_id (smallest document of the cluster), removed (not in that document)."""
+    if (own := numbered(docs, id_col, text_col)) is not None:
+        return named(repeated_passages(own, id_col="row", words=words, percent=percent), own, "first_doc_id")
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
     partitions = blob_partitions(total, LETTERS_PER_PARTITION)
     texts = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", packed_id("doc_id"))

@@ -21,7 +21,7 @@ of a hash: of shingles that repeat within a chunk, and of each set's first shing
 `ORDERED` most frequent go to all tasks (three MB at most) and come last, the rarest first; before them come those whose
 bit is set in a map of all that can make long lists (16 MB at most); the others come first. Within, hashes give the order.
 
-Defined results: rows of one id are one node of the links; null ids are one id, behind all others; null, empty and blank texts have an empty set, no links and themselves as component; texts of fewer
+Defined results: each row is a node of the links, also where ids are repeated or null; a null id comes behind all others; null, empty and blank texts have an empty set, no links and themselves as component; texts of fewer
 than k words are one shingle; repeated rows are copies of each other; an empty table gives no rows.
 """
 
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, packed_id, packed_parts, unpacked_id
+from geoweft.llm._common import FAN, blob_partitions, cut, dealt, id_and_bytes, named, numbered, packed_id, packed_parts, unpacked_id
 from geoweft.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -577,6 +577,8 @@ def _own(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, long_list: int = LONG_LIST, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links."""
+    if (own := numbered(docs, id_col, text_col)) is not None:
+        return named(jaccard_components(own, id_col="row", words=words, percent=percent, long_list=long_list, cell_shingles=cell_shingles), own, "component_id")
     texts = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", packed_id("doc_id"))
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0

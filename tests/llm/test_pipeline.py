@@ -4,6 +4,8 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from geoweft.llm import packing, queries
 from tests.llm.test_text_operators import brute_components, brute_sets, words
 
@@ -102,3 +104,17 @@ def test_clean_documents_stay(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     kept = corpus_pipeline.identify_language(spark, docs, "/root/testdata/sf0.01")
     assert kept.count() >= 0.999 * docs.count()
+
+
+def test_language_stage_fills_in_labels(spark, monkeypatch):
+    """Rows without a label get the language that the model finds in their text; another model gives other labels."""
+    rng = random.Random(9)
+    say = lambda lang: " ".join(rng.choice({"xx": ["alpha", "beta", "gamma"], "yy": ["uno", "dos", "tres"]}[lang]) for _ in range(40))
+    rows = [(i, say("xy"[i % 2] * 2), None if i % 5 == 0 else "xy"[i % 2] * 2, "s", 1) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (200, "12", None, "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert out == {i: "xy"[i % 2] * 2 for i in range(120)}
+    real = corpus_pipeline.language_id.train
+    monkeypatch.setattr(corpus_pipeline.language_id, "train", lambda rows, where: real(rows.withColumn("lang", F.translate("lang", "xy", "yx")), where=where))
+    swapped = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {i for i in out if swapped[i] != out[i]} == set(range(0, 120, 5))

@@ -655,10 +655,27 @@ def test_null_ids(spark):
 def test_ties_and_repeated_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (3, "other words of the same id here"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     rows = paragraphs.repeated_passages(docs).collect()
-    assert Counter((r.doc_id, r.first_doc_id, r.removed) for r in rows) == {(2, 2, False): 2, (3, 2, True): 2}
+    assert Counter((r.doc_id, r.first_doc_id, r.removed) for r in rows) == {(2, 2, False): 1, (2, 2, True): 1, (3, 2, True): 2}
     assert len(sharding.shard_by_bytes(docs).collect()) == 5
     pieces = packing.pack(docs, queries.tokenizer_path()).collect()
     assert sum(r.length for r in pieces) == sum(len(packing.encode(t, queries.tokenizer_path())) + 1 for _, t in docs.collect())
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x.net/es/").alias("url"))
     rules = spark.createDataFrame([("net", "/es/", "block"), ("net", "/es/", "allow")], "host string, path string, verdict string")
     assert Counter((r.page_id, r.verdict) for r in url_filter.filter_urls(pages, rules, spark.createDataFrame([], "key string")).collect()) == {(3, "allow"): 3, (2, "allow"): 2}
+
+
+def test_rows_without_ids_cost_and_find_what_rows_with_ids_do(spark):
+    """Thousands of rows of one id, or of none, neither meet each other at a join nor lose or gain links."""
+    rng = random.Random(8)
+    base = [words(rng, 12, 3000) for _ in range(700)]
+    texts = [t for t in base for _ in range(3)]
+    rows = lambda ids: spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, row int")
+    found = {}
+    for name, ids in {"own": range(2100), "none": [None] * 2100, "one": [5] * 2100, "pairs": [k // 2 for k in range(2100)]}.items():
+        docs = rows(ids)
+        joined = set_join.jaccard_components(docs).collect()
+        kept = exact_dedup.exact_dedup(docs).collect()
+        passages = paragraphs.repeated_passages(docs).collect()
+        found[name] = (sum(r.n_links for r in joined), sum(r.group_size for r in kept), sum(r.kept for r in kept), len(passages), sum(r.removed for r in passages))
+        assert len(joined) == len(kept) == 2100 and {r.doc_id for r in joined} == {r.doc_id for r in kept} == set(ids) and {r.component_id for r in joined} <= set(ids)
+    assert len(set(found.values())) == 1 and found["own"][:3] == (4200, 6300, 700)
