@@ -6,7 +6,7 @@ docs. All but the last return the columns of documents. Rows that a stage drops
 Defined results: a stage judges rows, not ids. Where no id is repeated, rows are told apart by their id; where one is,
 by a 64-bit hash of id and text, so that rows of one id with unlike texts are kept or dropped each for itself, and rows
 of one id and text alike (the second stage leaves one of them). Null and empty texts have no language and go in the first
-stage; where no row has a label, rows with a letter stay. Empty tables give no rows; further columns are left out.
+stage, which also fills in `lang` where it is null; where no row has a label, rows with a letter stay. Empty tables give no rows; further columns are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.llm import decontaminate, exact_dedup, language_id, packing, set_join
-from geoweft.llm._common import cut, ensure_checkpoint_dir, remove, without
+from geoweft.llm._common import BROADCAST_IDS, cut, ensure_checkpoint_dir, remove, without
 from geoweft.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,10 +36,15 @@ def _less(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language; the others stay as they are."""
+    """Drops documents without a language, and gives those without a label the language that was found."""
     rows, _ = _rows(docs)
     model = language_id.train(rows, where=~language_id.held_out())
     rejected = language_id.identify(rows, model, id_col="row").filter("lang_pred = 'und'").select("doc_id")
+    unlabelled = rows.filter("lang IS NULL")
+    if model.languages and not unlabelled.isEmpty():
+        found = cut(language_id.identify(unlabelled, model, id_col="row").groupBy(F.col("doc_id").alias("row")).agg(F.first("lang_pred").alias("found")))  # equal rows have equal texts
+        found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+        rows = rows.join(found, "row", "left").withColumn("lang", F.coalesce("lang", "found")).drop("found")
     if not model.languages:
         rejected = rejected.join(rows.filter(F.col("text").rlike("\\p{L}")).select(F.col("row").alias("doc_id")), "doc_id", "left_anti")
     return _less(rows, rejected)
@@ -54,7 +59,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = cut(found.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")))
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
     rows = rows.withColumn("own_sha", F.sha2(norm, 256))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi").dropDuplicates(["doc_id", "own_sha"]).select(*COLUMNS)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")), "left_semi")
+    least = F.min(F.struct("text", "lang", "source", "n_chars"))  # of texts that differ in white space, or rows in labels, always the same one
+    return rows.groupBy("doc_id", "own_sha").agg(least.alias("row")).select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
