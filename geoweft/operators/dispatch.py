@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import geo, text
 from geoweft.functions.lineage import cut
+from geoweft.operators.territory import property_keys
 
 
 def property_column(props: Column, key: str, kind: str) -> Column:
@@ -26,12 +27,17 @@ def include_properties(assigned: DataFrame, territories: DataFrame, include: lis
     return out.select(*assigned.columns, *[F.coalesce(k, F.lit("")).alias(k) for k in keys])
 
 
-def include_keys(territories: DataFrame, layer: str | None = None) -> list[str]:
-    """What include_properties() may be asked for: territory_id, then all property names of the layer or of all."""
-    from geoweft.operators.territory import property_keys
-
+def include_key_rows(territories: DataFrame, layer: str | None = None) -> DataFrame:
+    """nth, key: what include_properties() may be asked for, territory_id, then all property names of the layer or of all."""
     rows = territories if layer is None else territories.filter(F.col("layer") == layer)
-    return ["territory_id", *[r.key for r in property_keys(rows).select("key").distinct().filter("key <> 'territory_id'").orderBy("key").collect()]]
+    keys = property_keys(rows).select("key").distinct().filter("key <> 'territory_id'")
+    named = keys.select((F.row_number().over(Window.orderBy("key")) + 1).alias("nth"), "key")  # names of properties are few
+    return territories.sparkSession.sql("SELECT 1 AS nth, 'territory_id' AS key").unionByName(named)
+
+
+def include_keys(territories: DataFrame, layer: str | None = None) -> list[str]:
+    """include_key_rows() as a list."""
+    return [r.key for r in include_key_rows(territories, layer).orderBy("nth").collect()]
 
 
 def flatten(territories: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions import geo, osm, text
+from geoweft.functions.lineage import cut
 
 
 def gated(entities: DataFrame, kind: str) -> DataFrame:
@@ -75,6 +76,34 @@ def on_route(points: DataFrame, window: tuple[float, float, float, float], key:
     return near(points.filter((F.col("kind") == "way") & geo.within(F.col("lat"), F.col("lon"), window)), lat, lon, key, value, k)
 
 
+#: Side of the smallest cells in which windows meet points, in degrees; each level doubles it.
+WINDOW_CELL = 1e-3
+
+
+def on_routes(points: DataFrame, routes: DataFrame, k: int = 8) -> DataFrame:
+    """qid, rank, id, label, dist_m: for each route (qid, min_lat, max_lat, min_lon, max_lon, key, value) the k POI ways of
+    its tag within its bounds that are nearest to their middle (to a micrometre, then by id); value null: any. See on_route().
+
+    A window lies in four cells at most of the level that its size asks for; points meet windows of their own cell and tag
+    on each level that there is, and are then tested exactly.
+    """
+    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"), F.lit(WINDOW_CELL))
+    asked = routes.filter("min_lat <= max_lat AND min_lon <= max_lon").withColumn("level", F.ceil(F.log2(span / WINDOW_CELL)).cast("int"))
+    cell = lambda c: F.floor(F.col(c) / (WINDOW_CELL * F.pow(F.lit(2.0), F.col("level"))))
+    across = lambda low, high: F.explode(F.sequence(cell(low), cell(high)))
+    windows = cut(asked.withColumn("cy", across("min_lat", "max_lat")).withColumn("cx", across("min_lon", "max_lon")).withColumn("tag", F.concat_ws("=", "key", F.coalesce(F.lower("value"), F.lit("")))))
+    tags = windows.select("tag").distinct()
+    levels = [r.level for r in windows.select("level").distinct().collect()]  # thirty or so at most
+    each = F.explode(F.array_distinct(F.flatten(F.transform(F.map_entries("tags"), lambda e: F.array(F.concat_ws("=", e["key"], F.lower(e["value"])), F.concat_ws("=", e["key"], F.lit("")))))))
+    own = points.filter("kind = 'way'").select("id", "lat", "lon", "tags", each.alias("tag")).join(tags, "tag", "left_semi")
+    own = own.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"))).withColumn("cy", cell("lat")).withColumn("cx", cell("lon"))
+    met = windows.join(own, ["tag", "level", "cy", "cx"]).filter((F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat")) & (F.col("lon") >= F.col("min_lon")) & (F.col("lon") <= F.col("max_lon")))
+    d = geo.haversine_m((F.col("min_lat") + F.col("max_lat")) / 2, (F.col("min_lon") + F.col("max_lon")) / 2, F.col("lat"), F.col("lon"))
+    label = text.first_non_empty(osm.tag("tags", "name"), osm.tag("tags", "brand"), F.concat_ws("=", F.col("key"), F.coalesce("value", F.lit(""))))
+    rows = met.select("qid", "id", label.alias("label"), d.alias("dist_m")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("dist_m", 6), "id")))
+    return rows.filter(F.col("rank") <= k).select("qid", "rank", "id", "label", "dist_m")
+
+
 def hydrants(nodes: DataFrame, window: tuple[float, float, float, float], limit: int = 500) -> DataFrame:
     """id, lat, lon, name, type of the hydrants in the window, by id; 2000 at most."""
     found = nodes.filter((osm.tag("tags", "emergency") == "fire_hydrant") & geo.within(F.col("lat"), F.col("lon"), window))

@@ -178,9 +178,15 @@ def neighbors(edges: DataFrame, within_m: float = ADJACENT_M) -> DataFrame:
     outer = edges.filter(~F.col("is_hole"))
     box = boxes(outer, "territory_id")
     grown = box.select("territory_id", *[c.alias(n) for c, n in zip(geo.expand_window(*[F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")], within_m), ("lat0", "lat1", "lon0", "lon1"), strict=True)])
-    named = lambda p: grown.select(*[F.col(c).alias(f"{p}_{c}") for c in grown.columns])
-    near = geo.boxes_overlap([F.col(f"a_{c}") for c in ("lat0", "lat1", "lon0", "lon1")], [F.col(f"b_{c}") for c in ("lat0", "lat1", "lon0", "lon1")])
-    pairs = named("a").join(named("b"), (F.col("a_territory_id") < F.col("b_territory_id")) & near).select(F.col("a_territory_id").alias("a"), F.col("b_territory_id").alias("b"))
+    sides = ("lat0", "lat1", "lon0", "lon1")
+    size = grown.agg(F.greatest(2 * F.avg(F.greatest(F.col("lat1") - F.col("lat0"), F.col("lon1") - F.col("lon0"))), F.lit(1e-6))).first()[0] or 1.0
+    across = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+    celled = cut(grown.withColumn("cy", across("lat0", "lat1")).withColumn("cx", across("lon0", "lon1")))  # about four cells a box
+    named = lambda p: celled.select("cy", "cx", *[F.col(c).alias(f"{p}_{c}") for c in grown.columns])
+    near = geo.boxes_overlap([F.col(f"a_{c}") for c in sides], [F.col(f"b_{c}") for c in sides])
+    met = named("a").join(named("b"), ["cy", "cx"]).filter((F.col("a_territory_id") < F.col("b_territory_id")) & near)
+    first = (F.col("cy") == F.floor(F.greatest("a_lat0", "b_lat0") / size)) & (F.col("cx") == F.floor(F.greatest("a_lon0", "b_lon0") / size))  # the cell of the shared part's corner
+    pairs = met.filter(first).select(F.col("a_territory_id").alias("a"), F.col("b_territory_id").alias("b"))
     vertex = outer.select(F.col("territory_id").alias("v"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon")).distinct()
     line = outer.select(F.col("territory_id").alias("e"), "lat1", "lon1", "lat2", "lon2")
     d = geo.segment_distance_m(*[F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")])

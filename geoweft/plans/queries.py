@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import cost, geo, osm, text
 from geoweft.functions.lineage import cut
 from geoweft.operators import compose, dispatch, graph, intent, nearest, poi, routing, search, territory, trips
-from geoweft.plans.views import ZONES, ctes, table, view, zone_edges_sql, zones
+from geoweft.plans.views import ZONES, ctes, districts, table, view, zone_edges_sql, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -261,9 +261,12 @@ def boundary_distances(spark, sf):
     return territory.boundary_distances(view(spark, sf, "points"), zone_edges(spark)).select("id", "territory_id", F.round("dist_m", 4).alias("dist_m"))
 
 
-@query(f"WITH {ZE}, v AS (SELECT DISTINCT tid AS t, lat1 AS lat, lon1 AS lon FROM ze), d AS (SELECT least(t, tid) AS a, greatest(t, tid) AS b, min({seg('lat', 'lon')}) AS m FROM v, ze WHERE t <> tid GROUP BY 1, 2) SELECT a AS territory_id, b AS neighbor, round(m, 4) AS dist_m FROM d WHERE m <= 50 UNION ALL SELECT b, a, round(m, 4) FROM d WHERE m <= 50")
+DISTRICT_EDGES = "de AS (SELECT tid, unnest([lat0, lat0, lat9, lat9]) AS lat1, unnest([lon0, lon9, lon9, lon0]) AS lon1, unnest([lat0, lat9, lat9, lat0]) AS lat2, unnest([lon9, lon9, lon0, lon0]) AS lon2 FROM districts)"
+
+
+@query(f"{ctes('districts')}, {DISTRICT_EDGES}, v AS (SELECT tid AS t, lat1 AS lat, lon1 AS lon FROM de), d AS (SELECT least(t, tid) AS a, greatest(t, tid) AS b, min({seg('lat', 'lon')}) AS m FROM v JOIN de ON t <> tid AND abs(lat1 - lat) < 0.03 AND abs(lon1 - lon) < 0.03 GROUP BY 1, 2) SELECT a AS territory_id, b AS neighbor, round(m, 4) AS dist_m FROM d WHERE m <= 50 UNION ALL SELECT b, a, round(m, 4) FROM d WHERE m <= 50")
 def territory_neighbors(spark, sf):
-    return territory.neighbors(zone_edges(spark)).select("territory_id", "neighbor", F.round("dist_m", 4).alias("dist_m"))
+    return territory.neighbors(territory.edges_of(districts(spark, sf))).select("territory_id", "neighbor", F.round("dist_m", 4).alias("dist_m"))
 
 
 PROPS = "pr(tid, depot, vehicle) AS (VALUES " + ", ".join(f"('{k}', '{p['depot']}', '{p['vehicle']}')" for k, (p, _) in ZONES.items()) + ")"
@@ -281,24 +284,24 @@ def manifest_counts(spark, sf):
     return dispatch.manifest_counts(dispatch.manifest_groups(a, zones(spark), "depot"))
 
 
-@query(f"WITH {ZE} SELECT 'delivery' AS layer, tid AS territory_id, min(lat1) AS min_lat, max(lat1) AS max_lat, min(lon1) AS min_lon, max(lon1) AS max_lon FROM ze GROUP BY tid")
+@query(f"{ctes('districts')} SELECT layer, tid AS territory_id, lat0 AS min_lat, lat9 AS max_lat, lon0 AS min_lon, lon9 AS max_lon FROM districts")
 def territory_boxes(spark, sf):
-    return territory.boxes(zone_edges(spark))
+    return territory.boxes(territory.edges_of(districts(spark, sf)))
 
 
-@query(f"WITH {ZE} SELECT 'delivery' AS layer, tid AS territory_id, round(sum(a) * 6378137e0 * 6378137e0 / 2, 2) AS area_m2 FROM (SELECT tid, poly, abs(sum(radians(lon2 - lon1) * (2 + sin(radians(lat1)) + sin(radians(lat2))))) AS a FROM ze GROUP BY tid, poly) GROUP BY tid")
+@query(f"{ctes('districts')} SELECT layer, tid AS territory_id, round(radians(lon9 - lon0) * (sin(radians(lat9)) - sin(radians(lat0))) * 6378137e0 * 6378137e0, 2) AS area_m2 FROM districts")
 def territory_areas(spark, sf):
-    return territory.areas(zones(spark)).select("layer", "territory_id", F.round("area_m2", 2).alias("area_m2"))
+    return territory.areas(districts(spark, sf)).select("layer", "territory_id", F.round("area_m2", 2).alias("area_m2"))
 
 
-@query("SELECT 'delivery' AS layer, 3 AS territories")
+@query(f"{ctes('districts')} SELECT layer, count(*) AS territories FROM districts GROUP BY layer")
 def layer_counts(spark, sf):
-    return territory.layer_counts(zones(spark)).select("layer", F.col("territories").cast("int").alias("territories"))
+    return territory.layer_counts(districts(spark, sf))
 
 
-@query("SELECT 'delivery' AS layer, unnest(['depot', 'technician', 'vehicle']) AS key")
+@query(f"{ctes('districts')} SELECT DISTINCT layer, unnest(['depot', key]) AS key FROM districts")
 def property_keys(spark, sf):
-    return territory.property_keys(zones(spark))
+    return territory.property_keys(districts(spark, sf))
 
 
 def postcodes(spark, sf) -> DataFrame:
@@ -635,9 +638,17 @@ def intents(spark, sf):
     return intent.classify(own.unionByName(more))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in intent.KEYWORDS.items()) + ") AS k(keyword, tag_key, tag_value)")
+_WORDS = sorted(intent.KEYWORDS)
+_WORD_ROWS = ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in intent.KEYWORDS.items())
+
+
+@query(f"WITH k(keyword, tag_key, tag_value) AS (VALUES {_WORD_ROWS}), p AS (SELECT p_partkey AS id, lower(concat(p_name, ' ', list_extract({_WORDS!r}, CAST(p_partkey % {len(_WORDS)} AS INT) + 1), ' ', p_brand)) AS said FROM part), f AS (SELECT id, keyword, tag_key, tag_value, row_number() OVER (PARTITION BY id ORDER BY length(keyword) DESC, keyword) AS nth FROM p JOIN k ON contains(said, keyword)) SELECT p.id, coalesce(keyword, '') AS keyword, coalesce(tag_key, '') AS tag_key, coalesce(tag_value, '') AS tag_value FROM p LEFT JOIN f ON f.id = p.id AND nth = 1")
 def keyword_tags(spark, sf):
-    return intent.keyword_tags(spark)
+    """Each part's name, a word people use for a kind of place, and its brand: the tag asked for."""
+    word = F.element_at(F.array(*[F.lit(k) for k in _WORDS]), (F.col("p_partkey") % len(_WORDS) + 1).cast("int"))
+    said = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), intent.keyword(F.lower(F.concat_ws(" ", "p_name", word, "p_brand"))).alias("keyword"))
+    found = said.join(F.broadcast(intent.keyword_tags(spark)), "keyword", "left")
+    return found.select("id", "keyword", *[F.coalesce(c, F.lit("")).alias(c) for c in ("tag_key", "tag_value")])
 
 
 # --- compositions ---

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import cost, geo, osm, text
 from geoweft.functions.lineage import cut, shared_dir
-from geoweft.operators import compose, dispatch, graph, nearest, poi, routing, search, territory
+from geoweft.operators import assistant, compose, dispatch, graph, nearest, poi, routing, search, territory
 from geoweft.plans.queries import BUILT, PROPS, STREETS, WINDOW, bear, built, grid, hav, query, zone_edges, zone_sql
-from geoweft.plans.views import ctes, table, view, zone_edges_sql, zones
+from geoweft.plans.views import ctes, districts, table, view, zones
 from geoweft.sources import files
 
 
@@ -112,9 +112,9 @@ def turn_penalties(spark, sf):
 
 # --- territories ---
 
-@query(f"SELECT 'delivery' AS layer, tid AS territory_id, round(sum(lat) / sum(n), 9) AS lat, round(sum(lon) / sum(n), 9) AS lon FROM (SELECT tid, poly, sum(lat1) + arg_min(lat1, i) AS lat, sum(lon1) + arg_min(lon1, i) AS lon, count(*) + 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY tid, poly) AS i FROM {zone_edges_sql()}) GROUP BY tid, poly) GROUP BY tid")
+@query(f"{ctes('districts')} SELECT layer, tid AS territory_id, round((3 * lat0 + 2 * lat9) / 5, 9) AS lat, round((3 * lon0 + 2 * lon9) / 5, 9) AS lon FROM districts")
 def territory_centroids(spark, sf):
-    return territory.centroids(zones(spark)).select("layer", "territory_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    return territory.centroids(districts(spark, sf)).select("layer", "territory_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
 def city_layers(spark, sf) -> DataFrame:
@@ -144,9 +144,9 @@ def flat_territories(spark, sf):
     return dispatch.flatten(territory.in_layer(city_layers(spark, sf), "NATION_3"), ["territory_id", "key_1"])
 
 
-@query(f"WITH {PROPS}, k AS (SELECT unnest(['territory_id', 'depot', 'technician', 'vehicle']) AS key, generate_subscripts(['territory_id', 'depot', 'technician', 'vehicle'], 1) AS nth) SELECT CAST(nth AS INT) AS nth, key FROM k")
+@query(f"{ctes('districts')}, k AS (SELECT DISTINCT unnest(['depot', key]) AS key FROM districts WHERE layer = 'layer 3') SELECT 1 AS nth, 'territory_id' AS key UNION ALL SELECT CAST(row_number() OVER (ORDER BY key) + 1 AS INT), key FROM k")
 def includable_keys(spark, sf):
-    return spark.createDataFrame([(i, k) for i, k in enumerate(dispatch.include_keys(zones(spark), "delivery"), 1)], "nth int, key string")
+    return dispatch.include_key_rows(districts(spark, sf), "layer 3")
 
 
 # --- places ---
@@ -439,3 +439,73 @@ def path_instructions(spark, sf):
     paths = row.unionByName(down).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda n: n["node"]).alias("path"))
     m = routing.maneuvers(graph.path_coords(paths, g.vertices), g.edges, graph.node_street_names(g.streets))
     return m.select("qid", "nth", "type", "instruction", "node", F.round("distance_m", 4).alias("distance_m"), F.round("duration_s", 4).alias("duration_s"))
+
+
+# --- the assistant ---
+
+_ENDS = f"{ctes('pois', 'vertices')}, r AS (SELECT o_orderkey AS qid, ['promo', 'small', 'medium', 'large'][CAST(o_orderkey % 4 AS INT) + 1] AS value, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM orders JOIN vertices a ON a.id = o_custkey % (SELECT count(*) FROM part) + 1 JOIN vertices b ON b.id = o_orderkey % (SELECT count(*) FROM part) + 1), w AS (SELECT qid, value, least(alat, blat) AS lat0, greatest(alat, blat) AS lat9, least(alon, blon) AS lon0, greatest(alon, blon) AS lon9 FROM r)"
+
+
+def order_routes(spark, sf) -> DataFrame:
+    """Bounds of a route for each order, between two vertices."""
+    n = table(spark, sf, "part").count()
+    end = lambda p, c: view(spark, sf, "vertices").select((F.col("id") - 1).alias(c), F.col("lat").alias(f"{p}lat"), F.col("lon").alias(f"{p}lon"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % n).alias("a"), (F.col("o_orderkey") % n).alias("b")).join(end("a", "a"), "a").join(end("b", "b"), "b")
+    return o.select("qid", *[f(f"a{c}", f"b{c}").alias(name) for c, low, high in (("lat", "min_lat", "max_lat"), ("lon", "min_lon", "max_lon")) for f, name in ((F.least, low), (F.greatest, high))])
+
+
+@query(f"{_ENDS}, d AS (SELECT qid, id, name AS label, {hav('(lat0 + lat9) / 2', '(lon0 + lon9) / 2', 'lat', 'lon')} AS m FROM w JOIN pois ON kind = 'way' AND shop = value AND lat BETWEEN lat0 AND lat9 AND lon BETWEEN lon0 AND lon9) SELECT qid, CAST(rank AS INT) AS rank, id, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(m, 6), id) AS rank FROM d) WHERE rank <= 8")
+def pois_on_routes(spark, sf):
+    """Every order's route with every place: the eight nearest to its middle."""
+    value = F.element_at(F.array(*[F.lit(x) for x in ("promo", "small", "medium", "large")]), (F.col("qid") % 4 + 1).cast("int"))
+    return poi.on_routes(view(spark, sf, "pois"), order_routes(spark, sf).select("*", F.lit("shop").alias("key"), value.alias("value"))).select("qid", "rank", "id", "label")
+
+
+@query(f"{_ENDS}, d AS (SELECT qid, id, name AS label, {hav('(lat0 + lat9) / 2', '(lon0 + lon9) / 2', 'lat', 'lon')} AS m FROM w JOIN pois ON kind = 'way' AND amenity = 'cafe' AND qid % 3 = 0 AND lat BETWEEN lat0 AND lat9 AND lon BETWEEN lon0 AND lon9) SELECT qid, CAST(rank AS INT) AS rank, id, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(m, 6), id) AS rank FROM d) WHERE rank <= 8")
+def places_on_routes(spark, sf):
+    """Every order's route with a prompt: a café on the way, one near by, or none on the way of its kind."""
+    said = F.element_at(F.array(F.lit("Café auf dem Weg"), F.lit("Café in der Nähe"), F.lit("Museum auf dem Weg")), (F.col("qid") % 3 + 1).cast("int"))
+    routes = order_routes(spark, sf)
+    return assistant.places_on_routes(routes.select("qid", said.alias("prompt")), routes, view(spark, sf, "pois")).select("qid", "rank", "id", "label")
+
+
+_PLACES = f"{ctes('vertices')}, p AS (SELECT v.id, v.lat, v.lon, p_name AS name, part.p_size AS s FROM part JOIN vertices v ON v.id = p_partkey + 1), q AS (SELECT c_custkey AS qid, 48e0 + 0.001e0 * (c_custkey % 53) + 0.0003e0 AS qlat, 12e0 + 0.001e0 * (c_custkey % 41) + 0.0002e0 AS qlon, c_custkey % 6 AS class, part.p_name AS asked FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part))"
+
+
+@query(f"{_PLACES}, m AS (SELECT qid, class, id, {hav('qlat', 'qlon', 'lat', 'lon')} AS d, row_number() OVER (PARTITION BY qid ORDER BY name <> asked, id) AS nth FROM q JOIN p ON (class = 0 AND s % 6 = 0) OR (class = 1 AND s % 7 = 0) OR (class = 2 AND s % 5 = 0 AND id % 2 = 0) OR (class = 3 AND s % 4 = 0 AND id % 2 = 0) OR (class = 4 AND contains(name, asked)) OR (class = 5 AND contains(asked, name))) SELECT qid, ['lake', 'forest', 'apotheke', 'bäckerei', 'address', 'name'][CAST(any_value(class) AS INT) + 1] AS stage, arg_min(id, struct_pack(d := round(d, 6), i := id)) AS id FROM m WHERE class <> 4 OR nth <= 50 GROUP BY qid")
+def nearest_places(spark, sf):
+    """A question of every customer: a lake, a forest, a pharmacy, a bakery, and names within names both ways."""
+    v, n = view(spark, sf, "vertices").select("id", "lat", "lon"), table(spark, sf, "part").count()
+    own = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("id"), "p_name", F.col("p_size").alias("s")).join(v, "id")
+    when = lambda m, x: F.when(F.col("s") % m == 0, x).otherwise("")
+    places = cut(tagged(own, name=F.col("p_name"), natural=when(6, "water"), landuse=when(7, "forest"), amenity=when(5, "Pharmacy"), shop=when(4, "bakery")).select(F.when(F.col("id") % 2 == 0, "way").otherwise("node").alias("kind"), "id", "lat", "lon", "tags"))
+    q = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % n).alias("p_partkey")).join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    said = F.element_at(F.array(F.lit("Wo ist der nächste See?"), F.lit("where is the nearest forest"), F.lit("nächste Apotheke in der Nähe"), F.lit("Nächste Bäckerei!"), F.concat(F.lit("nearest "), "p_name"), F.concat(F.lit("wo ist der nächste große "), "p_name", F.lit("-laden 48.0, 12.0"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    q = q.select(F.col("c_custkey").alias("qid"), said.alias("prompt"), (48 + 0.001 * (F.col("c_custkey") % 53) + 0.0003).alias("lat"), (12 + 0.001 * (F.col("c_custkey") % 41) + 0.0002).alias("lon"))
+    g = built(spark, sf)
+    return assistant.nearest_places(q, places.drop("kind"), places, g.streets, g.vertices, poi.brand_aliases(places)).select("qid", "stage", "id")
+
+
+_ACTS = ("highlight_poi", "show_info", "compute_route", "noop", "zoom_to", "dance")
+_NODE = f"(SELECT arg_min(v.id, struct_pack(d := round({hav('v.lat', 'v.lon', 'LAT', 'LON')}, 6), i := v.id)) FROM vertices v)"
+
+
+@query(f"""{ctes('pois', 'vertices')}, a AS (SELECT c_custkey // 4 AS qid, CAST(c_custkey % 4 AS INT) AS nth, {list(_ACTS)!r}[CASE WHEN c_custkey % 97 = 5 THEN 6 ELSE CAST(c_custkey % 5 AS INT) + 1 END] AS type, c_custkey AS k, c_custkey % 89 = 3 AS bare, (SELECT count(*) FROM part) AS n FROM customer),
+    f AS (SELECT *, CASE WHEN type = 'dance' THEN 'action ' || nth || ': unknown action type: dance' WHEN bare AND type IN ('highlight_poi', 'show_info') THEN 'action ' || nth || ': missing id param for ' || type WHEN bare AND type = 'compute_route' THEN 'action ' || nth || ': missing to param for compute_route' END AS fault FROM a),
+    b AS (SELECT qid, min(nth) AS nth FROM f WHERE fault IS NOT NULL GROUP BY qid)
+    SELECT qid, nth, type, fault AS error, NULL AS id, NULL AS kind, NULL AS from_node, NULL AS to_node, NULL AS note FROM f SEMI JOIN b USING (qid, nth)
+    UNION ALL SELECT f.qid, f.nth, type, CASE WHEN k % 11 = 0 THEN 'invalid id' WHEN p.id IS NULL THEN 'not found' END, CASE WHEN k % 11 <> 0 THEN p.id END, CASE WHEN k % 11 <> 0 THEN p.kind END, NULL, NULL, NULL FROM f LEFT JOIN pois p ON p.id = k % (n + 40) + 1 WHERE type IN ('highlight_poi', 'show_info') AND f.qid NOT IN (SELECT qid FROM b)
+    UNION ALL SELECT f.qid, f.nth, type, CASE WHEN k % 7 = 0 THEN 'from: not found' WHEN p.id IS NULL THEN 'to: not found' END, NULL, NULL, CASE WHEN k % 7 <> 0 AND p.id IS NOT NULL THEN {_NODE.replace('LAT', '(48e0 + 0.001e0 * (k % 9))').replace('LON', '(12e0 + 0.001e0 * (k % 7))')} END, CASE WHEN k % 7 <> 0 AND p.id IS NOT NULL THEN p.id END, NULL FROM f LEFT JOIN pois p ON p.id = k % (n + 40) + 1 WHERE type = 'compute_route' AND f.qid NOT IN (SELECT qid FROM b)
+    UNION ALL SELECT qid, nth, type, NULL, NULL, NULL, NULL, NULL, 'no-op on server' FROM f WHERE type IN ('noop', 'zoom_to') AND qid NOT IN (SELECT qid FROM b)""")
+def action_bundles(spark, sf):
+    """Four customers' actions a bundle: places by id, ways between a position and a place, faulty ones, unknown ids."""
+    n, k = table(spark, sf, "part").count(), F.col("c_custkey")
+    kind = F.when(k % 97 == 5, "dance").otherwise(F.element_at(F.array(*[F.lit(t) for t in _ACTS]), (k % 5 + 1).cast("int")))
+    place = F.when(k % 11 == 0, "x7").otherwise((k % (n + 40) + 1).cast("string"))
+    start = F.when(k % 7 != 0, F.struct((48 + 0.001 * (k % 9)).alias("lat"), (12 + 0.001 * (k % 7)).alias("lon")))
+    doc = F.when(k % 89 == 3, "{}").otherwise(F.to_json(F.struct(place.alias("id"), start.alias("from"), F.struct((k % (n + 40) + 1).alias("id")).alias("to"))))
+    acts = table(spark, sf, "customer").select(F.floor(k / 4).alias("qid"), (k % 4).cast("int").alias("nth"), kind.alias("type"), doc.alias("params"))
+    e, v = grid(spark, sf)
+    both_ways = e.unionByName(e.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in e.columns]))
+    out = assistant.run_bundles(acts, view(spark, sf, "addresses"), view(spark, sf, "pois"), built(spark, sf).streets, both_ways, v)
+    return out.select("qid", "nth", "type", "error", "id", "kind", F.get("path", F.lit(0)).alias("from_node"), F.try_element_at("path", F.lit(-1)).alias("to_node"), "note")

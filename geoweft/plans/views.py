@@ -58,6 +58,10 @@ VIEWS = {
         SELECT c_custkey AS id, c_custkey AS seq, 48e0 + 0.001e0 * (c_custkey % 60) AS lat, 12e0 + 0.001e0 * (c_custkey % 37) AS lon, p_name AS street,
                CAST(c_custkey % 50 + 1 AS VARCHAR(10)) AS housenumber, lpad(CAST(c_custkey % 100000 AS VARCHAR(10)), 5, '0') AS postcode, n_name AS city
         FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {part} ON p_partkey = c_custkey % (SELECT count(*) FROM {part})""",
+    "districts": """
+        SELECT c_custkey AS k, concat('D', CAST(c_custkey AS VARCHAR(10))) AS tid, concat('layer ', CAST(c_nationkey % 5 AS VARCHAR(10))) AS layer, concat('key_', CAST(c_custkey % 3 AS VARCHAR(10))) AS key,
+               47e0 + 0.01e0 * floor(c_custkey / 40e0) AS lat0, 11e0 + 0.01e0 * (c_custkey % 40) AS lon0,
+               47e0 + 0.01e0 * floor(c_custkey / 40e0) + 0.01e0 - 0.0002e0 * (c_custkey % 4) AS lat9, 11e0 + 0.01e0 * (c_custkey % 40) + 0.01e0 - 0.0003e0 * (c_custkey % 3) AS lon9 FROM {customer}""",
     "positions": """
         SELECT user_id AS qid, n AS pos, 48.5821e0 + (user_id % 20) * 0.01e0 AS lat, 12.5517e0 + (n % 90) * 0.01e0 AS lon
         FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM {events}) AS e""",
@@ -118,6 +122,16 @@ def zones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"layer string, territory_id string, name string, props map<string,string>, geometry {GEOMETRY}")
 
 
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle for each customer as a territories table of five layers; some touch, some are a few dozen metres apart."""
+    d = view(spark, sf_dir, "districts")
+    corner = lambda lat, lon: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    ring = F.array(*[corner(*c) for c in (("lat0", "lon0"), ("lat0", "lon9"), ("lat9", "lon9"), ("lat9", "lon0"), ("lat0", "lon0"))])
+    hole = F.array().cast("array<array<struct<lat:double,lon:double>>>")
+    props = F.create_map(F.lit("depot"), F.col("tid"), F.col("key"), F.lit("x"))
+    return d.select("layer", F.col("tid").alias("territory_id"), F.col("tid").alias("name"), props.alias("props"), F.array(F.struct(ring.alias("outer"), hole.alias("holes"))).alias("geometry"))
+
+
 def zone_edges_sql() -> str:
     """VALUES rows (tid, poly, lat1, lon1, lat2, lon2) of the delivery layer."""
     rows = []
