@@ -12,7 +12,7 @@ from geoweft.functions.lineage import cut, shared_dir
 from geoweft.operators import assistant, compose, dispatch, graph, nearest, poi, routing, search, territory
 from geoweft.plans.queries import BUILT, PROPS, STREETS, WINDOW, bear, built, grid, hav, query, zone_edges, zone_sql
 from geoweft.plans.views import ctes, districts, table, view, zones
-from geoweft.sources import files
+from geoweft.sources import files, pbf
 
 
 def scratch(spark: SparkSession) -> str:
@@ -509,3 +509,18 @@ def action_bundles(spark, sf):
     both_ways = e.unionByName(e.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in e.columns]))
     out = assistant.run_bundles(acts, view(spark, sf, "addresses"), view(spark, sf, "pois"), built(spark, sf).streets, both_ways, v)
     return out.select("qid", "nth", "type", "error", "id", "kind", F.get("path", F.lit(0)).alias("from_node"), F.try_element_at("path", F.lit(-1)).alias("to_node"), "note")
+
+
+# --- extracts ---
+
+@query(f"{ctes('points')} SELECT id, round(lat, 7) AS lat, round(lon, 7) AS lon, CASE WHEN id % 3 = 0 THEN 'yes' ELSE '' END AS mark, true AS pruned FROM points WHERE lat BETWEEN 48.4 AND 48.6 AND lon > 12.7 AND lon <= 12.95")
+def extract_window(spark, sf):
+    """All points written as extracts, their blocks indexed, and a window read back by a filter on lat and lon: its rows,
+    and whether fewer blocks were read than there are."""
+    folder = f"{scratch(spark)}-extracts"
+    path = folder.removeprefix("file:")
+    pbf.write(tagged(view(spark, sf, "points"), mark=F.when(F.col("id") % 3 == 0, "yes").otherwise("")), path, files=4, block=200)
+    blocks = spark.read.parquet(pbf.index_folder(spark, path)).count()
+    read = pbf.read(spark, path, frames="1").filter((F.col("lat") >= 48.4) & (F.col("lat") <= 48.6) & (F.col("lon") > 12.7) & (F.col("lon") <= 12.95))
+    pruned = read.rdd.getNumPartitions() < blocks  # a partition a block
+    return read.select("id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.coalesce(F.col("tags")["mark"], F.lit("")).alias("mark"), F.lit(pruned).alias("pruned"))

@@ -7,6 +7,10 @@ of frames. Two ways in: the data source "osmpbf" for files on a mounted file sys
 Options of the source: path, entity (nodes, ways, relations), keys (comma separated; rows with none of them are
 skipped before their values are decoded), prefixes (likewise), keep (the tags to keep), frames (per partition), window
 (min_lat,max_lat,min_lon,max_lon: nodes; with a zone map in option `blocks`, other blocks are not read).
+
+A path may be a folder of extracts. Comparisons of lat and lon in a query's filter reach the source of nodes as a window;
+where the folder has a fresh zone map, see index_folder(), only blocks that meet the window are listed and read. write()
+makes such a folder of nodes, one file a task.
 """
 
 from __future__ import annotations
@@ -14,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMAS = {
     "nodes": "id long, lat double, lon double, tags map<string,string>, seq long",
@@ -348,19 +354,80 @@ class PbfReader(DataSourceReader):
         self.window = tuple(map(float, options["window"].split(","))) if options.get("window") else None
         self.known = {tuple(map(int, b.split(":"))) for b in options["blocks"].split(",")} if options.get("blocks") else None
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds of lat and lon narrow the window; Spark still tests all filters on what is read."""
+        if self.entity == "nodes":
+            low, high = {}, {}
+            for f in filters:
+                name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else ""
+                if name in ("lat", "lon") and isinstance(getattr(f, "value", None), float | int):
+                    if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                        low[name] = max(low.get(name, f.value), f.value)
+                    if isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                        high[name] = min(high.get(name, f.value), f.value)
+            if low or high:
+                own = self.window or (-90.0, 90.0, -180.0, 180.0)
+                self.window = (max(own[0], low.get("lat", own[0])), min(own[1], high.get("lat", own[1])), max(own[2], low.get("lon", own[2])), min(own[3], high.get("lon", own[3])))
+        yield from filters
+
     def partitions(self) -> list[InputPartition]:
-        found = [(f.offset, f.length) for f in frames(self.path) if f.kind == "OSMData"]
-        if self.known is not None:
-            found = [f for f in found if f in self.known]
-        return [Run(self.path, found[k : k + self.per_run]) for k in range(0, len(found), self.per_run)] or [Run(self.path, [])]
+        runs: list[InputPartition] = []
+        zones = zone_map(self.path, self.window) if self.entity == "nodes" and self.window else None
+        for path in files_of(self.path):
+            found = zones.get(path, []) if zones is not None else [(f.offset, f.length) for f in frames(path) if f.kind == "OSMData"]
+            if self.known is not None:
+                found = [f for f in found if f in self.known]
+            runs += [Run(path, found[k : k + self.per_run]) for k in range(0, len(found), self.per_run)]
+        return runs or [Run(self.path, [])]
 
     def read(self, partition: Run) -> Iterator[tuple]:
+        if not partition.frames:
+            return
         with opened(partition.path) as f:
             for offset, length in partition.frames:
                 f.seek(offset)
                 yield from rows_of(f.read(length), self.entity, self.gate, offset << 20, self.window)
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, files: list[str]):
+        self.files = files
+
+
+class PbfWriter(DataSourceWriter):
+    """Nodes (id, lat, lon, tags) as one file a task. Files get their names when all tasks are done."""
+
+    def __init__(self, options: dict):
+        self.path, self.per_block = options["path"], int(options.get("block", "8000"))
+        self.store, self.folder = pa_fs.FileSystem.from_uri(self.path) if "://" in self.path else (None, self.path)
+
+    def _store(self) -> pa_fs.FileSystem:
+        return self.store or pa_fs.LocalFileSystem()
+
+    def write(self, rows: Iterator) -> Written:
+        name = f"{self.folder}/_part-{uuid.uuid4().hex}"
+        self._store().create_dir(self.folder, recursive=True)
+        with self._store().open_output_stream(name) as out:
+            out.write(encoded_frame("OSMHeader", b""))
+            held: list[tuple] = []
+            for row in rows:
+                held.append((row.id, row.lat, row.lon, row.tags or {}))
+                if len(held) >= self.per_block:
+                    out.write(encoded_frame("OSMData", encoded_nodes(held)))
+                    held = []
+            if held:
+                out.write(encoded_frame("OSMData", encoded_nodes(held)))
+        return Written([name])
+
+    def commit(self, messages: list) -> None:
+        for k, name in enumerate(sorted(n for m in messages if m for n in m.files)):
+            self._store().move(name, f"{self.folder}/part-{k:05d}-{name[-8:]}.osm.pbf")
+
+    def abort(self, messages: list) -> None:
+        for name in (n for m in messages if m for n in m.files):
+            self._store().delete_file(name)
+
+
 class PbfSource(DataSource):
     """spark.read.format("osmpbf"); register with spark.dataSource.register(PbfSource)."""
 
@@ -374,12 +441,25 @@ class PbfSource(DataSource):
     def reader(self, schema) -> PbfReader:
         return PbfReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> PbfWriter:
+        return PbfWriter(dict(self.options))
+
 
 def read(spark: SparkSession, path: str, entity: str = "nodes", **options: str) -> DataFrame:
+    """The rows of an entity; switches the pushdown of filters to Python sources on for the session."""
     spark.dataSource.register(PbfSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("osmpbf").option("entity", entity).options(**options).load(path)
 
 
+def write(nodes: DataFrame, path: str, *, files: int, block: int = 8000) -> None:
+    """nodes (id, lat, lon, tags) as a folder of `files` extracts, near ones together, so that zone maps can tell them apart."""
+    spark = nodes.sparkSession
+    spark.dataSource.register(PbfSource)
+    near = nodes.select("id", "lat", "lon", "tags").withColumn("y", F.floor(F.col("lat") * 20)).withColumn("x", F.floor(F.col("lon") * 20))
+    near.repartitionByRange(files, "y", "x").sortWithinPartitions("y", "x", "id").select("id", "lat", "lon", "tags").write.format("osmpbf").option("block", block).mode("append").save(path)
+
+
 def from_binary(spark: SparkSession, path: str, entity: str = "nodes", **options: str) -> DataFrame:
     """As read(), of files that only Spark's readers reach."""
     gate = _gate(options)
@@ -395,8 +475,105 @@ def from_binary(spark: SparkSession, path: str, entity: str = "nodes", **options
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMAS[entity])
 
 
+# --- encoding ---
+
+def _number(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _field(number: int, value: int | bytes) -> bytes:
+    return _number(number << 3) + _number(value) if isinstance(value, int) else _number(number << 3 | 2) + _number(len(value)) + value
+
+
+def _deltas(values: Iterable[int]) -> bytes:
+    out, last = bytearray(), 0
+    for v in values:
+        d, last = v - last, v
+        out += _number((d << 1) ^ (d >> 63))
+    return bytes(out)
+
+
+def encoded_nodes(rows: list[tuple]) -> bytes:
+    """A block of dense nodes (id, lat, lon, tags) in units of 100 nanodegrees."""
+    strings: dict[str, int] = {"": 0}
+    pairs = bytearray()
+    for _, _, _, tags in rows:
+        for text in (t for pair in tags.items() for t in pair):
+            pairs += _number(strings.setdefault(text, len(strings)))
+        pairs += _number(0)
+    dense = _field(1, _deltas(r[0] for r in rows)) + _field(8, _deltas(round(r[1] * 1e7) for r in rows)) + _field(9, _deltas(round(r[2] * 1e7) for r in rows)) + _field(10, bytes(pairs))
+    return _field(1, b"".join(_field(1, t.encode()) for t in strings)) + _field(2, _field(2, dense))
+
+
+def encoded_frame(kind: str, content: bytes) -> bytes:
+    blob = _field(2, len(content)) + _field(3, zlib.compress(content))
+    head = _field(1, kind.encode()) + _field(3, len(blob))
+    return struct.pack(">I", len(head)) + head + blob
+
+
 # --- zone map ---
 
+ZONES = "_zone_map"
+
+
+def files_of(path: str) -> list[str]:
+    """The extracts at a path: itself, or those in a folder, by name."""
+    store, name = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+    if store.get_file_info(name).type != pa_fs.FileType.Directory:
+        return [path]
+    names = sorted(i.base_name for i in store.get_file_info(pa_fs.FileSelector(name)) if i.type == pa_fs.FileType.File and i.base_name.endswith(".pbf"))
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
+def index_folder(spark: SparkSession, path: str) -> str:
+    """Writes the zone map of a folder of extracts as Parquet into it. Files are listed and read by tasks."""
+    columns = f"file string, {BLOCKS}, source_size long, source_mtime_ns long"
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for file in batch.file:
+                size, changed = size_and_time(file)
+                with opened(file) as f:
+                    for frame in [x for x in frames(file) if x.kind == "OSMData"]:
+                        f.seek(frame.offset)
+                        nodes = [(n[1], n[2]) for n in Block(unpack_blob(f.read(frame.length))).nodes(Gate())]
+                        if nodes:
+                            lat, lon = zip(*nodes, strict=True)
+                            out.append((file.rsplit("/", 1)[-1], frame.offset, frame.length, min(lat), max(lat), min(lon), max(lon), len(nodes), size, changed))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
+
+    names = files_of(path)
+    found = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names))).mapInPandas(run, columns)
+    found.write.mode("overwrite").parquet(f"{path}/{ZONES}")
+    return f"{path}/{ZONES}"
+
+
+def zone_map(path: str, window: tuple[float, ...]) -> dict[str, list[tuple[int, int]]] | None:
+    """The blocks (offset, length) of each file that may have nodes in the window; None without a zone map of the files as
+    they are now."""
+    store, name = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+    if store.get_file_info(f"{name}/{ZONES}").type != pa_fs.FileType.Directory:
+        return None
+    table = pq.read_table(f"{name}/{ZONES}", filesystem=store)
+    sources = set(zip(*(table.column(c).to_pylist() for c in ("file", "source_size", "source_mtime_ns")), strict=True))
+    if {(f.rsplit("/", 1)[-1], *size_and_time(f)) for f in files_of(path)} != sources:
+        return None
+    out: dict[str, list[tuple[int, int]]] = {}
+    for r in table.to_pylist():
+        if r["min_lat"] <= window[1] and r["max_lat"] >= window[0] and r["min_lon"] <= window[3] and r["max_lon"] >= window[2]:
+            out.setdefault(f"{path.rstrip('/')}/{r['file']}", []).append((r["offset"], r["length"]))
+    return {f: sorted(blocks) for f, blocks in out.items()}
+
+
 def index_path(path: str) -> str:
     """Where a file's zone map lies: europe.osm.pbf and region.pbf -> europe.idx, region.idx."""
     for ending in (".osm.pbf", ".pbf"):

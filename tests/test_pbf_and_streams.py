@@ -113,6 +113,28 @@ def test_zone_map(spark, extract):
     assert not pbf.is_fresh(index, str(extract))
 
 
+def test_filters_reach_the_blocks(spark, tmp_path):
+    """Written, indexed and read by a filter: only blocks that meet the window are read; a changed file makes the map stale."""
+    rows = [(i, 48 + i % 50 / 100, 12 + i // 50 / 100, {"n": str(i)} if i % 2 else None) for i in range(1000)]
+    nodes = spark.createDataFrame(rows, "id long, lat double, lon double, tags map<string,string>")
+    path = str(tmp_path / "world")
+    pbf.write(nodes, path, files=3, block=50)
+    assert len(pbf.files_of(path)) == 3 and not [f for f in (tmp_path / "world").iterdir() if f.name.startswith("_part")]
+    whole = {(r.id, round(r.lat, 7), round(r.lon, 7)): r.tags for r in pbf.read(spark, path).collect()}
+    assert whole == {(i, round(a, 7), round(o, 7)): t or {} for i, a, o, t in rows}
+    inside = (F.col("lat") > 48.1) & (F.col("lat") <= 48.2) & (F.col("lon") >= 12.05) & (F.col("lon") < 12.1)
+    want = {i for i, a, o, _ in rows if 48.1 < round(a, 7) <= 48.2 and 12.05 <= round(o, 7) < 12.1}
+    blocks = lambda: pbf.read(spark, path, frames="1").filter(inside).rdd.getNumPartitions()
+    every = blocks()
+    index = spark.read.parquet(pbf.index_folder(spark, path))
+    assert index.count() == every and index.agg(F.sum("node_count")).first()[0] == 1000
+    assert {r.id for r in pbf.read(spark, path).filter(inside).collect()} == want and len(want) > 20
+    assert blocks() < every / 2 and pbf.read(spark, path, frames="1").filter("lat > 80").rdd.getNumPartitions() == 1
+    with open(pbf.files_of(path)[0], "ab") as f:
+        f.write(pbf.encoded_frame("OSMData", pbf.encoded_nodes([(5000, 48.15, 12.07, {})])))
+    assert blocks() == every + 1 and {r.id for r in pbf.read(spark, path).filter(inside).collect()} == want | {5000}
+
+
 @pytest.mark.parametrize("data", [b"\0\0", struct.pack(">I", 1 << 20), frame("OSMData", b"")[:-1], struct.pack(">I", 2) + part(3, 1)])
 def test_bad_frames(tmp_path, data):
     (tmp_path / "bad.pbf").write_bytes(data)
