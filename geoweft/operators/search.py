@@ -197,6 +197,36 @@ def parse_lat_lon(raw: Column) -> Column:
     return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+def check_locations(requests: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """qid, lat, lon, raw, error: requests (qid, lat, lon, raw) as places to resolve, or refused with a reason.
+
+    A position, given or written as text, must lie in the world and in the request's window (qid, min_lat, max_lat,
+    min_lon, max_lon), if it has one. Other text stays to be searched: its results go through in_windows().
+    """
+    raw = F.coalesce(text.trim(F.col("raw")), F.lit(""))
+    given = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    q = requests.select("qid", given.alias("given"), F.when(given, F.struct("lat", "lon")).otherwise(parse_lat_lon(raw)).alias("at"), F.when(~given, raw).alias("raw"))
+    sides = ("min_lat", "max_lat", "min_lon", "max_lon")
+    if windows is None:
+        q = q.withColumn("outside", F.lit(False))
+    else:
+        q = q.join(windows.select("qid", *sides), "qid", "left")
+        q = q.withColumn("outside", F.coalesce(~(F.col("at.lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("at.lon").between(F.col("min_lon"), F.col("max_lon"))), F.lit(False)))
+    valid = F.col("at.lat").between(-90, 90) & F.col("at.lon").between(-180, 180)
+    error = F.when(F.col("given") & ~valid, "invalid lat/lon").when(~F.col("given") & (F.col("raw") == ""), "missing query or lat/lon").when(F.col("outside"), "outside configured window")
+    q = q.withColumn("error", error)
+    sound = F.col("error").isNull()
+    return q.select("qid", F.when(sound, F.col("at.lat")).alias("lat"), F.when(sound, F.col("at.lon")).alias("lon"), F.when(sound & F.col("at").isNull(), F.col("raw")).alias("raw"), "error")
+
+
+def in_windows(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """Search results (qid, lat, lon, ...) that lie in the window of their request, if it has one."""
+    sides = [F.col(c).alias(f"_{c}") for c in ("min_lat", "max_lat", "min_lon", "max_lon")]
+    met = found.join(windows.select("qid", *sides), "qid", "left")
+    inside = F.col("lat").between(F.col("_min_lat"), F.col("_max_lat")) & F.col("lon").between(F.col("_min_lon"), F.col("_max_lon"))
+    return met.filter(F.coalesce(inside, F.lit(True))).select(*found.columns)
+
+
 def resolve(addresses: DataFrame, points: DataFrame, streets: DataFrame, vertices: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, resolution, lat, lon, label for each query: coordinates, airport of Munich, best address, street, search.
 

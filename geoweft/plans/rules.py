@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import cost, geo, osm, text
 from geoweft.functions.lineage import cut, shared_dir
-from geoweft.operators import assistant, compose, dispatch, graph, nearest, poi, routing, search, territory
-from geoweft.plans.queries import BUILT, PROPS, STREETS, WINDOW, bear, built, grid, hav, query, zone_edges, zone_sql
+from geoweft.operators import assistant, compose, dispatch, graph, intent, nearest, poi, routing, search, territory
+from geoweft.plans.queries import BUILT, PROPS, STREETS, WINDOW, bear, built, grid, hav, norm_compare, query, zone_edges, zone_sql
 from geoweft.plans.views import ctes, districts, table, view, zones
 from geoweft.sources import files, pbf
 
@@ -511,6 +511,45 @@ def action_bundles(spark, sf):
     return out.select("qid", "nth", "type", "error", "id", "kind", F.get("path", F.lit(0)).alias("from_node"), F.try_element_at("path", F.lit(-1)).alias("to_node"), "note")
 
 
+@query(f"""{ctes('pois')}, a AS (SELECT {norm_compare('name')} AS c FROM pois UNION ALL SELECT {norm_compare('brand')} FROM pois), b(alias) AS (VALUES ('maci'), ('mcdo'), ('mcd'), ('mcdonald'), ('mcdonalds'), ('macdonalds'), ('maccdonalds'), ('macca')),
+    k AS (SELECT replace(c, ' ', '') AS alias, min(c) AS canonical FROM a WHERE c <> '' GROUP BY 1 UNION ALL SELECT alias, 'mcdonalds' FROM b),
+    q AS (SELECT c_custkey AS qid, CASE c_custkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_brand, '#', ' ') WHEN 2 THEN 'Mc Do' ELSE concat('no ', p_name) END AS raw FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part))
+    SELECT qid, canonical FROM q JOIN k ON alias = replace({norm_compare('raw')}, ' ', '')""")
+def alias_lookups(spark, sf):
+    """What every customer calls a place: a name in capitals, a brand, a chain's nickname, and no alias at all."""
+    n = table(spark, sf, "part").count()
+    q = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % n).alias("p_partkey")).join(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    raw = F.element_at(F.array(F.upper("p_name"), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit("Mc Do"), F.concat(F.lit("no "), "p_name")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return intent.lookup_alias(q.select(F.col("c_custkey").alias("qid"), raw.alias("raw")), poi.brand_aliases(view(spark, sf, "pois")))
+
+
+# --- windows of requests ---
+
+@query(f"""{ctes('points')}, q AS (SELECT id, id % 7 AS k, lat, lon, 48.4e0 + (id % 3) * 0.1e0 AS low, 48.8e0 AS high FROM points),
+    r AS (SELECT *, CASE WHEN k = 1 THEN 'invalid lat/lon' WHEN k IN (3, 6) THEN 'missing query or lat/lon' WHEN k IN (0, 2, 5) AND id % 5 <> 0 AND NOT (round(lat, 6) BETWEEN low AND high AND round(lon, 6) BETWEEN 12.6 AND 13.2) THEN 'outside configured window' END AS error FROM q)
+    SELECT id AS qid, CASE WHEN error IS NULL AND k IN (0, 2, 5) THEN round(lat, 6) END AS lat, CASE WHEN error IS NULL AND k IN (0, 2, 5) THEN round(lon, 6) END AS lon, CASE WHEN k = 4 THEN 'small ring' END AS raw, error FROM r""")
+def window_checks(spark, sf):
+    """Requests with positions, texts of positions, names, nothing, and positions outside the world; four in five with a window."""
+    k, id = F.col("id") % 7, F.col("id")
+    lat, lon = F.round("lat", 6), F.round("lon", 6)
+    p = view(spark, sf, "points")
+    told = F.format_string("%.6f, %.6f", "lat", "lon")
+    raw = F.when(k == 2, told).when(k == 4, " small ring ").when(k == 3, "  ")
+    q = p.select(id.alias("qid"), F.when(k.isin(0, 5), lat).when(k == 1, lat + 90).alias("lat"), F.when(k.isin(0, 1, 5), lon).alias("lon"), raw.alias("raw"))
+    w = p.filter("id % 5 <> 0").select(id.alias("qid"), (48.4 + (id % 3) * 0.1).alias("min_lat"), F.lit(48.8).alias("max_lat"), F.lit(12.6).alias("min_lon"), F.lit(13.2).alias("max_lon"))
+    return search.check_locations(q, w)
+
+
+@query(f"{ctes('addresses', 'points')}, f AS (SELECT a.id AS qid, b.id, b.lat, b.lon FROM addresses a JOIN addresses b ON a.postcode = b.postcode OR b.id = a.id % 50 + 1) SELECT qid, id FROM f WHERE qid % 4 = 0 OR (lat BETWEEN 48.01 AND 48.04 AND lon BETWEEN 12e0 AND 12.02)")
+def results_in_windows(spark, sf):
+    """Addresses found for addresses, of which three in four ask within a window."""
+    a = view(spark, sf, "addresses").select("id", "lat", "lon", "postcode")
+    asked = a.select(F.col("id").alias("qid"), F.col("postcode").alias("p"))
+    found = asked.join(a, F.col("p") == F.col("postcode")).select("qid", "id", "lat", "lon").unionByName(asked.join(a, F.col("id") == F.col("qid") % 50 + 1).select("qid", "id", "lat", "lon")).distinct()
+    w = asked.filter("qid % 4 <> 0").select("qid", F.lit(48.01).alias("min_lat"), F.lit(48.04).alias("max_lat"), F.lit(12.0).alias("min_lon"), F.lit(12.02).alias("max_lon"))
+    return search.in_windows(found, w).select("qid", "id")
+
+
 # --- extracts ---
 
 @query(f"{ctes('points')} SELECT id, round(lat, 7) AS lat, round(lon, 7) AS lon, CASE WHEN id % 3 = 0 THEN 'yes' ELSE '' END AS mark, true AS pruned FROM points WHERE lat BETWEEN 48.4 AND 48.6 AND lon > 12.7 AND lon <= 12.95")
