@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,13 +121,33 @@ def _holding(rest: DataFrame, named: DataFrame) -> DataFrame:
     return met.drop("piece").unionByName(every)
 
 
+def _taken(near: DataFrame, own: list[str]) -> DataFrame:
+    """Of candidates (own columns, first_row, sid, d) those that come about when names, in the order of rows, each take the
+    nearest station still free in their import.
+
+    In rounds: each name asks its nearest station left; a station keeps the earliest name that asks, and is then closed to
+    all later ones. When every name keeps what it asked for, that is the result: what a station keeps only ever gets
+    earlier, so no name is turned away by one that gives way later.
+    """
+    left, when = near.select(*own, "first_row", "sid", "d").distinct(), F.struct("first_row", "name")
+    left = cut(left)
+    while True:
+        asked = left.groupBy(*own, "first_row").agg(F.min(F.struct("d", "sid")).alias("best")).select(*own, "first_row", "best.sid")
+        kept = cut(asked.groupBy("import", "sid").agg(F.min(when).alias("keeper")))
+        met = left.join(kept, ["import", "sid"], "left")
+        late = F.col("keeper").isNotNull() & (when > F.col("keeper"))
+        if met.filter(late).isEmpty():
+            return cut(asked)
+        left = cut(met.filter(~F.coalesce(late, F.lit(False))).select(*left.columns))
+
+
 def match_roster(roster: DataFrame, stations: DataFrame, hints: DataFrame, radius_m: float = 1500.0) -> DataFrame:
     """Roster names (name, first_row, and import where several are matched at once) matched to stations: name, match
     (exact, substring, guessed, unmatched), id, and import if there is one.
 
     1. equal keys; 2. a station's key within the name's or the reverse (of several the longest, then the least);
     3. hints (name, lat, lon): the nearest unnamed station within radius_m, each taken once by an import, in the order of
-    rows. An import is one roster; its unmatched names near unnamed stations meet in one task.
+    rows; see _taken().
     """
     if "import" in roster.columns:
         return _matched(roster, stations, hints, radius_m)
@@ -156,17 +175,7 @@ def _matched(roster: DataFrame, stations: DataFrame, hints: DataFrame, radius_m:
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
     near = around.join(unnamed, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius_m).select(*own, "first_row", "sid", "d")
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Candidates of one import: names in row order, each takes the nearest station still free."""
-        free, out = set(pdf.sid), []
-        for (_, name), mine in pdf.sort_values(["first_row", "d", "sid"]).groupby(["first_row", "name"], sort=True):
-            left = mine[mine.sid.isin(free)]
-            if len(left):
-                free.discard(left.sid.iloc[0])
-                out.append((pdf["import"].iloc[0], name, int(mine.first_row.iloc[0]), "guessed", left.sid.iloc[0]))
-        return pd.DataFrame(out, columns=["import", "name", "first_row", "match", "id"])
-
-    guessed = near.groupBy("import").applyInPandas(take, f"import {dict(keyed.dtypes)['import']}, name string, first_row long, match string, id string")
+    guessed = _taken(near, own).select(*own, "first_row", F.lit("guessed").alias("match"), F.col("sid").alias("id"))
     found = exact.unionByName(substring).unionByName(guessed)
     missed = keyed.join(found.select(*own), own, "left_anti").select(*own, "first_row", F.lit("unmatched").alias("match"), F.lit(None).cast("string").alias("id"))
     return found.unionByName(missed).select("import", "name", "first_row", "match", "id")

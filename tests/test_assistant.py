@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.operators import assistant, poi, search, territory
+from geoweft.operators import assistant, dispatch, poi, search, territory
 
 PLACE = "kind string, id long, lat double, lon double, tags map<string,string>"
 
@@ -92,3 +92,23 @@ def test_neighbors_of_unlike_sizes(spark):
     near = everyone.select("a", "b", F.col("a").alias("v"), F.col("b").alias("territory_id")).unionByName(everyone.select("a", "b", F.col("b").alias("v"), F.col("a").alias("territory_id")))
     want = {(r.a, r.b) for r in near.join(v, "v").join(e, "territory_id").groupBy("a", "b").agg(F.min(d).alias("m")).filter("m <= 300").collect()}
     assert {k for k in got if k[0] < k[1]} == want and len(want) > 5
+
+
+def test_guessed_stations_are_taken_in_the_order_of_rows(spark):
+    """Against the plain loop: two imports, names that want the same stations, ties."""
+    rng = random.Random(11)
+    stations = [(f"s{i:02d}", "", 48 + rng.random() / 25, 12 + rng.random() / 25) for i in range(25)] + [("named", "Feuerwehr Altdorf", 48.0, 12.0)]
+    names = [(imp, f"{imp} Ort {chr(97 + k % 26)}{chr(97 + k // 26)}", rng.randrange(30)) for imp in ("x", "y") for k in range(35)]
+    spots = {n: (48 + rng.random() / 25, 12 + rng.random() / 25) for _, n, _ in names}
+    want = {}
+    for imp in ("x", "y"):
+        free = {s[0]: s for s in stations if not s[1]}
+        for _, row, n in sorted((i, r, n) for i, n, r in names if i == imp):
+            near = sorted((haversine(*spots[n], a, b), i) for i, _, a, b in free.values())
+            if near and near[0][0] <= 1500:
+                want[imp, n] = near[0][1]
+                del free[near[0][1]]
+    roster = spark.createDataFrame(names, "import string, name string, first_row long")
+    hints = spark.createDataFrame([(n, *at) for n, at in spots.items()], "name string, lat double, lon double")
+    rows = dispatch.match_roster(roster, spark.createDataFrame(stations, "id string, name string, lat double, lon double"), hints).collect()
+    assert {(r["import"], r["name"]): r["id"] for r in rows if r["match"] == "guessed"} == want and 10 < len(want) < 60 and len(rows) == 70
