@@ -523,6 +523,21 @@ def alias_lookups(spark, sf):
     return intent.lookup_alias(q.select(F.col("c_custkey").alias("qid"), raw.alias("raw")), poi.brand_aliases(view(spark, sf, "pois")))
 
 
+@query(f"{ctes('directed')}, e AS (SELECT src, dst, {hav('lat1', 'lon1', 'lat2', 'lon2')} * [1.5e0, 0.8e0, 1.5e0, 2e0][CAST(floor(((dst - 1) % 40) / 10) AS INT) + 1] AS m FROM directed), d(node, cost) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), 0e0 UNION SELECT e.dst, min(d.cost + e.m) FROM d JOIN e ON e.src = d.node LEFT JOIN recurring.d AS k ON k.node = e.dst WHERE k.cost IS NULL OR d.cost + e.m < k.cost - 1e-9 GROUP BY e.dst) SELECT v.src AS to_id, round(d.cost, 4) AS cost FROM (SELECT DISTINCT src FROM directed) v JOIN d ON d.node = v.src")
+def territory_routes(spark, sf):
+    """From the first vertex to all others, where streets of one's own territory are cheap, those of its neighbours dearer,
+    and others dearest; the territories are four strips of the grid."""
+    e, v = grid(spark, sf)
+    strip = view(spark, sf, "vertices").groupBy(F.floor(F.col("x") / 10).alias("t")).agg((F.min("lat") - 0.001).alias("lat0"), (F.max("lat") + 0.001).alias("lat9"), (F.min("lon") - 0.0005).alias("lon0"), (F.max("lon") + 0.0004).alias("lon9"))
+    corner = lambda lat, lon: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    ring = F.array(*[corner(*c) for c in (("lat0", "lon0"), ("lat0", "lon9"), ("lat9", "lon9"), ("lat9", "lon0"))])
+    hole = F.array().cast("array<array<struct<lat:double,lon:double>>>")
+    t = strip.select(F.lit("strips").alias("layer"), F.concat(F.lit("T"), F.col("t").cast("string")).alias("territory_id"), F.array(F.struct(ring.alias("outer"), hole.alias("holes"))).alias("geometry"))
+    factors = cut(territory.cost_factors(v, territory.edges_of(t), "T1", same=0.8, neighbor=1.5, foreign=2.0))
+    pairs = v.select(F.lit(1).cast("long").alias("from_id"), F.col("id").alias("to_id"))
+    return routing.route_pairs(pairs, e, v, cost.RouteOptions(), factors).select("to_id", F.round("cost", 4).alias("cost"))
+
+
 # --- windows of requests ---
 
 @query(f"""{ctes('points')}, q AS (SELECT id, id % 7 AS k, lat, lon, 48.4e0 + (id % 3) * 0.1e0 AS low, 48.8e0 AS high FROM points),
