@@ -538,6 +538,23 @@ def territory_routes(spark, sf):
     return routing.route_pairs(pairs, e, v, cost.RouteOptions(), factors).select("to_id", F.round("cost", 4).alias("cost"))
 
 
+@query("""WITH r AS (SELECT c_custkey AS k, c_custkey % 4 AS kind, c_custkey % (SELECT count(*) FROM supplier) AS spot, CASE c_custkey % 4 WHEN 0 THEN '2.1.3 FF ' || c_name WHEN 1 THEN 'FF ' || c_name || ' Nord' WHEN 2 THEN 'WF Nirgends-' || c_custkey ELSE 'Ohne Ort-' || c_custkey END AS name FROM customer),
+    f AS (SELECT spot, min(k) AS k FROM r WHERE kind = 2 GROUP BY spot)
+    SELECT name, CASE WHEN kind = 0 THEN 'exact' WHEN kind = 1 THEN 'substring' WHEN f.k IS NOT NULL THEN 'guessed' ELSE 'unmatched' END AS match, CASE WHEN kind < 2 THEN 's' || r.k WHEN f.k IS NOT NULL THEN 'u' || r.spot END AS id FROM r LEFT JOIN f ON f.k = r.k""")
+def roster_match_many(spark, sf):
+    """A name for every customer: that of a station, one that holds a station's, one near an unnamed station, which the
+    first of them takes, and one that is nowhere."""
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    k, n = F.col("c_custkey"), s.count()
+    text_of = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    name = F.element_at(F.array(text_of("2.1.3 FF ", F.col("c_name")), text_of("FF ", F.col("c_name"), " Nord"), text_of("WF Nirgends-", k), text_of("Ohne Ort-", k)), (k % 4 + 1).cast("int"))
+    roster = c.select(name.alias("name"), k.alias("first_row"))
+    named = c.select(text_of("s", k).alias("id"), text_of("Feuerwehr ", F.col("c_name")).alias("name"), F.lit(10.0).alias("lat"), F.lit(10.0).alias("lon"))
+    unnamed = s.select(text_of("u", F.col("s_suppkey")).alias("id"), F.lit("").alias("name"), (40 + 0.02 * F.col("s_suppkey")).alias("lat"), F.lit(11.0).alias("lon"))
+    hints = c.filter(k % 4 == 2).select(name.alias("name"), (40 + 0.02 * (k % n) + 0.001).alias("lat"), F.lit(11.001).alias("lon"))
+    return dispatch.match_roster(roster, named.unionByName(unnamed), hints).select("name", "match", "id")
+
+
 # --- windows of requests ---
 
 @query(f"""{ctes('points')}, q AS (SELECT id, id % 7 AS k, lat, lon, 48.4e0 + (id % 3) * 0.1e0 AS low, 48.8e0 AS high FROM points),
