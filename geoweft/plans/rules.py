@@ -472,9 +472,8 @@ def places_on_routes(spark, sf):
 _PLACES = f"{ctes('vertices')}, p AS (SELECT v.id, v.lat, v.lon, p_name AS name, part.p_size AS s FROM part JOIN vertices v ON v.id = p_partkey + 1), q AS (SELECT c_custkey AS qid, 48e0 + 0.001e0 * (c_custkey % 53) + 0.0003e0 AS qlat, 12e0 + 0.001e0 * (c_custkey % 41) + 0.0002e0 AS qlon, c_custkey % 6 AS class, part.p_name AS asked FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part))"
 
 
-@query(f"{_PLACES}, m AS (SELECT qid, class, id, {hav('qlat', 'qlon', 'lat', 'lon')} AS d, row_number() OVER (PARTITION BY qid ORDER BY name <> asked, id) AS nth FROM q JOIN p ON (class = 0 AND s % 6 = 0) OR (class = 1 AND s % 7 = 0) OR (class = 2 AND s % 5 = 0 AND id % 2 = 0) OR (class = 3 AND s % 4 = 0 AND id % 2 = 0) OR (class = 4 AND contains(name, asked)) OR (class = 5 AND contains(asked, name))) SELECT qid, ['lake', 'forest', 'apotheke', 'bäckerei', 'address', 'name'][CAST(any_value(class) AS INT) + 1] AS stage, arg_min(id, struct_pack(d := round(d, 6), i := id)) AS id FROM m WHERE class <> 4 OR nth <= 50 GROUP BY qid")
-def nearest_places(spark, sf):
-    """A question of every customer: a lake, a forest, a pharmacy, a bakery, and names within names both ways."""
+def asked_places(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Parts as places (kind, id, lat, lon, tags) and questions (qid, prompt, lat, lon) of customers, of six kinds."""
     v, n = view(spark, sf, "vertices").select("id", "lat", "lon"), table(spark, sf, "part").count()
     own = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("id"), "p_name", F.col("p_size").alias("s")).join(v, "id")
     when = lambda m, x: F.when(F.col("s") % m == 0, x).otherwise("")
@@ -482,10 +481,24 @@ def nearest_places(spark, sf):
     q = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % n).alias("p_partkey")).join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
     said = F.element_at(F.array(F.lit("Wo ist der nächste See?"), F.lit("where is the nearest forest"), F.lit("nächste Apotheke in der Nähe"), F.lit("Nächste Bäckerei!"), F.concat(F.lit("nearest "), "p_name"), F.concat(F.lit("wo ist der nächste große "), "p_name", F.lit("-laden 48.0, 12.0"))), (F.col("c_custkey") % 6 + 1).cast("int"))
     q = q.select(F.col("c_custkey").alias("qid"), said.alias("prompt"), (48 + 0.001 * (F.col("c_custkey") % 53) + 0.0003).alias("lat"), (12 + 0.001 * (F.col("c_custkey") % 41) + 0.0002).alias("lon"))
+    return q, places
+
+
+@query(f"{_PLACES}, m AS (SELECT qid, class, id, {hav('qlat', 'qlon', 'lat', 'lon')} AS d, row_number() OVER (PARTITION BY qid ORDER BY name <> asked, id) AS nth FROM q JOIN p ON (class = 0 AND s % 6 = 0) OR (class = 1 AND s % 7 = 0) OR (class = 2 AND s % 5 = 0 AND id % 2 = 0) OR (class = 3 AND s % 4 = 0 AND id % 2 = 0) OR (class = 4 AND contains(name, asked)) OR (class = 5 AND contains(asked, name))) SELECT qid, ['lake', 'forest', 'apotheke', 'bäckerei', 'address', 'name'][CAST(any_value(class) AS INT) + 1] AS stage, arg_min(id, struct_pack(d := round(d, 6), i := id)) AS id FROM m WHERE class <> 4 OR nth <= 50 GROUP BY qid")
+def nearest_places(spark, sf):
+    """A question of every customer: a lake, a forest, a pharmacy, a bakery, and names within names both ways."""
+    q, places = asked_places(spark, sf)
     g = built(spark, sf)
     return assistant.nearest_places(q, places.drop("kind"), places, g.streets, g.vertices, poi.brand_aliases(places)).select("qid", "stage", "id")
 
 
+@query(f"{_PLACES}, m AS (SELECT qid, id, {hav('qlat', 'qlon', 'lat', 'lon')} AS d, row_number() OVER (PARTITION BY qid ORDER BY name <> asked, id) AS nth, class FROM q JOIN p ON class = 4 AND contains(name, asked)) SELECT qid, arg_min(id, struct_pack(d := round(d, 6), i := id)) AS id FROM m WHERE nth <= 200 GROUP BY qid")
+def nearest_named(spark, sf):
+    """The nearest of the 200 best places of the name that a sixth of the customers ask for."""
+    q, places = asked_places(spark, sf)
+    return compose.nearest_named(q.filter("qid % 6 = 4"), places.drop("kind"), poi.brand_aliases(places)).select("qid", "id")
+
+
 _ACTS = ("highlight_poi", "show_info", "compute_route", "noop", "zoom_to", "dance")
 _NODE = f"(SELECT arg_min(v.id, struct_pack(d := round({hav('v.lat', 'v.lon', 'LAT', 'LON')}, 6), i := v.id)) FROM vertices v)"
 
