@@ -1,14 +1,19 @@
 """Secret scans: fixed patterns, and formats inferred as probabilistic automata.
 
-One pass over the texts finds the base spans (assignments, access keys, hexadecimal runs), their credentials, and all
-candidates: runs of LEAST_LENGTH or more token characters (those of assignments) with a digit, outside base spans, less
-the full stops at their ends. Where a run holds a base span, its parts between full stops are candidates instead. The credentials are labelled examples. For each
-kind, a bounded sample of distinct ones (`SAMPLE`, the smallest hashes) becomes a prefix tree of character classes whose
-states are merged where their futures are statistically compatible (Hoeffding bounds on endings and next symbols, in
-breadth-first order, merging deterministically). Every candidate of every text is then scored by its log-likelihood
-under each automaton against a background model of how candidates look in general, per character; what an automaton
-explains better by `MARGIN` and as likely as its own examples is a span of kind `format`; of a candidate that isn't, the
-parts between full stops are scored.
+A first pass over the texts finds the base spans (assignments, access keys, hexadecimal runs), whose credentials are
+labelled examples, and counts how candidates look. Candidates are all runs of token characters (those of assignments),
+of any length and kind, less the full stops at their ends. Where a run holds a base span, its parts between full stops
+that hold none are candidates instead. For each kind, a bounded sample of distinct credentials (`SAMPLE`, the smallest
+hashes) becomes a prefix tree of character classes whose states are merged where their futures are statistically
+compatible (Hoeffding bounds on endings and next symbols, in breadth-first order, merging deterministically). A second
+pass scores every candidate of every text by its log-likelihood under each automaton against a background model, per
+character; what an automaton explains better by `MARGIN` and as likely as its own examples is a span of kind `format`;
+of a candidate that isn't, the parts between full stops are scored. The background is counted over all candidates, apart
+for each set of kinds of characters (digits, small letters, capitals) that a candidate has: words are compared with
+words, words in capitals with such, and neither makes a number look strange.
+
+Candidates are strings of character classes, few of which are distinct: each task scores a string once and keeps what
+it found, in a table that is cleared when it is full. No text leaves the task that reads it.
 
 Defined results: null and empty texts have no spans; with no credentials no format is inferred and base spans stand
 alone; repeated rows are scanned once each; an empty table gives no rows.
@@ -39,14 +44,17 @@ KINDS = ("assign", "access", "hex", "format")
 SAMPLE = 2000
 ALPHA = 0.4
 MARGIN = 0.15
-LEAST_LENGTH = 8
+#: Distinct strings of classes that a task holds at once.
+HELD = 100_000
 _HINTS = (b"pass", b"secret", b"token", b"api")
 _TOKEN = np.zeros(256, np.bool_)
 _TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
-_DIGIT = re.compile(rb"[0-9]")
-_PART = re.compile(rb"[^.]{%d,}" % LEAST_LENGTH)
+_RUN = re.compile(rb"[^\0\1]+")
+_PART = re.compile(rb"[^.]+")
 #: Character classes: digits, a-f, g-z, A-Z; any other character is itself.
 _CLASS = bytes(ord("d") if 48 <= b < 58 else ord("h") if 97 <= b < 103 else ord("l") if 103 <= b < 123 else ord("U") if 65 <= b < 91 else b for b in range(256))
+#: Classes of token characters; 1 for the further bytes of a code point, 0 for all else.
+_SYMBOL = bytes(_CLASS[b] if _TOKEN[b] else int(128 <= b < 192) for b in range(256))
 
 
 def base_spans(text: bytes, stretches: list[tuple[int, int]]) -> list[tuple[int, int, int, bytes]]:
@@ -63,17 +71,21 @@ def base_spans(text: bytes, stretches: list[tuple[int, int]]) -> list[tuple[int,
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def token_runs(text: bytes) -> list[tuple[int, int]]:
-    """Stretches of LEAST_LENGTH or more token characters; every long hexadecimal run lies in one."""
+def long_runs(text: bytes, least: int = 32) -> list[tuple[int, int]]:
+    """Stretches of `least` or more token characters; every long hexadecimal run lies in one."""
     inside = _TOKEN[np.frombuffer(text, np.uint8)]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= LEAST_LENGTH
+    long = ends - starts >= least
     return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
 
-def candidates(text: bytes, stretches: list[tuple[int, int]], taken: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Token runs with a digit that overlap no base span, and the parts of those that do."""
+def candidates(text: bytes, taken: list[tuple[int, int, int, bytes]]) -> bytes:
+    """The text's bytes as _SYMBOL; where a run holds a base span, its full stops and the parts that overlap one are 0.
+    The runs that are left are the candidates."""
+    symbols = text.translate(_SYMBOL)
+    if not taken:
+        return symbols
     starts, ends = _merged([(a, b) for a, b, *_ in taken])
 
     def free(a: int, b: int) -> bool:
@@ -81,18 +93,16 @@ def candidates(text: bytes, stretches: list[tuple[int, int]], taken: list[tuple[
         k = bisect_left(starts, b)
         return not k or ends[k - 1] <= a
 
-    out = []
-    for s, e in stretches:
-        if not _DIGIT.search(text, s, e):
+    left = bytearray(symbols)
+    for run in _RUN.finditer(symbols):
+        i, j = run.span()
+        if free(i, j):
             continue
-        token = text[s:e].rstrip(b".")
-        e = s + len(token)
-        token = token.lstrip(b".")
-        s = e - len(token)
-        for i, j in [(s, e)] if free(s, e) else [(s + i, s + j) for i, j in parts(token)]:
-            if j - i >= LEAST_LENGTH and free(i, j):
-                out.append((i, j, text[i:j]))
-    return out
+        left[i:j] = left[i:j].replace(b".", b"\0")
+        for part in _PART.finditer(symbols, i, j):
+            if not free(*part.span()):
+                left[part.start() : part.end()] = bytes(part.end() - part.start())
+    return bytes(left)
 
 
 def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -113,9 +123,22 @@ def code_points(text: bytes) -> np.ndarray | None:
     return None if text.isascii() else np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]
 
 
-def parts(token: bytes) -> list[tuple[int, int]]:
-    """Parts of a token between full stops that are long enough and have a digit."""
-    return [m.span() for m in _PART.finditer(token) if _DIGIT.search(token, *m.span())] if b"." in token else []
+def make_up(symbols: bytes) -> int:
+    """Which kinds of characters a string of classes has: 1 digits, 2 small letters, 4 capitals, summed."""
+    return (b"d" in symbols) + 2 * (b"h" in symbols or b"l" in symbols) + 4 * (b"U" in symbols)
+
+
+def count_pairs(tokens: dict[bytes, int], counts: np.ndarray) -> None:
+    """Adds the pairs of neighbouring classes of candidates (ends are 0), 65,536 counts for each make-up."""
+    whole = {t: n for t, n in tokens.items() if t.strip(b".")}
+    names = [t.strip(b".") for t in whole]
+    if not names:
+        return
+    symbols = np.frombuffer(b"\0" + b"\0".join(names) + b"\0", np.uint8).astype(np.int64)
+    lengths = [len(t) + 1 for t in names]
+    makes = np.repeat(np.array([make_up(t) for t in names], np.int64), lengths)
+    times = np.repeat(np.array([*whole.values()], np.int64), lengths)
+    counts += np.bincount(makes << 16 | symbols[:-1] << 8 | symbols[1:], times, len(counts)).astype(np.int64)
 
 
 @dataclass
@@ -217,25 +240,32 @@ class Formats:
 
     def background_score(self, symbols: bytes) -> float:
         pairs = np.frombuffer(b"\0" + symbols + b"\0", np.uint8)
-        return float(self.background[pairs[:-1], pairs[1:]].mean())
-
-    def accepts(self, token: bytes) -> float | None:
-        """How much better than the background the best format explains the token; None if none does."""
-        symbols = token.translate(_CLASS)
-        own, best = self.background_score(symbols), None
-        for a in self.automata.values():
-            score = a.score(symbols)
-            if score >= a.floor and score - own >= MARGIN:
-                best = max(best or 0.0, score - own)
-        return best
+        return float(self.background[make_up(symbols)][pairs[:-1], pairs[1:]].mean())
+
+    def accepts(self, symbols: bytes) -> float | None:
+        """How much better than the background the best format explains a string of classes; None if none does."""
+        best = max((score for a in self.automata.values() if (score := a.score(symbols)) >= a.floor), default=None)
+        better = None if best is None else best - self.background_score(symbols)
+        return better if better is not None and better >= MARGIN else None
+
+    def spans(self, run: bytes) -> list[tuple[int, int]]:
+        """What is accepted of a run of classes: the whole less full stops at its ends, else parts between them."""
+        token = run.lstrip(b".")
+        start = len(run) - len(token)
+        token = token.rstrip(b".")
+        if not token:
+            return []
+        if self.accepts(token) is not None:
+            return [(start, start + len(token))]
+        return [p.span() for p in _PART.finditer(run) if self.accepts(p[0]) is not None] if b"." in token else []
 
 
 def infer(examples: dict[int, list[bytes]], background: Counter) -> Formats:
-    """Automata per kind from sampled credentials; background: counts of class pairs over all candidates."""
-    counts = np.full((256, 256), 0.01)
-    for (a, b), n in background.items():
-        counts[a, b] += n
-    model = np.log(counts / counts.sum(1, keepdims=True))
+    """Automata per kind from sampled credentials; background: counts of (make-up, class, next class) over all candidates."""
+    counts = np.full((8, 256, 256), 0.01)
+    for (make, a, b), n in background.items():
+        counts[make, a, b] += n
+    model = np.log(counts / counts.sum(2, keepdims=True))
     automata = {}
     for kind, tokens in examples.items():
         tree = Automaton()
@@ -254,63 +284,71 @@ _SPAN = "array<struct<start:long,end:long,kind:int>>"
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, spans (code points, end exclusive; kind as in KINDS; by start, then kind)."""
     struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
-    tokens = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("token", pa.binary())]))
+    texts = id_and_bytes(docs, id_col, text_col)
+    formats = docs.sparkSession.sparkContext.broadcast(learn(texts, sample))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[tuple[int, int]]] = {}
+
+        def spans(run: bytes) -> list[tuple[int, int]]:
+            got = known.get(run)
+            if got is None:
+                got = formats.value.spans(run)
+                if len(known) >= HELD:
+                    known.clear()
+                if len(run) <= 64:
+                    known[run] = got
+            return got
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, runs = [], []
+            out = []
             for text in batch.column(1).to_pylist():
                 text = text or b""
-                runs_of = token_runs(text)
-                base = base_spans(text, runs_of)
-                free = candidates(text, runs_of, base)
-                before = code_points(text)
+                base = base_spans(text, long_runs(text))
+                symbols = candidates(text, base)
+                found = [(s, e, k) for s, e, k, _ in base]
+                for m in _RUN.finditer(symbols):
+                    for i, j in spans(m[0]):
+                        found.append((m.start() + i, m.start() + j, 3))
+                before = code_points(text) if found else None
                 at = (lambda i: i) if before is None else (lambda i, n=before: int(n[i]))
-                found.append([{"start": at(s), "end": at(e), "kind": k} for s, e, k, _ in base])
-                runs.append([{"start": 0, "end": 0, "kind": k, "token": c} for *_, k, c in base] + [{"start": at(s), "end": at(e), "kind": 3, "token": t} for s, e, t in free])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct), pa.array(runs, tokens)], names=["doc_id", "base", "tokens"])
-
-    seen = cut(id_and_bytes(docs, id_col, text_col).mapInArrow(find, f"doc_id long, base {_SPAN}, tokens array<struct<start:long,end:long,kind:int,token:binary>>"))
-    formats = docs.sparkSession.sparkContext.broadcast(learn(seen, sample))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for base, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                more = []
-                for r in runs:
-                    if r["kind"] != 3:
-                        continue
-                    if formats.value.accepts(r["token"]) is not None:
-                        more.append({"start": r["start"], "end": r["end"], "kind": 3})
-                    else:
-                        more += [{"start": r["start"] + i, "end": r["start"] + j, "kind": 3} for i, j in parts(r["token"]) if formats.value.accepts(r["token"][i:j]) is not None]
-                out.append(sorted(base + more, key=lambda s: (s["start"], s["kind"])))
+                out.append([{"start": at(s), "end": at(e), "kind": k} for s, e, k in sorted(found, key=lambda f: (f[0], f[2]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, struct)], names=["doc_id", "spans"])
 
-    return seen.mapInArrow(judge, f"doc_id long, spans {_SPAN}")
+    return texts.mapInArrow(judge, f"doc_id long, spans {_SPAN}")
 
 
-def learn(seen: DataFrame, sample: int) -> Formats:
+def learn(texts: DataFrame, sample: int) -> Formats:
     """Formats of at most `sample` distinct credentials per base kind, and the background of all candidates."""
-    tokens = seen.select(F.explode("tokens").alias("t")).select("t.kind", "t.token")
-    labelled = tokens.filter("kind < 3").distinct()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(8 << 16, np.int64)
+        runs: Counter = Counter()
+        for batch in batches:
+            labelled = set()
+            for text in batch.column(1).to_pylist():
+                text = text or b""
+                base = base_spans(text, long_runs(text))
+                labelled |= {(k, c) for *_, k, c in base}
+                runs.update(map(re.Match.group, _RUN.finditer(candidates(text, base))))
+                if len(runs) >= HELD:
+                    count_pairs(runs, counts)
+                    runs.clear()
+            yield found(sorted(labelled), [1] * len(labelled))
+        count_pairs(runs, counts)
+        used = np.flatnonzero(counts).tolist()
+        yield found([(3, p.to_bytes(3, "big")) for p in used], counts[used].tolist())
+
+    def found(tokens: list[tuple[int, bytes]], times: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in tokens], pa.int32()), pa.array([t for _, t in tokens], pa.binary()), pa.array(times, pa.int64())], names=["kind", "token", "n"])
+
+    seen = cut(texts.mapInArrow(gather, "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
     nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("token"), "token"))
     examples: dict[int, list[bytes]] = {}
-    for r in labelled.withColumn("nth", nth).filter(F.col("nth") <= sample).orderBy("kind", "nth").collect():
+    for r in seen.filter("kind < 3").withColumn("nth", nth).filter(F.col("nth") <= sample).orderBy("kind", "nth").collect():
         examples.setdefault(r.kind, []).append(bytes(r.token))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for token in batch.column(0).to_pylist():
-                classes = np.frombuffer(b"\0" + token.translate(_CLASS) + b"\0", np.uint8).astype(np.int64)
-                np.add.at(counts, classes[:-1] << 8 | classes[1:], 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["pair", "n"])
-
-    rows = tokens.filter("kind = 3").select("token").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    return infer(examples, Counter({(r.pair >> 8, r.pair & 255): r.n for r in rows}))
+    pairs = seen.filter("kind = 3").select("token", "n").collect()  # classes only: at most 2^19 rows
+    return infer(examples, Counter({tuple(bytes(r.token)): r.n for r in pairs}))
 
 
 def digests(found: DataFrame) -> DataFrame:
