@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import cost, geo, osm, text
 from geoweft.functions.lineage import cut, shared_dir
-from geoweft.operators import assistant, compose, dispatch, graph, intent, nearest, poi, routing, search, territory
+from geoweft.operators import assistant, boundaries, compose, dispatch, graph, intent, nearest, poi, routing, search, territory
 from geoweft.plans.queries import BUILT, PROPS, STREETS, WINDOW, bear, built, grid, hav, norm_compare, query, zone_edges, zone_sql
 from geoweft.plans.views import ctes, districts, table, view, zones
 from geoweft.sources import files, pbf
@@ -294,6 +294,36 @@ def area_rings(spark, sf):
     return compose.ring_areas(rings).join(rings.select("id", "ring", F.size("points").alias("points")), ["id", "ring"]).select("id", "ring", "points", F.round("area_m2", 1).alias("area_m2"))
 
 
+RING = "round(radians(lon9 - lon0 - 0.002e0 * {0}) * (sin(radians(lat9 - 0.001e0 * {0})) - sin(radians(lat0 + 0.001e0 * {0}))) * 6378137e0 * 6378137e0, 9)"
+FLAT = "(radians(lon9 - lon0 - 0.002e0 * {0}) * (ln(tan(pi() / 4 + radians(lat9 - 0.001e0 * {0}) / 2)) - ln(tan(pi() / 4 + radians(lat0 + 0.001e0 * {0}) / 2))) * 6378137e0 * 6378137e0)"
+
+
+def _each_ring(of: str, last: str) -> str:
+    """Sums of a figure of the rings 0 to k % 3 of a district: all, and with every second one taken off."""
+    return ", ".join(f"{of.format(0)} + CASE WHEN k % 3 > 0 THEN {sign}{of.format(1)} ELSE 0e0 END + CASE WHEN k % 3 > 1 THEN {of.format(2)} ELSE 0e0 END AS {name}{last}" for name, sign in (("all_", ""), ("net_", "-")))
+
+
+@query(f"{ctes('districts')}, b AS (SELECT *, lower('Bezirk ' || tid) AS name, {_each_ring(RING, 'm2')}, {_each_ring(FLAT, 'flat')} FROM districts), f AS (SELECT q.k AS qid, min(b.k) AS k FROM b q LEFT JOIN b ON b.k % 4 <> 1 AND contains(b.name, q.name) GROUP BY q.k) SELECT qid, f.k AS id, k % 3 + 1 AS rings, k % 2 = 0 AS forest, round(CASE WHEN k IS NULL THEN NULL WHEN k % 2 = 0 OR k % 3 = 0 THEN all_m2 ELSE 0e0 END, 1) AS area_m2, round(net_m2, 1) AS net_m2, round(net_flat, 1) AS mercator_m2, CASE WHEN k IS NOT NULL THEN 0 END AS outline FROM f LEFT JOIN b USING (k)")
+def boundary_areas(spark, sf):
+    """Areas of boundaries asked for by name: of each district up to three rings in each other, each of two ways. Every
+    fourth district is no administrative area, so its name finds another or none."""
+    d = view(spark, sf, "districts").withColumn("r", F.explode(F.sequence(F.lit(0), (F.col("k") % 3).cast("int"))))
+    node = lambda n: (F.col("k") * 100 + F.col("r") * 10 + n).cast("long")
+    low, high = (lambda c: F.col(c) + 0.001 * F.col("r")), (lambda c: F.col(c) - 0.001 * F.col("r"))
+    corners = [(low("lat0"), low("lon0")), (low("lat0"), high("lon9")), (high("lat9"), high("lon9")), (high("lat9"), low("lon0"))]
+    nodes = d.select(F.inline(F.array(*[F.struct(node(i).alias("id"), a.alias("lat"), b.alias("lon")) for i, (a, b) in enumerate(corners)])))
+    way = lambda h: (F.col("k") * 10 + F.col("r") * 2 + h).cast("long")
+    wood = F.when((F.col("k") % 2 == 0) & (F.col("r") == F.col("k") % 3), F.create_map(F.lit("landuse"), F.lit("forest"))).otherwise(F.create_map(F.lit("source"), F.lit("survey")))
+    ways = d.select(F.inline(F.array(*[F.struct(way(h).alias("id"), wood.alias("tags"), F.array(*map(node, ids)).alias("node_ids")) for h, ids in enumerate(((0, 1, 2), (2, 3, 0)))])))
+    member = lambda h: F.struct(F.lit("way").alias("type"), way(h).alias("id"), F.lit("outer").alias("role"))
+    kind = F.when(F.col("k") % 4 == 1, "postal_code").otherwise("administrative")
+    members = d.groupBy("k", "tid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("r", F.array(member(0), member(1)).alias("m")))), lambda x: x["m"])).alias("members"))
+    relations = members.select(F.col("k").alias("id"), F.create_map(F.lit("boundary"), kind, F.lit("name"), F.concat(F.lit("Bezirk "), "tid")).alias("tags"), "members")
+    questions = view(spark, sf, "districts").select(F.col("k").alias("qid"), F.concat(F.lit("bezirk-"), "tid").alias("name"))
+    found = boundaries.area_report(questions, relations, ways, nodes)
+    return found.select("qid", "id", "rings", "forest", *[F.round(c, 1).alias(c) for c in ("area_m2", "net_m2", "mercator_m2")], "outline")
+
+
 @query(f"{ctes('positions')} SELECT qid, count(*) AS points, round(sum(lat), 6) AS lat, round(sum(lon), 6) AS lon FROM positions GROUP BY qid")
 def route_lines(spark, sf):
     """Paths as GeoJSON lines, read back."""

@@ -1,9 +1,11 @@
 """Compositions on small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.operators import compose
+from geoweft.operators import boundaries, compose
 
 
 def test_nearest_named(spark):
@@ -76,3 +78,33 @@ def test_layers_as_they_are_and_bad_ones(spark, tmp_path):
     (tmp_path / "other.geojson").write_text('{"type":"Topology"}')
     assert {(r.layer, r.value[:2]) for r in files.raw_layers(spark, str(tmp_path)).collect()} == {("good", '{"'), ("bad one", "{n"), ("other", '{"')}
     assert {r.layer for r in files.bad_layers(spark, str(tmp_path)).collect()} == {"bad one", "other"}
+
+
+def test_rings_that_touch_are_not_nested(spark):
+    """A square with a hole in it, an island in the hole, and a neighbour that shares an edge; a ring without an area."""
+    square = lambda a, b, size: [(a, b), (a, b + size), (a + size, b + size), (a + size, b), (a, b)]
+    rows = [square(48.0, 12.0, 0.1), square(48.02, 12.02, 0.06), square(48.04, 12.04, 0.02)[::-1], square(48.0, 12.1, 0.1), [(48.0, 12.0), (48.1, 12.1), (48.0, 12.0)]]
+    rings = spark.createDataFrame([(1, k, r) for k, r in enumerate(rows)] + [(2, 0, square(48.045, 12.045, 0.01))], "id long, ring int, points array<struct<lat:double,lon:double>>")
+    got = {(r.id, r.ring): r for r in boundaries.ring_report(rings).collect()}
+    assert {k: r.depth for k, r in got.items()} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 0, (1, 4): 0, (2, 0): 0}
+    assert got[1, 0].mercator_m2 == pytest.approx(got[1, 0].area_m2 / math.cos(math.radians(48.05)) ** 2, rel=1e-4) and got[1, 4].area_m2 == 0
+
+
+def test_area_reports(spark):
+    """Each name once: the least id of those that hold it; wooded sums, plain single rings, nothing closed, not found."""
+    nodes = spark.createDataFrame([(i * 10 + k, 48 + i * 0.2 + a, 12 + b) for i in range(4) for k, (a, b) in enumerate(((0.0, 0.0), (0.0, 0.1), (0.1, 0.1), (0.1, 0.0)))], "id long, lat double, lon double")
+    ways = spark.createDataFrame([(i, [i * 10, i * 10 + 1, i * 10 + 2, i * 10 + 3, i * 10], {"natural": "wood"} if i == 1 else {}) for i in range(3)] + [(3, [30, 31], {})], "id long, node_ids array<long>, tags map<string,string>")
+    member = lambda *ids: [("way", i, "outer") for i in ids]
+    kind = {"boundary": "administrative"}
+    relations = spark.createDataFrame(
+        [(5, member(0, 1), kind | {"name": "Große Au"}), (6, member(0, 2), kind | {"name": "Grosse Au Süd"}), (7, member(2), kind | {"name": "Moos"}), (8, member(3), kind | {"name": "Offen"}), (4, member(0), {"name": "Moos"})],
+        "id long, members array<struct<type:string,id:long,role:string>>, tags map<string,string>",
+    )
+    questions = spark.createDataFrame([(1, "grosse au"), (2, "AU SÜD"), (3, "moos"), (4, "offen"), (5, "nowhere"), (6, ""), (7, None), (8, "grosse au")], "qid long, name string")
+    got = {r.qid: r for r in boundaries.area_report(questions, relations, ways, nodes).collect()}
+    assert {q: r.id for q, r in got.items()} == {1: 5, 2: 6, 3: 7, 4: 8, 5: None, 6: None, 7: None, 8: 5}
+    assert got[1].forest and got[1].area_m2 == pytest.approx(got[1].net_m2) and got[1].area_m2 > 0 and got[1].outline == 0
+    assert (got[2].area_m2, got[2].rings) == (0.0, 2) and got[2].net_m2 > 0
+    assert got[3].area_m2 > 0 and (got[4].rings, got[4].area_m2, got[4].outline) == (0, 0.0, None) and got[5].area_m2 is None
+    assert boundaries.area_report(questions.limit(0), relations, ways, nodes).count() == 0
+    assert boundaries.area_report(questions, relations.limit(0), ways, nodes).filter("id IS NULL").count() == 8
