@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a compressed table of the shared folder: for wide rows, which checkpoint files would hold as they are."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def blob_partitions(rows: int, per_partition: int) -> int:
     """How many partitions hold `rows` rows at about `per_partition` each."""
     return max(1, -(-int(rows) // per_partition))

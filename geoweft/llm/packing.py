@@ -4,11 +4,14 @@ Each document becomes its token ids plus one end id. Full windows of the largest
 routed to the smallest context tier that holds it; every tier packs its own windows, the longest pieces first, and the
 gap behind a piece is filled with pieces of shorter tiers, the last of which is cut to fit. A window is therefore full
 (a power of two) everywhere but at the end of a task, where at most one window of the largest tier stays partly empty.
-Step groups gather windows of one tier up to an equal number of tokens, so that steps are balanced.
 
-All of it happens where the rows are: no shuffle, memory bounded by one Arrow batch and the pieces pending in it.
+All of that happens where the rows are: no shuffle, memory bounded by one Arrow batch and the pieces pending in it.
 Sequence ids hold the task's partition number, so a task that runs again on the same split gives the same ids.
 
+Step groups gather windows of one tier up to an equal number of tokens. Each task numbers its windows of a tier; the
+packed pieces are written once to the shared folder, and prefix sums over the tasks' totals (a row for each task and tier)
+make the numbers global. So every group of a tier but its last has the same number of windows, whatever the tasks are.
+
 Defined results: null and empty texts are one end id; repeated rows are packed once each; an empty table gives no rows.
 """
 
@@ -21,14 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.llm._common import id_and_bytes
+from geoweft.llm._common import id_and_bytes, stored
 
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 1 << 16
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, nth long, ids binary"
 
 #: Texts of these code points only take the fast encoder; tests hold it equal to the reference tokenizer on all of them.
 _PLAIN = re.compile(r"[\x00-ſ‐-‧€\n]*")
@@ -78,9 +81,8 @@ def encode(text: str, tokenizer_json: str) -> np.ndarray:
 class _Packer:
     """Packs pieces (document, start, length) into windows; rows gather in `out`."""
 
-    def __init__(self, tiers: tuple[int, ...], step_tokens: int, task: int):
+    def __init__(self, tiers: tuple[int, ...], task: int):
         self.tiers, self.task = sorted(tiers), task
-        self.per_step = {t: max(1, step_tokens // t) for t in self.tiers}
         self.made = dict.fromkeys(self.tiers, 0)
         self.pools: dict[int, list[list[int]]] = {t: [] for t in self.tiers}
         self.sequences = 0
@@ -100,10 +102,9 @@ class _Packer:
 
     def _emit(self, tier: int, pieces: list[list[int]]) -> None:
         sequence = (self.task << 32) + self.sequences
-        step = (self.task << 32) + (self.tiers.index(tier) << 27) + self.made[tier] // self.per_step[tier]
         offset = 0
         for doc, start, length in pieces:
-            self.out.append((doc, start, length, sequence, offset, tier, step))
+            self.out.append((doc, start, length, sequence, offset, tier, self.made[tier]))
             offset += length
         self.sequences += 1
         self.made[tier] += 1
@@ -167,22 +168,22 @@ def pack(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_c
     """Pieces of packed sequences, with their ids as little-endian unsigned 32-bit numbers: see the module's text.
 
     Tiers are powers of two. A piece is ids [start, start + length) of its document and lies at `offset` of sequence
-    `sequence_id`, a window of `tier` ids.
+    `sequence_id`, a window of `tier` ids that belongs to `step_group`, of step_tokens // tier windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = _Packer(tiers, step_tokens, TaskContext.get().partitionId())
+        packer = _Packer(tiers, TaskContext.get().partitionId())
         pending: dict[int, tuple[int, np.ndarray]] = {}
         count = 0
 
         def rows() -> pa.RecordBatch:
             out, packer.out = packer.out, []
-            doc, start, length, sequence, offset, tier, step = (zip(*out, strict=True) if out else [()] * 7)
+            doc, start, length, sequence, offset, tier, nth = (zip(*out, strict=True) if out else [()] * 7)
             cut = [pending[d][1][s : s + n].tobytes() for d, s, n in zip(doc, start, length, strict=True)]
             left = {p[0] for pool in packer.pools.values() for p in pool}
-            columns = [pa.array([pending[d][0] for d in doc], pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([len(pending[d][1]) for d in doc], pa.int64()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(tier, pa.int32()), pa.array(step, pa.int64()), pa.array(cut, pa.binary())]
+            columns = [pa.array([pending[d][0] for d in doc], pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([len(pending[d][1]) for d in doc], pa.int64()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(tier, pa.int32()), pa.array(nth, pa.int64()), pa.array(cut, pa.binary())]
             for d in [d for d in pending if d not in left]:
                 del pending[d]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECES.split(", ")])
@@ -200,7 +201,19 @@ def pack(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_c
         packer.finish()
         yield rows()
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return step_groups(stored(id_and_bytes(docs, id_col, text_col).mapInArrow(run, PIECES)), sorted(tiers), step_tokens)
+
+
+def step_groups(pieces: DataFrame, tiers: list[int], step_tokens: int) -> DataFrame:
+    """pieces with step_group in place of nth, the window's number among those of its task and tier."""
+    pieces = pieces.withColumn("task", F.shiftright("sequence_id", 32))
+    totals = pieces.groupBy("tier", "task").agg((F.max("nth") + 1).alias("n"))
+    starts = totals.select("tier", "task", (F.sum("n").over(Window.partitionBy("tier").orderBy("task")) - F.col("n")).alias("before"))
+    rank = F.array_position(F.array(*map(F.lit, tiers)), F.col("tier")) - 1
+    per_step = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    group = F.shiftleft(rank.cast("long"), 48) + F.floor((F.col("before") + F.col("nth")) / per_step)
+    placed = pieces.join(F.broadcast(starts), ["tier", "task"])  # a row for each task and tier
+    return placed.select(*[group.alias("step_group") if c == "nth" else F.col(c) for c in pieces.columns if c != "task"])
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

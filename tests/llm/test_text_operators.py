@@ -75,6 +75,21 @@ def test_packing(spark, texts):
     assert all(n * tier <= packing.STEP_TOKENS for (_, tier), n in steps.items())
 
 
+def test_step_groups_are_equal_over_all_tasks(spark, texts):
+    docs = docs_of(spark, texts * 2).repartition(7)
+    rows = packing.pack(docs, queries.tokenizer_path(), step_tokens=4096).collect()
+    windows, groups = {r.sequence_id: (r.tier, r.step_group) for r in rows}, defaultdict(Counter)
+    assert all((r.tier, r.step_group) == windows[r.sequence_id] for r in rows)
+    for tier, group in windows.values():
+        groups[tier][group] += 1
+    for tier, sizes in groups.items():
+        last = max(sizes)
+        assert all(n == 4096 // tier for g, n in sizes.items() if g != last) and sizes[last] <= 4096 // tier
+        assert sorted(sizes) == list(range(min(sizes), last + 1))
+    assert len({s >> 32 for s in windows}) == 7 and len(groups[1024]) > 2
+    assert len({g for sizes in groups.values() for g in sizes}) == sum(map(len, groups.values()))
+
+
 def test_fast_encoder_is_exact():
     path = queries.tokenizer_path()
     _, exact = packing.encoders(path)
