@@ -178,3 +178,18 @@ def test_parcel_files(spark, tmp_path):
     (tmp_path / "short.csv").write_text("parcel_id,lat\nP001,1\n")
     with pytest.raises(ValueError, match="lon"):
         files.read_parcels(spark, str(tmp_path / "short.csv"))
+
+
+def test_areas_lose_nothing_and_keep_their_turn_beyond_the_poles(spark):
+    import math
+
+    def square(tid, lat0, lat9, lon0, lon9):
+        return ("a", tid, "", {}, [([(lat0, lon0), (lat0, lon9), (lat9, lon9), (lat9, lon0), (lat0, lon0)], [])])
+
+    boxes = [(47 + 0.01 * k, 47 + 0.01 * k + 0.0094, 11 + 0.01 * k, 11 + 0.01 * k + 0.0097) for k in range(0, 20000, 40)]
+    t = spark.createDataFrame([square(f"D{k}", *b) for k, b in enumerate(boxes)], f"layer string, territory_id string, name string, props map<string,string>, geometry {territory.GEOMETRY}")
+    got = {r.territory_id: r.area_m2 for r in territory.areas(t).collect()}
+    for k, (lat0, lat9, lon0, lon9) in enumerate(boxes):
+        want = math.radians(lon9 - lon0) * (math.sin(math.radians(lat9)) - math.sin(math.radians(lat0))) * 6378137.0**2
+        assert abs(got[f"D{k}"] - want) < 2e-6  # the last place of a sine
+    assert min(got.values()) < 0 < max(got.values())
