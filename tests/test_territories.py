@@ -193,3 +193,10 @@ def test_areas_lose_nothing_and_keep_their_turn_beyond_the_poles(spark):
         want = math.radians(lon9 - lon0) * (math.sin(math.radians(lat9)) - math.sin(math.radians(lat0))) * 6378137.0**2
         assert abs(got[f"D{k}"] - want) < 2e-6  # the last place of a sine
     assert min(got.values()) < 0 < max(got.values())
+
+
+def test_neighbors_near_and_beyond_the_poles(spark):
+    e = layer(spark, A=[(square(100, 11, 100.01, 11.01), [])], B=[(square(100.01, 11, 100.02, 11.01), [])], C=[(square(89.99, 11, 89.995, 11.01), [])], D=[(square(89.99, 11.06, 89.995, 11.07), [])])
+    both = lambda **k: {(r.territory_id, r.neighbor) for r in territory.neighbors(e, **k).collect()}
+    assert both() == {("A", "B"), ("B", "A"), ("C", "D"), ("D", "C")}
+    assert both(most_deg=0.03) == {("A", "B"), ("B", "A")}
