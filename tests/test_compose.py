@@ -108,3 +108,20 @@ def test_area_reports(spark):
     assert got[3].area_m2 > 0 and (got[4].rings, got[4].area_m2, got[4].outline) == (0, 0.0, None) and got[5].area_m2 is None
     assert boundaries.area_report(questions.limit(0), relations, ways, nodes).count() == 0
     assert boundaries.area_report(questions, relations.limit(0), ways, nodes).filter("id IS NULL").count() == 8
+
+
+def test_rings_of_many_relations_need_no_call_of_their_own(spark):
+    cells = spark.range(300).withColumn("n", F.col("id") * 4)
+    ways = cells.select(F.explode(F.array(*[F.struct((F.col("n") + k).alias("id"), F.array(F.col("n") + k, F.col("n") + (k + 1) % 4).alias("node_ids")) for k in range(4)])).alias("w")).select("w.*")
+    nodes = cells.select(F.explode(F.array(*[F.struct((F.col("n") + k).alias("id"), F.lit(48.0 + k // 2).alias("lat"), F.lit(12.0 + (k in (1, 2))).alias("lon")) for k in range(4)])).alias("v")).select("v.*")
+    relations = cells.select("id", F.array(*[F.struct(F.lit("way").alias("type"), (F.col("n") + k).alias("id"), F.lit("").alias("role")) for k in (0, 2, 3, 1)]).alias("members"))
+    rings = compose.relation_rings(relations, ways, nodes)
+    assert "FlatMapGroups" not in rings._jdf.queryExecution().executedPlan().toString()
+    got = rings.collect()
+    assert len(got) == 300 and {(r.ring, len(r.points), tuple(r.points[0]) == tuple(r.points[-1])) for r in got} == {(0, 8, True)}
+
+
+def test_chains_take_the_first_member_left_that_goes_on():
+    way = lambda name, a, b: {"first": a, "last": b, "points": [{"lat": float(a), "lon": name}, {"lat": float(b), "lon": name}]}
+    ways = [way(0.0, 1, 2), way(1.0, 5, 6), way(2.0, 2, 3), way(3.0, 2, 4), way(4.0, 3, 1), way(5.0, 6, 5)]
+    assert [[p["lon"] for p in ring] for ring in compose._chained(ways)] == [[0.0, 0.0, 2.0, 2.0, 4.0, 4.0, 0.0], [1.0, 1.0, 5.0, 5.0, 1.0]]
