@@ -68,6 +68,11 @@ def test_bundles(spark):
     ]
     df = spark.createDataFrame([(q, n, t, None if p is None else json.dumps(p)) for q, n, t, p in acts], "qid long, nth int, type string, params string")
     rows = {(r.qid, r.nth): r for r in assistant.run_bundles(df, places.drop("kind").withColumn("seq", F.col("id")), places, streets, edges, vertices).collect()}
+    brief = assistant.run_bundles(df, places.drop("kind").withColumn("seq", F.col("id")), places, streets, edges, vertices, paths=False)
+    assert "path" not in brief.columns  # all ways together may be far longer than the graph
+    ends = lambda r: (r.error, r.from_node, r.to_node, r.cost)
+    assert {k: ends(r) for k, r in rows.items()} == {(r.qid, r.nth): ends(r) for r in brief.collect()}
+    assert all(not r.path or (r.path[0], r.path[-1]) == (r.from_node, r.to_node) for r in rows.values())
     assert len(rows) == 13
     assert (rows[0, 0].kind, rows[0, 0].label, rows[0, 0].lat) == ("way", "w", 48.0) and rows[0, 1].error == "not found" and rows[0, 4].error == "invalid id"
     assert rows[0, 2].path == [2, 1] and rows[0, 2].distance_m == 100.0 and rows[0, 3].note == "no-op on server"
