@@ -44,14 +44,30 @@ def inner_points(rings: DataFrame) -> DataFrame:
 def nesting(rings: DataFrame) -> DataFrame:
     """id, ring, depth: in how many other rings of the same id each ring (id, ring, points) lies.
 
-    A point just inside a ring meets the rings that hold it through classified cells, so rings that share corners or edges
-    don't count as nested, and no ring meets all. Rings without an area have depth 0.
+    A point just inside a ring meets the rings of its own id whose bounds hold it, through a grid of the id of about as many
+    cells as it has rings, and of these only the edges in its band of latitude. Rings that share corners or edges don't count
+    as nested; rings without an area have depth 0.
     """
-    hole = F.array().cast("array<array<struct<lat:double,lon:double>>>")
-    shapes = rings.select(F.lit("rings").alias("layer"), F.struct("id", "ring").alias("territory_id"), F.array(F.struct(F.col("points").alias("outer"), hole.alias("holes"))).alias("geometry"))
-    around = territory.find_territories(inner_points(rings), territory.edges_of(shapes))
-    around = around.filter((F.col("id.id") == F.col("territory_id.id")) & (F.col("id.ring") != F.col("territory_id.ring")))
-    depths = around.groupBy(F.col("id.id").alias("id"), F.col("id.ring").alias("ring")).agg(F.count(F.lit(1)).alias("depth"))
+    axis = lambda f, c: f(F.transform("points", lambda p: p[c]))
+    low, high = F.array_min, F.array_max
+    box = rings.select("id", "ring", F.size("points").alias("n"), axis(low, "lat").alias("min_lat"), axis(high, "lat").alias("max_lat"), axis(low, "lon").alias("min_lon"), axis(high, "lon").alias("max_lon"))
+    grid = box.groupBy("id").agg(F.count(F.lit(1)).alias("rings"), F.min("min_lat").alias("lat0"), F.min("min_lon").alias("lon0"), F.greatest(F.max("max_lat") - F.min("min_lat"), F.max("max_lon") - F.min("min_lon")).alias("span")).filter("rings > 1")
+    grid = grid.select("id", "lat0", "lon0", (F.greatest("span", F.lit(1e-9)) / F.least(F.ceil(F.sqrt("rings")), F.lit(1024))).alias("size"))
+    bands = F.least(F.greatest(F.floor(F.col("n") / territory.BAND_EDGES), F.lit(1)), F.lit(territory.MOST_BANDS))
+    box = cut(box.withColumn("bands", bands).join(grid, "id"))
+    band = lambda lat: F.least(F.greatest(F.floor((lat - F.col("min_lat")) / F.greatest(F.col("max_lat") - F.col("min_lat"), F.lit(1e-9)) * F.col("bands")), F.lit(0)), F.col("bands") - 1)
+    cells = lambda a, b, origin: F.explode(F.sequence(geo.cell(F.col(a), F.col(origin), F.col("size")), geo.cell(F.col(b), F.col(origin), F.col("size"))))
+    around = box.withColumnRenamed("ring", "other").withColumn("cx", cells("min_lon", "max_lon", "lon0")).withColumn("cy", cells("min_lat", "max_lat", "lat0")).drop("lat0", "lon0", "size", "n")
+    inner = inner_points(rings).select("id.id", "id.ring", "lat", "lon").join(grid, "id")
+    inner = inner.select("id", "ring", "lat", "lon", geo.cell(F.col("lon"), F.col("lon0"), F.col("size")).alias("cx"), geo.cell(F.col("lat"), F.col("lat0"), F.col("size")).alias("cy"))
+    met = inner.join(around, ["id", "cx", "cy"]).filter("ring <> other AND lat BETWEEN min_lat - 1e-8 AND max_lat + 1e-8 AND lon BETWEEN min_lon - 1e-8 AND max_lon + 1e-8")
+    met = met.select("id", "ring", "other", "lat", "lon", band(F.col("lat")).alias("band"))
+    edges = rings.select("id", "ring", F.explode(_edges(F.col("points"))).alias("e")).select("id", "ring", F.col("e.a.lat").alias("lat1"), F.col("e.a.lon").alias("lon1"), F.col("e.b.lat").alias("lat2"), F.col("e.b.lon").alias("lon2"))
+    edges = edges.filter("lat1 <> lat2 OR lon1 <> lon2").join(box.select("id", "ring", "min_lat", "max_lat", "bands"), ["id", "ring"])
+    edges = edges.withColumn("band", F.explode(F.sequence(band(F.least("lat1", "lat2") - 1e-8), band(F.greatest("lat1", "lat2") + 1e-8)))).select("id", F.col("ring").alias("other"), "band", "lat1", "lon1", "lat2", "lon2")
+    e = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
+    tested = met.join(edges, ["id", "other", "band"]).groupBy("id", "ring", "other").agg(F.bool_or(geo.on_segment(*e)).alias("on_edge"), F.count_if(geo.crosses(*e)).alias("crossed"))
+    depths = tested.filter("on_edge OR crossed % 2 = 1").groupBy("id", "ring").agg(F.count(F.lit(1)).alias("depth"))
     return rings.select("id", "ring").join(depths, ["id", "ring"], "left").select("id", "ring", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
@@ -67,7 +83,8 @@ def named_boundaries(questions: DataFrame, relations: DataFrame) -> DataFrame:
     named = relations.filter(osm.tag("tags", "boundary") == "administrative").select("id", text.normalize_compare(osm.tag("tags", "name")).alias("hay")).filter("hay <> ''")
     asked = questions.select("qid", text.normalize_compare(F.col("name")).alias("sought")).filter("sought <> ''")
     wanted = cut(asked.select("sought").distinct())
-    met = search._met(named, "hay", wanted, F.array("sought")).groupBy("sought").agg(F.min("id").alias("id"))
+    named = named.groupBy("hay").agg(F.min("id").alias("id"))
+    met = search.held(named, "hay", wanted, "sought").groupBy("sought").agg(F.min("id").alias("id"))
     return asked.join(met, "sought").select("qid", "id")
 
 

@@ -125,3 +125,16 @@ def test_chains_take_the_first_member_left_that_goes_on():
     way = lambda name, a, b: {"first": a, "last": b, "points": [{"lat": float(a), "lon": name}, {"lat": float(b), "lon": name}]}
     ways = [way(0.0, 1, 2), way(1.0, 5, 6), way(2.0, 2, 3), way(3.0, 2, 4), way(4.0, 3, 1), way(5.0, 6, 5)]
     assert [[p["lon"] for p in ring] for ring in compose._chained(ways)] == [[0.0, 0.0, 2.0, 2.0, 4.0, 4.0, 0.0], [1.0, 1.0, 5.0, 5.0, 1.0]]
+
+
+def test_held_meets_texts_by_parts_of_their_lengths(spark):
+    from geoweft.operators import search
+
+    hays = [f"bezirk d{k}" for k in range(0, 600, 7)] + ["", "d", "x" * 3000 + "d21"]
+    needles = [f"d{k}" for k in range(0, 60)] + ["bezirk d7", "nirgends"]
+    corpus, asked = spark.createDataFrame([(h,) for h in hays], "hay string"), spark.createDataFrame([(n,) for n in needles], "sought string")
+    got = sorted((r.hay, r.sought) for r in search.held(corpus, "hay", asked, "sought").collect())
+    assert got == sorted((h, n) for h in hays for n in needles if n in h)
+    # 'd2' and 'd1' have many rows, yet a longer name meets its own only: no pair is made that doesn't hold
+    plan = search.held(corpus.filter("length(hay) < 100"), "hay", asked, "sought")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "contains" not in plan
