@@ -55,6 +55,23 @@ def test_places_in_many_windows(spark):
     assert got == want and poi.on_routes(spark.createDataFrame(places, PLACE), df.limit(0)).isEmpty()
 
 
+def test_wide_and_thin_windows_meet_few_places(spark, monkeypatch):
+    """Wide windows hold all places, thin ones of their length none; neither kind is paired with all of them."""
+    places = [("way", i, 48 + 0.001 * (i // 40), 12 + 0.001 * (i % 40), {"amenity": "cafe"}) for i in range(4000)] + [("way", 5000 + i, 48.05, 12.0101, {"amenity": "cafe"}) for i in range(30)]
+    wide = [(q, 47.9, 48.2 + 0.0002 * q, 11.99, 12.03 + 0.0003 * q) for q in range(60)]
+    thin = [(100 + q, 48.0, 48.099, 12.0005 + 0.001 * q, 12.0005 + 0.001 * q) for q in range(20)] + [(200, 48.0, 48.1, 12.01, 12.01), (201, 48.0, 48.1, 12.0101, 12.0101)]
+    df = spark.createDataFrame([(*r, "amenity", "cafe") for r in wide + thin], "qid long, min_lat double, max_lat double, min_lon double, max_lon double, key string, value string")
+    met, kind = [], type(df)
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: (met.append(self), own(self, *a, **k))[1])
+    got = {}
+    for r in poi.on_routes(spark.createDataFrame(places, PLACE), df).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    want = {q: [i for _, i in sorted((round(haversine((a + b) / 2, (c + d) / 2, lat, lon), 6), i) for _, i, lat, lon, _ in places if a <= lat <= b and c <= lon <= d)[:8]] for q, a, b, c, d in wide + thin}
+    assert got == {q: ids for q, ids in want.items() if ids} and len(got) == 62
+    assert met and sum(m.agg(F.sum(F.size("there"))).first()[0] for m in met) < 2 * 62 * 4030 / 10
+
+
 def test_bundles(spark):
     edges = spark.createDataFrame([(1, 2, 100.0), (2, 1, 100.0), (3, 1, 90.0)], "src long, dst long, dist_m double").select("*", F.lit(50.0).alias("speed_kph"), F.lit(0.0).alias("max_height_m"), F.lit(0.0).alias("max_weight_t"), F.lit("").alias("hwy_type"))
     vertices = spark.createDataFrame([(1, 48.0, 12.0), (2, 48.001, 12.0), (3, 48.1, 12.1)], "id long, lat double, lon double")
