@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import geo, text
 from geoweft.functions.lineage import cut
+from geoweft.operators import search
 from geoweft.operators.territory import property_keys
 
 
@@ -99,26 +100,25 @@ def upsert_stations(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select("id", text.first_non_empty(F.col("name"), F.col("old_name")).alias("name"), place("lat").alias("lat"), place("lon").alias("lon"))
 
 
-#: Names beyond this many are matched by shared pieces of their keys; up to it, each meets all of them.
-FEW_NAMES, PIECE = 256, 3
+#: Names beyond this many are matched by equal parts of keys; up to it, each meets all of them.
+FEW_NAMES = 256
 
 
 def _holding(rest: DataFrame, named: DataFrame) -> DataFrame:
-    """rest (…, key) with those of named (k, id) of which one key holds the other.
+    """rest (…, key) with the one of named (k, id) of which one key holds the other: of several the longest, then the least.
 
-    A key that holds another holds its first piece too: keys meet by equal pieces, then are compared.
+    Keys meet by equal parts (see search.held()), each key once, however many names have it.
     """
+    named, keys = cut(named), cut(rest.select("key").distinct())
     holds = F.contains("key", F.col("k")) | F.contains("k", F.col("key"))
-    named = cut(named)
     if named.count() <= FEW_NAMES:
-        return rest.join(F.broadcast(named), holds)
-    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n)))))
-    first = lambda c: F.substr(F.col(c), F.lit(1), F.lit(PIECE))
-    outer = rest.withColumn("piece", F.explode(pieces(F.col("key")))).join(named.withColumn("piece", first("k")), "piece")
-    inner = rest.filter("key <> ''").withColumn("piece", first("key")).join(named.withColumn("piece", F.explode(pieces(F.col("k")))), "piece")
-    every = rest.filter("key = ''").join(named, holds)  # an empty key is held by all
-    met = outer.filter(F.contains("key", F.col("k"))).unionByName(inner.filter(F.contains("k", F.col("key")) & (F.col("k") != F.col("key"))))
-    return met.drop("piece").unionByName(every)
+        met = keys.join(F.broadcast(named), holds)
+    else:
+        met = search.held(keys.filter("key <> ''"), "key", named, "k").select("key", "k", "id")
+        met = met.unionByName(search.held(named, "k", keys.filter("key <> ''"), "key").select("key", "k", "id"))
+        met = met.unionByName(keys.filter("key = ''").join(named, holds).select("key", "k", "id"))  # an empty key is held by all
+    best = met.groupBy("key").agg(F.min(F.struct((-F.length("k")).alias("n"), "k", "id")).alias("b"))
+    return rest.join(best.select("key", "b.k", "b.id"), "key")
 
 
 def _taken(near: DataFrame, own: list[str]) -> DataFrame:

@@ -134,3 +134,14 @@ def test_guessed_stations_are_taken_in_the_order_of_rows(spark):
     hints = spark.createDataFrame([(n, *at) for n, at in spots.items()], "name string, lat double, lon double")
     rows = dispatch.match_roster(roster, spark.createDataFrame(stations, "id string, name string, lat double, lon double"), hints).collect()
     assert {(r["import"], r["name"]): r["id"] for r in rows if r["match"] == "guessed"} == want and 10 < len(want) < 60 and len(rows) == 70
+
+
+def test_roster_keys_that_begin_alike(spark):
+    """Keys of one beginning aren't all compared with each other, and are matched as by comparing all."""
+    keys = [f"customer {i}" for i in range(400)]
+    named = spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(keys)], "k string, id string")
+    asked = [f"customer {i} nord" for i in range(0, 3000, 7)] + ["cust", "omer 39", "nowhere", "", "customer 12 nord"]
+    rest = spark.createDataFrame(list(enumerate(asked)), "first_row long, key string")
+    got = {r.first_row: r.k for r in dispatch._holding(rest, named).collect()}
+    want = {i: min((-len(k), k) for k in keys if k in a or a in k)[1] for i, a in enumerate(asked) if any(k in a or a in k for k in keys)}
+    assert got == want
