@@ -102,3 +102,39 @@ def test_chains_of_routes(spark):
     stops = [(1, 0, 1), (1, 1, 3), (1, 2, 2), (2, 0, 2), (3, 0, 1), (3, 1, 4), (4, 0, 1), (4, 1, 1), (4, 2, 2)]
     got = {r.qid: (r.status, r.cost, r.path) for r in routing.route_chains(spark.createDataFrame(stops, "qid long, pos int, node long"), e, v).collect()}
     assert got == {1: ("ok", 4.0, [1, 2, 3, 1, 2]), 2: ("ok", 0.0, [2]), 3: ("no path", None, None), 4: ("ok", 1.0, [1, 2])}
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_places_are_searched_once(spark, monkeypatch, k):
+    """Many queries at one place meet its points once; with `by`, only points of their own value."""
+    met, top = [], nearest._top
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return top(pairs, *rest)
+
+    monkeypatch.setattr(nearest, "_top", counted)
+    points = spark.createDataFrame([(i, 48 + i / 1000, 12.0, "ab"[i % 2]) for i in range(10)], "id long, lat double, lon double, sort string")
+    near = spark.createDataFrame([(q, 48.0, 12.0, "b") for q in range(300)] + [(900, 50.0, 12.0, "a"), (901, None, 12.0, "a")], "qid long, lat double, lon double, sort string")
+    got = nearest.nearest(near, points, k=k).collect()
+    assert {(r.qid, r.rank, r.id) for r in got} == {(q, 1 + n, n) for q in range(300) for n in range(k)} | {(900, 1 + n, 9 - n) for n in range(k)}
+    assert sum(met) <= 2 * 10
+    got = nearest.nearest(near, points, k=k, by=("sort",)).collect()
+    assert {(r.qid, r.sort, r.rank, r.id) for r in got} == {(q, "b", 1 + n, 1 + 2 * n) for q in range(300) for n in range(k)} | {(900, "a", 1 + n, 8 - 2 * n) for n in range(k)}
+    places = points.select(F.lit(0).alias("kind_rank"), F.lit("node").alias("kind"), "id", "lat", "lon", F.lit("x").alias("label"))
+    assert {(r.qid, r.id) for r in nearest.nearest_label(near, places).collect()} == {(q, 0) for q in range(300)}
+
+
+def test_cells_of_far_queries_are_dealt(spark, monkeypatch):
+    """Queries far from all points keep many cells in few bytes: these go to many tasks, and no task has most of them."""
+    shares, top = [], nearest._top
+
+    def counted(pairs, *rest):
+        shares.append([r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return top(pairs, *rest)
+
+    monkeypatch.setattr(nearest, "_top", counted)
+    points = spark.createDataFrame([(i, 48 + i // 4 / 1000, 12 + i % 4 / 1000) for i in range(1200)], "id long, lat double, lon double")
+    far = spark.createDataFrame([(q, 48.0 + q / 200, 13.0) for q in range(60)], "qid long, lat double, lon double")
+    assert nearest.nearest(far, points, k=2).count() == 120
+    assert len(shares) == 2 and max(shares[1]) < sum(shares[1]) / 2
