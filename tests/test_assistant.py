@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.operators import assistant, dispatch, poi, search, territory
+from geoweft.operators import assistant, compose, dispatch, nearest, poi, search, territory
 
 PLACE = "kind string, id long, lat double, lon double, tags map<string,string>"
 
@@ -145,3 +145,30 @@ def test_roster_keys_that_begin_alike(spark):
     got = {r.first_row: r.k for r in dispatch._holding(rest, named).collect()}
     want = {i: min((-len(k), k) for k in keys if k in a or a in k)[1] for i, a in enumerate(asked) if any(k in a or a in k for k in keys)}
     assert got == want
+
+
+def test_questions_meet_few_places_of_a_name(spark, monkeypatch):
+    """Many questions for a name that many places have: each meets those around it, not all of them."""
+    met, top = [], nearest._top
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return top(pairs, *rest)
+
+    monkeypatch.setattr(nearest, "_top", counted)
+    places = spark.createDataFrame([("node", i, 40 + i / 100, 12.0, {"name": ("Huber", "Maier")[i % 2]}) for i in range(1000)] + [("node", 5000, None, 12.0, {"name": "Huber"})], PLACE)
+    q = spark.createDataFrame([(i, "nearest Gasthof Huber am Eck", 40.0011 + i / 50, 12.0) for i in range(200)], "qid long, prompt string, lat double, lon double")
+    none = spark.createDataFrame([], "alias string, canonical string")
+    streets, vertices = spark.createDataFrame([], "key string, display string, node_ids array<long>"), spark.createDataFrame([], "id long, lat double, lon double")
+    got = {r.qid: (r.stage, r.id, r.label) for r in assistant.nearest_places(q, places.drop("kind"), places, streets, vertices, none).collect()}
+    assert got == {i: ("name", 2 * i, "Huber") for i in range(200)}
+    assert 0 < sum(met) <= 200 * 20
+
+
+def test_nearest_hits(spark):
+    """Of a text's hits the nearest, of equals the least id; questions at one place share it."""
+    hits = spark.createDataFrame([("a", 2, 48.1, 12.0, "x"), ("a", 1, 47.9, 12.0, "y"), ("a", 3, 48.1, 12.0, "z"), ("b", 3, 48.1, 12.0, "z")], "k string, id long, lat double, lon double, label string")
+    asked = spark.createDataFrame([(q, "ab"[q % 2], 48.05, 12.0) for q in range(50)] + [(90, "a", 47.0, 12.0), (91, "c", 47.0, 12.0)], "qid long, k string, qlat double, qlon double")
+    got = {r.qid: (r.id, r.label, round(r.dist_m)) for r in compose.nearest_hits(asked, hits).collect()}
+    far = round(haversine(47.0, 12.0, 47.9, 12.0))
+    assert got == {q: (2, "x", 5560) if q % 2 == 0 else (3, "z", 5560) for q in range(50)} | {90: (1, "y", far)}
