@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.functions import text
+from geoweft.functions.lineage import cut
 from geoweft.operators.territory import GEOMETRY
 
 _POINTS = "array<array<array<double>>>"
@@ -246,7 +247,15 @@ def parse_limit(raw: str | None, default: int, least: int, most: int) -> int:
 
 
 def import_progress(steps: DataFrame) -> DataFrame:
-    """seq, percent: 60 plus 35 parts in proportion, half up, never falling. steps: seq, done, total."""
+    """seq, percent: 60 plus 35 parts in proportion, half up, never falling. steps: seq, done, total.
+
+    There are 36 values of percent at most: each stands from the first step that reaches it on, so that no task sees all
+    steps in order. Steps of one seq share the highest of them.
+    """
     done = F.least(F.greatest(F.col("done"), F.lit(0)), F.col("total"))
     percent = F.lit(60) + F.when(F.col("total") > 0, F.floor((done * 70 + F.col("total")) / (2 * F.col("total")))).otherwise(0)
-    return steps.select("seq", F.max(percent).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("percent"))
+    at = F.struct(F.col("seq").isNotNull(), "seq")  # null is before all
+    first = steps.groupBy(percent.alias("percent")).agg(F.min(at).alias("at"))
+    reached = first.agg(F.collect_list(F.struct("percent", "at")).alias("reached"))
+    so_far = F.array_max(F.transform(F.filter("reached", lambda r: r["at"] <= at), lambda r: r["percent"]))
+    return steps.crossJoin(F.broadcast(reached)).select("seq", so_far.alias("percent"))

@@ -174,6 +174,17 @@ def test_progress(spark):
     assert [r.percent for r in files.import_progress(steps).orderBy("seq").collect()] == [60, 78, 78, 95, 95]
 
 
+def test_progress_is_not_one_tasks_work(spark):
+    """Steps of one seq share the highest percent, null comes first, and rows aren't gathered in one partition."""
+    steps = spark.createDataFrame([(3, 5, 10), (3, 10, 10), (None, 2, 10), (1, 0, 10), (9, 1, 0)], "seq int, done long, total long")
+    got = [(r.seq, r.percent) for r in files.import_progress(steps).collect()]
+    assert sorted(got, key=str) == sorted([(3, 95), (3, 95), (None, 67), (1, 67), (9, 95)], key=str)
+    from pyspark.sql import functions as F
+
+    many = spark.range(0, 4000, 1, 4).select(F.col("id").alias("seq"), F.col("id").alias("done"), F.lit(4000).alias("total"))
+    assert files.import_progress(many).select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_search_by_pieces_is_search_of_every_row(spark, monkeypatch):
     """Many queries meet the corpora by an index of pieces; results are those of testing every row."""
     import random
