@@ -90,18 +90,33 @@ def write_assignments(assigned: DataFrame, path: str, include: list[str]) -> Non
     assigned.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
 
 
+#: Manifests of more rows are sorted in many tasks; one then writes the parts in their order, without holding them.
+SORTED_ROWS = 1_000_000
+
+
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """One CSV file per manifest, <manifest>.csv below path, rows in input order (row_ord)."""
-    rows = manifests.repartition("manifest").sortWithinPartitions("manifest", "row_ord").drop("row_ord")
+    manifests = cut(manifests)
+    counts = manifests.groupBy("manifest").agg(F.count(F.lit(1)).alias("n"))
+    long = sorted(r["manifest"] for r in counts.filter(F.col("n") > SORTED_ROWS).select("manifest").collect())  # few: each has many rows
+    rows = manifests.filter(~F.col("manifest").isin(long)) if long else manifests
+    rows = rows.repartition("manifest").sortWithinPartitions("manifest", "row_ord").drop("row_ord")
     rows.withColumn("_file", F.col("manifest")).drop("manifest").write.mode("overwrite").partitionBy("_file").csv(path, header=True)
     spark = manifests.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop_path(path)
     fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for part in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "_file=*/part-*")):
+    for part in fs.globStatus(hadoop_path(folder, "_file=*/part-*")):
         # a manifest is one task's: its folder holds one file
         name = unquote(part.getPath().getParent().getName().removeprefix("_file="))
-        fs.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}.csv"))
+        fs.rename(part.getPath(), hadoop_path(folder, f"{name}.csv"))
         fs.delete(part.getPath().getParent(), True)
+    for n, name in enumerate(long):
+        own = cut(manifests.filter(F.col("manifest") == name).drop("manifest").repartitionByRange("row_ord").sortWithinPartitions("row_ord"))
+        own.drop("row_ord").coalesce(1).write.mode("overwrite").csv(f"{path}/_long={n}", header=True)
+        for part in fs.globStatus(hadoop_path(folder, f"_long={n}/part-*")):
+            fs.rename(part.getPath(), hadoop_path(folder, f"{name}.csv"))
+        fs.delete(hadoop_path(folder, f"_long={n}"), True)
 
 
 def write_layers(territories: DataFrame, path: str) -> None:

@@ -180,6 +180,21 @@ def test_parcel_files(spark, tmp_path):
         files.read_parcels(spark, str(tmp_path / "short.csv"))
 
 
+def test_long_manifests_keep_their_order(spark, tmp_path, monkeypatch):
+    """Manifests above SORTED_ROWS are sorted in many tasks and written in their order; short ones are as before."""
+    monkeypatch.setattr(files, "SORTED_ROWS", 100)
+    monkeypatch.setattr(files, "cut", lambda df, cut=files.cut: parts.append(cut(df)) or parts[-1])
+    parts = []
+    rows = [(f"P{i}", (i * 7919) % 3001, ["a b", "c", "d"][0 if i % 3 else 1 if i % 60 else 2]) for i in range(3001)]
+    m = spark.createDataFrame(rows, "parcel_id string, row_ord long, manifest string").repartition(4)
+    files.write_manifests(m, str(tmp_path / "m"))
+    for name in ("a b", "c", "d"):
+        lines = (tmp_path / "m" / f"{name}.csv").read_text().splitlines()
+        assert lines == ["parcel_id", *[p for p, _, f in sorted(rows, key=lambda r: r[1]) if f == name]]
+    assert {p.name for p in (tmp_path / "m").iterdir() if not p.name.startswith((".", "_SUCCESS"))} == {"a b.csv", "c.csv", "d.csv"}
+    assert len(parts) == 3  # all rows, and the two long ones sorted
+
+
 def test_areas_lose_nothing_and_keep_their_turn_beyond_the_poles(spark):
     import math
 
