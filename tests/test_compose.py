@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.operators import boundaries, compose
+from geoweft.operators import boundaries, compose, nearest
 
 
 def test_nearest_named(spark):
@@ -138,3 +138,29 @@ def test_held_meets_texts_by_parts_of_their_lengths(spark):
     # 'd2' and 'd1' have many rows, yet a longer name meets its own only: no pair is made that doesn't hold
     plan = search.held(corpus.filter("length(hay) < 100"), "hay", asked, "sought")._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" not in plan and "contains" not in plan
+
+
+def test_prompts_meet_few_places_of_a_kind(spark, monkeypatch):
+    """Prompts for a kind that many places have meet those around them; of equals the kind, then the id decides."""
+    met, top = [], nearest._top
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return top(pairs, *rest)
+
+    monkeypatch.setattr(nearest, "_top", counted)
+    rows = [(kind, i, 40 + i / 50, 12.0, {"amenity": ("Cafe", "bank")[i % 2], "name": f"{kind}{i}"}) for i in range(500) for kind in ("way", "node")]
+    points = spark.createDataFrame(rows, "kind string, id long, lat double, lon double, tags map<string,string>")
+    prompts = spark.createDataFrame([(q, "Nächstes Café", 40 + q / 5, 12.0) for q in range(40)] + [(90, "Nächstes Café", None, 12.0)], "qid long, prompt string, lat double, lon double")
+    got = {}
+    for r in compose.intent_places(prompts, points).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.kind, r.id, r.label))
+    want = {}
+    for q in range(40):
+        order = sorted((abs(i - 10 * q), kind, i) for kind, i, _, _, t in rows if t["amenity"] == "Cafe")
+        want[q] = [{(kind, i, f"{kind}{i}") for d, kind, i in order if d == d0} for d0 in sorted({d for d, _, _ in order})]
+    assert set(got) == set(range(40)) and all(len(v) == 8 for v in got.values())
+    for q, found in got.items():
+        assert found[:2] == [("node", 10 * q, f"node{10 * q}"), ("way", 10 * q, f"way{10 * q}")] and set(found[:2]) == want[q][0]
+        assert set(found) <= set.union(*want[q][:5])
+    assert 0 < sum(met) <= 40 * 500
