@@ -212,3 +212,16 @@ def test_search_by_pieces_is_search_of_every_row(spark, monkeypatch):
     by_pieces = found()
     monkeypatch.setattr(search, "FEW_QUERIES", 1000)
     assert by_pieces == found() and all(by_pieces)
+
+
+def test_rows_of_one_split_are_dealt(spark):
+    """Tests on texts run on all cores, also where a corpus is one split; equal tags are scored once and keep all rows."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = addresses(spark).withColumn("seq", F.col("id")).coalesce(1)
+    asked, _ = search._distinct(ask(spark, "Hauptstraße", "Berlin"))
+    assert search.score_addresses(rows, asked).rdd.getNumPartitions() >= cores
+    points = spark.createDataFrame([("node", k, 48.0, 12.0, {"name": "Café Eins" if k % 3 else "Café", "amenity": "cafe"} if k % 7 else {}) for k in range(200)], "kind string, id long, lat double, lon double, tags map<string,string>")
+    got = [(r.id, r.label) for r in search.search_pois(points, ask(spark, "café"), 90).orderBy("rank").collect()]
+    of = lambda hit: [k for k in range(200) if k % 7 and (k % 3 == 0) == hit]
+    want = [(k, "Café") for k in of(True)] + [(k, "Café Eins") for k in of(False)]
+    assert got == want[:90]
