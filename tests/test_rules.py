@@ -138,3 +138,15 @@ def test_cells_of_far_queries_are_dealt(spark, monkeypatch):
     far = spark.createDataFrame([(q, 48.0 + q / 200, 13.0) for q in range(60)], "qid long, lat double, lon double")
     assert nearest.nearest(far, points, k=2).count() == 120
     assert len(shares) == 2 and max(shares[1]) < sum(shares[1]) / 2
+
+
+def test_trips_are_made_of_all_customers(spark, tmp_path):
+    """The query's rows are those of its SQL; the last trip has the stops that are left."""
+    spark.range(77).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(120).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size", "'LARGE' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in queries.trip_orders(spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        for name in ("customer", "part"):
+            db.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert got == sorted(db.execute(queries.SQL["trip_orders"]).fetchall())
+    assert [r[2] for r in got] == [6] * 12 + [5]
