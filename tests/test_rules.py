@@ -150,3 +150,12 @@ def test_trips_are_made_of_all_customers(spark, tmp_path):
             db.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
         assert got == sorted(db.execute(queries.SQL["trip_orders"]).fetchall())
     assert [r[2] for r in got] == [6] * 12 + [5]
+
+
+def test_long_trips_are_made_of_all_customers(spark, tmp_path):
+    """Each customer is a stop of one trip, also those beyond the first 240 and those left for the last trip."""
+    spark.range(257).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(120).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size", "'LARGE' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(queries.trip_orders_long(spark, str(tmp_path)).collect())
+    assert [(r.trip, r.status, len(r.order)) for r in got] == [(k, "ok", 20) for k in range(12)] + [(12, "ok", 17)]
+    assert sorted(s for r in got for s in r.order) == [f"S{k:06d}" for k in range(257)]
