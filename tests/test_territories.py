@@ -215,3 +215,21 @@ def test_neighbors_near_and_beyond_the_poles(spark):
     both = lambda **k: {(r.territory_id, r.neighbor) for r in territory.neighbors(e, **k).collect()}
     assert both() == {("A", "B"), ("B", "A"), ("C", "D"), ("D", "C")}
     assert both(most_deg=0.03) == {("A", "B"), ("B", "A")}
+
+
+def test_registered_neighbors_leave_out_nothing_near_a_pole(spark, tmp_path):
+    """Districts in rows of forty up to beyond the pole, against the query's SQL: near it those far apart in degrees are neighbors."""
+    import duckdb
+
+    from geoweft.plans import queries
+
+    spark.range(4295 * 40, 4305 * 40).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {tuple(r) for r in queries.territory_neighbors(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+        want = set(db.execute(queries.SQL["territory_neighbors"]).fetchall())
+    assert {r[:2] for r in got} == {r[:2] for r in want} and len(want) == len(got)
+    far = {(a, b) for a, b, _ in got if abs(int(a[1:]) % 40 - int(b[1:]) % 40) > 4}
+    assert len(far) > 1000
+    held = {r[:2]: r[2] for r in want}
+    assert all(abs(held[a, b] - m) < 2e-4 for a, b, m in got)
