@@ -159,3 +159,36 @@ def test_long_trips_are_made_of_all_customers(spark, tmp_path):
     got = sorted(queries.trip_orders_long(spark, str(tmp_path)).collect())
     assert [(r.trip, r.status, len(r.order)) for r in got] == [(k, "ok", 20) for k in range(12)] + [(12, "ok", 17)]
     assert sorted(s for r in got for s in r.order) == [f"S{k:06d}" for k in range(257)]
+
+
+def test_turn_aware_routes_pay_their_costs_without_paths(spark, tmp_path, monkeypatch):
+    """What the tree of ways adds up to is what each path alone pays, in one cell and in many; the query asks for no paths."""
+    from geoweft.functions import cost
+    from geoweft.operators import graph
+
+    spark.range(1, 2).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(160).selectExpr("id AS p_partkey", "CAST(id * 7 % 50 + 1 AS INT) AS p_size", "'LARGE' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    e, v = (x.cache() for x in queries.grid(spark, str(tmp_path)))
+    opt = cost.RouteOptions(**queries.TURNING).settled()
+    q = queries.requests(spark, str(tmp_path)).cache()
+    at = {r.id: (r.lat, r.lon) for r in v.collect()}
+    step = {(r.src, r.dst): r.s for r in e.withColumn("s", cost.edge_cost(F.col("dist_m"), F.col("speed_kph"), opt)).collect()}
+    degree = {r.id: r.degree for r in graph.out_degrees(e).collect()}
+
+    def bearing(a, b):
+        (p, x), (r, y) = ([math.radians(c) for c in at[k]] for k in (a, b))
+        return math.degrees(math.atan2(math.sin(y - x) * math.cos(r), math.cos(p) * math.sin(r) - math.sin(p) * math.cos(r) * math.cos(y - x)))
+
+    def turn(a, b, c):
+        diff = (bearing(b, c) - bearing(a, b) + 540) % 360 - 180
+        return (5 if degree[b] > 2 else 0) + (30 if abs(diff) > 160 else 8 if diff < -30 else 0)
+
+    want = {r.qid: sum(step[s] for s in zip(r.path, r.path[1:])) + sum(turn(*t) for t in zip(r.path, r.path[1:], r.path[2:])) for r in routing.route(q, e, v, opt).collect() if len(r.path) > 1}
+    assert len(want) > 100
+    for sizes in ({}, {"whole_arcs": 60, "cell_vertices": 40}):
+        got = {r.qid: r.paid for r in routing.paid_costs(q, e, v, opt, **sizes).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    asked, found = [], routing.route_pairs
+    monkeypatch.setattr(routing, "route_pairs", lambda *a, paths=True, **k: asked.append(paths) or found(*a, paths=paths, **k))
+    rows = queries.route_turn_aware(spark, str(tmp_path)).collect()
+    assert not any(asked) and len(rows) == len(at) and all(r.fits for r in rows)
