@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions import geo, text
-from geoweft.functions.lineage import cut
+from geoweft.functions.lineage import cut, dealt
 from geoweft.operators import search
 from geoweft.operators.territory import property_keys
 
@@ -116,9 +116,9 @@ def _holding(rest: DataFrame, named: DataFrame) -> DataFrame:
     else:
         met = search.held(keys.filter("key <> ''"), "key", named, "k").select("key", "k", "id")
         met = met.unionByName(search.held(named, "k", keys.filter("key <> ''"), "key").select("key", "k", "id"))
-        met = met.unionByName(keys.filter("key = ''").join(named, holds).select("key", "k", "id"))  # an empty key is held by all
+        met = met.unionByName(named.join(F.broadcast(keys.filter("key = ''")), holds).select("key", "k", "id"))  # an empty key, of which there is one at most, is held by all
     best = met.groupBy("key").agg(F.min(F.struct((-F.length("k")).alias("n"), "k", "id")).alias("b"))
-    return rest.join(best.select("key", "b.k", "b.id"), "key")
+    return rest.join(dealt(best.select("key", "b.k", "b.id")), "key")
 
 
 def _taken(near: DataFrame, own: list[str]) -> DataFrame:
@@ -134,7 +134,7 @@ def _taken(near: DataFrame, own: list[str]) -> DataFrame:
     while True:
         asked = left.groupBy(*own, "first_row").agg(F.min(F.struct("d", "sid")).alias("best")).select(*own, "first_row", "best.sid")
         kept = cut(asked.groupBy("import", "sid").agg(F.min(when).alias("keeper")))
-        met = left.join(kept, ["import", "sid"], "left")
+        met = left.join(dealt(kept), ["import", "sid"], "left")
         late = F.col("keeper").isNotNull() & (when > F.col("keeper"))
         if met.filter(late).isEmpty():
             return cut(asked)
@@ -158,12 +158,12 @@ def _matched(roster: DataFrame, stations: DataFrame, hints: DataFrame, radius_m:
     own = ["import", "name"]
     keyed = roster.select("import", "name", "first_row", text.station_key(F.col("name")).alias("key"))
     named = stations.filter("name <> ''").select("id", text.station_key(F.col("name")).alias("key")).groupBy("key").agg(F.max("id").alias("id"))
-    exact = keyed.join(named, "key").select(*own, "first_row", F.lit("exact").alias("match"), "id")
-    rest = cut(keyed.join(exact.select(*own), own, "left_anti"))
+    exact = keyed.join(dealt(named), "key").select(*own, "first_row", F.lit("exact").alias("match"), "id")
+    rest = cut(keyed.join(dealt(exact.select(*own)), own, "left_anti"))
     part = _holding(rest, named.filter("key <> ''").select(F.col("key").alias("k"), "id"))
     best = part.groupBy(*own, "first_row").agg(F.min_by("id", F.struct(-F.length("k"), "k")).alias("id"))
     substring = best.select(*own, "first_row", F.lit("substring").alias("match"), "id")
-    rest = rest.join(substring.select(*own), own, "left_anti")
+    rest = rest.join(dealt(substring.select(*own)), own, "left_anti")
     # cells as high as the radius, and as wide at the query's latitude
     size = radius_m / 111000.0
     across = F.ceil(1 / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + size)))).cast("int")
@@ -171,11 +171,11 @@ def _matched(roster: DataFrame, stations: DataFrame, hints: DataFrame, radius_m:
     unnamed = stations.filter("name = ''").select(F.col("id").alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
     unnamed = unnamed.select("*", *[c.alias(n) for c, n in zip(cell("slat", "slon"), ("cx", "cy"), strict=True)])
     cx, cy = cell("lat", "lon")
-    around = rest.join(hints, "name").withColumn("cx", F.explode(F.sequence(cx - across, cx + across))).withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1)))
+    around = rest.join(dealt(hints), "name").withColumn("cx", F.explode(F.sequence(cx - across, cx + across))).withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1)))
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    near = around.join(unnamed, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius_m).select(*own, "first_row", "sid", "d")
+    near = around.join(dealt(unnamed), ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= radius_m).select(*own, "first_row", "sid", "d")
 
     guessed = _taken(near, own).select(*own, "first_row", F.lit("guessed").alias("match"), F.col("sid").alias("id"))
     found = exact.unionByName(substring).unionByName(guessed)
-    missed = keyed.join(found.select(*own), own, "left_anti").select(*own, "first_row", F.lit("unmatched").alias("match"), F.lit(None).cast("string").alias("id"))
+    missed = keyed.join(dealt(found.select(*own)), own, "left_anti").select(*own, "first_row", F.lit("unmatched").alias("match"), F.lit(None).cast("string").alias("id"))
     return found.unionByName(missed).select("import", "name", "first_row", "match", "id")

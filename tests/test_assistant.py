@@ -172,3 +172,20 @@ def test_nearest_hits(spark):
     got = {r.qid: (r.id, r.label, round(r.dist_m)) for r in compose.nearest_hits(asked, hits).collect()}
     far = round(haversine(47.0, 12.0, 47.9, 12.0))
     assert got == {q: (2, "x", 5560) if q % 2 == 0 else (3, "z", 5560) for q in range(50)} | {90: (1, "y", far)}
+
+
+def joins_by_broadcast(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_roster_joins_gather_no_table_on_the_driver(spark):
+    """Spark's estimates come from compressed bytes, so large tables look small; the joins must not go by them."""
+    town = lambda k: "Q" + "".join(chr(97 + k // 26**i % 26) for i in range(3)) + "x"
+    rows = [(f"FF {town(k)}{' Nord' if k % 3 else ''}", k) for k in range(400)]
+    stations = spark.createDataFrame([(f"s{k:03d}", f"Feuerwehr {town(k)}" if k % 2 else "", 48 + k / 50, 12.0) for k in range(800)], "id string, name string, lat double, lon double")
+    hints = spark.createDataFrame([(n, 48 + k / 50, 12.001) for n, k in rows], "name string, lat double, lon double")
+    got = dispatch.match_roster(spark.createDataFrame(rows, "name string, first_row long"), stations, hints)
+    assert joins_by_broadcast(got) == 0
+    found = {r.first_row: (r.match, r.id) for r in got.collect()}
+    want = lambda k: ("exact" if k % 3 == 0 else "substring", f"s{k:03d}") if k % 2 else ("guessed", f"s{k:03d}")
+    assert {k: v for k, v in found.items() if v != want(k)} == {} and len(found) == 400
