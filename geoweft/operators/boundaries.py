@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions import geo, osm, text
-from geoweft.functions.lineage import cut
+from geoweft.functions.lineage import cut, dealt
 from geoweft.operators import compose, search, territory
 
 #: How far inside of its longest edge a ring is asked for what lies around it, in degrees.
@@ -54,27 +54,27 @@ def nesting(rings: DataFrame) -> DataFrame:
     grid = box.groupBy("id").agg(F.count(F.lit(1)).alias("rings"), F.min("min_lat").alias("lat0"), F.min("min_lon").alias("lon0"), F.greatest(F.max("max_lat") - F.min("min_lat"), F.max("max_lon") - F.min("min_lon")).alias("span")).filter("rings > 1")
     grid = grid.select("id", "lat0", "lon0", (F.greatest("span", F.lit(1e-9)) / F.least(F.ceil(F.sqrt("rings")), F.lit(1024))).alias("size"))
     bands = F.least(F.greatest(F.floor(F.col("n") / territory.BAND_EDGES), F.lit(1)), F.lit(territory.MOST_BANDS))
-    box = cut(box.withColumn("bands", bands).join(grid, "id"))
+    box = cut(box.withColumn("bands", bands).join(dealt(grid), "id"))
     band = lambda lat: F.least(F.greatest(F.floor((lat - F.col("min_lat")) / F.greatest(F.col("max_lat") - F.col("min_lat"), F.lit(1e-9)) * F.col("bands")), F.lit(0)), F.col("bands") - 1)
     cells = lambda a, b, origin: F.explode(F.sequence(geo.cell(F.col(a), F.col(origin), F.col("size")), geo.cell(F.col(b), F.col(origin), F.col("size"))))
     around = box.withColumnRenamed("ring", "other").withColumn("cx", cells("min_lon", "max_lon", "lon0")).withColumn("cy", cells("min_lat", "max_lat", "lat0")).drop("lat0", "lon0", "size", "n")
-    inner = inner_points(rings).select("id.id", "id.ring", "lat", "lon").join(grid, "id")
+    inner = inner_points(rings).select("id.id", "id.ring", "lat", "lon").join(dealt(grid), "id")
     inner = inner.select("id", "ring", "lat", "lon", geo.cell(F.col("lon"), F.col("lon0"), F.col("size")).alias("cx"), geo.cell(F.col("lat"), F.col("lat0"), F.col("size")).alias("cy"))
-    met = inner.join(around, ["id", "cx", "cy"]).filter("ring <> other AND lat BETWEEN min_lat - 1e-8 AND max_lat + 1e-8 AND lon BETWEEN min_lon - 1e-8 AND max_lon + 1e-8")
+    met = inner.join(dealt(around), ["id", "cx", "cy"]).filter("ring <> other AND lat BETWEEN min_lat - 1e-8 AND max_lat + 1e-8 AND lon BETWEEN min_lon - 1e-8 AND max_lon + 1e-8")
     met = met.select("id", "ring", "other", "lat", "lon", band(F.col("lat")).alias("band"))
     edges = rings.select("id", "ring", F.explode(_edges(F.col("points"))).alias("e")).select("id", "ring", F.col("e.a.lat").alias("lat1"), F.col("e.a.lon").alias("lon1"), F.col("e.b.lat").alias("lat2"), F.col("e.b.lon").alias("lon2"))
-    edges = edges.filter("lat1 <> lat2 OR lon1 <> lon2").join(box.select("id", "ring", "min_lat", "max_lat", "bands"), ["id", "ring"])
+    edges = edges.filter("lat1 <> lat2 OR lon1 <> lon2").join(dealt(box.select("id", "ring", "min_lat", "max_lat", "bands")), ["id", "ring"])
     edges = edges.withColumn("band", F.explode(F.sequence(band(F.least("lat1", "lat2") - 1e-8), band(F.greatest("lat1", "lat2") + 1e-8)))).select("id", F.col("ring").alias("other"), "band", "lat1", "lon1", "lat2", "lon2")
     e = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
-    tested = met.join(edges, ["id", "other", "band"]).groupBy("id", "ring", "other").agg(F.bool_or(geo.on_segment(*e)).alias("on_edge"), F.count_if(geo.crosses(*e)).alias("crossed"))
+    tested = met.join(dealt(edges), ["id", "other", "band"]).groupBy("id", "ring", "other").agg(F.bool_or(geo.on_segment(*e)).alias("on_edge"), F.count_if(geo.crosses(*e)).alias("crossed"))
     depths = tested.filter("on_edge OR crossed % 2 = 1").groupBy("id", "ring").agg(F.count(F.lit(1)).alias("depth"))
-    return rings.select("id", "ring").join(depths, ["id", "ring"], "left").select("id", "ring", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return rings.select("id", "ring").join(dealt(depths), ["id", "ring"], "left").select("id", "ring", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def ring_report(rings: DataFrame) -> DataFrame:
     """id, ring, depth, area_m2 (sphere), mercator_m2 of rings (id, ring, points)."""
     rings = cut(rings)
-    return nesting(rings).join(compose.ring_areas(rings), ["id", "ring"]).join(mercator_areas(rings), ["id", "ring"])
+    return nesting(rings).join(dealt(compose.ring_areas(rings).join(dealt(mercator_areas(rings)), ["id", "ring"])), ["id", "ring"])
 
 
 def named_boundaries(questions: DataFrame, relations: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def named_boundaries(questions: DataFrame, relations: DataFrame) -> DataFrame:
     wanted = cut(asked.select("sought").distinct())
     named = named.groupBy("hay").agg(F.min("id").alias("id"))
     met = search.held(named, "hay", wanted, "sought").groupBy("sought").agg(F.min("id").alias("id"))
-    return asked.join(met, "sought").select("qid", "id")
+    return asked.join(dealt(met), "sought").select("qid", "id")
 
 
 def area_report(questions: DataFrame, relations: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -98,15 +98,15 @@ def area_report(questions: DataFrame, relations: DataFrame, ways: DataFrame, nod
     Only the boundaries asked for are assembled, each once.
     """
     found = cut(named_boundaries(questions, relations))
-    wanted = cut(relations.join(found.select("id").distinct(), "id", "left_semi").select("id", "members"))
+    wanted = cut(relations.join(dealt(found.select("id").distinct()), "id", "left_semi").select("id", "members"))
     rings = ring_report(compose.relation_rings(wanted, ways, nodes))
     tag = osm.tags_of("tags")
     woods = ways.filter((tag("landuse") == "forest") | (tag("natural") == "wood")).select(F.col("id").alias("way"))
     members = wanted.select("id", F.explode("members").alias("m")).filter("m.type = 'way'").select("id", F.col("m.id").alias("way"))
-    forests = members.join(woods, "way", "left_semi").select("id").distinct().withColumn("wooded", F.lit(True))
+    forests = members.join(dealt(woods), "way", "left_semi").select("id").distinct().withColumn("wooded", F.lit(True))
     side = F.when(F.col("depth") % 2 == 0, 1).otherwise(-1)
     sums = rings.groupBy("id").agg(F.count(F.lit(1)).alias("rings"), F.sum("area_m2").alias("all_m2"), F.sum(side * F.col("area_m2")).alias("net_m2"), F.sum(side * F.col("mercator_m2")).alias("mercator_m2"), F.max_by("ring", F.struct("area_m2", -F.col("ring"))).alias("outline"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    each = wanted.select("id").join(sums, "id", "left").join(forests, "id", "left").withColumn("forest", F.coalesce("wooded", F.lit(False))).withColumn("rings", F.coalesce("rings", F.lit(0)))
+    each = wanted.select("id").join(dealt(sums), "id", "left").join(dealt(forests), "id", "left").withColumn("forest", F.coalesce("wooded", F.lit(False))).withColumn("rings", F.coalesce("rings", F.lit(0)))
     each = each.select("id", "rings", "forest", F.when(F.col("forest") | (F.col("rings") == 1), F.coalesce("all_m2", F.lit(0.0))).otherwise(0.0).alias("area_m2"), zero("net_m2"), zero("mercator_m2"), "outline")
-    return questions.select("qid").join(found.join(each, "id"), "qid", "left")
+    return questions.select("qid").join(dealt(found.join(dealt(each), "id")), "qid", "left")

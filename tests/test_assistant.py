@@ -189,3 +189,18 @@ def test_roster_joins_gather_no_table_on_the_driver(spark):
     found = {r.first_row: (r.match, r.id) for r in got.collect()}
     want = lambda k: ("exact" if k % 3 == 0 else "substring", f"s{k:03d}") if k % 2 else ("guessed", f"s{k:03d}")
     assert {k: v for k, v in found.items() if v != want(k)} == {} and len(found) == 400
+
+
+def test_area_reports_gather_no_table_on_the_driver(spark):
+    """As for rosters: relations, ways, nodes and rings meet by joins that are dealt over tasks."""
+    from geoweft.operators import boundaries
+
+    town = lambda k: "Q" + "".join(chr(97 + k // 26**i % 26) for i in range(2)) + "x"
+    n = 60
+    nodes = spark.createDataFrame([(k * 10 + i, 48 + k / 50 + a, 12.0 + b) for k in range(n) for i, (a, b) in enumerate(((0, 0), (0, 0.01), (0.01, 0.01), (0.01, 0)))], "id long, lat double, lon double")
+    ways = spark.createDataFrame([(k, {"landuse": "forest"} if k % 2 else {"a": "b"}, [k * 10 + i for i in (0, 1, 2, 3, 0)]) for k in range(n)], "id long, tags map<string,string>, node_ids array<long>")
+    relations = spark.createDataFrame([(k, {"boundary": "administrative", "name": town(k)}, [("way", k, "outer")]) for k in range(n)], "id long, tags map<string,string>, members array<struct<type:string,id:long,role:string>>")
+    got = boundaries.area_report(spark.createDataFrame([(k, town(k)) for k in range(n)], "qid long, name string"), relations, ways, nodes)
+    assert joins_by_broadcast(got) == 0
+    rows = {r.qid: r for r in got.collect()}
+    assert len(rows) == n and all(r.id == k and r.rings == 1 and r.forest == (k % 2 == 1) and 700_000 < r.area_m2 < 900_000 and r.net_m2 == r.area_m2 for k, r in rows.items())
