@@ -192,3 +192,21 @@ def test_turn_aware_routes_pay_their_costs_without_paths(spark, tmp_path, monkey
     monkeypatch.setattr(routing, "route_pairs", lambda *a, paths=True, **k: asked.append(paths) or found(*a, paths=paths, **k))
     rows = queries.route_turn_aware(spark, str(tmp_path)).collect()
     assert not any(asked) and len(rows) == len(at) and all(r.fits for r in rows)
+
+
+def test_cells_hold_so_many_vertices_at_most(spark, monkeypatch):
+    """Against the definition, with dense and lonely places and many vertices at one; squares that are full needn't be broadcast."""
+    from geoweft.operators import overlay
+
+    rng = random.Random(4)
+    at = [(48 + rng.random() / 10, 12 + rng.random() / 10) for _ in range(300)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(10.0, 10.0)] * 12
+    v = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "id long, lat double, lon double").cache()
+    square = {(r.id, r.depth): r.square for r in v.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(overlay.DEPTH)))).withColumn("square", overlay._square(F.col("lat"), F.col("lon"), F.col("depth"))).collect()}
+    held = {}
+    for s in square.values():
+        held[s] = held.get(s, 0) + 1
+    want = {k: next(square[k, d] for d in range(overlay.DEPTH + 1) if held[square[k, d]] <= 8 or d == overlay.DEPTH) for k in range(len(at))}
+    for most in (overlay.BROADCAST_SQUARES, 0):
+        monkeypatch.setattr(overlay, "BROADCAST_SQUARES", most)
+        assert {r.id: r.cell for r in overlay.cells_of(v, 8).collect()} == want
+    assert {r.id: r.cell for r in overlay.cells_of(v, 1000).collect()} == {k: square[k, 0] for k in range(len(at))}
