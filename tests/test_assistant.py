@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from geoweft.functions.lineage import stored
 from geoweft.operators import assistant, compose, dispatch, nearest, poi, search, territory
 
 PLACE = "kind string, id long, lat double, lon double, tags map<string,string>"
@@ -184,7 +185,8 @@ def test_roster_joins_gather_no_table_on_the_driver(spark):
     rows = [(f"FF {town(k)}{' Nord' if k % 3 else ''}", k) for k in range(400)]
     stations = spark.createDataFrame([(f"s{k:03d}", f"Feuerwehr {town(k)}" if k % 2 else "", 48 + k / 50, 12.0) for k in range(800)], "id string, name string, lat double, lon double")
     hints = spark.createDataFrame([(n, 48 + k / 50, 12.001) for n, k in rows], "name string, lat double, lon double")
-    got = dispatch.match_roster(spark.createDataFrame(rows, "name string, first_row long"), stations, hints)
+    roster = spark.createDataFrame(rows, "name string, first_row long")
+    got = dispatch.match_roster(stored(roster), stored(stations), stored(hints))  # as files, of which Spark knows the bytes
     assert joins_by_broadcast(got) == 0
     found = {r.first_row: (r.match, r.id) for r in got.collect()}
     want = lambda k: ("exact" if k % 3 == 0 else "substring", f"s{k:03d}") if k % 2 else ("guessed", f"s{k:03d}")
@@ -200,7 +202,8 @@ def test_area_reports_gather_no_table_on_the_driver(spark):
     nodes = spark.createDataFrame([(k * 10 + i, 48 + k / 50 + a, 12.0 + b) for k in range(n) for i, (a, b) in enumerate(((0, 0), (0, 0.01), (0.01, 0.01), (0.01, 0)))], "id long, lat double, lon double")
     ways = spark.createDataFrame([(k, {"landuse": "forest"} if k % 2 else {"a": "b"}, [k * 10 + i for i in (0, 1, 2, 3, 0)]) for k in range(n)], "id long, tags map<string,string>, node_ids array<long>")
     relations = spark.createDataFrame([(k, {"boundary": "administrative", "name": town(k)}, [("way", k, "outer")]) for k in range(n)], "id long, tags map<string,string>, members array<struct<type:string,id:long,role:string>>")
-    got = boundaries.area_report(spark.createDataFrame([(k, town(k)) for k in range(n)], "qid long, name string"), relations, ways, nodes)
+    questions = spark.createDataFrame([(k, town(k)) for k in range(n)], "qid long, name string")
+    got = boundaries.area_report(*map(stored, (questions, relations, ways, nodes)))
     assert joins_by_broadcast(got) == 0
     rows = {r.qid: r for r in got.collect()}
     assert len(rows) == n and all(r.id == k and r.rings == 1 and r.forest == (k % 2 == 1) and 700_000 < r.area_m2 < 900_000 and r.net_m2 == r.area_m2 for k, r in rows.items())
